@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Python worker holds at a time."""
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound what one Python worker holds at a time, and let workers import this package from where the driver has it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    root = str(Path(__file__).resolve().parents[2])
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from inkwell.llm.byte_bpe import op6_byte_bpe
 from inkwell.llm.quality import op8_quality_rules
+from inkwell.llm.token_files import op3_token_files
+from inkwell.llm.warc import op2_warc
 
 
 def queries() -> dict:
     return {
+        "op2_warc": op2_warc,
+        "op3_token_files": op3_token_files,
+        "op6_byte_bpe": op6_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from inkwell.llm import sql
+
+    return {
+        "op2_warc": sql.OP2,
+    }
