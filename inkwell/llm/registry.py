@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkwell.llm.byte_bpe import op6_byte_bpe
+from inkwell.llm.packing import op4_packing
 from inkwell.llm.quality import op8_quality_rules
 from inkwell.llm.token_files import op3_token_files
 from inkwell.llm.warc import op2_warc
@@ -12,6 +13,7 @@ def queries() -> dict:
     return {
         "op2_warc": op2_warc,
         "op3_token_files": op3_token_files,
+        "op4_packing": op4_packing,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
     }
