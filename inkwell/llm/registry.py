@@ -5,6 +5,7 @@ from __future__ import annotations
 from inkwell.llm.byte_bpe import op6_byte_bpe
 from inkwell.llm.fingerprints import op9_fingerprints
 from inkwell.llm.licenses import op5_licenses
+from inkwell.llm.minhash import op7_minhash
 from inkwell.llm.packing import op4_packing
 from inkwell.llm.quality import op8_quality_rules
 from inkwell.llm.token_files import op3_token_files
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op4_packing": op4_packing,
         "op5_licenses": op5_licenses,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_minhash": op7_minhash,
         "op8_quality_rules": op8_quality_rules,
         "op9_fingerprints": op9_fingerprints,
     }
