@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from inkwell.llm.byte_bpe import op6_byte_bpe
 from inkwell.llm.fingerprints import op9_fingerprints
 from inkwell.llm.licenses import op5_licenses
@@ -9,11 +10,13 @@ from inkwell.llm.minhash import op7_minhash
 from inkwell.llm.packing import op4_packing
 from inkwell.llm.quality import op8_quality_rules
 from inkwell.llm.token_files import op3_token_files
+from inkwell.llm.toxicity import op1_toxicity
 from inkwell.llm.warc import op2_warc
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_warc": op2_warc,
         "op3_token_files": op3_token_files,
         "op4_packing": op4_packing,
@@ -22,12 +25,12 @@ def queries() -> dict:
         "op7_minhash": op7_minhash,
         "op8_quality_rules": op8_quality_rules,
         "op9_fingerprints": op9_fingerprints,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from inkwell.llm import sql
 
-    return {
-        "op2_warc": sql.OP2,
-    }
+    found = {"op2_warc": sql.OP2}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
