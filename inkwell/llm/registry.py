@@ -11,6 +11,7 @@ from inkwell.llm.packing import op4_packing
 from inkwell.llm.quality import op8_quality_rules
 from inkwell.llm.token_files import op3_token_files
 from inkwell.llm.toxicity import op1_toxicity
+from inkwell.llm.urls import op10_url_filter
 from inkwell.llm.warc import op2_warc
 
 
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op7_minhash": op7_minhash,
         "op8_quality_rules": op8_quality_rules,
         "op9_fingerprints": op9_fingerprints,
+        "op10_url_filter": op10_url_filter,
         "pipeline": corpus_pipeline.run,
     }
 
