@@ -2,10 +2,123 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from inkwell.operators import dataset, features, metrics, parse, replay, strokes, trace, wire
+from inkwell.plans import pipeline
+from inkwell.plans.sql import ORACLES
+from inkwell.sources import pen
+
+
+def _round(c: str | Column) -> Column:
+    return F.floor(F.col(c) * 1_000_000 + 0.5 if isinstance(c, str) else c * 1_000_000 + 0.5) / 1_000_000
+
+
+def _joined(c: str) -> Column:
+    return F.array_join(c, ",")
+
+
+def _points(spark, sf):
+    return parse.parse_points(pen.pen_points(spark, sf))
+
+
+def _strokes(spark, sf):
+    return strokes.build_strokes(_points(spark, sf), pen.STROKES)
+
+
+def _run(spark, sf) -> pipeline.Run:
+    return pipeline.run(pen.pen_points(spark, sf), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS)
+
+
+def _episodes(spark, sf):
+    return features.episodes(_run(spark, sf).mappings, pen.FEATURES)
+
+
+def _predictions(spark, sf):
+    """A fixture: targets and scores of two labels by formula over the orders."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k, c = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    a = o.select(k.alias("id"), F.lit("a").alias("label"), (c % 3 == 0).cast("int").alias("target"), (((k * 7919 + c % 3 * 211) % 1000) / 1000.0).alias("score"))
+    b = o.select(k.alias("id"), F.lit("b").alias("label"), (c % 7 < 2).cast("int").alias("target"), ((((k * 104729 - c % 7 * 31) % 500 + 500) % 500) / 500.0).alias("score"))
+    return a.unionByName(b)
+
+
+def _leakage(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    split = F.when(F.col("o_orderkey") % 10 == 0, "test").when(F.col("o_orderkey") % 10 == 1, "validation").otherwise("train")
+    return dataset.leakage(o.select(split.alias("split"), F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("order")), ["customer", "order"])
+
+
+def _split(spark, sf):
+    return dataset.assign_splits(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("string").alias("group_id")), 20260930)
+
+
+def _seeds(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    return c.select(F.col("c_custkey").alias("participant"), F.col("c_nationkey").alias("scenario"), dataset.derive_seed(20260929, F.col("c_custkey"), F.col("c_nationkey")).alias("seed"))
+
+
+def _page_changes(spark, sf):
+    e = _run(spark, sf).events.where("event_type = 'PAGE_CHANGE'")
+    return e.select("session_id", F.col("stroke_ref").alias("stroke_id"), F.col("reason").alias("change"))
+
+
+def _events(spark, sf, *types: str) -> DataFrame:
+    e = _run(spark, sf).events
+    e = e.where(F.col("event_type").isin(*types)) if types else e
+    return e.select("event_id", "event_type", "session_id", "sequence", "question_id", "previous_question_id", "next_question_id", "page_id", "start_time_ms", "end_time_ms", "stroke_ref", "quality_status", _joined("quality_flags").alias("quality_flags"))
+
+
+def _with_run(f):
+    return lambda spark, sf: f(_run(spark, sf))
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "parse_points": lambda s, d: _points(s, d).select("session_id", "point_id", "raw_order", "timestamp_ms", _round("x_norm").alias("x_norm"), _round("y_norm").alias("y_norm"), "pen_state", _joined("quality_flags").alias("flags")),
+        "flag_histogram": lambda s, d: _points(s, d).select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n")),
+        "export_eligible": lambda s, d: parse.eligible(_points(s, d)).groupBy("session_id").agg(F.count("*").alias("n")),
+        "degraded_points": lambda s, d: _points(s, d).groupBy("session_id").agg(F.count(F.when(F.size("quality_flags") > 0, 1)).alias("degraded"), F.count("*").alias("total")),
+        "strokes_basic": lambda s, d: _strokes(s, d).select("session_id", "stroke_id", "page_id", "n_points", "start_time_ms", "end_time_ms", "duration_ms"),
+        "strokes_path": lambda s, d: _strokes(s, d).select("session_id", "stroke_id", _round("path_length_norm").alias("path_length")),
+        "strokes_bbox": lambda s, d: _strokes(s, d).select("session_id", "stroke_id", F.col("bbox_space").alias("space"), _round("bbox.width").alias("width"), _round("bbox.height").alias("height")),
+        "strokes_processed_order": lambda s, d: _strokes(s, d).select("session_id", "stroke_id", _joined("processed_order").alias("processed_order")),
+        "stroke_quality": lambda s, d: _strokes(s, d).select("session_id", "stroke_id", _joined("quality_flags").alias("flags")),
+        "stroke_mapping": _with_run(lambda r: r.mappings.select("session_id", "stroke_id", "question_id", "region_id", "status", "mapping_method", _round("confidence").alias("confidence"), _joined("quality_flags").alias("flags"))),
+        "mapping_status_counts": _with_run(lambda r: r.mappings.groupBy("status", "mapping_method").agg(F.count("*").alias("n"))),
+        "page_changes": _page_changes,
+        "writing_evidence": lambda s, d: _events(s, d, "WRITING"),
+        "visits_returns": lambda s, d: _events(s, d, "QUESTION_VISIT", "RETURN"),
+        "question_leaves": lambda s, d: _events(s, d, "QUESTION_LEAVE"),
+        "revisions": lambda s, d: _events(s, d, "REVISION_CANDIDATE"),
+        "unknown_events": lambda s, d: _events(s, d, "UNKNOWN"),
+        "process_ends": lambda s, d: _events(s, d, "PROCESS_END"),
+        "process_events": lambda s, d: _events(s, d),
+        "event_type_counts": _with_run(lambda r: r.events.groupBy("event_type", "quality_status").agg(F.count("*").alias("n"))),
+        "replay_frames": lambda s, d: replay.replay_frames(p := _points(s, d), strokes.build_strokes(p, pen.STROKES)).select("session_id", "frame_index", "point_id", "stroke_id", "page_id"),
+        "replay_page_order": lambda s, d: replay.page_order(replay.replay_frames(p := _points(s, d), strokes.build_strokes(p, pen.STROKES))),
+        "trace_resolution": _with_run(lambda r: r.traces),
+        "trace_errors": _with_run(lambda r: r.traces.where("error IS NOT NULL")),
+        "run_status": _with_run(lambda r: r.status.withColumn("quality_flags", _joined("quality_flags"))),
+        "wire_events": _with_run(lambda r: wire.wire_events(r.events, "v1").withColumns({c: _joined(c) for c in ("point_refs", "stroke_refs")})),
+        "wire_violations": _with_run(lambda r: wire.violations(wire.wire_events(r.events, "v1"))),
+        "wire_batches": _with_run(lambda r: wire.batches(wire.wire_events(r.events, "v1"))),
+        "wire_unresolved_refs": _with_run(lambda r: wire.unresolved(wire.wire_events(r.events, "v1"), r.points).withColumn("missing", _joined("missing"))),
+        "review_summary": _with_run(lambda r: trace.review_summary(trace.review_template(r.events, r.events.select("session_id", "sequence", "event_type")))),
+        "group_split": _split,
+        "seed_derivation": _seeds,
+        "leakage_audit": _leakage,
+        "integrity_audit": _with_run(lambda r: dataset.dangling(r.events.select("session_id", "event_id", F.col("stroke_ref").alias("stroke_id")), r.strokes, ["session_id", "stroke_id"])),
+        "features_12": _episodes,
+        "features_missingness": lambda s, d: features.missingness(_episodes(s, d)),
+        "sequence_lengths": lambda s, d: features.sequences(_episodes(s, d)).groupBy("n").agg(F.count("*").alias("cases")),
+        "normalizer_stats": lambda s, d: features.normalizer(_episodes(s, d)).select("feature", _round("mean").alias("mean"), _round("std").alias("std")),
+        "confusion": lambda s, d: metrics.confusion(_predictions(s, d)).select("label", "tp", "fp", "fn", "tn", *[_round(c).alias(c) for c in ("precision", "recall", "f1", "mcc")]),
+        "ranking": lambda s, d: metrics.ranking(_predictions(s, d)).select("label", _round("roc_auc").alias("roc_auc"), _round("average_precision").alias("average_precision")),
+        "overall_metrics": lambda s, d: metrics.overall(_predictions(s, d)),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
