@@ -9,52 +9,86 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
-
 _BLANK = r"\s\x1c-\x1f\x85\u180e\u200b\ufeff"
-_ODD = re.compile(f"[{_BLANK}] | [{_BLANK}]|^[{_BLANK}]|[{_BLANK}]\\Z")
 _CUT = re.compile(f"(?<=[^{_BLANK}]) (?=[^{_BLANK}])")
+#: All characters of the class above.
+_BLANKS = [chr(c) for c in range(0x10000) if re.match(f"[{_BLANK}]", chr(c))]
+
+#: A Latin word, a full stop or comma, and perhaps a line end and the same again: always these matches, so known words make a new piece.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u024f]+)([.,]?)(?:(\n)([A-Za-z\u00c0-\u024f]+)([.,]?))?\Z")
 
 #: Pieces held by one worker; beyond that the memo starts anew.
-MEMO = 400_000
+MEMO = 800_000
 
 
-def spaced_pieces(text: str) -> list[str]:
-    """Pieces that begin with their single space; joined they are the text."""
-    parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]] if text else []
+def spaced_pieces(text: str) -> tuple[str | None, list[str]]:
+    """The piece before the first space that stands alone, and the pieces after such spaces, without them."""
+    if not text:
+        return None, []
+    there = [c for c in _BLANKS if c in text]
+    if text[0] in there or text[-1] in there or any(f" {c}" in text or f"{c} " in text for c in there):
+        first, *rest = _CUT.split(text)
+    else:
+        first, *rest = text.split(" ")
+    return first, rest
 
 
-def bare_pieces(text: str) -> list[str]:
+def bare_pieces(text: str) -> tuple[str | None, list[str]]:
     """Pieces between spaces and line ends, for vocabularies that drop white space."""
-    return [p for p in text.replace("\n", " ").split(" ") if p]
+    return None, text.replace("\n", " ").split(" ")
 
 
 class Encoder:
-    """Text to ids as bytes of little-endian unsigned 32-bit integers."""
-
-    def __init__(self, tokenizer, pieces: Callable[[str], list[str]], memo: int = MEMO):
-        self.tokenizer, self.pieces, self.limit, self.memo = tokenizer, pieces, memo, {}
-
-    def _fill(self, missing: list[str]) -> None:
-        for piece, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.memo[piece] = np.array(e.ids, dtype="<u4").tobytes()
+    """Text to ids as bytes of unsigned 32-bit integers (little-endian machines). joint: what stands before the pieces after the first."""
+
+    def __init__(self, tokenizer, pieces: Callable[[str], tuple[str | None, list[str]]], joint: str, memo: int = MEMO):
+        self.tokenizer, self.pieces, self.joint, self.limit = tokenizer, pieces, joint, memo
+        self._clear()
+
+    def _clear(self) -> None:
+        self.memo, self.words = {} if self.joint else {"": b""}, {}
+        self._learn(self.words, [".", ",", "\n"], "")
+
+    def _learn(self, memo: dict[str, bytes], pieces: list[str], joint: str) -> None:
+        found = self.tokenizer.encode_batch_fast([joint + p for p in pieces] if joint else pieces, add_special_tokens=False)
+        for piece, e in zip(pieces, found, strict=True):
+            memo[piece] = array("I", e.ids).tobytes()
+
+    def _fill(self, missing: set[str]) -> None:
+        """Put pieces into the memo: plain ones by their words, of which those after a line end have a memo of their own."""
+        memo, words, plain, whole, bare = self.memo, self.words, [], set(), set()
+        for piece in missing:
+            if not piece.isalpha() and (m := _PLAIN.match(piece)):
+                plain.append((piece, parts := m.groups("")))
+                if parts[0] not in memo:
+                    whole.add(parts[0])
+                if parts[3] and parts[3] not in words:
+                    bare.add(parts[3])
+            else:
+                whole.add(piece)
+        self._learn(memo, list(whole), self.joint)
+        self._learn(words, list(bare), "")
+        for piece, (word, stop, end, word2, stop2) in plain:
+            memo[piece] = memo[word] + (words[stop] if stop else b"") + (words[end] + words[word2] if end else b"") + (words[stop2] if stop2 else b"")
+
+    def _one(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One result per text, in order; a null text is an empty one."""
         out = []
         for text in texts:
-            pieces = self.pieces(text or "")
-            memo = self.memo
-            if missing := [p for p in dict.fromkeys(pieces) if p not in memo]:
-                if len(memo) + len(missing) > self.limit:
-                    memo.clear()
-                    missing = list(dict.fromkeys(pieces))
+            first, rest = self.pieces(text or "")
+            if missing := set(rest).difference(self.memo):
+                if len(self.memo) + len(self.words) + 2 * len(missing) > self.limit:
+                    self._clear()
+                    missing = set(rest).difference(self.memo)
                 self._fill(missing)
-            out.append(b"".join([memo[p] for p in pieces]))
+            out.append((self._one(first) if first else b"") + b"".join(map(self.memo.__getitem__, rest)))
         return out
 
 
@@ -70,7 +104,7 @@ def file_encoder(path: str, words: bool = False) -> Encoder:
     """The encoder of a tokenizers file. words: a vocabulary that drops white space. A text's special tokens are ordinary text."""
     tokenizer = _library().Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return Encoder(tokenizer, bare_pieces if words else spaced_pieces)
+    return Encoder(tokenizer, *((bare_pieces, "") if words else (spaced_pieces, " ")))
 
 
 @lru_cache(maxsize=1)
@@ -113,4 +147,4 @@ def rank_encoder(path: str) -> tuple[Encoder, list[bytes]]:
     by_id = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token
-    return Encoder(tokenizer, spaced_pieces), by_id
+    return Encoder(tokenizer, spaced_pieces, " "), by_id
