@@ -1,13 +1,14 @@
 """Near-duplicate classes by ProbMinHash: weighted five-word shingles, exponential arrivals, banding, exact verification.
 
-1. Each text's shingles and their counts give a signature of ``REGISTERS`` registers. A shingle of count w sends arrivals of rate
-   w to random registers; a register keeps the shingle that came first, so two texts agree in a register with the probability
-   Jaccard similarity of their counts. A shingle stops once its next arrival is later than all registers.
+1. Each text's shingles and their counts give a signature of ``REGISTERS`` registers. A shingle of count n sends arrivals of rate
+   1 + log n (a line that is repeated often must not outweigh the text) to random registers; a register keeps the shingle that came first, so two texts agree in a register with the probability
+   Jaccard similarity of these weights. A shingle stops once its next arrival is later than all registers.
 2. Texts with the same shingles and counts are one text from here on, however many copies there are.
 3. Texts that agree in all registers of a band share a bucket. In each bucket everything is compared with one centre, the text with
-   most company over all its buckets; what fails is compared with a next centre, and so on until every text of the bucket has
-   been a centre or linked to one. That is a row per text, bucket and round, never all pairs.
-4. A link needs a Jaccard similarity of the shingle sets of ``SIMILAR`` or more. Links make classes.
+   most company over all its buckets: a row per text and bucket, never all pairs. Links make classes.
+4. Where a bucket's texts are then in several classes, those outside its largest class are compared with all its texts, in blocks;
+   every two texts of a bucket have then been compared or are in one class.
+5. A link needs a Jaccard similarity of the shingle sets of ``SIMILAR`` or more.
 
 Cases: texts of fewer than five words have one shingle of all their words; null and empty texts are copies of each other;
 a null doc_id gives a null class; repeated rows are copies; an empty table gives an empty table; other columns are ignored.
@@ -30,6 +31,8 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Pairs whose signatures agree in less than this share (five standard deviations below SIMILAR) aren't verified.
 LEAST_AGREEMENT = 0.6
+#: Texts and bytes of shingle sets in a block of a bucket, and columns of the matrices that blocks are compared by.
+BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 64, 1 << 18, 1 << 14
 _WORD = re.compile(r"[^\W_]+")
 _MEMO = 300_000
 _memo: dict[str, int] = {}
@@ -68,7 +71,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     m, n = REGISTERS, len(sets)
     doc = np.repeat(np.arange(n), [len(e) for e, _ in sets])
     element = np.concatenate([e for e, _ in sets])
-    weight = np.concatenate([c for _, c in sets]).astype(np.float64)
+    weight = 1 + np.log(np.concatenate([c for _, c in sets]))
     first, winner = np.full(n * m, np.inf), np.zeros(n * m, np.uint64)
     single = np.array([len(e) == 1 for e, _ in sets])  # of one shingle, which wins everywhere
     winner.reshape(n, m)[single] = np.array([e[0] for e, _ in sets], dtype=np.uint64)[single][:, None]
@@ -115,14 +118,14 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles: the lower halves of the distinct shingle hashes, ascending."""
+    """id, shingles: the lower halves of the distinct shingle hashes, ascending; n_bytes: their size."""
 
     def run(batches):
         for batch in batches:
             sets = [np.unique(shingles(t)[0].astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(list(map(len, sets)), pa.int64())], names=["id", "shingles", "n_bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, shingles binary, n_bytes bigint")
 
 
 def similar(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,12 +148,69 @@ def similar(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     schema = "id bigint, centre bigint"
     signed = pairs.join(sigs, "id").join(sigs.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
     close = signed.select("id", "centre", "sig", "centre_sig").mapInArrow(agree, schema)
-    full = close.join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("centre_shingles")), "centre")
+    full = close.join(sets.select("id", "shingles"), "id").join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("centre_shingles")), "centre")
     return full.select("id", "centre", "shingles", "centre_shingles").mapInArrow(verify, schema)
 
 
-def links(texts: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Verified links (id, centre) between distinct texts (id, sig, bands); None if no two share a bucket."""
+def common(queries: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every query with every member, by products of 0/1 matrices over a bounded number of columns."""
+    known = np.unique(np.concatenate(queries))
+
+    def places(sets):
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        hit = known[at] == flat
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]
+
+    both = np.zeros((len(queries), len(members)), np.float32)
+    (qi, qc), (mi, mc) = places(queries), places(members)
+    for start in range(0, len(known), COLUMNS):
+        q, m = np.zeros((len(queries), COLUMNS), np.float32), np.zeros((len(members), COLUMNS), np.float32)
+        for matrix, i, c in ((q, qi, qc), (m, mi, mc)):
+            here = (c >= start) & (c < start + COLUMNS)
+            matrix[i[here], c[here] - start] = 1
+        both += q @ m.T
+    return both
+
+
+def rest_links(left: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (id, centre) between texts of one bucket that the centres have left in different classes. left: id, key; labels: id, label.
+
+    In a bucket, the texts outside its largest class are queries against all its texts, in blocks of bounded size dealt to
+    many tasks. A block pair is compared where it stands, and gives a link per query and class at most.
+    """
+    known = left.select("id", "key").join(labels, "id")
+    by_class = known.join(sets.select("id", "n_bytes"), "id").groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
+    total = by_class.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_TEXTS, size / BLOCK_BYTES))
+    # Both texts of a bucket of two have been compared already.
+    unsettled = total.where("classes > 1 AND n > 2").select("key", F.col("top.label").alias("main"), blocks(F.col("n"), F.col("size")).alias("blocks"))
+    dealt = known.join(unsettled, "key").join(sets.select("id", "shingles"), "id")
+    packed = F.collect_list(F.struct("id", "label", "shingles"))
+    members = dealt.groupBy("key", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(packed.alias("members"))
+    queries = dealt.where("label <> main").groupBy("key", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("own")).agg(packed.alias("queries"))
+    queries = queries.select("key", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+
+    def compare(batches):
+        for batch in batches:
+            found = []
+            for qs, ms in zip(batch.column("queries"), batch.column("members"), strict=True):
+                qs, ms = qs.as_py(), ms.as_py()
+                a, b = ([np.frombuffer(x["shingles"], np.uint32) for x in xs] for xs in (qs, ms))
+                both = common(a, b)
+                union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None] - both
+                here: dict[tuple[int, int], int] = {}
+                for i, j in zip(*np.nonzero(both >= SIMILAR * union), strict=True):
+                    if qs[i]["label"] != ms[j]["label"]:
+                        here[qs[i]["id"], ms[j]["label"]] = ms[j]["id"]
+                found += [(q, m) for (q, _), m in here.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["id", "centre"])
+
+    return queries.join(members, ["key", "block"]).select("queries", "members").mapInArrow(compare, "id bigint, centre bigint").distinct()
+
+
+def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (id, centre) between distinct texts (id, sig, bands)."""
     keys = texts.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     left = cut(keys.join(shared, "key"), "buckets")
@@ -159,15 +219,11 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame | None:
     members = left.select("id").distinct()
     sets = cut(shingle_sets(docs.join(members, docs["doc_id"] == members["id"], "left_semi").dropDuplicates(["doc_id"])), "shingles")
     sigs = texts.select("id", "sig").join(members, "id", "left_semi")
-    found = None
-    while True:
-        centres = left.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("_id"))).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", (-F.col("top._id")).alias("centre"))
-        against = left.join(centres, "key").where("id <> centre")
-        good = cut(similar(against.select("id", "centre").distinct(), sigs, sets), "links")
-        found = good if found is None else found.unionByName(good)
-        left = cut(against.join(good, ["id", "centre"], "left_anti").select("id", "key", "company"), "left")
-        if left.groupBy("key").count().where("count > 1").isEmpty():
-            return found
+    centres = left.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("_id"))).alias("top")).select("key", (-F.col("top._id")).alias("centre"))
+    against = left.join(centres, "key").where("id <> centre").select("id", "centre").distinct()
+    good = cut(similar(against, sigs, sets), "links")
+    labels = members.join(components(good), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    return good.unionByName(cut(rest_links(left, cut(labels, "classes"), sets), "links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
