@@ -8,11 +8,15 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch sent to Python. Texts can be very long, so batches are kept short.
 BATCH_ROWS = 200
+#: Bits of an id filter (as a power of two) and bytes of each of Spark's bitmaps that it is made of.
+FILTER_BITS, BITMAP_BYTES = 26, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +48,28 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filter_place(number: Column) -> Column:
+    """An id's place in an id filter."""
+    return F.pmod(F.xxhash64(number.cast("long")), F.lit(1 << FILTER_BITS))
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap with the places of all ids (column id) set. Rows without a set place have none of these ids and needn't be shuffled;
+    the others still have to be joined. Its size is 2 ** FILTER_BITS bits, however many ids there are."""
+    own = 8 * BITMAP_BYTES
+    parts = ids.select(filter_place(F.col("id")).alias("at")).groupBy(F.expr(f"at div {own}").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % own).alias("bits"))
+    found = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in parts.collect():
+        found[r["part"] * BITMAP_BYTES :][:BITMAP_BYTES] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return found
+
+
+def passes(bitmap: np.ndarray, places: pa.Array) -> pa.Array:
+    """Whether each place is set."""
+    at = places.to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.array((bitmap[at >> 3] >> (at & 7)) & 1 > 0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once and use it several times in body."""
     return F.transform(F.array(value), body)[0]

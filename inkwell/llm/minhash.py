@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, prepare, table
+from inkwell.llm.common import cut, filter_place, id_filter, passes, prepare, table
 
 WORDS, SIMILAR = 5, 0.8
 #: Bands of so many registers: a pair of similarity 0.8 misses all of them with a probability of (1 - 0.8 ** 4) ** 24 = 3e-6.
@@ -33,8 +33,6 @@ REGISTERS = BANDS * ROWS
 LEAST_AGREEMENT = 0.6
 #: Texts and bytes of shingle sets in a block of a bucket, and columns of the matrices that blocks are compared by.
 BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 64, 1 << 18, 1 << 14
-#: Bits of the filter (as a power of two) by which documents without company are left out early, and bytes of Spark's bitmaps.
-FILTER_BITS, BITMAP_BYTES = 26, 4096
 _WORD = re.compile(r"[^\W_]+")
 _MEMO = 300_000
 _memo: dict[str, int] = {}
@@ -119,30 +117,17 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, sig binary, bands array<bigint>")
 
 
-def maybe(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap that has the hashes of all ids set, so that others can mostly be left out early. Its size is fixed."""
-    at = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("at"))
-    own = F.lit(8 * BITMAP_BYTES)
-    parts = at.groupBy(F.expr(f"at div {8 * BITMAP_BYTES}").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % own).alias("bits"))
-    found = np.zeros((1 << bits) // 8, np.uint8)
-    for r in parts.collect():  # at most 2 ** bits / 8 bytes in all
-        found[r["part"] * BITMAP_BYTES :][:BITMAP_BYTES] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return found
-
-
 def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """id, shingles: the lower halves of the distinct shingle hashes, ascending; n_bytes: their size. Of the documents in members (id)."""
-    known = docs.sparkSession.sparkContext.broadcast(maybe(members))
+    known = docs.sparkSession.sparkContext.broadcast(id_filter(members))
 
     def run(batches):
         for batch in batches:
-            at = batch.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.filter(pa.array((known.value[at >> 3] >> (at & 7)) & 1 > 0))
+            batch = batch.filter(passes(known.value, batch.column("at")))
             sets = [np.unique(shingles(t)[0].astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(list(map(len, sets)), pa.int64())], names=["id", "shingles", "n_bytes"])
 
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    found = docs.where("doc_id IS NOT NULL").select("doc_id", "text", at.alias("at")).mapInArrow(run, "id bigint, shingles binary, n_bytes bigint")
+    found = docs.where("doc_id IS NOT NULL").select("doc_id", "text", filter_place(F.col("doc_id")).alias("at")).mapInArrow(run, "id bigint, shingles binary, n_bytes bigint")
     return found.join(members, "id", "left_semi").dropDuplicates(["id"])
 
 
