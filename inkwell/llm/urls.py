@@ -77,6 +77,7 @@ def generalise(leaves: DataFrame) -> DataFrame:
         literal = ~own.startswith("{")
         step = F.when(F.col("wide") & literal, F.lit("{any}")).otherwise(own)
         out = out.join(wide, ["host", "template"], "left").withColumn("template", F.when(own.isNull(), F.col("template")).otherwise(F.array_append("template", step))).drop("wide")
+        out = cut(out, "level")  # else each level's plan would hold those of all levels before it
     more = F.get("shape", F.lit(DEPTH))
     return out.withColumn("template", F.when(more.isNull(), F.col("template")).otherwise(F.array_append("template", more)))
 
@@ -101,6 +102,7 @@ def purity(leaves: DataFrame) -> DataFrame:
         else:
             everywhere = F.coalesce(F.col("b") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0))
             level = level.select("host", "template", "n", "b", everywhere.alias("share"))
+        level = cut(level, "level")
         done = level if done is None else done.unionByName(level)
     return done.select("host", "template", "share", F.col("n").alias("labelled"))
 
