@@ -281,3 +281,20 @@ def test_empty_tables(spark, name, tmp_path):
         "toxicity": lambda: toxicity.reject_toxic(none, labels),
     }
     assert made[name]().count() == 0
+
+
+def test_toxicity_keeps_rare_words_of_large_classes(spark):
+    """A word of 3 among 2,400 toxic documents (0.125 %) has its own ratio, joined or hot; a text's features don't depend on which."""
+    from inkwell.llm import toxicity
+
+    r = random.Random(4)
+    rows = [(f"{prose(8, k)} {'zzugly' if k < 3 else ''} {'zzfine' if 2400 <= k < 2440 else ''}", int(k < 2400)) for k in range(4800)]
+    r.shuffle(rows)
+    found, other = toxicity.ratios(toxicity.count_words(spark.createDataFrame(rows, "text string, toxic int")))
+    by_key = {x["key"]: x["r"] for x in found.collect()}
+    assert set(by_key) >= {"zzugly", "zzfine", " zzug", *WORDS} and by_key["zzugly"][0] > 1 > by_key["zzugly"][1] - 1 and by_key["zzfine"][0] < 0
+    texts = ["w1 zzugly w2", "zzunseen zzugxx w5 qqqq", "", prose(300, 9), None]
+    docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "text_key bigint, kind int, text string")
+    expected = {k: toxicity.features_of(np.array([by_key.get(w, by_key.get(" " + w[:4], [other]))[0] for w in toxicity.words_of(t)])) for k, t in enumerate(texts)}
+    for hot in (0, 5, 65_536):
+        assert {x["text_key"]: x["x"] for x in toxicity.features(docs, found, other, hot).collect()} == {k: pytest.approx(x) for k, x in expected.items()}
