@@ -1,8 +1,9 @@
-"""Near-duplicate classes by ProbMinHash: weighted five-word shingles, exponential arrivals, banding, exact verification.
+"""Near-duplicate classes by ProbMinHash: five-word shingles, exponential arrivals, banding, exact verification.
 
-1. Each text's shingles and their counts give a signature of ``REGISTERS`` registers. A shingle of count n sends arrivals of rate
-   1 + log n (a line that is repeated often must not outweigh the text) to random registers; a register keeps the shingle that came first, so two texts agree in a register with the probability
-   Jaccard similarity of these weights. A shingle stops once its next arrival is later than all registers.
+1. Each text's shingles give a signature of ``REGISTERS`` registers. A shingle sends arrivals of rate 1, however often the text has
+   it, to random registers; a register keeps the shingle that came first, so two texts agree in a register with the probability
+   Jaccard similarity of their shingle sets, which is what links are verified by. A shingle stops once its next arrival is later
+   than all registers.
 2. Texts with the same shingles and counts are one text from here on, however many copies there are.
 3. Texts that agree in all registers of a band share a bucket. In each bucket everything is compared with one centre, the text with
    most company over all its buckets: a row per text and bucket, never all pairs. Links make classes.
@@ -29,8 +30,6 @@ WORDS, SIMILAR = 5, 0.8
 #: Bands of so many registers: a pair of similarity 0.8 misses all of them with a probability of (1 - 0.8 ** 4) ** 24 = 3e-6.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Pairs whose signatures agree in less than this share (five standard deviations below SIMILAR) aren't verified.
-LEAST_AGREEMENT = 0.6
 #: Texts and bytes of shingle sets in a block of a bucket, and columns of the matrices that blocks are compared by.
 BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 64, 1 << 18, 1 << 14
 _WORD = re.compile(r"[^\W_]+")
@@ -67,26 +66,25 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """ProbMinHash registers of several weighted sets at once: the upper halves of the winning shingles' hashes."""
+    """ProbMinHash registers of several sets at once, all weights 1: the upper halves of the winning shingles' hashes."""
     m, n = REGISTERS, len(sets)
     doc = np.repeat(np.arange(n), [len(e) for e, _ in sets])
     element = np.concatenate([e for e, _ in sets])
-    weight = 1 + np.log(np.concatenate([c for _, c in sets]))
     first, winner = np.full(n * m, np.inf), np.zeros(n * m, np.uint64)
     single = np.array([len(e) == 1 for e, _ in sets])  # of one shingle, which wins everywhere
     winner.reshape(n, m)[single] = np.array([e[0] for e, _ in sets], dtype=np.uint64)[single][:, None]
     live = np.flatnonzero(~single[doc])
-    doc, element, weight, now, k = doc[live], element[live], weight[live], np.zeros(len(live)), 0
+    doc, element, now, k = doc[live], element[live], np.zeros(len(live)), 0
     while len(doc):
         k += 1
         draw = mix(element + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-        now = now - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
+        now = now - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
         at = doc * m + (mix(draw ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(m)).astype(np.int64)
         np.minimum.at(first, at, now)
         won = first[at] == now
         winner[at[won]] = element[won]
         on = now < first.reshape(n, m).max(axis=1)[doc]
-        doc, element, weight, now = doc[on], element[on], weight[on], now[on]
+        doc, element, now = doc[on], element[on], now[on]
     return (winner >> np.uint64(32)).astype(np.uint32).reshape(n, m)
 
 
@@ -100,7 +98,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of shingles and counts), sig (binary), bands (array<long>)."""
+    """doc_id, digest (of shingles and counts), bands (array<long>)."""
 
     def run(batches):
         import xxhash
@@ -112,9 +110,9 @@ def sign(docs: DataFrame) -> DataFrame:
             sig = signatures(sets)
             digest = [xxhash.xxh3_128_digest(e.tobytes() + c.tobytes()) for e, c in sets]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band_keys(sig).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), bands], names=["doc_id", "digest", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), bands], names=["doc_id", "digest", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, sig binary, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -131,14 +129,9 @@ def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return found.join(members, "id", "left_semi").dropDuplicates(["id"])
 
 
-def similar(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (id, centre) whose shingle sets have a Jaccard similarity of SIMILAR or more."""
 
-    def agree(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, REGISTERS) for c in ("sig", "centre_sig"))
-            yield batch.select(["id", "centre"]).filter(pa.array((a == b).mean(axis=1) >= LEAST_AGREEMENT))
-
     def verify(batches):
         for batch in batches:
             ok = []
@@ -148,11 +141,8 @@ def similar(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(both >= SIMILAR * (len(a) + len(b) - both))
             yield batch.select(["id", "centre"]).filter(pa.array(ok, pa.bool_()))
 
-    schema = "id bigint, centre bigint"
-    signed = pairs.join(sigs, "id").join(sigs.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
-    close = signed.select("id", "centre", "sig", "centre_sig").mapInArrow(agree, schema)
-    full = close.join(sets.select("id", "shingles"), "id").join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("centre_shingles")), "centre")
-    return full.select("id", "centre", "shingles", "centre_shingles").mapInArrow(verify, schema)
+    full = pairs.join(sets.select("id", "shingles"), "id").join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("centre_shingles")), "centre")
+    return full.select("id", "centre", "shingles", "centre_shingles").mapInArrow(verify, "id bigint, centre bigint")
 
 
 def common(queries: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
@@ -213,7 +203,7 @@ def rest_links(left: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (id, centre) between distinct texts (id, sig, bands)."""
+    """Verified links (id, centre) between distinct texts (id, bands)."""
     keys = texts.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     left = cut(keys.join(shared, "key"), "buckets")
@@ -221,10 +211,9 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     left = cut(left.select("id", "key").join(company, "id"), "members")
     members = left.select("id").distinct()
     sets = cut(shingle_sets(docs, members), "shingles")
-    sigs = texts.select("id", "sig").join(members, "id", "left_semi")
     centres = left.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("_id"))).alias("top")).select("key", (-F.col("top._id")).alias("centre"))
     against = left.join(centres, "key").where("id <> centre").select("id", "centre").distinct()
-    good = cut(similar(against, sigs, sets), "links")
+    good = cut(similar(against, sets), "links")
     labels = members.join(components(good), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     return good.unionByName(cut(rest_links(left, cut(labels, "classes"), sets), "links"))
 
@@ -247,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id: the smallest doc_id of the document's class."""
     signed = cut(sign(docs), "signatures")
-    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     texts = cut(texts.where("id IS NOT NULL"), "texts")
     labels = components(links(texts, docs))
     names = texts.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))

@@ -298,3 +298,19 @@ def test_toxicity_keeps_rare_words_of_large_classes(spark):
     expected = {k: toxicity.features_of(np.array([by_key.get(w, by_key.get(" " + w[:4], [other]))[0] for w in toxicity.words_of(t)])) for k, t in enumerate(texts)}
     for hot in (0, 5, 65_536):
         assert {x["text_key"]: x["x"] for x in toxicity.features(docs, found, other, hot).collect()} == {k: pytest.approx(x) for k, x in expected.items()}
+
+
+def test_minhash_links_texts_that_differ_in_repeats(spark):
+    """Pairs of set similarity 0.8 or more, one text of which repeats a part 200 times, are found as other pairs are."""
+    from inkwell.llm import minhash
+
+    rows = []
+    for k in range(40):
+        a = prose(200, 900 + k).split()
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[:80] + a[80:170] * 200 + a[170:] + [f"q{k}x{j}" for j in range(20)]))]
+    sets = {i: minhash.shingles(t)[0] for i, t in rows}
+    for k in range(40):
+        both = len(np.intersect1d(sets[2 * k], sets[2 * k + 1]))
+        assert both >= 0.8 * (len(sets[2 * k]) + len(sets[2 * k + 1]) - both)
+    found = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows}
