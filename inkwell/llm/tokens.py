@@ -1,8 +1,8 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded memo of the pieces between spaces.
+"""Token ids of whole texts by the tokenizers library, with a bounded memo of the matches that a tokenizer's pattern cuts a text into.
 
-A single space between two other than blank characters always starts a new match of the byte-level patterns, and white space
-never survives the word-level pattern, so a text's ids are the ids of its pieces one after the other. Natural text repeats its
-pieces, so most of them are looked up; the rest go to the library in batches. Tests compare with encoding in one go.
+The vocabularies here encode every match of their pattern by itself, so a text's ids are those of its matches one after the other.
+Natural text repeats its matches: they are looked up, and the library sees each new one once. Texts of other than the characters in
+``PLAIN``, on whose classes all regular-expression engines agree, go to the library whole. Tests compare with encoding in one go.
 """
 
 from __future__ import annotations
@@ -10,86 +10,85 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable
 from functools import lru_cache
 
-_BLANK = r"\s\x1c-\x1f\x85\u180e\u200b\ufeff"
-_CUT = re.compile(f"(?<=[^{_BLANK}]) (?=[^{_BLANK}])")
-#: All characters of the class above.
-_BLANKS = [chr(c) for c in range(0x10000) if re.match(f"[{_BLANK}]", chr(c))]
+import numpy as np
 
-#: A Latin word, a full stop or comma, and perhaps a line end and the same again: always these matches, so known words make a new piece.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u024f]+)([.,]?)(?:(\n)([A-Za-z\u00c0-\u024f]+)([.,]?))?\Z")
+#: Letters and numbers of the plain characters. The dotted capital I is none of them: its lower case is two characters.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PLAIN = re.compile("[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
+#: The pattern of byte-level vocabularies, and that of the word-level one, which drops white space and lower-cases.
+_BYTE_MATCH = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
+_WORD_MATCH = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
-#: Pieces held by one worker; beyond that the memo starts anew.
+#: Matches held by one worker; beyond that the memo starts anew.
 MEMO = 800_000
+#: Words that go to the library in one string.
+JOINED = 2000
 
 
-def spaced_pieces(text: str) -> tuple[str | None, list[str]]:
-    """The piece before the first space that stands alone, and the pieces after such spaces, without them."""
-    if not text:
-        return None, []
-    there = [c for c in _BLANKS if c in text]
-    if text[0] in there or text[-1] in there or any(f" {c}" in text or f"{c} " in text for c in there):
-        first, *rest = _CUT.split(text)
-    else:
-        first, *rest = text.split(" ")
-    return first, rest
-
-
-def bare_pieces(text: str) -> tuple[str | None, list[str]]:
-    """Pieces between spaces and line ends, for vocabularies that drop white space."""
-    return None, text.replace("\n", " ").split(" ")
+class Encoder:
+    """Text to ids as bytes of unsigned 32-bit integers (little-endian machines). words: a word-level vocabulary.
 
+    New words of letters are joined in one string for the library. Its ids fall apart again where a word's first token (byte level:
+    it has the space) or last token (word level: it has the end mark) stands, if as many words come out as went in.
+    """
 
-class Encoder:
-    """Text to ids as bytes of unsigned 32-bit integers (little-endian machines). joint: what stands before the pieces after the first."""
-
-    def __init__(self, tokenizer, pieces: Callable[[str], tuple[str | None, list[str]]], joint: str, memo: int = MEMO):
-        self.tokenizer, self.pieces, self.joint, self.limit = tokenizer, pieces, joint, memo
-        self._clear()
-
-    def _clear(self) -> None:
-        self.memo, self.words = {} if self.joint else {"": b""}, {}
-        self._learn(self.words, [".", ",", "\n"], "")
-
-    def _learn(self, memo: dict[str, bytes], pieces: list[str], joint: str) -> None:
-        found = self.tokenizer.encode_batch_fast([joint + p for p in pieces] if joint else pieces, add_special_tokens=False)
-        for piece, e in zip(pieces, found, strict=True):
-            memo[piece] = array("I", e.ids).tobytes()
-
-    def _fill(self, missing: set[str]) -> None:
-        """Put pieces into the memo: plain ones by their words, of which those after a line end have a memo of their own."""
-        memo, words, plain, whole, bare = self.memo, self.words, [], set(), set()
-        for piece in missing:
-            if not piece.isalpha() and (m := _PLAIN.match(piece)):
-                plain.append((piece, parts := m.groups("")))
-                if parts[0] not in memo:
-                    whole.add(parts[0])
-                if parts[3] and parts[3] not in words:
-                    bare.add(parts[3])
-            else:
-                whole.add(piece)
-        self._learn(memo, list(whole), self.joint)
-        self._learn(words, list(bare), "")
-        for piece, (word, stop, end, word2, stop2) in plain:
-            memo[piece] = memo[word] + (words[stop] if stop else b"") + (words[end] + words[word2] if end else b"") + (words[stop2] if stop2 else b"")
-
-    def _one(self, text: str) -> bytes:
+    def __init__(self, tokenizer, words: bool = False, memo: int = MEMO):
+        self.tokenizer, self.words, self.limit, self.memo = tokenizer, words, memo, {}
+        self.find = (_WORD_MATCH if words else _BYTE_MATCH).findall
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        space = byte_table()[0][32]
+        self.marks = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.marks[i] = token.endswith("</w>") if words else token.startswith(space)
+        added = tokenizer.get_added_tokens_decoder().values()
+        self.special = [] if tokenizer.encode_special_tokens else [t.content for t in added if t.special]
+
+    def _one_by_one(self, matches: list[str]) -> None:
+        for m, e in zip(matches, self.tokenizer.encode_batch_fast(matches, add_special_tokens=False), strict=True):
+            self.memo[m] = array("I", e.ids).tobytes()
+
+    def _joined(self, matches: list[str]) -> None:
+        """Words of letters; at byte level each with the space before it."""
+        for at in range(0, len(matches), JOINED):
+            some = matches[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.words else "").join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            marked = np.flatnonzero(self.marks[ids])
+            bounds = np.append(0, marked + 1) if self.words else np.append(marked, len(ids))
+            if len(bounds) != len(some) + 1 or bounds[0] != 0 or bounds[-1] != len(ids):
+                self._one_by_one(some)
+                continue
+            data, bounds = ids.tobytes(), (4 * bounds).tolist()
+            self.memo.update(zip(some, [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
+
+    def _learn(self, missing: set[str]) -> None:
+        letters, others = [], []
+        for m in missing:
+            word = m.isalpha() if self.words else m[0] == " " and m[1:].isalpha()
+            (letters if word else others).append(m)
+        self._joined(letters)
+        self._one_by_one(others)
+
+    def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One result per text, in order; a null text is an empty one."""
-        out = []
+        """One result per text, in order; a null text is an empty one. New matches of all the texts are learnt at once."""
+        cut: list[list[str] | None] = []
         for text in texts:
-            first, rest = self.pieces(text or "")
-            if missing := set(rest).difference(self.memo):
-                if len(self.memo) + len(self.words) + 2 * len(missing) > self.limit:
-                    self._clear()
-                    missing = set(rest).difference(self.memo)
-                self._fill(missing)
-            out.append((self._one(first) if first else b"") + b"".join(map(self.memo.__getitem__, rest)))
-        return out
+            text = text or ""
+            plain = PLAIN.fullmatch(text) and not any(x in text for x in self.special)
+            cut.append(self.find(text.lower() if self.words else text) if plain else None)
+        seen = set().union(*(c for c in cut if c))
+        if missing := seen.difference(self.memo):
+            if len(self.memo) + len(missing) > self.limit:
+                self.memo = {}
+                missing = seen
+            self._learn(missing)
+        get = self.memo.__getitem__
+        return [self._whole(t or "") if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 def _library():
@@ -99,12 +98,13 @@ def _library():
     return tokenizers
 
 
-@lru_cache(maxsize=2)
-def file_encoder(path: str, words: bool = False) -> Encoder:
-    """The encoder of a tokenizers file. words: a vocabulary that drops white space. A text's special tokens are ordinary text."""
+@lru_cache(maxsize=4)
+def file_encoder(path: str, words: bool = False, special_as_text: bool = True) -> Encoder:
+    """The encoder of a tokenizers file. words: a word-level vocabulary. special_as_text: special tokens' strings in a text are ordinary
+    text, as the files' own README sets it, so that no document can forge a document's end; else they are the special ids."""
     tokenizer = _library().Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return Encoder(tokenizer, *((bare_pieces, "") if words else (spaced_pieces, " ")))
+    tokenizer.encode_special_tokens = special_as_text
+    return Encoder(tokenizer, words)
 
 
 @lru_cache(maxsize=1)
@@ -147,4 +147,4 @@ def rank_encoder(path: str) -> tuple[Encoder, list[bytes]]:
     by_id = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token
-    return Encoder(tokenizer, spaced_pieces, " "), by_id
+    return Encoder(tokenizer), by_id
