@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -14,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch sent to Python. Texts can be very long, so batches are kept short.
-BATCH_ROWS = 200
-#: Bits of an id filter (as a power of two) and bytes of each of Spark's bitmaps that it is made of.
-FILTER_BITS, BITMAP_BYTES = 26, 4096
+BATCH_ROWS, BATCH_BYTES = 200, 1 << 26
+#: Bits of an id filter (as powers of two, at least and at most), places a bit for each id, and bytes of each of Spark's bitmaps.
+LEAST_BITS, MOST_BITS, PLACES, BITMAP_BYTES = 20, 29, 16, 4096
+#: Tasks that read files back, at most.
+FILE_TASKS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Python worker holds at a time, and let workers import this package from where the driver has it."""
+    """Bound what one Python worker holds at a time, and let workers import this package from where the driver has it.
+
+    Both stay set in the session: a plan reads them when it runs.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):
@@ -33,9 +40,12 @@ def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or under a folder of our own where that is unset."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir. Where that is unset, a local master gets a folder of
+    its own; a cluster has none that all its machines see, so it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "inkwell-shared")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -48,26 +58,42 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def filter_place(number: Column) -> Column:
-    """An id's place in an id filter."""
-    return F.pmod(F.xxhash64(number.cast("long")), F.lit(1 << FILTER_BITS))
+def by_file(files: DataFrame) -> DataFrame:
+    """A manifest's rows dealt evenly to as many tasks as there are files, up to a bound, since each row stands for a whole file."""
+    return files.repartition(min(max(files.count(), 1), FILE_TASKS))
+
+
+@dataclass(frozen=True)
+class IdFilter:
+    """A bitmap of hashed ids. Rows without a set place have none of the ids and needn't be shuffled; the others still have to be joined."""
+
+    bits: int
+    bitmap: np.ndarray
+
+    def place(self, number: Column) -> Column:
+        return filter_place(number, self.bits)
 
+    def passes(self, places: pa.Array) -> pa.Array:
+        """Whether each place is set."""
+        at = places.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((self.bitmap[at >> 3] >> (at & 7)) & 1 > 0)
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap with the places of all ids (column id) set. Rows without a set place have none of these ids and needn't be shuffled;
-    the others still have to be joined. Its size is 2 ** FILTER_BITS bits, however many ids there are."""
+
+def filter_place(number: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(number), F.lit(1 << bits))
+
+
+def id_filter(ids: DataFrame, column: str = "id") -> IdFilter:
+    """The filter of all ids. It grows with their number up to 2 ** MOST_BITS bits (64 MB); with more ids than that it lets more of
+    the other rows pass, which costs shuffling but changes no result. A column may have any type that xxhash64 takes."""
+    n = max(ids.count(), 1)
+    bits = min(max((PLACES * n).bit_length(), LEAST_BITS), MOST_BITS)
     own = 8 * BITMAP_BYTES
-    parts = ids.select(filter_place(F.col("id")).alias("at")).groupBy(F.expr(f"at div {own}").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % own).alias("bits"))
-    found = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    parts = ids.select(filter_place(F.col(column), bits).alias("at")).groupBy(F.expr(f"at div {own}").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % own).alias("bits"))
+    found = np.zeros((1 << bits) // 8, np.uint8)
     for r in parts.collect():
         found[r["part"] * BITMAP_BYTES :][:BITMAP_BYTES] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return found
-
-
-def passes(bitmap: np.ndarray, places: pa.Array) -> pa.Array:
-    """Whether each place is set."""
-    at = places.to_numpy(zero_copy_only=False).astype(np.int64)
-    return pa.array((bitmap[at >> 3] >> (at & 7)) & 1 > 0)
+    return IdFilter(bits, found)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

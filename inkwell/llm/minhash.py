@@ -4,15 +4,18 @@
    it, to random registers; a register keeps the shingle that came first, so two texts agree in a register with the probability
    Jaccard similarity of their shingle sets, which is what links are verified by. A shingle stops once its next arrival is later
    than all registers.
-2. Texts with the same shingles and counts are one text from here on, however many copies there are.
+2. Texts with the same shingles and counts are one text from here on, however many copies there are, and known by a number of its
+   own, so rows that share a doc_id but not a text stay apart.
 3. Texts that agree in all registers of a band share a bucket. In each bucket everything is compared with one centre, the text with
-   most company over all its buckets: a row per text and bucket, never all pairs. Links make classes.
+   most company over all its buckets: a row per text and bucket, never all pairs. Large buckets are dealt to many tasks. Links make
+   classes.
 4. Where a bucket's texts are then in several classes, those outside its largest class are compared with all its texts, in blocks;
    every two texts of a bucket have then been compared or are in one class.
 5. A link needs a Jaccard similarity of the shingle sets of ``SIMILAR`` or more.
 
-Cases: texts of fewer than five words have one shingle of all their words; null and empty texts are copies of each other;
-a null doc_id gives a null class; repeated rows are copies; an empty table gives an empty table; other columns are ignored.
+Cases: texts of fewer than five words have one shingle of all their words; null and empty texts are copies of each other; a null
+doc_id gives a null class, and ``deduplicate`` keeps its row; repeated rows are copies; rows of one doc_id with different texts are
+in the classes of their texts; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, filter_place, id_filter, passes, prepare, table
+from inkwell.llm.common import cut, id_filter, prepare, table
 
 WORDS, SIMILAR = 5, 0.8
 #: Bands of so many registers: a pair of similarity 0.8 misses all of them with a probability of (1 - 0.8 ** 4) ** 24 = 3e-6.
@@ -32,6 +35,8 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Texts and bytes of shingle sets in a block of a bucket, and columns of the matrices that blocks are compared by.
 BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 64, 1 << 18, 1 << 14
+#: Texts of a bucket that one task compares with its centre.
+SALT_TEXTS = 512
 _WORD = re.compile(r"[^\W_]+")
 _MEMO = 300_000
 _memo: dict[str, int] = {}
@@ -97,36 +102,50 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def row_hash() -> Column:
+    """Tells the rows of one text or doc_id from each other, but for repeated rows."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def digest_of(made: tuple[np.ndarray, np.ndarray]) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(made[0].tobytes() + made[1].tobytes())
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of shingles and counts), bands (array<long>)."""
+    """doc_id, row, digest (of shingles and counts), bands (array<long>)."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             sig = signatures(sets)
-            digest = [xxhash.xxh3_128_digest(e.tobytes() + c.tobytes()) for e, c in sets]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band_keys(sig).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), bands], names=["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(list(map(digest_of, sets)), pa.binary()), bands], names=["doc_id", "row", "digest", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, bands array<bigint>")
+    return docs.select("doc_id", row_hash().alias("row"), "text").mapInArrow(run, "doc_id bigint, row bigint, digest binary, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """id, shingles: the lower halves of the distinct shingle hashes, ascending; n_bytes: their size. Of the documents in members (id)."""
-    known = docs.sparkSession.sparkContext.broadcast(id_filter(members))
+    """id, shingles: the lower halves of the distinct shingle hashes, ascending; n_bytes: their size. Of the texts in members (id,
+    digest, row), each from the row that stands for it."""
+    known = id_filter(members, "row")
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
+        done = set()
         for batch in batches:
-            batch = batch.filter(passes(known.value, batch.column("at")))
-            sets = [np.unique(shingles(t)[0].astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(list(map(len, sets)), pa.int64())], names=["id", "shingles", "n_bytes"])
+            batch = batch.filter(shared.value.passes(batch.column("at")))
+            made = [shingles(t) for t in batch.column("text").to_pylist()]
+            digest = list(map(digest_of, made))
+            new = [k for k, d in enumerate(digest) if d not in done and not done.add(d)]
+            sets = [np.unique(made[k][0].astype(np.uint32)).tobytes() for k in new]
+            yield pa.RecordBatch.from_arrays([pa.array([digest[k] for k in new], pa.binary()), pa.array(sets, pa.binary()), pa.array(list(map(len, sets)), pa.int64())], names=["digest", "shingles", "n_bytes"])
 
-    found = docs.where("doc_id IS NOT NULL").select("doc_id", "text", filter_place(F.col("doc_id")).alias("at")).mapInArrow(run, "id bigint, shingles binary, n_bytes bigint")
-    return found.join(members, "id", "left_semi").dropDuplicates(["id"])
+    found = docs.select("text", known.place(row_hash()).alias("at")).mapInArrow(run, "digest binary, shingles binary, n_bytes bigint")
+    return found.join(members.select("id", "digest"), "digest").dropDuplicates(["id"]).select("id", "shingles", "n_bytes")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,17 +221,34 @@ def rest_links(left: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     return queries.join(members, ["key", "block"]).select("queries", "members").mapInArrow(compare, "id bigint, centre bigint").distinct()
 
 
+def buckets(texts: DataFrame) -> DataFrame:
+    """id, key, n: the buckets that several texts share, and how many do. Only keys that a filter lets through are shuffled again."""
+    shared = cut(texts.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    known = id_filter(shared, "key")
+    bitmap = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                bands = batch.column("bands")
+                ids = pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), np.diff(bands.offsets.to_numpy())))
+                yield pa.RecordBatch.from_arrays([ids, bands.flatten()], names=["id", "key"]).filter(bitmap.value.passes(batch.column("at").flatten()))
+
+    keys = texts.select("id", "bands", F.transform("bands", known.place).alias("at")).mapInArrow(run, "id bigint, key bigint")
+    return cut(keys.join(shared, "key"), "buckets")
+
+
 def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (id, centre) between distinct texts (id, bands)."""
-    keys = texts.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    left = cut(keys.join(shared, "key"), "buckets")
+    """Verified links (id, centre) between distinct texts (id, digest, row, bands)."""
+    left = buckets(texts)
     company = left.groupBy("id").agg(F.sum("n").alias("company"))
-    left = cut(left.select("id", "key").join(company, "id"), "members")
+    salts = F.ceil(F.col("n") / SALT_TEXTS).cast("long")
+    left = cut(left.join(company, "id").select("id", "key", "n", "company", F.pmod(F.xxhash64("id"), salts).alias("salt")), "members")
     members = left.select("id").distinct()
-    sets = cut(shingle_sets(docs, members), "shingles")
-    centres = left.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("_id"))).alias("top")).select("key", (-F.col("top._id")).alias("centre"))
-    against = left.join(centres, "key").where("id <> centre").select("id", "centre").distinct()
+    sets = cut(shingle_sets(docs, cut(texts.select("id", "digest", "row").join(members, "id"), "members")), "shingles")
+    top = left.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("_id"))).alias("top"), F.max("n").alias("n"))
+    centres = top.select("key", (-F.col("top._id")).alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    against = left.join(cut(centres, "centres"), ["key", "salt"]).where("id <> centre").select("id", "centre").distinct()
     good = cut(similar(against, sets), "links")
     labels = members.join(components(good), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     return good.unionByName(cut(rest_links(left, cut(labels, "classes"), sets), "links"))
@@ -233,20 +269,29 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("id", "label")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id: the smallest doc_id of the document's class."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, row, label (the number of its class) and first (the smallest doc_id of the class) of every row."""
     signed = cut(sign(docs), "signatures")
-    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    texts = cut(texts.where("id IS NOT NULL"), "texts")
+    texts = signed.groupBy("digest").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.min("doc_id").alias("first"))
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
     labels = components(links(texts, docs))
-    names = texts.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))
-    return signed.select("doc_id", "digest").join(names, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    names = cut(texts.select("digest", "id", "first").join(labels, "id", "left").select("digest", "first", F.coalesce("label", "id").alias("label")), "names")
+    names = names.select("digest", "label").join(names.groupBy("label").agg(F.min("first").alias("first")), "label")
+    return signed.select("doc_id", "row", "digest").join(names, "digest").select("doc_id", "row", "label", "first")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id: the smallest doc_id of the document's class."""
+    return labelled(docs).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the smallest doc_id, with all its columns; rows without a doc_id stay."""
-    kept = classes(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    top = labelled(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("top"))
+    kept = cut(top.select(F.col("top.doc_id").alias("kept_id"), F.col("top.row").alias("kept_row")), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), row_hash().alias("_hash"))
+    found = rows.join(kept, (rows["_id"] == kept["kept_id"]) & (rows["_hash"] == kept["kept_row"]), "left_semi").dropDuplicates(["_id", "_hash"])
+    return found.unionByName(rows.where("_id IS NULL")).select("_row.*")
 
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:
