@@ -1,11 +1,13 @@
 """WARC archives with revisits resolved: equal payloads are stored once, later copies become revisit records.
 
-``resolve`` shuffles digests only and joins each copy to the first record of its payload; ``write_archives`` writes records
-with fresh headers as gzip members, one member a record, in files of bounded size; ``read_archives`` reads them back.
-
-Cases: a null payload is an empty one; payloads below ``MIN_REVISIT`` bytes are always stored; equal payloads with the same
-smallest page_id (repeated rows) are all stored; a null page_id is last in order; an empty table gives no archives; other columns
-are ignored.
+``resolve`` shuffles headers by payload digest and joins the revisits to their original response. A payload is only shuffled if
+its digest may occur twice, and then once per digest and map task, so a hot payload is a few rows; all others, and those below
+``MIN_REVISIT`` bytes, go straight to the archives. ``write_archives`` writes records with fresh headers as gzip members, one
+member a record, in files of bounded size that begin with a warcinfo record; ``read_archives`` reads them back.
+
+Cases: a null payload is an empty one; a null url has no target header and reads back as null; payloads below ``MIN_REVISIT`` bytes
+are always stored; equal payloads with the same smallest page_id (repeated rows) are all stored, under one record id; a null
+page_id is last in order; an empty table gives no archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ import zlib
 from datetime import datetime, timezone
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import prepare, scratch_dir, table
+from inkwell.llm.common import by_file, cut, id_filter, prepare, scratch_dir, table
 from inkwell.llm.files import new_file, open_output, read_all
 
 #: Payloads of fewer bytes are never turned into revisits.
@@ -33,32 +36,74 @@ _CRLF = b"\r\n"
 
 
 def resolve(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with payload, payload_digest and refers_to: the page of the first equal payload, null on responses."""
+    """page_id, url, payload_digest, payload_bytes, payload and, on revisits (whose payload is null), refers_to: page_id and url of
+    the response, the row of the smallest page_id with an equal payload."""
+    spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
-    large = F.octet_length("payload") >= MIN_REVISIT
-    firsts = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(firsts, (rows.payload_digest == firsts.payload_digest) & large, "left").drop(firsts.payload_digest)
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
-
-
-def record(kind: str, page_id: int | None, uri: str | None, digest: str, payload: bytes, refers_to: int | None, date: str) -> bytes:
+    rows = pages.select("page_id", "url", payload.alias("payload"))
+    rows = rows.select("page_id", "url", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
+    headers = rows.where(F.col("payload_bytes") >= MIN_REVISIT)
+    first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("first")
+    firsts = headers.groupBy("payload_digest").agg(first, F.count("*").alias("n")).where("n > 1")
+    firsts = cut(firsts.select("payload_digest", F.struct("first.page_id", "first.url").alias("first")), "firsts")
+    known = id_filter(firsts, "payload_digest")
+    shared = spark.sparkContext.broadcast(known)
+
+    def select(wanted: bool, columns: DataFrame) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                passed = shared.value.passes(batch.column("at"))
+                large = pc.greater_equal(batch.column("payload_bytes"), MIN_REVISIT)
+                maybe = pc.and_(passed, large)
+                yield batch.filter(maybe if wanted else pc.invert(maybe)).drop_columns(["at"])
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema)
+        return columns.withColumn("at", known.place(F.col("payload_digest"))).mapInArrow(run, schema)
+
+    none = F.lit(None).cast("struct<page_id: bigint, url: string>").alias("refers_to")
+    alone = select(False, rows).select("*", none)
+    # Copies are headers; of the payloads one per digest is kept before the shuffle.
+    copies = select(True, rows.drop("payload")).join(firsts, "payload_digest", "left")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    payloads = select(True, rows.select("payload_digest", "payload_bytes", "payload")).groupBy("payload_digest").agg(F.first("payload").alias("payload"))
+    whole = ["page_id", "url", "payload_digest", "payload_bytes"]
+    stored = copies.where(~again).join(payloads, "payload_digest").select(*whole, "payload", none)
+    revisits = copies.where(again).select(*whole, F.lit(None).cast("binary").alias("payload"), F.struct(F.col("first.page_id").alias("page_id"), F.col("first.url").alias("url")).alias("refers_to"))
+    return alone.unionByName(stored).unionByName(revisits)
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    """The id of a page's record: the same in every attempt of a task, so that revisits can name it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
+
+
+def _clean(uri: str) -> str:
+    return "".join(c for c in uri if c >= " ")
+
+
+def record(kind: str, page_id: int | None, uri: str | None, digest: str, size: int, payload: bytes, refers_to: dict | None, date: str) -> bytes:
     """One WARC/1.1 record. A revisit has no block; its headers name the response."""
-    block = b"" if kind == "revisit" else payload
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
-        f"WARC-Date: {date}",
-        f"WARC-Target-URI: {''.join(c for c in uri or '' if c >= ' ')}",
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
+    if uri is not None:
+        lines.append(f"WARC-Target-URI: {_clean(uri)}")
+    lines += [
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
+        f"WARC-Block-Digest: sha256:{hashlib.sha256(payload).hexdigest()}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {size}",
     ]
-    if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
+    if refers_to is not None:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to['page_id'], digest)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to['page_id']}"]
+        if refers_to["url"] is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_clean(refers_to['url'])}")
+    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
+    return "\r\n".join(lines).encode() + _CRLF * 2 + payload + _CRLF * 2
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: inkwell\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name.rpartition('/')[2]}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + _CRLF * 2 + block + _CRLF * 2
 
 
@@ -79,20 +124,24 @@ def parse_records(stream):
 def write_archives(resolved: DataFrame, folder: str) -> DataFrame:
     """Write resolved pages as archives in folder; returns the manifest of the files that finished tasks wrote: file, n_records."""
     names = ["file", "n_records"]
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")  # of the whole run, so that revisits can name it
+
+    def member(data: bytes) -> bytes:
+        packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+        return packer.compress(data) + packer.flush()
 
     def run(batches):
-        date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         out, done = None, []
         for batch in batches:
             for x in batch.to_pylist():
                 kind = "response" if x["refers_to"] is None else "revisit"
-                packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-                member = packer.compress(record(kind, x["page_id"], x["url"], x["payload_digest"], x["payload"], x["refers_to"], date)) + packer.flush()
+                packed = member(record(kind, x["page_id"], x["url"], x["payload_digest"], x["payload_bytes"], x["payload"] or b"", x["refers_to"], date))
                 if out is None:
                     name, size, n = new_file(f"{folder}/archives", ".warc.gz"), 0, 0
                     out = open_output(name)
-                out.write(member)
-                size, n = size + len(member), n + 1
+                    out.write(member(info(name, date)))
+                out.write(packed)
+                size, n = size + len(packed), n + 1
                 if size >= ARCHIVE_BYTES:
                     out.close()
                     out = done.append((name, n))
@@ -102,7 +151,7 @@ def write_archives(resolved: DataFrame, folder: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done])
 
-    manifest = resolved.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "file string, n_records bigint")
+    manifest = resolved.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(run, "file string, n_records bigint")
     manifest.write.parquet(f"{folder}/manifest")
     return manifest.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
@@ -119,11 +168,13 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
             for name in batch.column("file").to_pylist():
                 rows = []
                 for h, block in parse_records(io.BytesIO(read_all(name))):
+                    if h["WARC-Type"] == "warcinfo":
+                        continue
                     own = h["WARC-Type"] == "response"
                     rows.append(
                         {
                             "page_id": int(h["X-Page-ID"]) if h["X-Page-ID"] else None,
-                            "url": h["WARC-Target-URI"],
+                            "url": h.get("WARC-Target-URI"),
                             "payload_bytes": len(block) if own else int(h["X-Payload-Length"]),
                             "payload_digest": hashlib.sha256(block).hexdigest() if own else h["WARC-Payload-Digest"].removeprefix("sha256:"),
                             "record_type": h["WARC-Type"],
@@ -138,7 +189,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
                     yield pa.RecordBatch.from_pylist(rows, schema=types)
 
     types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("block", pa.binary())] * payloads)
-    return manifest.select("file").repartition("file").mapInArrow(run, schema)
+    return by_file(manifest.select("file")).mapInArrow(run, schema)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
