@@ -1,9 +1,10 @@
 """Best-fit packing of documents into sequences by bin completion.
 
-Lengths are bounded by the capacity, so the whole corpus is summed up by one count per length. ``fill`` plans on these counts:
-the largest remaining length is completed by an undominated filling of least waste, and the pattern is repeated as long as the
-counts last; the last items are packed by branch and bound over undominated fillings, with best-fit as the first incumbent.
-Spark then ranks every piece within its length and looks its place up in the plan, whose size doesn't depend on the corpus.
+Lengths are bounded by the capacity, so the whole corpus is summed up by one count per length, and ``fill`` plans on these counts,
+all of them at once. Best-fit decreasing gives the first incumbent. The search then completes the bin of the largest remaining
+length by undominated fillings, least waste first, taking each as often as the counts last; a branch is cut once its waste leaves
+no room to beat the incumbent, and the search ends at the lower bound or after ``NODES`` nodes with the better packing of the two.
+Spark ranks every piece within its length and looks its place up in the plan, whose size doesn't depend on the corpus.
 
 Cases: a null text is an empty one and takes one token; repeated rows each get a place; equal lengths are ranked by key; an empty
 table gives no places; other columns are ignored.
@@ -11,7 +12,7 @@ table gives no places; other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,65 +23,32 @@ from inkwell.llm.common import cut, prepare, table, tokenizer_file
 from inkwell.llm.tokens import file_encoder
 
 CAPACITY = 2048
-#: So many items are left to the branch and bound, which looks at so many nodes at most.
-TAIL_ITEMS, NODES = 100, 20_000
-#: Fillings tried at a node, least waste first, out of so many that are enumerated.
-BRANCHES, FILLINGS = 6, 400
-
-
-def _best_pair(counts: np.ndarray, room: int) -> tuple[int, list[int]]:
-    """One or two lengths with the largest sum that fits the room."""
-    sizes = np.flatnonzero(counts[: room + 1])
-    if not len(sizes):
-        return 0, []
-    fit = np.zeros(room + 1, np.int64)  # the longest length of at most that
-    fit[sizes] = sizes
-    fit = np.maximum.accumulate(fit)
-    if fit[room] == room:
-        return room, [room]
-    a = sizes[::-1]
-    b = fit[room - a]
-    b = np.where((b == a) & (counts[a] < 2), fit[a - 1], b)  # a length stands twice only if two pieces have it
-    i = int(np.argmax(a + b))
-    return int(a[i] + b[i]), [int(x) for x in (a[i], b[i]) if x]
-
-
-def best_filling(counts: np.ndarray, room: int) -> list[int]:
-    """Lengths that leave least of the room: one, two or three, the fewest and longest first, and more if they still fit."""
-    total, filling = _best_pair(counts, room)
-    if total < room:
-        for a in np.flatnonzero(counts[: room + 1])[::-1].tolist():
-            if 3 * a < total or total == room:  # the longest of three can't be shorter than a third of them
-                break
-            counts[a] -= 1
-            more, rest = _best_pair(counts, room - a)
-            counts[a] += 1
-            if a + more > total:
-                total, filling = a + more, [a, *rest]
-    if filling and total < room:
-        for x in filling:
-            counts[x] -= 1
-        more = best_filling(counts, room - total)
-        for x in filling:
-            counts[x] += 1
-        filling = filling + more
-    return filling
-
-
-def best_fit(items: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing."""
-    bins: list[list[int]] = []
-    rooms: list[tuple[int, int]] = []
-    for x in sorted(items, reverse=True):
-        at = next((k for k, (room, _) in enumerate(rooms) if room >= x), None)
-        if at is None:
-            bins.append([x])
-            insort(rooms, (capacity - x, len(bins) - 1))
-        else:
-            room, i = rooms.pop(at)
-            bins[i].append(x)
-            insort(rooms, (room - x, i))
-    return bins
+#: Effort of the search. All pieces are placed whatever it is.
+NODES = 20_000
+
+Pattern = tuple[int, tuple[int, ...]]
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """Best-fit decreasing on counts per length: (number of bins, lengths in each). Bins filled alike are one group."""
+    rooms: list[list[Pattern]] = [[] for _ in range(capacity + 1)]
+    used = np.zeros(capacity + 1, bool)
+    for x in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[x])
+        while left:
+            fits = np.flatnonzero(used[x:])
+            room = x + int(fits[0]) if len(fits) else capacity
+            n, pattern = rooms[room].pop() if len(fits) else (left, ())
+            used[room] = bool(rooms[room]) if len(fits) else used[room]
+            each = min(room // x, left)
+            take = min(n, left // each)
+            for bins, more in ((n - take, 0), (take, each)):
+                if bins and (more or len(fits)):
+                    at = room - more * x
+                    rooms[at].append((bins, pattern + (x,) * more))
+                    used[at] = True
+            left -= take * each
+    return [group for groups in rooms for group in groups]
 
 
 def _dominated(b: tuple[int, ...], a: tuple[int, ...]) -> bool:
@@ -94,74 +62,101 @@ def _dominated(b: tuple[int, ...], a: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(items: list[int], room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room from items (descending), least waste first."""
-    found: list[tuple[int, ...]] = []
-
-    def grow(at: int, left: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= FILLINGS:
-            return
-        last, fits = None, False
-        for i in range(at, len(items)):
-            if items[i] <= left and items[i] != last:
-                last, fits = items[i], True
-                grow(i + 1, left - items[i], (*chosen, items[i]))
-        if not fits:
-            found.append(chosen)
-
-    grow(0, room, ())
-    kept: list[tuple[int, ...]] = []
-    for f in sorted(set(found), key=lambda f: (-sum(f), len(f))):
-        if not any(_dominated(f, g) for g in kept):
-            kept.append(f)
-        if len(kept) == BRANCHES:
-            break
-    return kept
-
-
-def branch_and_bound(items: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bin completion around the largest item; a branch is cut once its waste leaves no room to beat the incumbent."""
-    best = best_fit(items, capacity)
-    total = sum(items)
-    bound = max(-(-total // capacity), sum(2 * x > capacity for x in items))
-    seen = 0
-
-    def search(left: list[int], bins: list[list[int]], waste: int) -> None:
-        nonlocal best, seen
-        seen += 1
-        if not left:
-            if len(bins) < len(best):
-                best = bins
+def _exact(sizes: list[int], left: np.ndarray, reach: list[int], at: int, total: int) -> Iterator[tuple[int, ...]]:
+    """Fillings of this very total from sizes[at:], the longest items first. reach: bit t of entry i says whether sizes[i:] can make t."""
+    if not total:
+        yield ()
+        return
+    for j in range(at, len(sizes)):
+        if not reach[j] >> total & 1:
             return
-        if seen > nodes or len(best) == bound or waste > (len(best) - 1) * capacity - total:
-            return
-        for f in fillings(left[1:], capacity - left[0]) or [()]:
-            rest = left[1:]
-            for x in f:
-                rest.remove(x)
-            search(rest, [*bins, [left[0], *f]], waste + capacity - left[0] - sum(f))
-
-    search(sorted(items, reverse=True), [], 0)
-    return best
+        x = sizes[j]
+        for k in range(min(total // x, int(left[x])), 0, -1):
+            if reach[j + 1] >> (total - k * x) & 1:
+                for rest in _exact(sizes, left, reach, j + 1, total - k * x):
+                    yield (x,) * k + rest
+
+
+def fillings(left: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of the room from the counts, least waste first. Between two results the counts must be the same."""
+    if room and left[room]:
+        yield (room,)  # it dominates all others
+        return
+    a = np.arange((room + 1) // 2, room)
+    pair = (left[a] > 0) & (left[room - a] > 0) & ((2 * a != room) | (left[a] > 1))
+    kept = [(int(x), room - int(x)) for x in a[pair][::-1]]
+    yield from kept  # two items are dominated by the one above only
+    sizes = (np.flatnonzero(left[1 : room + 1]) + 1)[::-1].tolist()
+    reach, mask = [1], (1 << (room + 1)) - 1
+    for x in reversed(sizes):
+        bits, n, k = reach[-1], min(int(left[x]), room // x), 1
+        while n:
+            take = min(n, k)
+            bits, n, k = bits | (bits << (x * take)) & mask, n - take, 2 * k
+        reach.append(bits)
+    reach.reverse()
+    for total in range(room, -1, -1):
+        if reach[0] >> total & 1:
+            for f in _exact(sizes, left, reach, 0, total):
+                if not any(_dominated(f, g) for g in kept):
+                    kept.append(f)
+                    yield f
+
+
+def completions(left: np.ndarray, capacity: int) -> Iterator[Pattern]:
+    """Ways to complete bins of the largest length: each filling as often as the counts last, then for one bin only."""
+    largest = int(np.flatnonzero(left)[-1])
+    left[largest] -= 1
+    found = fillings(left, capacity - largest)
+    for f in found:
+        left[largest] += 1
+        pattern = (largest, *f)
+        size, times = np.unique(pattern, return_counts=True)
+        n = int((left[size] // times).min())
+        yield n, pattern
+        if n > 1:
+            yield 1, pattern
+        left[largest] -= 1
+    left[largest] += 1
 
 
-def fill(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(number of bins, lengths in each) patterns that use up the counts. At most a few patterns per length, however large the counts."""
+def fill(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+    """(number of bins, lengths in each) that use up the counts, in as few bins as the search finds."""
     left = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         left[size] = n
-    patterns = []
-    while int(left.sum()) > TAIL_ITEMS:
-        largest = int(np.flatnonzero(left)[-1])
-        left[largest] -= 1
-        pattern = [largest, *best_filling(left, capacity - largest)]
-        left[largest] += 1
-        size, times = np.unique(pattern, return_counts=True)
-        n = int((left[size] // times).min())
-        left[size] -= n * times
-        patterns.append((n, pattern))
-    items = np.repeat(np.arange(capacity + 1), left).tolist()
-    return patterns + [(1, b) for b in branch_and_bound(items, capacity)]
+    best = best_fit(left, capacity)
+    least = sum(n for n, _ in best)
+    total = int((left * np.arange(capacity + 1)).sum())
+    bound = max(-(-total // capacity), int(left[capacity // 2 + 1 :].sum()))
+    path: list[Pattern] = []
+    bins = waste = seen = 0
+    stack = [completions(left, capacity)] if total else []
+    while stack and least > bound and seen < nodes:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                n, pattern = path.pop()
+                bins, waste = bins - n, waste - n * (capacity - sum(pattern))
+                for x in pattern:
+                    left[x] += n
+            continue
+        seen += 1
+        n, pattern = step
+        lost = n * (capacity - sum(pattern))
+        if waste + lost > (least - 1) * capacity - total:
+            continue
+        path.append(step)
+        bins, waste = bins + n, waste + lost
+        for x in pattern:
+            left[x] -= n
+        if left.any():
+            stack.append(completions(left, capacity))
+        else:
+            best, least = list(path), bins
+            stack.append(iter(()))
+    return best
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
