@@ -87,11 +87,12 @@ def coverage(points: Column, polygon: Column) -> Column:
     return let(edges(polygon), measure)
 
 
-def overlap(a: Column, b: Column, flat_equal: float) -> Column:
-    """Intersection over union of boxes (left, top, right, bottom). flat_equal: for equal boxes without area; unequal ones give 0."""
+def overlap(a: Column, b: Column, flat_equal: float, tiny: float = TINY) -> Column:
+    """Intersection over union of boxes (left, top, right, bottom). flat_equal: for equal boxes whose union is at most tiny; unequal
+    ones give 0."""
     width = F.greatest(F.lit(0.0), F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"]))
     height = F.greatest(F.lit(0.0), F.least(a["bottom"], b["bottom"]) - F.greatest(a["top"], b["top"]))
     area = lambda r: (r["right"] - r["left"]) * (r["bottom"] - r["top"])
     both = width * height
     union = area(a) + area(b) - both
-    return F.when(union <= TINY, F.when(a == b, flat_equal).otherwise(0.0)).otherwise(both / union)
+    return F.when(union <= tiny, F.when(a == b, flat_equal).otherwise(0.0)).otherwise(both / union)

@@ -15,6 +15,8 @@ from inkwell.operators.mapping import ink_box, writing_evidence
 
 #: Place of each type among the events of one stroke.
 ORDER = {"PAGE_CHANGE": 0, "WRITING": 1, "QUESTION_LEAVE": 2, "QUESTION_VISIT": 3, "RETURN": 3, "REVISION_CANDIDATE": 4, "UNKNOWN": 5, "PROCESS_END": 6}
+#: Version of the event rules that every event carries.
+VERSION = "inkwell-event-1"
 NO_PARTICIPANT, NO_SEGMENT = "__unknown_participant__", "__unknown_task_segment__"
 
 
@@ -55,8 +57,10 @@ def states(mappings: DataFrame, config: EventConfig) -> DataFrame:
     return rows.withColumn("overlaps", overlaps).withColumn("paused", pause)
 
 
-def detect_events(mappings: DataFrame, config: EventConfig | None = None, process_end_signal: bool = False, session_end_ms: int | None = None) -> DataFrame:
-    """A row per event, numbered per session in order."""
+def detect_events(
+    mappings: DataFrame, config: EventConfig | None = None, process_end_signal: bool = False, session_end_ms: int | None = None, task_segment_id: str | None = None
+) -> DataFrame:
+    """A row per event, numbered per session in order. task_segment_id: of events whose mapping has none."""
     c = config or EventConfig()
     rows = states(mappings, c)
     own, active = F.struct("stroke_id", "question_id", "page_id", "start_time_ms", "end_time_ms", "point_refs", "quality_flags", "status", "participant_id", "task_segment_id"), F.col("_active")
@@ -71,7 +75,7 @@ def detect_events(mappings: DataFrame, config: EventConfig | None = None, proces
             kind.alias("event_type"), text(question).alias("question_id"), text(previous).alias("previous_question_id"), text(following).alias("next_question_id"),
             source["page_id"].alias("page_id"), start.alias("start_time_ms"), end.alias("end_time_ms"), source["stroke_id"].alias("stroke_ref"), source["point_refs"].alias("point_refs"),
             all_flags.alias("quality_flags"), F.when((F.size(all_flags) > 0) | (source["status"] != "MAPPED"), "DEGRADED").otherwise("VALID").alias("quality_status"),
-            (confidence if confidence is not None else F.lit(None).cast("double")).alias("mapping_confidence"), text(meta).alias("reason"), source["task_segment_id"].alias("task_segment_id"),
+            (confidence if confidence is not None else F.lit(None).cast("double")).alias("mapping_confidence"), text(meta).alias("reason"), F.coalesce(F.when(source["task_segment_id"] != "", source["task_segment_id"]), F.lit(task_segment_id).cast("string")).alias("task_segment_id"),
         )
 
     mapped, changed, confidence = F.col("is_mapped"), F.col("page_changed"), F.col("confidence")
@@ -103,4 +107,4 @@ def detect_events(mappings: DataFrame, config: EventConfig | None = None, proces
     found = rows.select("session_id", "participant_bucket", "segment_bucket", "participant_id", F.col("start_time_ms").alias("_t"), F.col("stroke_id").alias("_s"), F.posexplode(events).alias("_k", "e"))
     order = Window.partitionBy("session_id").orderBy(F.col("_t").isNull(), F.coalesce("_t", F.lit(0)), "participant_bucket", "segment_bucket", "_s", rank[F.col("e.event_type")], "_k")
     found = found.withColumn("sequence", (F.row_number().over(order) - 1).cast("long"))
-    return found.select(F.format_string("%s:event:%04d", "session_id", "sequence").alias("event_id"), "session_id", "participant_id", "sequence", "e.*")
+    return found.select(F.format_string("%s:event:%04d", "session_id", "sequence").alias("event_id"), "session_id", "participant_id", "sequence", "e.*", F.lit(VERSION).alias("algorithm_version"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.config import FeatureConfig
 from inkwell.functions.geometry import overlap
 
-FEATURES = ("duration_s", "path_length_norm", "mean_speed_norm", "pause_before_s", "pause_inside_s", "bbox_width", "bbox_height", "question_occupancy", "visit_index", "return_count", "previous_ink_iou", "quality_valid")
+FEATURES = ("duration_s", "path_length_norm", "mean_speed_norm_per_s", "pause_before_s", "pause_inside_s", "bbox_width_norm", "bbox_height_norm", "question_occupancy", "visit_index", "return_count", "previous_ink_iou", "quality_valid")
 
 
 def episodes(mappings: DataFrame, config: FeatureConfig | None = None) -> DataFrame:
@@ -20,9 +20,9 @@ def episodes(mappings: DataFrame, config: FeatureConfig | None = None) -> DataFr
     n = F.size("norm_points")
     whole = F.forall("norm_points", lambda p: p.isNotNull())
     steps = F.zip_with(F.slice("norm_points", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("norm_points", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
-    path = F.when(whole, F.aggregate(steps, F.lit(0.0), lambda s, x: s + x))
+    path = F.when(whole & (n > 0), F.aggregate(steps, F.lit(0.0), lambda s, x: s + x))
     gaps = F.zip_with(F.slice("times", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("times", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.greatest(F.lit(0), b - a - c.inside_pause_threshold_ms))
-    inside = F.when(F.forall("times", lambda t: t.isNotNull()), F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x) / 1000.0)
+    inside = F.when((n >= 2) & F.forall("times", lambda t: t.isNotNull()), F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x) / 1000.0)
     box = F.when(whole & (n > 0), F.struct(*[f(_side(k)).alias(a) for f, k, a in ((F.array_min, "x", "left"), (F.array_min, "y", "top"), (F.array_max, "x", "right"), (F.array_max, "y", "bottom"))]))
     rows = mappings.withColumns({"path_length_norm": path, "pause_inside_s": inside, "_box": box, "is_mapped": F.col("status") == "MAPPED"})
     history = Window.partitionBy("participant_id", "task_segment_id", "is_mapped").orderBy("session_id", *by_time)
@@ -36,14 +36,15 @@ def episodes(mappings: DataFrame, config: FeatureConfig | None = None) -> DataFr
         F.concat_ws("::", "session_id", "stroke_id").alias("episode_id"), "session_id", "participant_id", "task_segment_id", "stroke_id", "question_id", "status",
         (F.row_number().over(case) - 1).cast("long").alias("episode_index"),
         duration.alias("duration_s"), "path_length_norm",
-        F.when(duration > 0, F.col("path_length_norm") / duration).alias("mean_speed_norm"),
+        F.when(duration > 0, F.col("path_length_norm") / duration).alias("mean_speed_norm_per_s"),
         F.when(F.col("start_time_ms").isNotNull() & F.col("_end").isNotNull(), F.greatest(F.lit(0.0), (F.col("start_time_ms") - F.col("_end")) / 1000.0)).alias("pause_before_s"),
         "pause_inside_s",
-        (F.col("_box.right") - F.col("_box.left")).alias("bbox_width"), (F.col("_box.bottom") - F.col("_box.top")).alias("bbox_height"),
+        *[F.when((F.col("bbox_space") == "norm") & F.col("path_length_norm").isNotNull(), F.col(f"bbox.{k}")).alias(f"bbox_{k}_norm") for k in ("width", "height")],
         F.when(mapped, F.col("confidence")).alias("question_occupancy"),
         F.when(mapped, F.col("_visit").cast("double")).alias("visit_index"), F.when(mapped, F.col("_return").cast("double")).alias("return_count"),
-        F.when(mapped & F.col("_ink").isNotNull() & F.col("_box").isNotNull(), overlap(F.col("_box"), F.col("_ink"), 0.0)).alias("previous_ink_iou"),
-        (mapped & (F.size("quality_flags") == 0)).cast("double").alias("quality_valid"),
+        F.when(mapped & F.col("_ink").isNotNull() & F.col("_box").isNotNull(), overlap(F.col("_box"), F.col("_ink"), 0.0, 0.0)).alias("previous_ink_iou"),
+        (mapped & (F.size(F.concat("quality_flags", "stroke_flags", "point_flags")) == 0)).cast("double").alias("quality_valid"),
+        "page_id", "point_refs", "start_time_ms", "end_time_ms", F.array_sort(F.array_distinct(F.concat("quality_flags", "stroke_flags", "point_flags"))).alias("quality_flags"),
     )
 
 
@@ -73,7 +74,29 @@ def _field(k: str):
 
 
 def normalizer(rows: DataFrame) -> DataFrame:
-    """feature, mean, std (population, 1 where it is next to nothing) of the observed values."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES])).alias("v")).select("v.*")
+    """feature, mean, std (population) of the observed values, and constant: whether std is next to nothing, where it is set to 1.
+
+    It is fitted on the rows whose split is train; the others must not be seen.
+    """
+    long = rows.where("split = 'train'").select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES])).alias("v")).select("v.*")
     stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return stats.select("feature", "mean", F.when(F.col("std") > 1e-12, F.col("std")).otherwise(1.0).alias("std"))
+    flat = F.coalesce(F.col("std") <= 1e-12, F.lit(True))
+    return stats.select("feature", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.when(flat, 1.0).otherwise(F.col("std")).alias("std"), flat.alias("constant"))
+
+
+def normalized(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """episode_id, split, values (z-scores, 0 where unknown) and mask (1 where known) of the features in order: 24 channels."""
+    wide = stats.agg(*[F.max(F.when(F.col("feature") == f, F.struct("mean", "std"))).alias(f"_{f}") for f in FEATURES])
+    each = lambda c: F.col(c).cast("double")
+    z = F.array(*[F.coalesce((each(f) - F.col(f"_{f}.mean")) / F.col(f"_{f}.std"), F.lit(0.0)) for f in FEATURES])
+    mask = F.array(*[F.col(f).isNotNull().cast("int") for f in FEATURES])
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(wide.withColumn("_one", F.lit(1))), "_one").select("episode_id", "split", z.alias("values"), mask.alias("mask"))  # one row of twelve
+
+
+def length_audit(sequences: DataFrame, receptive_field: int = 7) -> DataFrame:
+    """One row on the sequences' lengths: least, mean, median, ninth decile (interpolated), greatest, and how many reach the field."""
+    n = F.col("n")
+    return sequences.agg(
+        F.count("*").alias("sequences"), F.min(n).cast("long").alias("least"), F.avg(n).alias("mean"), F.percentile(n, 0.5).alias("median"), F.percentile(n, 0.9).alias("p90"), F.max(n).cast("long").alias("greatest"),
+        F.count(F.when(n >= receptive_field, 1)).alias("reaching"),
+    )

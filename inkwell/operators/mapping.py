@@ -8,15 +8,10 @@ from pyspark.sql import functions as F
 from inkwell.config import MappingConfig
 from inkwell.functions.geometry import coverage, let
 
-#: Regions up to this number are broadcast; more are joined by page.
-BROADCAST_REGIONS = 50_000
-
 
 def candidates(strokes: DataFrame, regions: DataFrame, config: MappingConfig) -> DataFrame:
     """strokes with best (array of candidates, best first) and seen: whether a region of the page saw a coordinate."""
     pages = regions.groupBy("page_id").agg(F.collect_list(F.struct("region_id", "question_id", "priority", "polygon", "coordinate_space")).alias("regions"))
-    if regions.count() <= BROADCAST_REGIONS:
-        pages = F.broadcast(pages)
 
     def measured(r):
         points = F.when(r["coordinate_space"] == "norm", F.col("norm_points")).otherwise(F.col("raw_points"))
@@ -32,7 +27,8 @@ def candidates(strokes: DataFrame, regions: DataFrame, config: MappingConfig) ->
 
 
 def map_strokes(strokes: DataFrame, regions: DataFrame, config: MappingConfig | None = None) -> DataFrame:
-    """A mapping per stroke: MAPPED, UNKNOWN or AMBIGUOUS; the columns that events need are carried along."""
+    """A mapping per stroke: MAPPED, UNKNOWN or AMBIGUOUS; the columns that events and features need are carried along. Whether the
+    regions are broadcast is up to Spark, which knows their size."""
     c = config or MappingConfig()
     rows = candidates(strokes, regions, c)
     first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
@@ -54,6 +50,7 @@ def map_strokes(strokes: DataFrame, regions: DataFrame, config: MappingConfig |
         F.when(mapped, first["coverage"]).alias("confidence"),
         F.when(mapped, first["method"]).otherwise("UNKNOWN").alias("mapping_method"),
         "start_time_ms", "end_time_ms", "point_refs", flags.alias("quality_flags"), "norm_points", "raw_points", "times",
+        F.col("quality_flags").alias("stroke_flags"), "point_flags", "bbox", "bbox_space",
     )
 
 

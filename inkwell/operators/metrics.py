@@ -34,13 +34,43 @@ def ranking(rows: DataFrame) -> DataFrame:
     )
 
 
-def overall(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row: micro and macro F1, Hamming loss and subset accuracy."""
-    per = confusion(rows, threshold).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.avg("f1").alias("macro_f1"))
-    wrong = ((F.col("score") >= threshold).cast("int") != F.col("target")).cast("int")
-    whole = rows.groupBy("id").agg(F.sum(wrong).alias("w"), F.count("*").alias("n")).agg((F.sum("w") / F.sum("n")).alias("hamming_loss"), F.avg((F.col("w") == 0).cast("double")).alias("subset_accuracy"))
-    micro = F.when(F.col("tp") + F.col("fp") + F.col("fn") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
-    return per.join(whole).select(micro.alias("micro_f1"), "macro_f1", "hamming_loss", "subset_accuracy")  # a row each
+def overall(rows: DataFrame, threshold: float = THRESHOLD, labels: list[str] | None = None) -> DataFrame:
+    """One row: micro and macro figures, Hamming loss and subset accuracy, of all labels or of some. Labels with one class only have no
+    ranking and are left out of its means."""
+    if labels is not None:
+        known = [r["label"] for r in rows.select("label").distinct().collect()]  # labels are few
+        if not labels or len(set(labels)) != len(labels) or set(labels) - set(known):
+            raise ValueError("labels must be different ones that occur")
+        rows = rows.where(F.col("label").isin(labels))
+    hit, right = F.col("score") >= threshold, F.col("target") == 1
+    n = lambda c: F.sum(c.cast("double"))
+    per_label = confusion(rows, threshold).join(ranking(rows), "label").agg(F.avg("f1").alias("macro_f1"), F.avg("roc_auc").alias("macro_roc_auc"), F.avg("average_precision").alias("macro_average_precision"), F.count("roc_auc").alias("evaluable_labels"))
+    micro = rows.agg(n(hit & right).alias("tp"), n(hit & ~right).alias("fp"), n(~hit & right).alias("fn"), F.avg((hit != right).cast("double")).alias("hamming_loss"))
+    exact = rows.groupBy("id").agg(F.bool_and(hit == right).alias("all")).agg(F.avg(F.col("all").cast("double")).alias("subset_accuracy"))
+    over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    one = [df.withColumn("_one", F.lit(1)) for df in (micro, per_label, exact)]  # a row each
+    return one[0].join(one[1], "_one").join(one[2], "_one").select(
+        over(tp, tp + fp).alias("micro_precision"), over(tp, tp + fn).alias("micro_recall"), over(2 * tp, 2 * tp + fp + fn).alias("micro_f1"),
+        "macro_f1", "macro_roc_auc", "macro_average_precision", "evaluable_labels", "hamming_loss", "subset_accuracy",
+    )
+
+
+def coverage(predictions: DataFrame, rows: DataFrame) -> DataFrame:
+    """split, rows, predicted, distinct_ids, unpredicted: whether every row (id, split) has a prediction (id, split) and how many ids
+    there are."""
+    p = predictions.select("id", "split").groupBy("split").agg(F.count("*").alias("predicted"), F.count_distinct("id").alias("distinct_ids"))
+    missing = rows.select("id", "split").join(predictions.select("id").distinct(), "id", "left_anti").groupBy("split").agg(F.count("*").alias("_missing"))
+    every = rows.groupBy("split").agg(F.count("*").alias("rows"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return every.join(p, "split", "full").join(missing, "split", "left").select("split", *[zero(F.col(c)).alias(c) for c in ("rows", "predicted", "distinct_ids")], zero(F.col("_missing")).alias("unpredicted"))
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """id and label where two runs' predictions (id, label, target) don't cover the same rows with the same targets."""
+    other = b.select("id", "label", F.col("target").alias("_target"), F.lit(True).alias("_there"))
+    both = a.withColumn("_here", F.lit(True)).join(other, ["id", "label"], "full")
+    return both.where(F.col("_here").isNull() | F.col("_there").isNull() | ~F.col("target").eqNullSafe(F.col("_target"))).select("id", "label")
 
 
 def deltas(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:

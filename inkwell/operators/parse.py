@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PEN_STATES = ("DOWN", "MOVE", "UP", "UNKNOWN")
 
@@ -17,16 +18,27 @@ def _or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def _nested(df: DataFrame, name: str, kind: str) -> Column:
+    """The field of a struct normalized, where there is one and it isn't null as a whole, else the column of that name."""
+    own = _or_null(df, name, kind)
+    struct = df.schema["normalized"].dataType if "normalized" in df.columns else None
+    if isinstance(struct, T.StructType) and name in struct.names:
+        return F.when(F.col("normalized").isNull(), own).otherwise(F.col(f"normalized.{name}").cast(kind))
+    return own
+
+
 def parse_points(records: DataFrame) -> DataFrame:
     """records with raw_order, the place in a session's input. One shuffle by session; flags in a fixed order.
 
     Out of order: behind the last known sequence or time of the same session and page. Duplicate: the id occurs twice in a session.
+    An empty page counts as missing, though it stays a page of its own. source_index is the input's, if that is a number from 0 on.
     """
     d = records
-    x = finite(F.coalesce(_or_null(d, "x_raw", "double"), _or_null(d, "x", "double")))
-    y = finite(F.coalesce(_or_null(d, "y_raw", "double"), _or_null(d, "y", "double")))
+    x = F.coalesce(finite(_nested(d, "x_raw", "double")), finite(_nested(d, "x", "double")))
+    y = F.coalesce(finite(_nested(d, "y_raw", "double")), finite(_nested(d, "y", "double")))
     xn, yn = finite(_or_null(d, "x_norm", "double")), finite(_or_null(d, "y_norm", "double"))
-    t = _or_null(d, "timestamp_ms", "double")
+    t = finite(_nested(d, "timestamp_ms", "double"))
+    source = _or_null(d, "source_index", "double")
     pen = F.coalesce(_or_null(d, "pen_state_raw", "string"), _or_null(d, "pen_state", "string"))
     rows = d.select(
         F.when(F.coalesce(F.length("point_id"), F.lit(0)) == 0, F.raise_error(F.lit("point_id is missing"))).otherwise(F.col("point_id")).alias("point_id"),
@@ -40,6 +52,7 @@ def parse_points(records: DataFrame) -> DataFrame:
         xn.alias("_xn"),
         yn.alias("_yn"),
         F.when(pen.isin(*PEN_STATES), pen).otherwise("UNKNOWN").alias("pen_state"),
+        F.when((source >= 0) & (source == F.floor(source)), source.cast("long")).otherwise(F.col("raw_order").cast("long")).alias("source_index"),
     )
     page = Window.partitionBy("session_id", "page_id").orderBy("raw_order").rowsBetween(Window.unboundedPreceding, -1)
     rows = (
@@ -56,7 +69,7 @@ def parse_points(records: DataFrame) -> DataFrame:
         F.array(
             F.when(F.col("x_raw").isNull() | F.col("y_raw").isNull(), "INVALID_COORDINATE"),
             F.when(F.col("timestamp_ms").isNull(), "MISSING_TIMESTAMP"),
-            F.when(F.col("page_id").isNull(), "MISSING_PAGE"),
+            F.when(F.coalesce(F.length("page_id"), F.lit(0)) == 0, "MISSING_PAGE"),
             F.when(F.col("_copies") > 1, "DUPLICATE_POINT"),
             F.when(F.col("sequence_payload").isNull(), "MISSING_SEQUENCE"),
             F.when(late, "OUT_OF_ORDER"),
@@ -69,7 +82,7 @@ def parse_points(records: DataFrame) -> DataFrame:
         "sequence_payload", "timestamp_ms", "x_raw", "y_raw",
         F.when(~bad_norm, F.col("_xn")).alias("x_norm"),
         F.when(~bad_norm, F.col("_yn")).alias("y_norm"),
-        "pen_state", F.col("raw_order").alias("source_index"), "raw_order", flags.alias("quality_flags"),
+        "pen_state", "source_index", "raw_order", flags.alias("quality_flags"),
     )
 
 

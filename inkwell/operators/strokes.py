@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.config import StrokeConfig
 
+#: Version of the stroke rules that every stroke carries.
+VERSION = "inkwell-stroke-1"
 CONTEXT = ("participant_id", "task_segment_id", "page_id", "device_id")
 _INCOMPLETE = ("INVALID_COORDINATE", "MISSING_TIMESTAMP", "MISSING_PAGE", "MISSING_SEQUENCE")
 _PARTIAL = ("DUPLICATE_POINT", "OUT_OF_ORDER")
@@ -43,7 +45,7 @@ def build_strokes(points: DataFrame, config: StrokeConfig | None = None) -> Data
     usable = usable_norm | usable_raw
     # Operators that look points up by id get the last of several with the same one.
     same_id = Window.partitionBy("session_id", "point_id").orderBy("raw_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_found", F.last(F.struct("x_norm", "y_norm", "x_raw", "y_raw", "timestamp_ms")).over(same_id))
+    rows = rows.withColumn("_found", F.last(F.struct("x_norm", "y_norm", "x_raw", "y_raw", "timestamp_ms", "quality_flags")).over(same_id))
     point = F.struct("raw_order", "timestamp_ms", F.coalesce("sequence_payload", F.lit(float("inf"))).alias("seq"), "source_index", "point_id", F.col("_found").alias("found"), "quality_flags")
     box = {f"{f}_{c}": getattr(F, f)(F.when(usable_norm if c.endswith("norm") else usable_raw, F.col(c))) for f in ("min", "max") for c in ("x_norm", "y_norm", "x_raw", "y_raw")}
     found = rows.groupBy("session_id", "stroke_index").agg(
@@ -83,7 +85,8 @@ def build_strokes(points: DataFrame, config: StrokeConfig | None = None) -> Data
             F.struct(side("min_x").alias("x"), side("min_y").alias("y"), (side("max_x") - side("min_x")).alias("width"), (side("max_y") - side("min_y")).alias("height")).alias("bbox"),
             F.when(F.col("n_points") == 1, F.when(F.col("_has_norm"), 0.0)).otherwise(F.col("_norm_length")).alias("path_length_norm"),
             F.array_compact(F.array(F.when(F.arrays_overlap("_flags", F.array(*map(F.lit, _INCOMPLETE))), "INCOMPLETE"), F.when(F.arrays_overlap("_flags", F.array(*map(F.lit, _PARTIAL))), "PARTIAL_DATA"))).alias("quality_flags"),
-            F.lit("r1-stroke-rule-v2.2").alias("algorithm_version"),
+            F.lit(VERSION).alias("algorithm_version"),
+            F.array_distinct(F.flatten(F.transform("pts", lambda p: p["found"]["quality_flags"]))).alias("point_flags"),
             F.transform("pts", lambda p: F.when(p["found"]["x_norm"].isNotNull() & p["found"]["y_norm"].isNotNull(), F.struct(p["found"]["x_norm"].alias("x"), p["found"]["y_norm"].alias("y")))).alias("norm_points"),
             F.transform("pts", lambda p: F.when(p["found"]["x_raw"].isNotNull() & p["found"]["y_raw"].isNotNull(), F.struct(p["found"]["x_raw"].alias("x"), p["found"]["y_raw"].alias("y")))).alias("raw_points"),
             F.transform("pts", lambda p: p["found"]["timestamp_ms"]).alias("times"),

@@ -7,38 +7,57 @@ from pyspark.sql import functions as F
 
 
 def traces(events: DataFrame, strokes: DataFrame, points: DataFrame) -> DataFrame:
-    """A row per event with what its evidence lacks: unknown strokes or points, ambiguous ids, points of the stroke that it doesn't name.
+    """A row per event with what its evidence lacks; error is null where the trace is whole.
 
-    error is null where the trace is whole. A point id that occurs twice can't be resolved.
+    Ids must be unique for anything to be resolved: one repeated id fails all events of its session. Then come unknown strokes, unknown
+    points, and points of the stroke that the event doesn't name.
     """
     known = points.groupBy("session_id", "point_id").agg(F.count("*").alias("n"))
-    refs = events.select("session_id", "event_id", "stroke_ref", F.explode_outer(F.array_distinct("point_refs")).alias("point_id"))
+    double_points = known.where("n > 1").select("session_id").distinct().withColumn("double_point", F.lit(True))
+    double_strokes = strokes.groupBy("session_id", "stroke_id").count().where("count > 1").select("session_id").distinct().withColumn("double_stroke", F.lit(True))
+    refs = events.select("session_id", "event_id", F.explode_outer(F.array_distinct("point_refs")).alias("point_id"))
     found = refs.join(known, ["session_id", "point_id"], "left").groupBy("session_id", "event_id").agg(
-        F.count(F.when(F.col("point_id").isNotNull() & F.col("n").isNull(), 1)).alias("missing_points"), F.count(F.when(F.col("n") > 1, 1)).alias("ambiguous_points"), F.count("n").alias("n_points")
+        F.count(F.when(F.col("point_id").isNotNull() & F.col("n").isNull(), 1)).alias("missing_points"), F.count("n").alias("n_points")
     )
-    own = strokes.select("session_id", F.col("stroke_id").alias("stroke_ref"), F.col("point_refs").alias("own"))
+    own = strokes.select("session_id", F.col("stroke_id").alias("stroke_ref"), F.col("point_refs").alias("own")).dropDuplicates(["session_id", "stroke_ref"])
     rows = events.select("session_id", "event_id", "event_type", "stroke_ref", "point_refs").join(own, ["session_id", "stroke_ref"], "left").join(found, ["session_id", "event_id"], "left")
+    rows = rows.join(double_points, "session_id", "left").join(double_strokes, "session_id", "left")
     error = (
-        F.when(F.col("own").isNull(), "MISSING_STROKE")
-        .when(F.col("ambiguous_points") > 0, "DUPLICATE_POINT_ID")
+        F.when(F.col("double_stroke"), "DUPLICATE_STROKE_ID")
+        .when(F.col("double_point"), "DUPLICATE_POINT_ID")
+        .when(F.col("own").isNull(), "MISSING_STROKE")
         .when(F.col("missing_points") > 0, "MISSING_POINT")
         .when(F.size(F.array_except("own", "point_refs")) > 0, "UNCOVERED_STROKE_POINT")
     )
     return rows.select("session_id", "event_id", "event_type", "stroke_ref", "n_points", error.alias("error"))
 
 
-def run_status(points: DataFrame, strokes: DataFrame, mappings: DataFrame, events: DataFrame, traced: DataFrame) -> DataFrame:
-    """A row per session: OK without any flag, else DEGRADED, and the flags in order of first kind of table."""
-    flag = lambda df, n, c: df.select("session_id", F.lit(n).alias("n"), F.explode(c).alias("flag"))
+def run_status(points: DataFrame, strokes: DataFrame, mappings: DataFrame, events: DataFrame, traced: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """A row per session: INVALID without any point, OK without any flag, else DEGRADED; and the flags in order of first sight.
+
+    Sight goes over points, strokes, mappings and events, each in its order, then over the mappings' statuses, unknown events and
+    trace errors. sessions: session_id of all sessions asked for, where some may have no points.
+    """
+
+    def flag(df, n, place, flags):
+        return df.select("session_id", F.lit(n).alias("n"), F.col(place).cast("long").alias("place"), F.posexplode(flags).alias("k", "flag"))
+
+    one = lambda c: F.array(c)
     flags = (
-        flag(points, 0, F.col("quality_flags"))
-        .unionByName(flag(strokes, 1, F.col("quality_flags")))
-        .unionByName(flag(mappings, 2, F.concat("quality_flags", F.when(F.col("status") != "MAPPED", F.array(F.concat(F.lit("MAPPING_"), "status"))).otherwise(F.array().cast("array<string>")))))
-        .unionByName(flag(events, 3, F.concat("quality_flags", F.when(F.col("event_type") == "UNKNOWN", F.array(F.lit("UNKNOWN_EVENT"))).otherwise(F.array().cast("array<string>")))))
-        .unionByName(traced.where("error IS NOT NULL").select("session_id", F.lit(4).alias("n"), F.lit("TRACE_ERROR").alias("flag")))
+        flag(points, 0, "raw_order", F.col("quality_flags"))
+        .unionByName(flag(strokes, 1, "stroke_index", F.col("quality_flags")))
+        .unionByName(flag(mappings, 2, "stroke_index", F.col("quality_flags")))
+        .unionByName(flag(events, 3, "sequence", F.col("quality_flags")))
+        .unionByName(flag(mappings.where("status <> 'MAPPED'"), 4, "stroke_index", one(F.concat(F.lit("MAPPING_"), F.col("status")))))
+        .unionByName(flag(events.where("event_type = 'UNKNOWN'"), 5, "sequence", one(F.lit("UNKNOWN_EVENT"))))
+        .unionByName(traced.where("error IS NOT NULL").select("session_id", F.lit(6).alias("n"), F.lit(0).cast("long").alias("place"), F.lit(0).alias("k"), F.lit("TRACE_ERROR").alias("flag")))
     )
-    first = flags.groupBy("session_id", "flag").agg(F.min("n").alias("n")).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("n", "flag"))).alias("f"))
-    return points.select("session_id").distinct().join(first, "session_id", "left").select("session_id", F.when(F.col("f").isNull(), "OK").otherwise("DEGRADED").alias("quality_status"), F.transform(F.coalesce("f", F.array()), lambda x: x["flag"]).alias("quality_flags"))
+    first = flags.groupBy("session_id", "flag").agg(F.min(F.struct("n", "place", "k")).alias("at")).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("at", "flag"))).alias("f"))
+    seen = points.select("session_id").distinct().withColumn("any", F.lit(True))
+    rows = (sessions.select("session_id").distinct().join(seen, "session_id", "left") if sessions is not None else seen).join(first, "session_id", "left")
+    status = F.when(F.col("any").isNull(), "INVALID").when(F.col("f").isNull(), "OK").otherwise("DEGRADED")
+    found = F.when(F.col("any").isNull(), F.array(F.lit("EMPTY_INPUT"))).otherwise(F.transform(F.coalesce("f", F.array()), lambda x: x["flag"]))
+    return rows.select("session_id", status.alias("quality_status"), found.alias("quality_flags"))
 
 
 def review_template(events: DataFrame, truth: DataFrame) -> DataFrame:
@@ -50,9 +69,13 @@ def review_template(events: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def apply_labels(reviews: DataFrame, labels: DataFrame) -> DataFrame:
-    """reviews with labels (event_id, label: YES, NO or UNCERTAIN) put in."""
-    new = labels.select("event_id", F.when(F.col("label").isin("YES", "NO", "UNCERTAIN"), F.col("label")).otherwise(F.raise_error(F.lit("unknown label"))).alias("_new"))
-    return reviews.join(new, "event_id", "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
+    """reviews with labels (event_id, label: YES, NO or UNCERTAIN) put in. Another label, or one of an event that isn't under review,
+    raises when the rows are read."""
+    checked = F.when(F.col("label").isin("YES", "NO", "UNCERTAIN"), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce("label", F.lit("null")))))
+    new = labels.select("event_id", checked.alias("_new"))
+    rows = reviews.withColumn("_known", F.lit(True)).join(new, "event_id", "full")
+    known = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no event under review: "), F.col("event_id"))).cast("string")).otherwise(F.coalesce("_new", "label"))
+    return rows.withColumn("label", known).select(reviews.columns)
 
 
 def review_summary(reviews: DataFrame) -> DataFrame:

@@ -1,46 +1,114 @@
-"""Wire format of events: projection, references, batch rules."""
+"""Wire format of events: projection, provenance, rules of events and batches, export.
+
+Values of the wire contract that other systems read are fixed: the version of a batch, the event types, the qualities, the names
+of the provenance's fields and the form of its hash.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values of the contract.
+BATCH_VERSION = "r1-event-batch-v0.1"
+EVENT_TYPES = ("WRITING", "QUESTION_VISIT", "QUESTION_LEAVE", "RETURN", "REVISION_CANDIDATE", "PAGE_CHANGE", "PROCESS_END", "UNKNOWN")
+QUALITIES = ("VALID", "DEGRADED", "INVALID")
+PROVENANCE = ("dataset_type", "generator_version", "seed", "scenario_id", "ground_truth_source", "manifest_hash")
+COLUMNS = (
+    "event_id", "event_type", "session_id", "task_segment_id", "participant_id", "question_id", "start_time_ms", "end_time_ms",
+    "point_refs", "stroke_refs", "quality_status", "algorithm_version", "provenance",
+)
+MOVING = ("latest", "current")
+SIMULATED = "sim_"
+
+
+def concrete(version: str | None) -> str:
+    """The version, if it names one; a moving name raises."""
+    if not version or version.strip().lower() in MOVING:
+        raise ValueError(f"a concrete version is needed, not {version!r}")
+    return version
+
+
+def checked_provenance(value: dict | None) -> dict:
+    """The provenance without nulls. Other fields than the contract's raise, and so does a synthetic one that isn't whole."""
+    found = {k: v for k, v in (value or {}).items() if v is not None}
+    if others := sorted(set(found) - set(PROVENANCE)):
+        raise ValueError(f"fields that provenance doesn't have: {others}")
+    for k, v in found.items():
+        if not isinstance(v, int if k == "seed" else str) or isinstance(v, bool):
+            raise ValueError(f"provenance field {k} has the wrong type")
+    if found.get("dataset_type") == "synthetic":
+        if missing := sorted(set(PROVENANCE) - set(found)):
+            raise ValueError(f"synthetic provenance lacks {missing}")
+        if not re.fullmatch(r"sha256:[0-9a-f]{64}", found["manifest_hash"]):
+            raise ValueError("the manifest hash of synthetic provenance must be a SHA-256")
+    return found
 
-def wire_events(events: DataFrame, data_version: str) -> DataFrame:
-    """The events' exported columns; a question that is not known is UNKNOWN. data_version must be a concrete one."""
-    if not data_version or data_version.lower() in ("latest", "current"):
-        raise ValueError("a concrete data_version is needed")
-    return events.select(
-        "event_id", "event_type", "session_id", "task_segment_id", "participant_id", F.coalesce("question_id", F.lit("UNKNOWN")).alias("question_id"), "sequence",
-        "start_time_ms", "end_time_ms", "point_refs", F.array("stroke_ref").alias("stroke_refs"), "quality_status", F.lit(data_version).alias("data_version"),
-    )
+
+def wire_events(events: DataFrame, provenance: dict | None = None) -> DataFrame:
+    """The thirteen columns of the contract; a question that is not known is UNKNOWN. provenance is JSON text, of all events alike."""
+    known = checked_provenance(provenance)
+    text = F.to_json(F.struct(*[F.lit(known[k]).alias(k) for k in PROVENANCE if k in known])) if known else F.lit("{}")
+    rows = events.withColumns({"question_id": F.coalesce("question_id", F.lit("UNKNOWN")), "stroke_refs": F.array("stroke_ref"), "provenance": text})
+    return rows.select(*COLUMNS)
+
+
+def _moving(version: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(version)).isin(*MOVING) | (F.length(version) == 0), F.lit(True))
 
 
 def violations(wired: DataFrame) -> DataFrame:
     """event_id and the first rule that the event breaks, for those that break one."""
+    empty = lambda c: F.coalesce(F.length(c) == 0, F.lit(True))
+    hollow = lambda c: F.exists(c, lambda x: F.coalesce(F.length(x) == 0, F.lit(True)))
+    real = lambda c: F.coalesce(~F.col(c).startswith(SIMULATED), F.lit(True))
+    synthetic = F.get_json_object("provenance", "$.dataset_type") == "synthetic"
     rule = (
-        F.when(F.col("end_time_ms") < F.col("start_time_ms"), "TIME_ORDER")
+        F.when(empty("event_id") | empty("session_id") | empty("question_id"), "EMPTY_ID")
+        .when(~F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False)), "EVENT_TYPE")
+        .when(~F.coalesce(F.col("quality_status").isin(*QUALITIES), F.lit(False)), "QUALITY_STATUS")
+        .when(hollow("point_refs") | hollow("stroke_refs"), "EMPTY_REFERENCE")
+        .when(F.col("end_time_ms") < F.col("start_time_ms"), "TIME_ORDER")
         .when((F.col("quality_status") == "VALID") & (F.col("start_time_ms").isNull() | F.col("end_time_ms").isNull()), "VALID_WITHOUT_TIME")
-        .when(F.col("event_type").isin("QUESTION_VISIT", "QUESTION_LEAVE", "RETURN", "REVISION_CANDIDATE") & (F.col("question_id") == "UNKNOWN"), "QUESTION_MISSING")
-        .when((F.size("point_refs") == 0) | F.exists("point_refs", lambda x: F.length(x) == 0), "EMPTY_REFERENCES")
+        .when(_moving(F.col("algorithm_version")), "MOVING_VERSION")
+        .when(synthetic & (real("session_id") | real("participant_id") | (F.col("task_segment_id").isNotNull() & real("task_segment_id"))), "SYNTHETIC_IDENTITY")
     )
     return wired.select("event_id", rule.alias("rule")).where("rule IS NOT NULL")
 
 
-def unresolved(wired: DataFrame, points: DataFrame) -> DataFrame:
-    """session_id, event_id and point ids that the session doesn't have."""
-    refs = wired.select("session_id", "event_id", F.explode("point_refs").alias("point_id"))
-    return refs.join(points.select("session_id", "point_id").distinct(), ["session_id", "point_id"], "left_anti").groupBy("session_id", "event_id").agg(F.sort_array(F.collect_set("point_id")).alias("missing"))
+def unresolved(wired: DataFrame, points: DataFrame, strokes: DataFrame) -> DataFrame:
+    """session_id, event_id, and the point and stroke ids that the session doesn't have."""
+
+    def missing(refs: str, ids: DataFrame, id: str, name: str) -> DataFrame:
+        named = wired.select("session_id", "event_id", F.explode(refs).alias(id))
+        return named.join(ids.select("session_id", id).distinct(), ["session_id", id], "left_anti").groupBy("session_id", "event_id").agg(F.sort_array(F.collect_set(id)).alias(name))
 
+    none = F.array().cast("array<string>")
+    found = missing("point_refs", points, "point_id", "missing_points").join(missing("stroke_refs", strokes, "stroke_id", "missing_strokes"), ["session_id", "event_id"], "full")
+    return found.select("session_id", "event_id", *[F.coalesce(c, none).alias(c) for c in ("missing_points", "missing_strokes")])
 
-def batches(wired: DataFrame) -> DataFrame:
-    """A row per batch (session and segment): its size, and whether all its events share a data version and their sequences are distinct."""
-    return wired.groupBy("session_id", "task_segment_id").agg(F.count("*").alias("n_events"), (F.count_distinct("data_version") == 1).alias("one_version"), (F.count_distinct("sequence") == F.count("*")).alias("distinct_sequences"))
+
+def batches(wired: DataFrame, dataset_version: str, data_version: str | None = None) -> DataFrame:
+    """A batch per session and task segment, with its events by id. data_version: of the result that the events come from; another
+    dataset_version than that raises. one_version says whether all its events share an algorithm version that isn't a moving one."""
+    concrete(dataset_version)
+    if data_version is not None and data_version != dataset_version:
+        raise ValueError("the dataset's version must be that of the result")
+    moving = F.max(_moving(F.col("algorithm_version")).cast("int")) == 1
+    found = wired.groupBy("session_id", "task_segment_id").agg(
+        F.count("*").alias("n_events"),
+        ((F.min("algorithm_version") == F.max("algorithm_version")) & ~moving).alias("one_version"),
+        F.min("algorithm_version").alias("algorithm_version"),
+        F.sort_array(F.collect_list(F.struct(*COLUMNS))).alias("events"),
+    )
+    return found.select(
+        F.lit(BATCH_VERSION).alias("contract_version"), F.concat_ws(":", "session_id", F.coalesce("task_segment_id", F.lit("-"))).alias("batch_id"), "session_id", "task_segment_id",
+        F.lit(dataset_version).alias("dataset_version"), "algorithm_version", "n_events", "one_version", "events",
+    )
 
 
-def post(batch: str, send, url: str) -> tuple[int, str]:
-    """Send one serialised batch by the given transport (url, headers, body) and accept only the statuses of the contract. No retry."""
-    status, body = send(url, {"Content-Type": "application/json"}, batch.encode())
-    if status not in (200, 201, 409, 422):
-        raise ValueError(f"unexpected status {status}")
-    return status, body
+def out_of_context(wired: DataFrame, session_id: str, task_segment_id: str | None) -> DataFrame:
+    """Events that don't belong to the result of this session and segment."""
+    return wired.where(~(F.col("session_id").eqNullSafe(F.lit(session_id)) & F.col("task_segment_id").eqNullSafe(F.lit(task_segment_id).cast("string"))))

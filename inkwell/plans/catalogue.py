@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators import dataset, features, metrics, parse, replay, strokes, trace, wire
+from inkwell.functions.canonical import json_hash
+from inkwell.operators import audits, dataset, features, metrics, parse, replay, strokes, trace, truth, wire
 from inkwell.plans import pipeline
 from inkwell.plans.sql import ORACLES
-from inkwell.sources import pen
+from inkwell.sources import pen, store
 
 
 def _round(c: str | Column) -> Column:
@@ -28,11 +29,43 @@ def _strokes(spark, sf):
 
 
 def _run(spark, sf) -> pipeline.Run:
+    """The run's tables are used by several branches of a query, so they are written once."""
+    folder = store.scratch_dir(spark, "run")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return pipeline.run(pen.pen_points(spark, sf), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS, keep=keep)
+
+
+def _lazy_run(spark, sf) -> pipeline.Run:
     return pipeline.run(pen.pen_points(spark, sf), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS)
 
 
+def _splits(points: DataFrame) -> DataFrame:
+    return dataset.assign_splits(points.select(F.col("participant_id").alias("group_id")), 20260930).select(F.col("group_id").alias("participant_id"), "split")
+
+
 def _episodes(spark, sf):
-    return features.episodes(_run(spark, sf).mappings, pen.FEATURES)
+    """Episodes with the split of their participant."""
+    r = _lazy_run(spark, sf)
+    return features.episodes(r.mappings, pen.FEATURES).join(_splits(pen.pen_points(spark, sf)), "participant_id")
+
+
+def _cases(spark, sf):
+    points = pen.pen_points(spark, sf)
+    cases = points.select(F.col("session_id").alias("case_id"), "participant_id", F.col("participant_id").alias("group_id")).distinct()
+    return cases.join(_splits(points), "participant_id")
+
+
+def _aligned(spark, sf):
+    return truth.align(_episodes(spark, sf), pen.truth_events(_points(spark, sf)))
+
+
+def _targets(spark, sf):
+    e = _episodes(spark, sf)
+    return truth.targets(e, truth.align(e, pen.truth_events(_points(spark, sf))))
 
 
 def _predictions(spark, sf):
@@ -54,26 +87,148 @@ def _split(spark, sf):
     return dataset.assign_splits(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("string").alias("group_id")), 20260930)
 
 
+def _nation_splits(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").cast("string").alias("group_id"))
+    return dataset.assign_splits(c, 20260930, within=("nation",))
+
+
+def _status(r: pipeline.Run) -> DataFrame:
+    """The status of all sessions and of one without points."""
+    asked = r.points.select("session_id").unionByName(r.points.sparkSession.createDataFrame([("s-none",)], "session_id string"))
+    return trace.run_status(r.points, r.strokes, r.mappings, r.events, r.traces, asked).withColumn("quality_flags", _joined("quality_flags"))
+
+
 def _seeds(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     return c.select(F.col("c_custkey").alias("participant"), F.col("c_nationkey").alias("scenario"), dataset.derive_seed(20260929, F.col("c_custkey"), F.col("c_nationkey")).alias("seed"))
 
 
 def _page_changes(spark, sf):
-    e = _run(spark, sf).events.where("event_type = 'PAGE_CHANGE'")
+    e = _lazy_run(spark, sf).events.where("event_type = 'PAGE_CHANGE'")
     return e.select("session_id", F.col("stroke_ref").alias("stroke_id"), F.col("reason").alias("change"))
 
 
 def _events(spark, sf, *types: str) -> DataFrame:
-    e = _run(spark, sf).events
+    e = _lazy_run(spark, sf).events
     e = e.where(F.col("event_type").isin(*types)) if types else e
-    return e.select("event_id", "event_type", "session_id", "sequence", "question_id", "previous_question_id", "next_question_id", "page_id", "start_time_ms", "end_time_ms", "stroke_ref", "quality_status", _joined("quality_flags").alias("quality_flags"))
+    return e.select("event_id", "event_type", "session_id", "sequence", "question_id", "previous_question_id", "next_question_id", "page_id", "start_time_ms", "end_time_ms", "stroke_ref", "quality_status", _joined("quality_flags").alias("quality_flags"), "reason")
 
 
 def _with_run(f):
     return lambda spark, sf: f(_run(spark, sf))
 
 
+def _with_lazy_run(f):
+    return lambda spark, sf: f(_lazy_run(spark, sf))
+
+
+#: Points that the fixture's index hasn't lost.
+KNOWN = "raw_order % 97 <> 5"
+
+
+def _single(points: DataFrame) -> DataFrame:
+    """Points without those lost, one of each id."""
+    return points.where(KNOWN).dropDuplicates(["session_id", "point_id"])
+
+
+def _wired(r: pipeline.Run) -> DataFrame:
+    return wire.wire_events(r.events, {"dataset_type": "observed", "generator_version": "1.2.0"})
+
+
+def _broken_wire(r: pipeline.Run) -> DataFrame:
+    """Wire events of which some have had a rule broken."""
+    k = F.col("sequence") % 31
+    w = r.events.select("event_id", "sequence").join(_wired(r), "event_id")
+    timed = F.col("start_time_ms").isNotNull() & F.col("end_time_ms").isNotNull()
+    return w.withColumns(
+        {
+            "end_time_ms": F.when((k == 1) & timed, F.col("start_time_ms") - 1).when((k == 2) & (F.col("quality_status") == "VALID"), None).otherwise(F.col("end_time_ms")),
+            "algorithm_version": F.when(k == 3, " Latest ").otherwise(F.col("algorithm_version")),
+            "point_refs": F.when(k == 4, F.array(F.lit(""))).otherwise(F.col("point_refs")),
+        }
+    )
+
+
+def _reviewed(r: pipeline.Run) -> DataFrame:
+    """Events beside a truth of which every 11th differs; every third is labelled by whether it agrees."""
+    e, n = r.events, F.col("sequence")
+    known = e.select("session_id", "sequence", F.when(n % 11 == 10, "UNKNOWN").otherwise(F.col("event_type")).alias("event_type"))
+    labels = e.where(n % 3 == 0).select("event_id", F.when(n % 11 == 10, "NO").otherwise("YES").alias("label"))
+    return trace.apply_labels(trace.review_template(e, known), labels)
+
+
+def _audited(r: pipeline.Run) -> DataFrame:
+    """References with lost points, every tenth stroke lost, and one case twice."""
+    cases = r.points.select("session_id").distinct()
+    cases = cases.unionByName(cases.where("session_id = 's-1'"))
+    kept = r.strokes.where(F.col("stroke_index") % 10 != 3)
+    return audits.references(r.points.where(KNOWN), kept, r.mappings, r.events, cases)
+
+
+def _broken_ranges(spark, sf):
+    k = F.col("episode_index")
+    e = _episodes(spark, sf)
+    e = e.withColumn("question_occupancy", F.when(k % 13 == 12, 1.5).otherwise(F.col("question_occupancy")))
+    e = e.withColumn("duration_s", F.when(k % 17 == 16, -1.0).otherwise(F.col("duration_s")))
+    return audits.ranges(e.withColumn("quality_valid", F.when(k % 19 == 18, 0.5).otherwise(F.col("quality_valid"))))
+
+
+def _moved_splits(spark, sf):
+    e = _episodes(spark, sf)
+    cases = _cases(spark, sf).select(F.col("case_id").alias("session_id"), "split")
+    moved = e.withColumn("split", F.when(F.col("episode_index") % 23 == 22, "test").otherwise(F.col("split")))
+    return audits.inherited_splits(moved, cases, cases)
+
+
+def _split_audit(spark, sf):
+    cases = _cases(spark, sf)
+    manifests = dataset.split_manifests(cases, "pen", "1.0.0", 20260930)
+    first = cases.where("split = 'train'").agg(F.min("case_id").alias("_first"))
+    moved = cases.join(F.broadcast(first), F.col("case_id") == F.col("_first"), "left").withColumn("split", F.when(F.col("_first").isNotNull(), "test").otherwise(F.col("split"))).drop("_first")
+    return audits.splits(moved, manifests, "pen", "1.0.0", 20260930)
+
+
+def _stored(spark, sf):
+    """The run's tables written as a dataset, verified, and read again: rows of each."""
+    folder = store.scratch_dir(spark, "dataset")
+    r = _run(spark, sf)
+    tables = {"points": r.points, "mappings": r.mappings.drop("norm_points", "raw_points"), "events": r.events, "episodes": _episodes(spark, sf)}
+    store.write_dataset(tables, folder)
+    found = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in store.read_dataset(spark, folder, list(tables)).items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+def _normalized(spark, sf):
+    """Per split and feature: episodes, those where it is known, and the sum of the z-scores."""
+    e = _episodes(spark, sf)
+    rows = features.normalized(e, features.normalizer(e)).select("split", F.posexplode(F.arrays_zip("values", "mask")).alias("k", "x"))
+    total = F.floor(F.sum("x.values") * 100 + 0.5) / 100
+    return rows.groupBy("split", F.get(F.array(*map(F.lit, features.FEATURES)), F.col("k")).alias("feature")).agg(F.count("*").alias("n"), F.sum("x.mask").alias("known"), total.alias("total"))
+
+
+def _sequences(spark, sf):
+    s = features.sequences(_episodes(spark, sf))
+    masks = F.transform("feature_mask", lambda m: F.array_join(m, "|"))
+    total = F.aggregate(F.flatten("values"), F.lit(0.0), lambda a, x: a + x)
+    return s.select("session_id", _joined("episode_ids").alias("episode_ids"), F.array_join(masks, ",").alias("masks"), (F.floor(total * 100 + 0.5) / 100).alias("total"), F.col("n").cast("long").alias("n"))
+
+
+def _hashes(spark, sf):
+    payload = F.to_json(F.struct(F.col("point_id").alias("point"), F.col("raw_order").alias("order"), F.col("device_id").alias("device")), {"ignoreNullFields": "false"})
+    return pen.pen_points(spark, sf).select("session_id", "raw_order", json_hash(payload).alias("payload_hash"))
+
+
+def _deltas(spark, sf):
+    p = _predictions(spark, sf)
+    return metrics.deltas(metrics.confusion(p), metrics.confusion(p, 0.4), ["f1"]).select("label", _round("f1").alias("f1"))
+
+
+OVERALL = ("micro_precision", "micro_recall", "micro_f1", "macro_f1", "macro_roc_auc", "macro_average_precision", "evaluable_labels", "hamming_loss", "subset_accuracy")
+def _feature_columns() -> list[Column]:
+    return [_round(f).alias(f) if f not in ("visit_index", "return_count", "quality_valid") else F.col(f) for f in features.FEATURES]
+
+
+
 def queries() -> dict:
     return {
         "parse_points": lambda s, d: _points(s, d).select("session_id", "point_id", "raw_order", "timestamp_ms", _round("x_norm").alias("x_norm"), _round("y_norm").alias("y_norm"), "pen_state", _joined("quality_flags").alias("flags")),
@@ -85,8 +240,8 @@ def queries() -> dict:
         "strokes_bbox": lambda s, d: _strokes(s, d).select("session_id", "stroke_id", F.col("bbox_space").alias("space"), _round("bbox.width").alias("width"), _round("bbox.height").alias("height")),
         "strokes_processed_order": lambda s, d: _strokes(s, d).select("session_id", "stroke_id", _joined("processed_order").alias("processed_order")),
         "stroke_quality": lambda s, d: _strokes(s, d).select("session_id", "stroke_id", _joined("quality_flags").alias("flags")),
-        "stroke_mapping": _with_run(lambda r: r.mappings.select("session_id", "stroke_id", "question_id", "region_id", "status", "mapping_method", _round("confidence").alias("confidence"), _joined("quality_flags").alias("flags"))),
-        "mapping_status_counts": _with_run(lambda r: r.mappings.groupBy("status", "mapping_method").agg(F.count("*").alias("n"))),
+        "stroke_mapping": _with_lazy_run(lambda r: r.mappings.select("session_id", "stroke_id", "question_id", "region_id", "status", "mapping_method", _round("confidence").alias("confidence"), _joined("quality_flags").alias("flags"))),
+        "mapping_status_counts": _with_lazy_run(lambda r: r.mappings.groupBy("status", "mapping_method").agg(F.count("*").alias("n"))),
         "page_changes": _page_changes,
         "writing_evidence": lambda s, d: _events(s, d, "WRITING"),
         "visits_returns": lambda s, d: _events(s, d, "QUESTION_VISIT", "RETURN"),
@@ -95,28 +250,47 @@ def queries() -> dict:
         "unknown_events": lambda s, d: _events(s, d, "UNKNOWN"),
         "process_ends": lambda s, d: _events(s, d, "PROCESS_END"),
         "process_events": lambda s, d: _events(s, d),
-        "event_type_counts": _with_run(lambda r: r.events.groupBy("event_type", "quality_status").agg(F.count("*").alias("n"))),
+        "event_type_counts": _with_lazy_run(lambda r: r.events.groupBy("event_type", "quality_status").agg(F.count("*").alias("n"))),
         "replay_frames": lambda s, d: replay.replay_frames(p := _points(s, d), strokes.build_strokes(p, pen.STROKES)).select("session_id", "frame_index", "point_id", "stroke_id", "page_id"),
         "replay_page_order": lambda s, d: replay.page_order(replay.replay_frames(p := _points(s, d), strokes.build_strokes(p, pen.STROKES))),
-        "trace_resolution": _with_run(lambda r: r.traces),
-        "trace_errors": _with_run(lambda r: r.traces.where("error IS NOT NULL")),
-        "run_status": _with_run(lambda r: r.status.withColumn("quality_flags", _joined("quality_flags"))),
-        "wire_events": _with_run(lambda r: wire.wire_events(r.events, "v1").withColumns({c: _joined(c) for c in ("point_refs", "stroke_refs")})),
-        "wire_violations": _with_run(lambda r: wire.violations(wire.wire_events(r.events, "v1"))),
-        "wire_batches": _with_run(lambda r: wire.batches(wire.wire_events(r.events, "v1"))),
-        "wire_unresolved_refs": _with_run(lambda r: wire.unresolved(wire.wire_events(r.events, "v1"), r.points).withColumn("missing", _joined("missing"))),
-        "review_summary": _with_run(lambda r: trace.review_summary(trace.review_template(r.events, r.events.select("session_id", "sequence", "event_type")))),
+        "trace_resolution": _with_run(lambda r: trace.traces(r.events, r.strokes, _single(r.points))),
+        "trace_errors": _with_run(lambda r: r.traces.where("error IS NOT NULL").groupBy("session_id", "event_type", "error").agg(F.count("*").alias("n"))),
+        "run_status": _with_run(_status),
+        "wire_events": _with_lazy_run(lambda r: _wired(r).withColumns({c: _joined(c) for c in ("point_refs", "stroke_refs")})),
+        "wire_violations": _with_run(lambda r: wire.violations(_broken_wire(r))),
+        "wire_batches": _with_lazy_run(lambda r: wire.batches(_wired(r), "v1").withColumn("event_ids", F.array_join(F.transform("events", lambda e: e["event_id"]), ",")).drop("events")),
+        "wire_unresolved_refs": _with_run(lambda r: wire.unresolved(_wired(r), r.points.where(KNOWN), r.strokes.where(F.col("stroke_index") % 10 != 3)).withColumns({c: _joined(c) for c in ("missing_points", "missing_strokes")})),
+        "review_template": _with_run(_reviewed),
+        "review_summary": _with_run(lambda r: trace.review_summary(_reviewed(r))),
         "group_split": _split,
+        "nation_splits": _nation_splits,
         "seed_derivation": _seeds,
         "leakage_audit": _leakage,
-        "integrity_audit": _with_run(lambda r: dataset.dangling(r.events.select("session_id", "event_id", F.col("stroke_ref").alias("stroke_id")), r.strokes, ["session_id", "stroke_id"])),
-        "features_12": _episodes,
-        "features_missingness": lambda s, d: features.missingness(_episodes(s, d)),
-        "sequence_lengths": lambda s, d: features.sequences(_episodes(s, d)).groupBy("n").agg(F.count("*").alias("cases")),
-        "normalizer_stats": lambda s, d: features.normalizer(_episodes(s, d)).select("feature", _round("mean").alias("mean"), _round("std").alias("std")),
+        "integrity_audit": _with_run(_audited),
+        "split_manifests": lambda s, d: dataset.split_manifests(_cases(s, d), "pen", "1.0.0", 20260930).drop("group_ids").withColumns({c: _joined(c) for c in ("participant_ids", "case_ids")}),
+        "split_counts": lambda s, d: dataset.split_counts(_cases(s, d)),
+        "split_audit": _split_audit,
+        "case_quality": _with_run(lambda r: dataset.case_quality(r.points, r.strokes, r.mappings, r.events)),
+        "stored_dataset": _stored,
+        "payload_hash": _hashes,
+        "features_12": lambda s, d: _episodes(s, d).select("episode_id", "session_id", "participant_id", "stroke_id", "question_id", "status", "split", "episode_index", *_feature_columns()),
+        "features_missingness": lambda s, d: features.missingness(_episodes(s, d), "split").withColumn("rate", _round("rate")),
+        "feature_range_audit": _broken_ranges,
+        "feature_split_audit": _moved_splits,
+        "sequences": _sequences,
+        "sequence_lengths": lambda s, d: features.sequences(_episodes(s, d)).groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("cases")),
+        "sequence_audit": lambda s, d: features.length_audit(features.sequences(_episodes(s, d))).withColumns({c: _round(c) for c in ("mean", "median", "p90")}),
+        "normalizer_stats": lambda s, d: features.normalizer(_episodes(s, d)).select("feature", _round("mean").alias("mean"), _round("std").alias("std"), "constant"),
+        "normalized_features": _normalized,
+        "truth_alignment": lambda s, d: _aligned(s, d).withColumn("matched", _joined("matched_episode_ids")).drop("matched_episode_ids"),
+        "alignment_audit": lambda s, d: audits.alignment(_aligned(s, d)),
+        "targets_multihot": lambda s, d: _targets(s, d).select("episode_id", F.array_join("target", "").alias("target")),
+        "target_distribution": lambda s, d: truth.distribution(_targets(s, d)),
+        "target_cooccurrence": lambda s, d: truth.cooccurrence(_targets(s, d)),
         "confusion": lambda s, d: metrics.confusion(_predictions(s, d)).select("label", "tp", "fp", "fn", "tn", *[_round(c).alias(c) for c in ("precision", "recall", "f1", "mcc")]),
         "ranking": lambda s, d: metrics.ranking(_predictions(s, d)).select("label", _round("roc_auc").alias("roc_auc"), _round("average_precision").alias("average_precision")),
-        "overall_metrics": lambda s, d: metrics.overall(_predictions(s, d)),
+        "overall_metrics": lambda s, d: metrics.overall(_predictions(s, d)).select(*[_round(c).alias(c) if c != "evaluable_labels" else F.col(c) for c in OVERALL]),
+        "metric_deltas": _deltas,
     }
 
 

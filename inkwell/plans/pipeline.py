@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from inkwell.config import EventConfig, MappingConfig, StrokeConfig
 from inkwell.operators import events, mapping, parse, replay, strokes, trace
@@ -32,9 +34,22 @@ class Run:
 
 def run(
     records: DataFrame, regions: DataFrame, stroke_config: StrokeConfig | None = None, mapping_config: MappingConfig | None = None, event_config: EventConfig | None = None,
-    process_end_signal: bool = False, session_end_ms: int | None = None,
+    process_end_signal: bool = False, session_end_ms: int | None = None, session_id: str | None = None, task_segment_id: str | None = None, adapter: Callable[[DataFrame], DataFrame] | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> Run:
-    points = parse.parse_points(records)
-    found = strokes.build_strokes(points, stroke_config)
-    mapped = mapping.map_strokes(found, regions, mapping_config)
-    return Run(points, found, mapped, events.detect_events(mapped, event_config, process_end_signal, session_end_ms))
+    """adapter: from a device's records to canonical ones. session_id, task_segment_id: what all points must belong to; others raise
+    when they are read. keep: writes a table and reads it again, for a run of which several tables are wanted."""
+    keep = keep or (lambda df, name: df)
+    points = keep(guard(parse.parse_points(adapter(records) if adapter else records), session_id, task_segment_id), "points")
+    found = keep(strokes.build_strokes(points, stroke_config), "strokes")
+    mapped = keep(mapping.map_strokes(found, regions, mapping_config), "mappings")
+    return Run(points, found, mapped, keep(events.detect_events(mapped, event_config, process_end_signal, session_end_ms, task_segment_id), "events"))
+
+
+def guard(points: DataFrame, session_id: str | None, task_segment_id: str | None) -> DataFrame:
+    """points, which raise when they are read if one is of another session, or of another known segment."""
+    checks = ((("session_id", session_id), F.col("session_id") != F.lit(session_id)), (("task_segment_id", task_segment_id), F.col("task_segment_id") != F.lit(task_segment_id)))
+    for (name, wanted), other in checks:
+        if wanted is not None:
+            points = points.withColumn(name, F.when(other, F.raise_error(F.concat(F.lit(f"{name} isn't {wanted}: "), F.col(name))).cast("string")).otherwise(F.col(name)))
+    return points

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import EventConfig, FeatureConfig, MappingConfig, StrokeConfig
+from inkwell.operators.wire import EVENT_TYPES
 
 #: Columns that a canonical record must have, and either pair of coordinates.
 REQUIRED = ("point_id", "session_id", "page_id", "timestamp_ms", "sequence")
@@ -33,13 +34,14 @@ def read_points(spark: SparkSession, path: str, schema: str | None = None) -> Da
 
 def pen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One session per user of the events table, with defects by row number so that every quality flag occurs."""
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("pen_events_source")
-    return spark.sql("""
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.sql(
+        """
         WITH e AS (
           SELECT user_id, unix_millis(CAST(ts AS TIMESTAMP)) AS t_ms, day(ts) AS dom, event_type, value,
                  CAST(get_json_object(props, '$.k') AS DOUBLE) AS k,
                  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn
-          FROM pen_events_source)
+          FROM {source})
         SELECT concat('s-', user_id) AS session_id, concat('u-', user_id) AS participant_id, concat('seg-', rn div 40) AS task_segment_id,
                CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat('pen-', user_id % 3) END AS device_id,
                CASE WHEN rn % 43 = 42 THEN NULL WHEN rn % 41 = 40 THEN 'page-unknown' ELSE concat('page-', dom div 10) END AS page_id,
@@ -50,7 +52,9 @@ def pen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
                CASE WHEN rn % 37 = 36 THEN NULL ELSE value END AS x_raw, k AS y_raw,
                CASE WHEN rn % 19 = 18 THEN NULL ELSE value / 500 END AS x_norm, CASE WHEN rn % 19 = 18 THEN NULL ELSE k / 400 END AS y_norm,
                CASE event_type WHEN 'signup' THEN 'DOWN' WHEN 'purchase' THEN 'UP' WHEN 'error' THEN 'UNKNOWN' ELSE 'MOVE' END AS pen_state
-        FROM e""")
+        FROM e""",
+        source=source,
+    )
 
 
 def region_rows() -> list[tuple[str, str, str, int, list[tuple[float, float]]]]:
@@ -65,3 +69,16 @@ def region_rows() -> list[tuple[str, str, str, int, list[tuple[float, float]]]]:
 def pen_regions(spark: SparkSession) -> DataFrame:
     schema = "region_id string, page_id string, question_id string, priority int, polygon array<struct<x: double, y: double>>"
     return spark.createDataFrame(region_rows(), schema).withColumn("coordinate_space", F.lit("norm"))
+
+
+def truth_events(points: DataFrame) -> DataFrame:
+    """True events of the fixture: one for every 7th point of a session, of that and the next point. Some have no page or no question,
+    and every 7th of them names a point that isn't there."""
+    n = F.col("raw_order")
+    after = F.lead("point_id").over(Window.partitionBy("session_id").orderBy("raw_order"))
+    rows = points.withColumn("_after", after).where(n % 7 == 0)
+    return rows.select(
+        "session_id", F.concat_ws(":truth:", "session_id", n.cast("string")).alias("event_id"), F.get(F.array(*map(F.lit, EVENT_TYPES)), (F.floor(n / 7) % len(EVENT_TYPES)).cast("int")).alias("event_type"),
+        F.when(n % 3 > 0, F.col("page_id")).alias("page_id"), F.when(n % 2 == 1, F.concat(F.lit("q"), (n % 4 + 1).cast("string"))).alias("question_id"),
+        F.when(n % 49 == 0, F.array(F.lit("none"))).otherwise(F.array_compact(F.array("point_id", "_after"))).alias("source_point_ids"),
+    )
