@@ -1,7 +1,8 @@
 """Token-id files: documents' ids one after the other, with Elias-Fano coded boundaries and document numbers.
 
 A file is: magic, ids as little-endian unsigned 16-bit integers (32-bit if an id needs them), boundaries, document numbers, a
-bit per document that says whether its number is null, and a footer with the lengths of the parts. Files are bounded in size.
+bit per document that says whether its number is null, and a footer with the lengths of the parts. Files are bounded in size; a
+longer text has one of its own. Documents are found by select on the boundaries' stored samples.
 
 Order: ascending doc_id, null first, equal numbers by text. Cases: a null text is an empty one and gives the end id only;
 repeated rows are all written; an empty table gives no files and an empty result; other columns are ignored.
@@ -17,14 +18,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import scratch_dir, prepare, table, tokenizer_file
-from inkwell.llm.elias_fano import EliasFano
+from inkwell.llm.common import by_file, prepare, scratch_dir, table, tokenizer_file
+from inkwell.llm.elias_fano import SAMPLE, EliasFano
 from inkwell.llm.files import new_file, open_output, read_all
 from inkwell.llm.tokens import file_encoder
 
 MAGIC = b"INKTOK01"
 #: Ids in a file, beyond which the next document starts another one.
 FILE_IDS = 8_000_000
+#: Documents whose boundaries are read at once: whole blocks of samples.
+BLOCK = 8 * SAMPLE
 _FOOTER = "<QQQQQB8s"
 
 
@@ -59,20 +62,34 @@ class Writer:
         return self.name, len(self.docs), self.total
 
 
-def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document numbers, boundaries (where each document ends) and ids."""
-    total, n, *sizes, width, magic = struct.unpack_from(_FOOTER, data, len(data) - struct.calcsize(_FOOTER))
-    if magic != MAGIC or data[:8] != MAGIC:
-        raise ValueError("not a token file")
-    ids = np.frombuffer(data, "<u2" if width == 2 else "<u4", total, 8)
-    at, parts = 8 + total * width, []
-    for size in sizes:
-        parts.append(data[at : at + size])
-        at += size
-    low = struct.unpack_from("<q", data, at)[0]
-    null = np.unpackbits(np.frombuffer(parts[2], np.uint8))[:n].astype(bool)
-    known = iter((EliasFano.from_bytes(parts[1]).values().astype(np.int64) + low).tolist())
-    return [None if x else next(known) for x in null], EliasFano.from_bytes(parts[0]).values().astype(np.int64), ids
+class Reader:
+    """A token file's documents, a block at a time by select on the boundaries; ids are views of the file's bytes."""
+
+    def __init__(self, data: bytes):
+        total, self.n, *sizes, width, magic = struct.unpack_from(_FOOTER, data, len(data) - struct.calcsize(_FOOTER))
+        if magic != MAGIC or data[:8] != MAGIC:
+            raise ValueError("not a token file")
+        self.ids = np.frombuffer(data, "<u2" if width == 2 else "<u4", total, 8)
+        at, parts = 8 + total * width, []
+        for size in sizes:
+            parts.append(data[at : at + size])
+            at += size
+        self.low = struct.unpack_from("<q", data, at)[0]
+        self.ends, self.numbers, self.nulls = EliasFano.from_bytes(parts[0]), EliasFano.from_bytes(parts[1]), np.frombuffer(parts[2], np.uint8)
+        self.known = 0  # numbers read so far
+
+    def blocks(self, size: int):
+        """(document numbers, starts, ends) of so many documents each."""
+        before = 0
+        for at in range(0, self.n, size):
+            stop = min(self.n, at + size)
+            ends = self.ends.block(at, stop).astype(np.int64)
+            null = np.unpackbits(self.nulls[at // 8 : (stop + 7) // 8])[at % 8 :][: stop - at].astype(bool)
+            some = int((~null).sum())
+            numbers = iter((self.numbers.block(self.known, self.known + some).astype(np.int64) + self.low).tolist())
+            self.known += some
+            yield [None if x else next(numbers) for x in null], np.append(before, ends[:-1]), ends
+            before = int(ends[-1])
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
@@ -113,17 +130,15 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("file_start").to_pylist(), strict=True):
-                docs, ends, ids = read_file(read_all(name))
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                for at in range(0, len(docs), 500):
-                    part = slice(at, at + 500)
-                    data = [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[part], ends[part], strict=True)]
+                reader = Reader(read_all(name))
+                for docs, starts, ends in reader.blocks(BLOCK):
+                    data = [reader.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[part], pa.int64()), pa.array(starts[part] + start), pa.array(ends[part] - starts[part]), pa.array(data, pa.binary())],
+                        [pa.array(docs, pa.int64()), pa.array(starts + start), pa.array(ends - starts), pa.array(data, pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return with_starts(manifest).select("file", "file_start").repartition("file").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return by_file(with_starts(manifest).select("file", "file_start")).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:

@@ -81,14 +81,16 @@ class Encoder:
             text = text or ""
             plain = PLAIN.fullmatch(text) and not any(x in text for x in self.special)
             cut.append(self.find(text.lower() if self.words else text) if plain else None)
-        seen = set().union(*(c for c in cut if c))
-        if missing := seen.difference(self.memo):
+        found = [None if c is None else list(map(self.memo.get, c)) for c in cut]
+        holes = [[] if f is None else [i for i, x in enumerate(f) if x is None] for f in found]
+        if missing := {c[i] for c, at in zip(cut, holes, strict=True) for i in at}:
             if len(self.memo) + len(missing) > self.limit:
                 self.memo = {}
-                missing = seen
             self._learn(missing)
-        get = self.memo.__getitem__
-        return [self._whole(t or "") if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+            for f, c, at in zip(found, cut, holes, strict=True):
+                for i in at:
+                    f[i] = self.memo[c[i]]
+        return [self._whole(t or "") if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
 
 
 def _library():
