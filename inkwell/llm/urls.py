@@ -1,9 +1,9 @@
 """URL filter: rules first, then a tree of path templates whose branches are judged by the purity of their labelled pages.
 
-The rules' own verdicts are the labels. Per host, and once over all hosts, paths become templates: numbers, hashes and names with
-digits are generalised, and so is a literal segment with more than ``MOST_CHILDREN`` siblings. A node's block share is smoothed
-towards its parent's; a branch whose share doesn't differ from its parent's by a two-proportion test is pooled with its
-like siblings. A page is blocked from a share of ``BLOCK`` on.
+The rules' own verdicts are the labels. Per host, and once over all hosts, paths become templates, level by level down to the
+deepest: numbers, hashes and names with digits are generalised, and so is a literal segment that is rare among its siblings and has
+few labelled pages. A branch whose block share doesn't differ from its parent's by a two-proportion test is pooled with its like
+siblings; its share is smoothed towards its parent's. A page is blocked from a share of ``BLOCK`` on.
 
 Everything is counted per host and template before it is compared, so a host with a third of all pages is a few rows.
 
@@ -21,9 +21,8 @@ from inkwell.llm.common import cut, table
 
 #: (verdict, host, path): fits the host and its subdomains if the page's path starts with the rule's; the longest wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Segments of a path that have a level of the tree each; the rest of the path is one more.
-DEPTH = 3
-MOST_CHILDREN = 20
+#: A literal segment stays as it is from this share of its parent's pages on, or from so many labelled pages.
+LEAST_SHARE, LEAST_LABELLED = 0.05, 5
 #: Weight of the parent's share, in pages; z of the test; share from which a page is blocked.
 PRIOR, Z, BLOCK = 5.0, 1.96, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,7 +51,7 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """A path's segments with variable ones generalised; those beyond the tree's depth are one."""
+    """A path's segments with variable ones generalised."""
 
     def general(s: Column) -> Column:
         return (
@@ -63,48 +62,45 @@ def segments(path: Column) -> Column:
             .otherwise(s)
         )
 
-    parts = F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), general)
-    head = F.slice(parts, 1, DEPTH)
-    return F.when(F.size(parts) > DEPTH, F.array_append(head, F.lit("{more}"))).otherwise(head)
+    return F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), general)
 
 
 def generalise(leaves: DataFrame) -> DataFrame:
-    """leaves (host, shape) with template: literal segments with many siblings under the same parent become wildcards, level by level."""
-    out = leaves.withColumn("template", F.array().cast("array<string>"))
-    for level in range(DEPTH):
-        own = F.get("shape", F.lit(level))
-        wide = out.where(own.isNotNull()).groupBy("host", "template").agg(F.approx_count_distinct(own).alias("n")).where(F.col("n") > MOST_CHILDREN).drop("n").withColumn("wide", F.lit(True))
-        literal = ~own.startswith("{")
-        step = F.when(F.col("wide") & literal, F.lit("{any}")).otherwise(own)
-        out = out.join(wide, ["host", "template"], "left").withColumn("template", F.when(own.isNull(), F.col("template")).otherwise(F.array_append("template", step))).drop("wide")
-        out = cut(out, "level")  # else each level's plan would hold those of all levels before it
-    more = F.get("shape", F.lit(DEPTH))
-    return out.withColumn("template", F.when(more.isNull(), F.col("template")).otherwise(F.array_append("template", more)))
+    """leaves (host, shape, pages, n, b) with template: rare literal segments under the same parent become one wildcard. A level is
+    decided when the ones above it are, so each is written before the next; paths that have ended are put aside."""
+    out = cut(leaves.withColumn("template", F.array().cast("array<string>")), "level")
+    ended = [out.where(F.size("shape") == 0)]
+    for level in range(out.agg(F.max(F.size("shape"))).first()[0] or 0):
+        rows = out.where(F.size("shape") > level).withColumn("own", F.get("shape", F.lit(level)))
+        children = rows.groupBy("host", "template", "own").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"))
+        total = children.groupBy("host", "template").agg(F.sum("pages").alias("total"))
+        kept = children.join(total, ["host", "template"]).where((F.col("pages") >= LEAST_SHARE * F.col("total")) | (F.col("n") >= LEAST_LABELLED) | F.col("own").startswith("{"))
+        found = rows.join(kept.select("host", "template", "own", F.lit(True).alias("kept")), ["host", "template", "own"], "left")
+        out = cut(found.withColumn("template", F.array_append("template", F.when(F.col("kept"), F.col("own")).otherwise("{any}"))).select(leaves.columns + ["template"]), "level")
+        ended.append(out.where(F.size("shape") == level + 1))
+    paths = ended[0]
+    for more in ended[1:]:
+        paths = paths.unionByName(more)
+    return cut(paths, "templates")
 
 
 def purity(leaves: DataFrame) -> DataFrame:
-    """host, template, share: the smoothed block share of every node, root first. leaves: host, template, n, b (labelled, blocked)."""
-    paths = F.transform(F.sequence(F.lit(0), F.size("template")), lambda k: F.slice(F.col("template"), F.lit(1), k))
-    nodes = cut(leaves.select("host", F.explode(paths).alias("template"), "n", "b").groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "nodes")
-    level = nodes.where(F.size("template") == 0).withColumn("prior", F.lit(None).cast("double"))
-    done = None
-    for depth in range(DEPTH + 2):
-        if depth:
-            parents = level.select("host", F.col("template").alias("parent"), F.col("share").alias("prior"), F.col("n").alias("all"), F.col("b").alias("blocked"))
-            rows = nodes.where(F.size("template") == depth).withColumn("parent", F.slice("template", 1, depth - 1)).join(parents, ["host", "parent"])
-            base = F.col("blocked") / F.greatest("all", F.lit(1))
-            alike = (F.col("n") == 0) | (F.abs(F.col("b") / F.greatest("n", F.lit(1)) - base) <= Z * F.sqrt(base * (1 - base) / F.greatest("n", F.lit(1))))
-            rows = rows.withColumn("alike", alike)
-            pools = rows.where("alike").groupBy("host", "parent").agg(F.sum("n").alias("pool_n"), F.sum("b").alias("pool_b"))
-            rows = rows.join(pools, ["host", "parent"], "left")
-            n, b = F.when(F.col("alike"), F.col("pool_n")).otherwise(F.col("n")), F.when(F.col("alike"), F.col("pool_b")).otherwise(F.col("b"))
-            level = rows.select("host", "template", "n", "b", ((b + PRIOR * F.col("prior")) / (n + PRIOR)).alias("share"))
-        else:
-            everywhere = F.coalesce(F.col("b") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0))
-            level = level.select("host", "template", "n", "b", everywhere.alias("share"))
-        level = cut(level, "level")
-        done = level if done is None else done.unionByName(level)
-    return done.select("host", "template", "share", F.col("n").alias("labelled"))
+    """host, template, share (smoothed block share), of_host (labelled pages of the host). leaves: host, template, n, b (labelled, blocked)."""
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda k: F.slice(F.col("template"), F.lit(1), k))
+    nodes = leaves.select("host", F.explode(prefixes).alias("template"), "n", "b").groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    nodes = cut(nodes.withColumn("parent", F.when(F.size("template") > 0, F.slice("template", F.lit(1), F.size("template") - 1))), "nodes")
+    parents = nodes.select("host", F.col("template").alias("parent"), F.col("n").alias("all"), F.col("b").alias("blocked"))
+    base = F.col("blocked") / F.greatest("all", F.lit(1))
+    alike = (F.col("n") == 0) | (F.abs(F.col("b") / F.greatest("n", F.lit(1)) - base) <= Z * F.sqrt(base * (1 - base) / F.greatest("n", F.lit(1))))
+    tested = cut(nodes.join(parents, ["host", "parent"]).select("host", "template", "parent", "n", "b", alike.alias("alike")), "tested")
+    pools = tested.where("alike").groupBy("host", "parent").agg(F.sum("n").alias("pool_n"), F.sum("b").alias("pool_b"))
+    counted = tested.join(pools, ["host", "parent"], "left").select("host", "template", *[F.when(F.col("alike"), F.col(f"pool_{c}")).otherwise(F.col(c)).alias(c) for c in ("n", "b")])
+    counted = counted.unionByName(nodes.where(F.size("template") == 0).select("host", "template", "n", "b"))
+    # Each template with the counts of all nodes on its way from the root.
+    ways = leaves.select("host", "template").distinct().select("host", F.col("template").alias("leaf"), F.explode(prefixes).alias("template"))
+    ways = ways.join(counted, ["host", "template"]).groupBy("host", "leaf").agg(F.sort_array(F.collect_list(F.struct(F.size("template").alias("depth"), "n", "b"))).alias("way"))
+    share = F.aggregate("way", F.lit(0.0), lambda prior, x: F.when(x["depth"] > 0, (x["b"] + PRIOR * prior) / (x["n"] + PRIOR)).when(x["n"] > 0, x["b"] / x["n"]).otherwise(0.0))
+    return ways.select("host", F.col("leaf").alias("template"), share.alias("share"), F.get("way", F.lit(0))["n"].alias("of_host"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -112,15 +108,14 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select("page_id", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p")).select("page_id", F.coalesce("h", F.lit("")).alias("host"), F.coalesce("p", F.lit("")).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("shape", segments(F.col("path")))
-    counts = rows.groupBy("host", "shape").agg(F.count("by_rule").cast("double").alias("n"), F.count(F.when(F.col("by_rule") == "block", 1)).cast("double").alias("b"))
-    leaves = cut(generalise(counts), "leaves")
+    counts = rows.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("by_rule").cast("double").alias("n"), F.count(F.when(F.col("by_rule") == "block", 1)).cast("double").alias("b"))
+    leaves = generalise(counts)
     # The tree over all hosts: the same shapes, generalised over all hosts.
-    shapes = cut(generalise(leaves.groupBy("shape").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).withColumn("host", F.lit("*"))), "shapes")
+    shapes = generalise(leaves.groupBy("shape").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "b")]).withColumn("host", F.lit("*")))
     overall = shapes.join(purity(shapes.select("host", "template", "n", "b")), ["host", "template"]).select("shape", F.col("share").alias("overall"))
     own = purity(leaves.select("host", "template", "n", "b"))
     judged = (
-        leaves.join(own.select("host", "template", "share", "labelled"), ["host", "template"])
-        .join(own.where(F.size("template") == 0).select("host", F.col("labelled").alias("of_host")), "host")
+        leaves.join(own, ["host", "template"])
         .join(overall, "shape")
         # A host without labelled pages says nothing of its own; with few it is smoothed towards all hosts.
         .select("host", "shape", ((F.col("share") * F.least("of_host", F.lit(100.0)) + PRIOR * F.col("overall")) / (F.least("of_host", F.lit(100.0)) + PRIOR)).alias("share"))
