@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 200, 1 << 26
 #: Bits of an id filter (as powers of two, at least and at most), places a bit for each id, and bytes of each of Spark's bitmaps.
 LEAST_BITS, MOST_BITS, PLACES, BITMAP_BYTES = 20, 29, 16, 4096
+#: Where in a key its places begin.
+SHIFTS = (0, 7, 14, 21, 28, 35)
 #: Tasks that read files back, at most.
 FILE_TASKS = 10_000
 
@@ -71,29 +73,52 @@ class IdFilter:
     bitmap: np.ndarray
 
     def place(self, number: Column) -> Column:
-        return filter_place(number, self.bits)
+        return F.pmod(F.xxhash64(number), F.lit(1 << self.bits))
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return (self.bitmap[places >> 3] >> (places & 7)) & 1 > 0
 
     def passes(self, places: pa.Array) -> pa.Array:
         """Whether each place is set."""
-        at = places.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((self.bitmap[at >> 3] >> (at & 7)) & 1 > 0)
+        return pa.array(self.at(places.to_numpy(zero_copy_only=False).astype(np.int64)))
 
 
-def filter_place(number: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(number), F.lit(1 << bits))
+class KeyFilter(IdFilter):
+    """A Bloom filter of keys that are 64-bit hashes already; parts of a key are its places."""
 
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be one of the keys."""
+        found = np.ones(len(keys), bool)
+        for shift in SHIFTS:
+            found &= self.at((keys >> shift) & ((1 << self.bits) - 1))
+        return found
 
-def id_filter(ids: DataFrame, column: str = "id") -> IdFilter:
-    """The filter of all ids. It grows with their number up to 2 ** MOST_BITS bits (64 MB); with more ids than that it lets more of
-    the other rows pass, which costs shuffling but changes no result. A column may have any type that xxhash64 takes."""
-    n = max(ids.count(), 1)
-    bits = min(max((PLACES * n).bit_length(), LEAST_BITS), MOST_BITS)
+
+def _bitmap(places: DataFrame, bits: int) -> np.ndarray:
     own = 8 * BITMAP_BYTES
-    parts = ids.select(filter_place(F.col(column), bits).alias("at")).groupBy(F.expr(f"at div {own}").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % own).alias("bits"))
+    parts = places.groupBy(F.expr(f"at div {own}").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % own).alias("bits"))
     found = np.zeros((1 << bits) // 8, np.uint8)
     for r in parts.collect():
         found[r["part"] * BITMAP_BYTES :][:BITMAP_BYTES] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return IdFilter(bits, found)
+    return found
+
+
+def _bits(n: int) -> int:
+    return min(max((PLACES * max(n, 1)).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def id_filter(ids: DataFrame, column: str = "id") -> IdFilter:
+    """The filter of all ids, of any type that xxhash64 takes. It grows with their number up to 2 ** MOST_BITS bits (64 MB); with more ids
+    than that it lets more of the other rows pass, which costs shuffling but changes no result."""
+    bits = _bits(ids.count())
+    return IdFilter(bits, _bitmap(ids.select(F.pmod(F.xxhash64(column), F.lit(1 << bits)).alias("at")), bits))
+
+
+def key_filter(ids: DataFrame, column: str) -> KeyFilter:
+    """The filter of all keys, which are 64-bit hashes; sized as an id filter, and more exact."""
+    bits = _bits(ids.count())
+    places = F.array(*[F.shiftright(column, shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift in SHIFTS])
+    return KeyFilter(bits, _bitmap(ids.select(F.explode(places).alias("at")), bits))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
