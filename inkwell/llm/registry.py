@@ -34,5 +34,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from inkwell.llm import sql
 
-    found = {"op2_warc": sql.OP2}
+    found = {"op2_warc": sql.OP2, "op5_licenses": sql.OP5, "op7_minhash": sql.OP7, "op8_quality_rules": sql.OP8, "op10_url_filter": sql.OP10}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

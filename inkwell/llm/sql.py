@@ -1,5 +1,14 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from inkwell.llm.licenses import APART, BASE, PASSAGES, SHARED, VOTES
+from inkwell.llm.minhash import SIMILAR
+from inkwell.llm.quality import (
+    BOILERPLATE, JUDGED_WORDS, MAX_CAPITAL_WORDS, MAX_LOST, MAX_MARKS_PER_WORD, MAX_REPEATED_PCT, MAX_SYMBOLS_PER_WORD, MIN_WORDS, NOTICE_WORDS, UNENDED_WORDS,
+)
+from inkwell.llm.urls import BLOCK, LEAST_LABELLED, LEAST_SHARE, PRIOR, RULES, Z
+
 OP2 = """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS body, sha256(coalesce(html, '')) AS payload_digest
@@ -11,3 +20,102 @@ SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, p.payload_d
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND octet_length(body) >= 100
 """
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _templates() -> str:
+    rows = [(i, label, i < len(BASE), text) for i, (label, text) in enumerate((*BASE, *PASSAGES))]
+    return ", ".join(f"({i}, {_literal(label)}, {str(base).lower()}, string_split({_literal(text)}, ' '))" for i, label, base, text in rows)
+
+
+OP5 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t(template, label, base, ws) AS (VALUES {_templates()}),
+q AS (SELECT template, base, len(ws) AS size, q, ws[q + 1] || ' ' || ws[q + 2] || ' ' || ws[q + 3] AS g FROM (SELECT *, unnest(range(0, len(ws) - 2)) AS q FROM t)),
+p AS (SELECT r, p, ws[p + 1] || ' ' || ws[p + 2] || ' ' || ws[p + 3] AS g FROM (SELECT *, unnest(range(0, len(ws) - 2)) AS p FROM d WHERE len(ws) > 2)),
+v AS (SELECT r, template, base, size, p - q AS diagonal, list(q) AS qs, min(p) AS a, max(p) AS b FROM p JOIN q USING (g) GROUP BY r, template, base, size, p - q),
+x AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER w > {APART}, true)::INT AS fresh FROM v WHERE NOT base WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)),
+y AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS part FROM x),
+m AS (SELECT r, template, min(a) AS a, max(b) AS b, len(list_distinct(flatten(list(qs))))::DOUBLE / (any_value(size) - 2) AS votes FROM y GROUP BY r, template, part),
+s AS (
+  SELECT m.r, t.label, false AS base, a AS start, least(votes, shared) AS score
+  FROM m JOIN d ON d.r = m.r JOIN t USING (template), LATERAL (SELECT len(list_intersect(list_distinct(t.ws), list_distinct(d.ws[a + 1 : b + 3])))::DOUBLE / len(list_distinct(t.ws)) AS shared)
+  WHERE votes >= {VOTES} AND shared >= {SHARED}
+  UNION ALL SELECT v.r, t.label, true, diagonal, 1.0 FROM v JOIN t USING (template) WHERE v.base AND len(qs) = size - 2),
+n AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(score) AS score,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM s GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN n USING (r)
+"""
+
+OP7 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w)),
+t AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS h, count(*) AS n FROM sh GROUP BY doc_id),
+u AS (SELECT h, min(doc_id) AS id, any_value(n) AS n FROM t GROUP BY h),
+us AS (SELECT id, s, n FROM u JOIN sh ON sh.doc_id = u.id),
+e AS (SELECT a.id AS x, b.id AS y FROM us a JOIN us b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= {SIMILAR}::DOUBLE * (a.n + b.n - count(*))),
+c(id, label) AS (SELECT id, id FROM u UNION SELECT e.y, c.label FROM c JOIN e ON e.x = c.id)
+SELECT doc_id, label AS class_id FROM t JOIN u USING (h) JOIN (SELECT id, min(label) AS label FROM c GROUP BY id) k ON k.id = u.id
+"""
+
+_NOTICES = ", ".join(map(_literal, BOILERPLATE))
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+rp AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM g) CROSS JOIN (VALUES (0), (1), (2)) z(j) WHERE c > 1 GROUP BY r),
+l AS (SELECT r, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+k AS (
+  SELECT r, line, count(*) AS times, any_value(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n, any_value(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM l GROUP BY r, line),
+j AS (
+  SELECT r, times, chars,
+    NOT (len(regexp_extract_all(line, '[#*$%&|<>]')) > {MAX_SYMBOLS_PER_WORD} * n OR (bars >= 2 AND bars > {MAX_SYMBOLS_PER_WORD} * n) OR (n >= {JUDGED_WORDS} AND len(regexp_extract_all(line, '[!?]')) > {MAX_MARKS_PER_WORD} * n)
+      OR (n >= {JUDGED_WORDS} AND len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: regexp_matches(x, '^\p{{Lu}}{{2,}}([!?.,;:]|$)') OR regexp_matches(x, '^\p{{Lu}}[!?]{{2}}'))) > {MAX_CAPITAL_WORDS} * n)
+      OR (n <= {NOTICE_WORDS} AND len(list_filter([{_NOTICES}], lambda x: contains(lower(line), x))) > 0)
+      OR (n < {UNENDED_WORDS} AND NOT regexp_matches(line, '[.!?:;\x{{2026}}\x{{3002}}\x{{ff01}}\x{{ff1f}}]["''\x{{201d}}\x{{2019}}\x{{bb}})\]]*[\x20\x09-\x0D]*$'))) AS good
+  FROM k, LATERAL (SELECT len(regexp_extract_all(line, '[|»›•>]')) AS bars)),
+f AS (SELECT r, sum(times) - count(*) AS dup, coalesce(sum(chars) FILTER (good), 0) AS kept FROM j GROUP BY r),
+o AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, coalesce(rp.n, 0) AS n_repeat_words, coalesce(kept, 0) AS kept_chars
+  FROM d JOIN w USING (r) LEFT JOIN rp USING (r) LEFT JOIN f USING (r)),
+a AS (SELECT *, CASE WHEN word_chars = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - kept_chars::DOUBLE / word_chars END AS lost, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PCT} * n_words AS base_failed FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= {MAX_LOST} AS kept, round(lost, 6) AS lost_share FROM a
+"""
+
+_RULES = ", ".join(f"({_literal(v)}, {_literal(h)}, {_literal(p)})" for v, h, p in RULES)
+OP10 = rf"""
+WITH RECURSIVE p AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS a FROM pages),
+h AS (SELECT r, page_id, translate(regexp_extract(a, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+u(verdict, uh, up) AS (VALUES {_RULES}),
+x AS (SELECT r, arg_max(uh || up, length(uh || up)) AS rule, arg_max(verdict, length(uh || up)) AS verdict FROM h JOIN u ON (host = uh OR ends_with(host, '.' || uh)) AND starts_with(path, up) GROUP BY r),
+c AS (
+  SELECT h.*, rule, verdict,
+         list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN '{{n}}' WHEN regexp_full_match(s, '[0-9]+\.[A-Za-z0-9]+') THEN '{{n}}' || regexp_extract(s, '\.[A-Za-z0-9]+$')
+           WHEN regexp_full_match(s, '[0-9a-fA-F-]{{12,}}') THEN '{{hash}}' WHEN regexp_matches(s, '[0-9]') THEN '{{name}}' ELSE s END) AS shape
+  FROM h LEFT JOIN x USING (r)),
+l AS (SELECT host, shape, count(*) AS pages, count(verdict)::DOUBLE AS n, (count(*) FILTER (verdict = 'block'))::DOUBLE AS b FROM c GROUP BY host, shape),
+g(host, shape, pages, n, b, template, lvl) AS (
+  SELECT host, shape, pages, n, b, []::VARCHAR[], 0 FROM (SELECT host, shape, pages::DOUBLE AS pages, n, b FROM l UNION ALL SELECT '*', shape, sum(pages)::DOUBLE, sum(n), sum(b) FROM l GROUP BY shape)
+  UNION ALL
+  SELECT host, shape, pages, n, b, list_append(template, CASE WHEN sum(pages) OVER own >= {LEAST_SHARE}::DOUBLE * sum(pages) OVER every OR sum(n) OVER own >= {LEAST_LABELLED} OR starts_with(shape[lvl + 1], '{{') THEN shape[lvl + 1] ELSE '{{any}}' END), lvl + 1
+  FROM g WHERE len(shape) > lvl WINDOW own AS (PARTITION BY host, template, shape[lvl + 1]), every AS (PARTITION BY host, template)),
+f AS (SELECT * FROM g WHERE lvl = len(shape)),
+nd AS (SELECT host, template[1 : k] AS t, sum(n) AS n, sum(b) AS b FROM (SELECT *, unnest(range(0, len(template) + 1)) AS k FROM f) GROUP BY host, template[1 : k]),
+te AS (
+  SELECT a.host, a.t, a.t[1 : len(a.t) - 1] AS parent, a.n, a.b, a.n = 0 OR abs(a.b / greatest(a.n, 1) - base) <= {Z} * sqrt(base * (1 - base) / greatest(a.n, 1)) AS alike
+  FROM nd a JOIN nd q ON q.host = a.host AND q.t = a.t[1 : len(a.t) - 1], LATERAL (SELECT q.b / greatest(q.n, 1) AS base) WHERE len(a.t) > 0),
+po AS (SELECT host, parent, sum(n) AS n, sum(b) AS b FROM te WHERE alike GROUP BY host, parent),
+ef AS (SELECT te.host, te.t, CASE WHEN alike THEN po.n ELSE te.n END AS n, CASE WHEN alike THEN po.b ELSE te.b END AS b FROM te LEFT JOIN po ON po.host = te.host AND po.parent = te.parent),
+sh(host, template, d, share, of_host) AS (
+  SELECT f.host, f.template, 0, CASE WHEN nd.n > 0 THEN nd.b / nd.n ELSE 0.0 END, nd.n FROM (SELECT DISTINCT host, template FROM f) f JOIN nd ON nd.host = f.host AND len(nd.t) = 0
+  UNION ALL SELECT sh.host, sh.template, d + 1, (ef.b + {PRIOR} * share) / (ef.n + {PRIOR}), of_host FROM sh JOIN ef ON ef.host = sh.host AND ef.t = sh.template[1 : d + 1] WHERE d < len(sh.template)),
+own AS (SELECT f.host, f.shape, share, least(of_host, 100.0::DOUBLE) AS weight FROM f JOIN sh ON sh.host = f.host AND sh.template = f.template AND d = len(sh.template)),
+j AS (SELECT a.host, a.shape, (a.share * a.weight + {PRIOR} * o.share) / (a.weight + {PRIOR}) AS share FROM own a JOIN own o ON o.host = '*' AND o.shape = a.shape WHERE a.host <> '*')
+SELECT page_id, c.host, path, rule, coalesce(verdict, CASE WHEN share >= {BLOCK} THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN verdict IS NULL THEN round(share, 6) END AS share FROM c JOIN j ON j.host = c.host AND j.shape = c.shape
+"""

@@ -131,4 +131,4 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages")).withColumn("share", F.round("share", 6))
