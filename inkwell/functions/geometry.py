@@ -50,6 +50,18 @@ def cuts(p: Column, q: Column, side: Column) -> Column:
     return F.when(F.abs(det) <= TINY, along).otherwise(met)
 
 
+def bounds(sides: Column) -> Column:
+    """The polygon's box, wider by as much as a point may miss a side."""
+    at = lambda k: F.transform(sides, lambda e: e["a"][k])
+    return F.struct(*[(f(at(k)) + d).alias(n) for n, f, k, d in (("left", F.array_min, "x", -NEAR), ("right", F.array_max, "x", NEAR), ("top", F.array_min, "y", -NEAR), ("bottom", F.array_max, "y", NEAR))])
+
+
+def apart(p: Column, q: Column, box: Column) -> Column:
+    """Whether the segment passes the box by on one side."""
+    beside = lambda k, low, high: (F.greatest(p[k], q[k]) < box[low]) | (F.least(p[k], q[k]) > box[high])
+    return beside("x", "left", "right") | beside("y", "top", "bottom")
+
+
 def inside_length(p: Column, q: Column, sides: Column) -> Column:
     """Length of the segment's part inside the polygon."""
     length = F.hypot(q["x"] - p["x"], q["y"] - p["y"])
@@ -72,19 +84,20 @@ def inside_length(p: Column, q: Column, sides: Column) -> Column:
 def coverage(points: Column, polygon: Column) -> Column:
     """Struct (share, method): share of a line's length inside; of its points if it has no length. points: structs (x, y), null where unknown."""
 
-    def measure(sides: Column) -> Column:
+    def measure(s: Column) -> Column:
+        sides, box = s["sides"], s["box"]
         n = F.size(points)
         pairs = F.filter(
             F.zip_with(F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
             lambda s: s["a"].isNotNull() & s["b"].isNotNull(),
         )
         total = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]))
-        inside = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + inside_length(s["a"], s["b"], sides))
+        inside = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + F.when(apart(s["a"], s["b"], box), 0.0).otherwise(inside_length(s["a"], s["b"], sides)))
         known = F.filter(points, lambda p: p.isNotNull())
         share = F.size(F.filter(known, lambda p: contains(p["x"], p["y"], sides))) / F.greatest(F.size(known), F.lit(1))
         return let(total, lambda t: F.when(t > TINY, F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside / t)).alias("share"), F.lit("ARC_LENGTH").alias("method"))).otherwise(F.struct(share.cast("double").alias("share"), F.lit("POINT_FALLBACK").alias("method"))))
 
-    return let(edges(polygon), measure)
+    return let(let(edges(polygon), lambda e: F.struct(e.alias("sides"), bounds(e).alias("box"))), measure)
 
 
 def overlap(a: Column, b: Column, flat_equal: float, tiny: float = TINY) -> Column:
