@@ -1,4 +1,8 @@
-"""Training-corpus pipeline: toxicity, quality rules, near-duplicates, packing. A stage works on all that the one before kept."""
+"""Training-corpus pipeline: toxicity, quality rules, near-duplicates, packing. A stage works on all that the one before kept.
+
+Cases: null and empty texts fail the quality rules; rows without a doc_id are never copies; repeated rows are copies of each other;
+an empty table gives no places; other columns of the documents pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without their failing lines."""
     return quality.clean(docs)
 
 
@@ -32,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("quality rules", drop_poor), ("near-duplicates", drop_copies), ("packing", pack)]
-#: SQL can express neither the scores nor the packing; tests compare each stage with brute force.
+#: SQL can express neither the scores nor the packing; a test compares the kept documents and pieces with plain Python.
 ORACLE_SQL = None
 
 
