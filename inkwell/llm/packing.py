@@ -6,7 +6,7 @@ length by undominated fillings, least waste first, taking each as often as the c
 no room to beat the incumbent, and the search ends at the lower bound or after ``NODES`` nodes with the better packing of the two.
 Spark ranks every piece within its length and looks its place up in the plan, whose size doesn't depend on the corpus.
 
-Cases: a null text is an empty one and takes one token; repeated rows each get a place; equal lengths are ranked by key; an empty
+Cases: a null text is an empty one and takes one token; repeated rows each get a place; equal lengths are ranked by key and content; an empty
 table gives no places; other columns are ignored.
 """
 
@@ -202,10 +202,12 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = spark.sparkContext.broadcast(plan(counts, capacity))
     # A length may be as frequent as you like: it is ranked in many parts, whose first ranks are sums over the parts before.
     parts = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    # By its ids as well, so that rows of one number, or of none, are dealt too.
+    same = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
+    dealt = pieces.withColumn("_part", F.pmod(F.xxhash64(*same), F.lit(parts)))
     sizes = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     firsts = sizes.withColumn("_first", F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).drop("_n")
-    own = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "_part").orderBy(*same)) - 1
     ranked = dealt.withColumn("_own", own).join(firsts, ["length", "_part"]).withColumn("_rank", F.col("_own") + F.col("_first")).drop("_part", "_own", "_first")
 
     def run(batches):

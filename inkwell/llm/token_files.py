@@ -4,7 +4,7 @@ A file is: magic, ids as little-endian unsigned 16-bit integers (32-bit if an id
 bit per document that says whether its number is null, and a footer with the lengths of the parts. Files are bounded in size; a
 longer text has one of its own. Documents are found by select on the boundaries' stored samples.
 
-Order: ascending doc_id, null first, equal numbers by text. Cases: a null text is an empty one and gives the end id only;
+Order: ascending doc_id, null first, equal numbers by the hash of the text, then by text. Cases: a null text is an empty one and gives the end id only;
 repeated rows are all written; an empty table gives no files and an empty result; other columns are ignored.
 """
 
@@ -94,7 +94,8 @@ class Reader:
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write docs (doc_id, text) to files in folder; returns the manifest: part, number, file, n_docs, n_tokens."""
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))  # rows of one number, or of none, are dealt too
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     names = ["part", "number", "file", "n_docs", "n_tokens"]
 
     def run(batches):
