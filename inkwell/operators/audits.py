@@ -124,3 +124,32 @@ def inherited_splits(episodes: DataFrame, sequences: DataFrame, cases: DataFrame
 def alignment(aligned: DataFrame) -> DataFrame:
     """True events that don't stand for one episode."""
     return _rows(aligned.where("alignment_status <> 'ONE_TO_ONE'"), F.col("alignment_status"), "truth_event_id")
+
+
+def ownership(sequences: DataFrame, episodes: DataFrame) -> DataFrame:
+    """What sequences say of episodes that aren't there, that are in another split or of another participant or have other values, and
+    episodes that no sequence has or several have. sequences: session_id, participant_id, split, episode_ids, values, feature_mask."""
+    steps = sequences.select("session_id", "participant_id", "split", F.explode(F.arrays_zip("episode_ids", "values", "feature_mask")).alias("e"))
+    steps = steps.select("session_id", "participant_id", "split", F.col("e.episode_ids").alias("episode_id"), F.col("e.values").alias("values"), F.col("e.feature_mask").alias("mask"))
+    values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in FEATURES])
+    masks = F.array(*[F.col(f).isNotNull().cast("int") for f in FEATURES])
+    own = episodes.select("episode_id", F.col("session_id").alias("_session"), F.col("participant_id").alias("_participant"), F.col("split").alias("_split"), values.alias("_values"), masks.alias("_mask"))
+    both = steps.join(own, "episode_id", "full")
+    rule = (
+        F.when(F.col("_session").isNull(), "EPISODE_UNKNOWN")
+        .when(F.col("session_id").isNull(), "EPISODE_UNOWNED")
+        .when(~F.col("split").eqNullSafe(F.col("_split")), "EPISODE_SPLIT")
+        .when(~F.col("participant_id").eqNullSafe(F.col("_participant")), "EPISODE_PARTICIPANT")
+        .when((F.col("values") != F.col("_values")) | (F.col("mask") != F.col("_mask")), "EPISODE_VALUES")
+    )
+    twice = steps.groupBy("episode_id").agg(F.count("*").alias("n"), F.min("session_id").alias("session_id")).where("n > 1")
+    return _union([_rows(both.where(rule.isNotNull()), rule, "episode_id", F.coalesce("session_id", "_session")), _rows(twice, "EPISODE_REPEATED", "episode_id")])
+
+
+def inputs(rows: DataFrame) -> DataFrame:
+    """What a learner's rows (episode_id, split, features) have wrong: splits without rows, ids in all splits, values that aren't finite."""
+    none = F.lit(None).cast("string")
+    known = rows.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
+    spread = rows.groupBy("episode_id").agg(F.count_distinct("split").alias("n")).where(F.col("n") == len(SPLITS))
+    odd = F.exists(F.array(*[F.col(f).cast("double") for f in FEATURES]), lambda v: F.coalesce(F.isnan(v) | v.isin(float("inf"), float("-inf")), F.lit(False)))
+    return _union([_rows(known.join(rows, "split", "left_anti"), "SPLIT_EMPTY", "split", none), _rows(spread, "SPLIT_OVERLAP", "episode_id", none), _rows(rows.where(odd), "NOT_FINITE", "episode_id", none)])

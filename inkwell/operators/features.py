@@ -61,12 +61,15 @@ def missingness(rows: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def sequences(rows: DataFrame) -> DataFrame:
-    """A row per case: values (nulls as 0) and masks of its episodes in order."""
+    """A row per case: values (nulls as 0) and masks of its episodes in order, and its participant, split and targets, where rows have them."""
     values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in FEATURES])
     masks = F.array(*[F.col(f).isNotNull().cast("int") for f in FEATURES])
-    step = F.struct("episode_index", F.col("episode_id").alias("id"), values.alias("values"), masks.alias("mask"))
-    found = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(step)).alias("s"))
-    return found.select("session_id", *[_field(k).alias(a) for k, a in (("id", "episode_ids"), ("values", "values"), ("mask", "feature_mask"))], F.size("s").alias("n"))
+    targets = [F.col("target")] if "target" in rows.columns else []
+    known = [c for c in ("participant_id", "split") if c in rows.columns]
+    step = F.struct("episode_index", F.col("episode_id").alias("id"), values.alias("values"), masks.alias("mask"), *targets)
+    found = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(step)).alias("s"), *[F.first(c).alias(c) for c in known])
+    fields = [("id", "episode_ids"), ("values", "values"), ("mask", "feature_mask")] + ([("target", "targets")] if targets else [])
+    return found.select("session_id", *known, *[_field(k).alias(a) for k, a in fields], F.size("s").alias("n"))
 
 
 def _field(k: str):

@@ -180,6 +180,13 @@ def _moved_splits(spark, sf):
     return audits.inherited_splits(moved, cases, cases)
 
 
+def _ownership(spark, sf):
+    """Sequences against episodes of which some have since been moved, changed or lost."""
+    e, k = _episodes(spark, sf), F.col("episode_index")
+    moved = e.where(k % 31 != 30).withColumns({"split": F.when(k % 23 == 22, "elsewhere").otherwise(F.col("split")), "duration_s": F.when(k % 29 == 28, -1.0).otherwise(F.col("duration_s"))})
+    return audits.ownership(features.sequences(e), moved)
+
+
 def _split_audit(spark, sf):
     cases = _cases(spark, sf)
     manifests = dataset.split_manifests(cases, "pen", "1.0.0", 20260930)
@@ -278,6 +285,7 @@ def queries() -> dict:
         "feature_range_audit": _broken_ranges,
         "feature_split_audit": _moved_splits,
         "sequences": _sequences,
+        "sequence_ownership": _ownership,
         "sequence_lengths": lambda s, d: features.sequences(_episodes(s, d)).groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("cases")),
         "sequence_audit": lambda s, d: features.length_audit(features.sequences(_episodes(s, d))).withColumns({c: _round(c) for c in ("mean", "median", "p90")}),
         "normalizer_stats": lambda s, d: features.normalizer(_episodes(s, d)).select("feature", _round("mean").alias("mean"), _round("std").alias("std"), "constant"),

@@ -359,6 +359,9 @@ ORACLES["sequence_lengths"] = EPISODES + " SELECT n, count(*) AS cases FROM (SEL
 ORACLES["sequences"] = EPISODES + f""",
 sq AS (SELECT *, concat_ws('|', {', '.join(f"CASE WHEN {f} IS NULL THEN '0' ELSE '1' END" for f in FEATURES)}) AS mask, {' + '.join(f'coalesce({f}, 0)' for f in FEATURES)} AS total FROM ep)
 SELECT session_id, string_agg(episode_id, ',' ORDER BY episode_index) AS episode_ids, string_agg(mask, ',' ORDER BY episode_index) AS masks, floor(sum(total) * 100 + 0.5) / 100 AS total, count(*) AS n FROM sq GROUP BY session_id"""
+ORACLES["sequence_ownership"] = EPISODES + """
+SELECT CASE WHEN episode_index % 31 = 30 THEN 'EPISODE_UNKNOWN' WHEN episode_index % 23 = 22 THEN 'EPISODE_SPLIT' ELSE 'EPISODE_VALUES' END AS rule, session_id, episode_id AS id
+FROM ep WHERE episode_index % 31 = 30 OR episode_index % 23 = 22 OR episode_index % 29 = 28"""
 ORACLES["sequence_audit"] = EPISODES + f""",
 n AS (SELECT session_id, count(*) AS n FROM ep GROUP BY session_id)
 SELECT count(*) AS sequences, min(n) AS least, {_round('avg(n)')} AS mean, {_round('quantile_cont(n, 0.5)')} AS median, {_round('quantile_cont(n, 0.9)')} AS p90, max(n) AS greatest, count(*) FILTER (n >= 7) AS reaching FROM n"""

@@ -71,6 +71,13 @@ def pen_regions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(region_rows(), schema).withColumn("coordinate_space", F.lit("norm"))
 
 
+def default_regions(spark: SparkSession) -> DataFrame:
+    """Four squares: three on the first page, one on the second."""
+    places = [(1, 1, 0.0), (2, 1, 0.2), (3, 1, 0.4), (4, 2, 0.0)]
+    rows = [(f"region-q-{q:02d}", f"page-{p:02d}", f"q-{q:02d}", "rectangle", 0, [(x, 0.0), (x + 0.1, 0.0), (x + 0.1, 0.1), (x, 0.1)], "norm") for q, p, x in places]
+    return spark.createDataFrame(rows, "region_id string, page_id string, question_id string, region_type string, priority int, polygon array<struct<x: double, y: double>>, coordinate_space string")
+
+
 def truth_events(points: DataFrame) -> DataFrame:
     """True events of the fixture: one for every 7th point of a session, of that and the next point. Some have no page or no question,
     and every 7th of them names a point that isn't there."""

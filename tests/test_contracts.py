@@ -247,3 +247,31 @@ def test_datasets_are_verified(spark, tmp_path):
     assert {r.rule for r in store.verify(spark, path, ["a", "c"]).collect()} == {"UNLISTED_FILE", "MISSING_FILE", "TABLE_ABSENT"}
     with pytest.raises(ValueError, match="MISSING_FILE"):
         store.read_dataset(spark, path, ["a"])
+
+
+def test_json_lines_are_read_strictly(spark, tmp_path):
+    from inkwell.sources import pen
+
+    whole = {"point_id": "p", "session_id": "s", "page_id": None, "timestamp_ms": 1, "sequence": 0, "x": 1.0, "y": 2.0}
+    path = tmp_path / "points.jsonl"
+    path.write_text(json.dumps(whole) + "\n\n" + json.dumps(whole | {"point_id": "q"}) + "\n")
+    schema = "point_id string, session_id string, page_id string, timestamp_ms long, sequence long, x double, y double"
+    assert [r.point_id for r in pen.read_points(spark, str(path), schema).orderBy("point_id").collect()] == ["p", "q"]
+    path.write_text('{"point_id": \n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        pen.read_points(spark, str(path), schema).collect()
+    squares = pen.default_regions(spark)
+    assert contracts.region_violations(squares).count() == 0 and squares.count() == 4 and squares.select("page_id").distinct().count() == 2
+
+
+def test_sequences_own_each_episode_once(spark):
+    run = pipeline.run(spark.createDataFrame(actions([("q1", "p-1"), ("q2", "p-1"), ("q1", "p-1")]), RECORD), regions(spark))
+    rows = features.episodes(run.mappings).withColumn("split", F.lit("train"))
+    found = features.sequences(rows)
+    assert audits.ownership(found, rows).count() == 0
+    wrong = rows.where("episode_index > 0").withColumn("participant_id", F.when(F.col("episode_index") == 2, "other").otherwise(F.col("participant_id")))
+    new = rows.limit(1).withColumn("episode_id", F.lit("new"))
+    assert {(r.rule, r.id) for r in audits.ownership(found, wrong.unionByName(new)).collect()} == {("EPISODE_UNKNOWN", "s::stroke-0001"), ("EPISODE_PARTICIPANT", "s::stroke-0003"), ("EPISODE_UNOWNED", "new")}
+    assert {r.rule for r in audits.ownership(found.unionByName(found), rows).collect()} == {"EPISODE_REPEATED"}
+    odd = rows.withColumn("duration_s", F.lit(float("inf")))
+    assert {(r.rule, r.id) for r in audits.inputs(odd.limit(1)).collect()} >= {("SPLIT_EMPTY", "test"), ("SPLIT_EMPTY", "validation")} and audits.inputs(odd).where("rule = 'NOT_FINITE'").count() == 3
