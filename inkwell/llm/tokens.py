@@ -3,6 +3,9 @@
 The vocabularies here encode every match of their pattern by itself, so a text's ids are those of its matches one after the other.
 Natural text repeats its matches: they are looked up, and the library sees each new one once. Texts of other than the characters in
 ``PLAIN``, on whose classes all regular-expression engines agree, go to the library whole. Tests compare with encoding in one go.
+
+Cases: a null text is an empty one and has no ids; a very long text is encoded whole, its matches are held as long as its batch; a full
+memo starts anew and changes no result.
 """
 
 from __future__ import annotations
