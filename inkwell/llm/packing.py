@@ -3,7 +3,7 @@
 Lengths are bounded by the capacity, so the whole corpus is summed up by one count per length, and ``fill`` plans on these counts,
 all of them at once. Best-fit decreasing gives the first incumbent. The search then completes the bin of the largest remaining
 length by undominated fillings, least waste first, taking each as often as the counts last; a branch is cut once its waste leaves
-no room to beat the incumbent, and the search ends at the lower bound or after ``NODES`` nodes with the better packing of the two.
+no room to beat the incumbent, and the search ends at the lower bound or after ``EFFORT`` steps with the better packing of the two.
 Spark ranks every piece within its length and looks its place up in the plan, whose size doesn't depend on the corpus.
 
 Cases: a null text is an empty one and takes one token; repeated rows each get a place; equal lengths are ranked by key and content; an empty
@@ -23,8 +23,8 @@ from inkwell.llm.common import cut, prepare, table, tokenizer_file
 from inkwell.llm.tokens import file_encoder
 
 CAPACITY = 2048
-#: Effort of the search. All pieces are placed whatever it is.
-NODES = 20_000
+#: Steps of the search: fillings looked at, and comparisons of each with those before it. All pieces are placed whatever it is.
+EFFORT = 500_000
 
 Pattern = tuple[int, tuple[int, ...]]
 
@@ -77,7 +77,18 @@ def _exact(sizes: list[int], left: np.ndarray, reach: list[int], at: int, total:
                     yield (x,) * k + rest
 
 
-def fillings(left: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
+class Budget:
+    """Steps that a search has left."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self, steps: int = 1) -> bool:
+        self.left -= steps
+        return self.left > 0
+
+
+def fillings(left: np.ndarray, room: int, budget: Budget) -> Iterator[tuple[int, ...]]:
     """Undominated fillings of the room from the counts, least waste first. Between two results the counts must be the same."""
     if room and left[room]:
         yield (room,)  # it dominates all others
@@ -98,16 +109,18 @@ def fillings(left: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
     for total in range(room, -1, -1):
         if reach[0] >> total & 1:
             for f in _exact(sizes, left, reach, 0, total):
+                if not budget.spend(1 + len(kept)):
+                    return
                 if not any(_dominated(f, g) for g in kept):
                     kept.append(f)
                     yield f
 
 
-def completions(left: np.ndarray, capacity: int) -> Iterator[Pattern]:
+def completions(left: np.ndarray, capacity: int, budget: Budget) -> Iterator[Pattern]:
     """Ways to complete bins of the largest length: each filling as often as the counts last, then for one bin only."""
     largest = int(np.flatnonzero(left)[-1])
     left[largest] -= 1
-    found = fillings(left, capacity - largest)
+    found = fillings(left, capacity - largest, budget)
     for f in found:
         left[largest] += 1
         pattern = (largest, *f)
@@ -120,7 +133,7 @@ def completions(left: np.ndarray, capacity: int) -> Iterator[Pattern]:
     left[largest] += 1
 
 
-def fill(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+def fill(counts: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> list[Pattern]:
     """(number of bins, lengths in each) that use up the counts, in as few bins as the search finds."""
     left = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
@@ -130,9 +143,10 @@ def fill(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     total = int((left * np.arange(capacity + 1)).sum())
     bound = max(-(-total // capacity), int(left[capacity // 2 + 1 :].sum()))
     path: list[Pattern] = []
-    bins = waste = seen = 0
-    stack = [completions(left, capacity)] if total else []
-    while stack and least > bound and seen < nodes:
+    bins = waste = 0
+    budget = Budget(effort)
+    stack = [completions(left, capacity, budget)] if total else []
+    while stack and least > bound and budget.spend():
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
@@ -142,7 +156,6 @@ def fill(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
                 for x in pattern:
                     left[x] += n
             continue
-        seen += 1
         n, pattern = step
         lost = n * (capacity - sum(pattern))
         if waste + lost > (least - 1) * capacity - total:
@@ -152,7 +165,7 @@ def fill(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         for x in pattern:
             left[x] -= n
         if left.any():
-            stack.append(completions(left, capacity))
+            stack.append(completions(left, capacity, budget))
         else:
             best, least = list(path), bins
             stack.append(iter(()))

@@ -189,7 +189,7 @@ def test_bin_completion_beats_best_fit_on_many_items():
     left = np.zeros(2049, np.int64)
     for size, n in counts.items():
         left[size] = n
-    found = fill(counts, nodes=3000)
+    found = fill(counts)
     used = Counter()
     for n, pattern in found:
         assert sum(pattern) <= 2048
