@@ -196,7 +196,8 @@ def rest_links(left: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     total = by_class.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_TEXTS, size / BLOCK_BYTES))
     # Both texts of a bucket of two have been compared already.
-    unsettled = total.where("classes > 1 AND n > 2").select("key", F.col("top.label").alias("main"), blocks(F.col("n"), F.col("size")).alias("blocks"))
+    # Written, so that a bucket with most of the rows is a plain join's, which Spark deals anew.
+    unsettled = cut(total.where("classes > 1 AND n > 2").select("key", F.col("top.label").alias("main"), blocks(F.col("n"), F.col("size")).alias("blocks")), "unsettled")
     dealt = known.join(unsettled, "key").join(sets.select("id", "shingles"), "id")
     packed = F.collect_list(F.struct("id", "label", "shingles"))
     members = dealt.groupBy("key", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(packed.alias("members"))
