@@ -19,10 +19,10 @@ def new_file(folder: str, suffix: str) -> str:
 def open_output(uri: str):
     system, path = place(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)  # else a name's ending would compress it again
 
 
 def read_all(uri: str) -> bytes:
     system, path = place(uri)
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         return f.read()
