@@ -119,3 +119,79 @@ own AS (SELECT f.host, f.shape, share, least(of_host, 100.0::DOUBLE) AS weight F
 j AS (SELECT a.host, a.shape, (a.share * a.weight + {PRIOR} * o.share) / (a.weight + {PRIOR}) AS share FROM own a JOIN own o ON o.host = '*' AND o.shape = a.shape WHERE a.host <> '*')
 SELECT page_id, c.host, path, rule, coalesce(verdict, CASE WHEN share >= {BLOCK} THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN verdict IS NULL THEN round(share, 6) END AS share FROM c JOIN j ON j.host = c.host AND j.shape = c.shape
 """
+
+OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({text}) + 1), lambda i: ascii({text}[i])::BIGINT)), lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
+def _encoded(*values: str) -> str:
+    return " || ".join(f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || CAST({v} AS VARCHAR), '-')" for v in values)
+
+
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, n_chars, sha256({_encoded("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+         sha256({_encoded("doc_id", "source", "lang", "CAST(n_chars AS HUGEINT) + 1", "text")}) AS changed FROM documents),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM d),
+t(g, lvl, i, n, h) AS (
+  SELECT g, 0, i, n, leaf FROM p
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, lvl, i // 2, n),
+s AS (SELECT g, h, lvl FROM t WHERE n = 1),
+u(lvl, i, n, h) AS (
+  SELECT 0, g, count(*) OVER (), h FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 2, n),
+siblings AS (
+  SELECT p.r, t.lvl, t.h, (p.i >> t.lvl) % 2 AS side FROM p JOIN t ON t.g = p.g AND t.n > 1 AND t.i = xor(p.i >> t.lvl, 1)
+  UNION ALL
+  SELECT p.r, 1000 + u.lvl, u.h, (p.g >> u.lvl) % 2 FROM p JOIN u ON u.n > 1 AND u.i = xor(p.g >> u.lvl, 1)),
+steps AS (
+  SELECT p.r, x.lvl, s.h, s.side FROM p
+  JOIN (SELECT DISTINCT g, lvl FROM t WHERE n > 1 UNION SELECT s.g, 1000 + u.lvl FROM s CROSS JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) u) x ON x.g = p.g
+  LEFT JOIN siblings s ON s.r = p.r AND s.lvl = x.lvl),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl) AS k FROM steps),
+folded(r, k, h) AS (
+  SELECT r, 0, CASE WHEN n_chars IS NOT NULL AND {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN changed ELSE leaf END FROM p
+  UNION ALL
+  SELECT f.r, f.k + 1, sha256(CASE WHEN s.side = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END) FROM folded f JOIN numbered s ON s.r = f.r AND s.k = f.k + 1),
+proofs AS (SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY lvl), '')) AS proof_sha256 FROM steps GROUP BY r),
+ends AS (SELECT r, arg_max(h, k) AS folded_root FROM folded GROUP BY r)
+SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = (SELECT h FROM u WHERE n = 1) AS verified
+FROM p JOIN s ON s.g = p.g JOIN ends ON ends.r = p.r LEFT JOIN proofs ON proofs.r = p.r
+"""
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} AS h,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+a AS (SELECT *, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a FROM d),
+q AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS q FROM a),
+t AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % q + 1] END) ELSE ws END AS ws FROM q),
+w AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(ws) AS w FROM t),
+same AS (SELECT x.r, y.i - x.i AS p, x.i FROM w x JOIN w y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 3),
+islands AS (SELECT r, p, min(i) AS start, count(*) AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS k FROM same) GROUP BY r, p, k),
+runs AS (SELECT r, start, m + p AS length, min(p) AS period FROM islands WHERE m >= greatest(24 - p, 2 * p) GROUP BY r, start, m + p),
+best AS (SELECT r, start, length, period, row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM runs),
+lines AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS words FROM w ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM t LEFT JOIN lines USING (r) LEFT JOIN kept USING (r) LEFT JOIN best ON best.r = t.r AND best.k = 1
+"""
