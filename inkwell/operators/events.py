@@ -1,17 +1,21 @@
 """Process events from stroke mappings: visits, leaves, returns, revisions, page changes, writing, the end.
 
 What happens at a mapping depends on the mapping before it, on whether its question was seen before and on earlier ink in the same
-place, so windows per participant and task segment say it all; each mapping then yields an array of events that is exploded.
+place, so scans per participant and task segment say it all; each mapping then yields an array of events that is exploded. Sessions are
+scanned in pieces, and earlier ink is looked up in a grid, so neither a session nor a question has to fit a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.config import EventConfig
-from inkwell.functions.geometry import overlap
+from inkwell.operators.ink import touched
 from inkwell.operators.mapping import ink_box, writing_evidence
+from inkwell.operators.scan import PIECE_ROWS, by_counts, scan
 
 #: Place of each type among the events of one stroke.
 ORDER = {"PAGE_CHANGE": 0, "WRITING": 1, "QUESTION_LEAVE": 2, "QUESTION_VISIT": 3, "RETURN": 3, "REVISION_CANDIDATE": 4, "UNKNOWN": 5, "PROCESS_END": 6}
@@ -24,8 +28,19 @@ def known_page(c):
     return F.coalesce(~F.upper(F.trim(c)).isin("UNKNOWN", "PAGE_UNKNOWN", "PAGE-UNKNOWN"), F.lit(False))
 
 
-def states(mappings: DataFrame, config: EventConfig) -> DataFrame:
-    """mappings with what came before each: active mapping, known page, visits, pause, overlap with earlier ink."""
+#: What a group of mappings in one order is, and the order.
+GROUP, BY_TIME = ("session_id", "participant_bucket", "segment_bucket"), ("_untimed", "_start", "stroke_id")
+#: Mappings that begin in the same so many milliseconds are in one piece of a scan, and those without a time by so many first characters.
+BUCKET_MS, PREFIX = 60_000, 12
+
+
+def _keep(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def states(mappings: DataFrame, config: EventConfig, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """mappings with what came before each: active mapping, known page, visits, pause, overlap with earlier ink. They are read several
+    times, so it is best if they are a written table."""
     c = config
     rows = (
         mappings.withColumn("participant_bucket", F.coalesce("participant_id", F.lit(NO_PARTICIPANT)))
@@ -34,35 +49,41 @@ def states(mappings: DataFrame, config: EventConfig) -> DataFrame:
         .withColumn("writes", F.coalesce(writing_evidence(), F.lit(False)))
         .withColumn("ink", ink_box())
         .withColumn("page_known", known_page(F.col("page_id")))
+        .withColumns({"_untimed": F.col("start_time_ms").isNull(), "_start": F.coalesce("start_time_ms", F.lit(0))})
+        .withColumns({"_bucket": F.floor(F.col("_start") / BUCKET_MS), "_prefix": F.when(F.col("_untimed"), F.substring("stroke_id", 1, PREFIX)).otherwise("")})
     )
-    key = ("session_id", "participant_bucket", "segment_bucket")
-    by_time = (F.col("start_time_ms").isNull(), F.coalesce("start_time_ms", F.lit(0)), F.col("stroke_id"))
-    order = Window.partitionBy(*key).orderBy(*by_time)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     carried = F.struct("stroke_id", "question_id", "page_id", "start_time_ms", "end_time_ms", "point_refs", "quality_flags", "status", "participant_id", "task_segment_id")
-    rows = (
-        rows.withColumn("_page", F.last(F.when(F.col("page_known"), F.col("page_id")), ignorenulls=True).over(before))
-        .withColumn("_active", F.lag(F.when(F.col("is_mapped"), carried)).over(order))
-        .withColumn("_place", F.row_number().over(order))
-        .withColumn("_last", F.lead("stroke_id").over(order).isNull())
-        .withColumn("_seen", F.row_number().over(Window.partitionBy(*key, "is_mapped", "question_id").orderBy(*by_time)) > 1)
-        .withColumn("page_changed", F.coalesce(F.col("page_known") & (F.col("page_id") != F.col("_page")), F.lit(False)))
-    )
     traced = F.col("is_mapped") & F.col("ink").isNotNull() & F.col("page_id").isNotNull() & ~((F.col("ink.space") == "raw") & (F.col("ink.domain") == "unknown"))
-    history = Window.partitionBy(*key, "_traced", "question_id", "page_id", "ink.space", "ink.domain").orderBy(*by_time).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_traced", traced)
-    rows = rows.withColumn("_prior", F.when(F.col("_traced"), F.collect_list(F.when(F.col("writes"), F.col("ink.box"))).over(history)))
-    overlaps = F.coalesce(F.exists("_prior", lambda b: overlap(F.col("ink.box"), b, 1.0) >= c.revision_overlap_threshold), F.lit(False))
-    pause = F.coalesce(F.col("start_time_ms") - F.col("_active.end_time_ms") >= c.revision_pause_threshold_ms, F.lit(False))
-    return rows.withColumn("overlaps", overlaps).withColumn("paused", pause)
+    marks = rows.where(traced).select(
+        *GROUP, "question_id", "page_id", F.col("ink.space").alias("space"), F.col("ink.domain").alias("domain"), F.col("ink.box").alias("box"), "writes", F.struct(*BY_TIME).alias("at"), "stroke_id"
+    )
+    known = by_counts(rows, GROUP, ("_untimed", "_bucket", "_prefix"), piece_rows)
+    known = scan(
+        known, GROUP, BY_TIME, lag={"_active": F.when(F.col("is_mapped"), carried)}, last={"_page": F.when(F.col("page_known"), F.col("page_id"))}, ends="_last"
+    ).drop("_piece")
+    # Each question's first mapping; later ones come back to it.
+    first = rows.where("is_mapped").groupBy(*GROUP, "question_id").agg(F.min(F.struct(*BY_TIME)).alias("_first"))
+    found = known.join(first, [*GROUP, "question_id"], "left")
+    laps = touched(marks, (*GROUP, "question_id", "page_id", "space", "domain"), c.revision_overlap_threshold).select(*GROUP, "stroke_id", F.lit(True).alias("overlaps"))
+    found = found.join(laps, [*GROUP, "stroke_id"], "left")
+    return found.withColumns(
+        {
+            "_seen": F.coalesce(F.col("is_mapped") & (F.struct(*BY_TIME) > F.col("_first")), F.lit(False)),
+            "page_changed": F.coalesce(F.col("page_known") & (F.col("page_id") != F.col("_page")), F.lit(False)),
+            "overlaps": F.coalesce("overlaps", F.lit(False)),
+            "paused": F.coalesce(F.col("start_time_ms") - F.col("_active.end_time_ms") >= c.revision_pause_threshold_ms, F.lit(False)),
+        }
+    )
 
 
 def detect_events(
-    mappings: DataFrame, config: EventConfig | None = None, process_end_signal: bool = False, session_end_ms: int | None = None, task_segment_id: str | None = None
-) -> DataFrame:
-    """A row per event, numbered per session in order. task_segment_id: of events whose mapping has none."""
+    mappings: DataFrame, config: EventConfig | None = None, process_end_signal: bool = False, session_end_ms: int | None = None, task_segment_id: str | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = _keep, piece_rows: int = PIECE_ROWS,
+) -> DataFrame:
+    """A row per event, numbered per session in order. task_segment_id: of events whose mapping has none. keep: writes a table and reads
+    it again, since the mappings' events are both counted and numbered."""
     c = config or EventConfig()
-    rows = states(mappings, c)
+    rows = states(mappings, c, piece_rows)
     own, active = F.struct("stroke_id", "question_id", "page_id", "start_time_ms", "end_time_ms", "point_refs", "quality_flags", "status", "participant_id", "task_segment_id"), F.col("_active")
     text = lambda v: F.lit(None).cast("string") if v is None else (F.lit(v) if isinstance(v, str) else v)
 
@@ -104,7 +125,13 @@ def detect_events(
         )
     )
     rank = F.create_map(*[x for k, v in ORDER.items() for x in (F.lit(k), F.lit(v))])
-    found = rows.select("session_id", "participant_bucket", "segment_bucket", "participant_id", F.col("start_time_ms").alias("_t"), F.col("stroke_id").alias("_s"), F.posexplode(events).alias("_k", "e"))
-    order = Window.partitionBy("session_id").orderBy(F.col("_t").isNull(), F.coalesce("_t", F.lit(0)), "participant_bucket", "segment_bucket", "_s", rank[F.col("e.event_type")], "_k")
-    found = found.withColumn("sequence", (F.row_number().over(order) - 1).cast("long"))
+    ranked = F.transform(events, lambda e, k: F.struct(rank[e["event_type"]].alias("rank"), k.alias("k"), e.alias("e")))
+    ranked = F.array_sort(ranked, lambda a, b: F.when((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["k"] < b["k"])), -1).otherwise(1))
+    late = [F.when(F.col("_untimed"), F.col(c)).otherwise("").alias(f"_late_{c}") for c in GROUP[1:]]
+    found = rows.select(*GROUP, "participant_id", *BY_TIME, "_bucket", *late, "_prefix", F.transform(ranked, lambda r: r["e"]).alias("_events"))
+    # Events are numbered by the mappings before theirs in the session, and their place in their mapping's.
+    found = by_counts(keep(found.where(F.size("_events") > 0), "mapping-events"), ("session_id",), ("_untimed", "_bucket", *[f"_late_{c}" for c in GROUP[1:]], "_prefix"), piece_rows)
+    found = scan(found, ("session_id",), ("_untimed", "_start", "participant_bucket", "segment_bucket", "stroke_id"), total={"_upto": F.size("_events").cast("long")})
+    found = found.select("session_id", "participant_id", (F.col("_upto") - F.size("_events")).alias("_before"), F.posexplode("_events").alias("_k", "e"))
+    found = found.withColumn("sequence", F.col("_before") + F.col("_k"))
     return found.select(F.format_string("%s:event:%04d", "session_id", "sequence").alias("event_id"), "session_id", "participant_id", "sequence", "e.*", F.lit(VERSION).alias("algorithm_version"))

@@ -1,34 +1,95 @@
-"""Strokes to page regions by the share of their length inside."""
+"""Strokes to page regions by the share of their length inside.
+
+Each page has a grid; strokes and regions whose boxes share a cell and meet are candidates, and only those are clipped, so a page may
+have any number of regions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.config import MappingConfig
-from inkwell.functions.geometry import coverage, let
+from inkwell.functions.geometry import NEAR, coverage, let
+
+
+#: Cells of a page's grid on each side at most.
+MOST_CELLS = 256
+_BOX = ("left", "top", "right", "bottom")
+
+
+def _space() -> Column:
+    return F.when(F.col("coordinate_space") == "norm", "norm").otherwise("raw").alias("_space")
+
+
+def _extent(points: Column) -> Column:
+    """The box of the known points; null if there is none."""
+    known = F.filter(points, lambda p: p.isNotNull())
+    at = lambda f, k: f(F.transform(known, lambda p: p[k]))
+    return F.when(F.size(known) > 0, F.struct(*[at(f, k).alias(n) for f, k, n in zip((F.array_min, F.array_min, F.array_max, F.array_max), "xyxy", _BOX, strict=True)]))
+
+
+def _grid(regions: DataFrame) -> DataFrame:
+    """page_id, _space, and the corner, cells and cell sizes of a grid with about as many cells as the page has regions, none smaller than
+    a region is on average. regions: with box."""
+    b = lambda k: F.col(f"box.{k}")
+    grid = regions.groupBy("page_id", "_space").agg(
+        F.min(b("left")).alias("x0"), F.min(b("top")).alias("y0"), F.max(b("right")).alias("x1"), F.max(b("bottom")).alias("y1"),
+        F.least(F.ceil(F.sqrt(F.count("*"))), F.lit(MOST_CELLS)).alias("cells"), F.avg(b("right") - b("left")).alias("w"), F.avg(b("bottom") - b("top")).alias("h"),
+    )
+    size = lambda low, high, mean: F.greatest((F.col(high) - F.col(low)) / F.col("cells"), F.col(mean), F.lit(NEAR))
+    return grid.select("page_id", "_space", "x0", "y0", "cells", size("x0", "x1", "w").alias("sx"), size("y0", "y1", "h").alias("sy"))
+
+
+def _celled(rows: DataFrame) -> DataFrame:
+    """A row for each cell (ix, iy) that a row's box covers, and its first cells. rows: with the page's grid."""
+    at = lambda k, low, size: F.least(F.greatest(F.floor((F.col(f"box.{k}") - F.col(low)) / F.col(size)).cast("long"), F.lit(0)), F.col("cells"))
+    rows = rows.withColumns({"fx": at("left", "x0", "sx"), "fy": at("top", "y0", "sy"), "lx": at("right", "x0", "sx"), "ly": at("bottom", "y0", "sy")})
+    return rows.withColumn("ix", F.explode(F.sequence("fx", "lx"))).withColumn("iy", F.explode(F.sequence("fy", "ly"))).drop("x0", "y0", "cells", "sx", "sy", "lx", "ly")
+
+
+def near_regions(strokes: DataFrame, regions: DataFrame) -> DataFrame:
+    """session_id, stroke_index, regions: those of its page whose box meets the stroke's, by the cells of a grid on each page."""
+    box = _extent(F.col("polygon"))
+    wider = F.struct(*[(box[n] + d).alias(n) for n, d in zip(_BOX, (-NEAR, -NEAR, NEAR, NEAR), strict=True)])
+    placed = regions.withColumn("_space", _space()).withColumn("box", wider)
+    grid = _grid(placed)
+    region = F.struct("region_id", "question_id", "priority", "polygon", "coordinate_space")
+    there = _celled(placed.select("page_id", "_space", "box", region.alias("region")).join(grid, ["page_id", "_space"]))
+    there = there.select("page_id", "_space", "ix", "iy", "region", F.col("box").alias("_box"), F.col("fx").alias("_fx"), F.col("fy").alias("_fy"))
+    sides = F.array(*[F.struct(F.lit(n).alias("_space"), _extent(F.col(f"{n}_points")).alias("box")) for n in ("norm", "raw")])
+    ours = strokes.where(~F.array_contains("quality_flags", "PARTIAL_DATA")).select("session_id", "stroke_index", "page_id", F.explode(sides).alias("_side"))
+    ours = ours.select("session_id", "stroke_index", "page_id", "_side.*").where("box IS NOT NULL")
+    ours = _celled(ours.join(grid, ["page_id", "_space"]))
+    meet = (F.col("box.left") <= F.col("_box.right")) & (F.col("_box.left") <= F.col("box.right")) & (F.col("box.top") <= F.col("_box.bottom")) & (F.col("_box.top") <= F.col("box.bottom"))
+    # Of the cells that both have, a pair meets in the first.
+    once = (F.col("ix") == F.greatest("fx", "_fx")) & (F.col("iy") == F.greatest("fy", "_fy"))
+    pairs = ours.join(there, ["page_id", "_space", "ix", "iy"]).where(meet & once)
+    return pairs.groupBy("session_id", "stroke_index").agg(F.collect_list("region").alias("regions"))
 
 
 def candidates(strokes: DataFrame, regions: DataFrame, config: MappingConfig) -> DataFrame:
-    """strokes with best (array of candidates, best first) and seen: whether a region of the page saw a coordinate."""
-    pages = regions.groupBy("page_id").agg(F.collect_list(F.struct("region_id", "question_id", "priority", "polygon", "coordinate_space")).alias("regions"))
+    """strokes with best (array of candidates, best first) and seen: whether a region of the page saw a coordinate. strokes are read
+    twice, so it is best if they are a written table."""
+    norm = F.col("coordinate_space") == "norm"
+    pages = regions.groupBy("page_id").agg(F.bool_or(norm).alias("_sees_norm"), F.bool_or(~norm).alias("_sees_raw"))
 
     def measured(r):
         points = F.when(r["coordinate_space"] == "norm", F.col("norm_points")).otherwise(F.col("raw_points"))
-        seen = F.exists(points, lambda p: p.isNotNull())
-        return F.struct(F.when(seen, coverage(points, r["polygon"])).alias("c"), r["priority"].alias("priority"), r["region_id"].alias("region_id"), r["question_id"].alias("question_id"))
+        return F.struct(coverage(points, r["polygon"]).alias("c"), r["priority"].alias("priority"), r["region_id"].alias("region_id"), r["question_id"].alias("question_id"))
 
     unusable = F.array_contains("quality_flags", "PARTIAL_DATA") | F.col("page_id").isNull()
-    all_ = F.when(~unusable, F.transform(F.coalesce("regions", F.array()), measured)).otherwise(F.array())
-    rows = strokes.join(pages, "page_id", "left").withColumn("_all", all_).drop("regions")
+    rows = strokes.join(near_regions(strokes, regions), ["session_id", "stroke_index"], "left").join(pages, "page_id", "left")
+    rows = rows.withColumn("_all", F.transform(F.coalesce("regions", F.array()), measured)).drop("regions")
     good = F.filter("_all", lambda m: m["c"]["share"] >= config.min_coverage)
     best = F.sort_array(F.transform(good, lambda m: F.struct(m["c"]["share"].alias("coverage"), m["priority"], m["region_id"], m["question_id"], m["c"]["method"].alias("method"))), asc=False)
-    return rows.withColumn("best", best).withColumn("seen", F.exists("_all", lambda m: m["c"].isNotNull())).withColumn("unusable", unusable).drop("_all")
+    some = lambda points: F.exists(points, lambda p: p.isNotNull())
+    seen = F.coalesce((F.col("_sees_norm") & some("norm_points")) | (F.col("_sees_raw") & some("raw_points")), F.lit(False))
+    return rows.withColumn("best", best).withColumn("seen", seen).withColumn("unusable", unusable).drop("_all", "_sees_norm", "_sees_raw")
 
 
 def map_strokes(strokes: DataFrame, regions: DataFrame, config: MappingConfig | None = None) -> DataFrame:
-    """A mapping per stroke: MAPPED, UNKNOWN or AMBIGUOUS; the columns that events and features need are carried along. Whether the
-    regions are broadcast is up to Spark, which knows their size."""
+    """A mapping per stroke: MAPPED, UNKNOWN or AMBIGUOUS; the columns that events and features need are carried along."""
     c = config or MappingConfig()
     rows = candidates(strokes, regions, c)
     first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))

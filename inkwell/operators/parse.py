@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.operators.scan import PIECE_ROWS, by_number, scan
+
 PEN_STATES = ("DOWN", "MOVE", "UP", "UNKNOWN")
 
 
@@ -27,8 +29,9 @@ def _nested(df: DataFrame, name: str, kind: str) -> Column:
     return own
 
 
-def parse_points(records: DataFrame) -> DataFrame:
-    """records with raw_order, the place in a session's input. One shuffle by session; flags in a fixed order.
+def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """records with raw_order, the place in a session's input. Flags are in a fixed order. Sessions are scanned in pieces of piece_rows
+    places, so none has to fit a task.
 
     Out of order: behind the last known sequence or time of the same session and page. Duplicate: the id occurs twice in a session.
     An empty page counts as missing, though it stays a page of its own. source_index is the input's, if that is a number from 0 on.
@@ -54,13 +57,10 @@ def parse_points(records: DataFrame) -> DataFrame:
         F.when(pen.isin(*PEN_STATES), pen).otherwise("UNKNOWN").alias("pen_state"),
         F.when((source >= 0) & (source == F.floor(source)), source.cast("long")).otherwise(F.col("raw_order").cast("long")).alias("source_index"),
     )
-    page = Window.partitionBy("session_id", "page_id").orderBy("raw_order").rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        rows.repartition("session_id")
-        .withColumn("_copies", F.count("*").over(Window.partitionBy("session_id", "point_id")))
-        .withColumn("_seq", F.last("sequence_payload", ignorenulls=True).over(page))
-        .withColumn("_time", F.last("timestamp_ms", ignorenulls=True).over(page))
-    )
+    page = F.coalesce(F.concat(F.lit("p"), "page_id"), F.lit("none"))
+    rows = rows.withColumns({"_page": page, "_piece": by_number(F.coalesce("raw_order", F.lit(0)), piece_rows), "_at": F.coalesce("raw_order", F.lit(0))})
+    rows = scan(rows, ("session_id", "_page"), ("_at",), last={"_seq": F.col("sequence_payload"), "_time": F.col("timestamp_ms")})
+    rows = rows.withColumn("_copies", F.count("*").over(Window.partitionBy("session_id", "point_id")))
     whole = F.col("sequence_payload") == F.floor("sequence_payload")
     bad_norm = (F.col("_xn").isNull() != F.col("_yn").isNull()) | ~F.col("_xn").between(0, 1) | ~F.col("_yn").between(0, 1)
     bad_norm = F.coalesce(bad_norm, F.lit(False)) | (F.col("_xn").isNull() != F.col("_yn").isNull())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import StrokeConfig
+from inkwell.operators.scan import PIECE_ROWS, by_number, scan
 
 #: Version of the stroke rules that every stroke carries.
 VERSION = "inkwell-stroke-1"
@@ -14,17 +15,17 @@ _INCOMPLETE = ("INVALID_COORDINATE", "MISSING_TIMESTAMP", "MISSING_PAGE", "MISSI
 _PARTIAL = ("DUPLICATE_POINT", "OUT_OF_ORDER")
 
 
-def with_stroke_index(points: DataFrame, config: StrokeConfig | None = None) -> DataFrame:
+def with_stroke_index(points: DataFrame, config: StrokeConfig | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """points with stroke_index, and lengths norm_step and raw_step from the point before in the same stroke.
 
     A new stroke begins where the context changes, where the time or the normalised distance from the point before is too
     large (unknown ones aren't), or where the pen comes down after it was up. Who wrote the point before doesn't matter, so the
-    window is a session's.
+    scan is over a session, in pieces of piece_rows places.
     """
     c = config or StrokeConfig()
-    order = Window.partitionBy("session_id").orderBy("raw_order")
-    before = {k: F.lag(k).over(order) for k in (*CONTEXT, "timestamp_ms", "x_norm", "y_norm", "x_raw", "y_raw", "pen_state", "raw_order")}
-    rows = points.withColumns({f"_{k}": v for k, v in before.items()})
+    before = (*CONTEXT, "timestamp_ms", "x_norm", "y_norm", "x_raw", "y_raw", "pen_state", "raw_order")
+    rows = points.withColumn("_piece", by_number(F.col("raw_order"), piece_rows))
+    rows = scan(rows, ("session_id",), ("raw_order",), lag={f"_{k}": F.col(k) for k in before})
     same = F.lit(True)
     for k in CONTEXT:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -35,12 +36,13 @@ def with_stroke_index(points: DataFrame, config: StrokeConfig | None = None) ->
     starts = F.col("_raw_order").isNull() | ~same | ~near_in_time | ~near_in_space | F.coalesce(down, F.lit(False))
     raw = F.hypot(F.col("x_raw") - F.col("_x_raw"), F.col("y_raw") - F.col("_y_raw"))
     rows = rows.withColumn("_starts", starts).withColumn("norm_step", F.when(~F.col("_starts"), step)).withColumn("raw_step", F.when(~F.col("_starts"), raw))
-    return rows.withColumn("stroke_index", F.sum(F.col("_starts").cast("long")).over(order)).drop("_starts", *[f"_{k}" for k in before])
+    rows = rows.drop(*[f"_{k}" for k in before])
+    return scan(rows, ("session_id",), ("raw_order",), total={"stroke_index": F.col("_starts").cast("long")}).drop("_starts", "_piece")
 
 
-def build_strokes(points: DataFrame, config: StrokeConfig | None = None) -> DataFrame:
+def build_strokes(points: DataFrame, config: StrokeConfig | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """A row per stroke, with its points' coordinates and times in processed order for the operators that follow."""
-    rows = with_stroke_index(points, config)
+    rows = with_stroke_index(points, config, piece_rows)
     usable_norm, usable_raw = F.col("x_norm").isNotNull() & F.col("y_norm").isNotNull(), F.col("x_raw").isNotNull() & F.col("y_raw").isNotNull()
     usable = usable_norm | usable_raw
     # Operators that look points up by id get the last of several with the same one.

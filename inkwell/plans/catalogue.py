@@ -25,22 +25,16 @@ def _points(spark, sf):
 
 
 def _strokes(spark, sf):
-    return strokes.build_strokes(_points(spark, sf), pen.STROKES)
+    """Points are read several times, so they are written first."""
+    return strokes.build_strokes(store.keeper(spark, "points")(_points(spark, sf), "points"), pen.STROKES)
 
 
-def _run(spark, sf) -> pipeline.Run:
-    """The run's tables are used by several branches of a query, so they are written once."""
-    folder = store.scratch_dir(spark, "run")
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    return pipeline.run(pen.pen_points(spark, sf), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS, keep=keep)
+def _run(spark, sf, keep_events: bool = True) -> pipeline.Run:
+    return pipeline.run(pen.pen_points(spark, sf), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS, keep_events=keep_events)
 
 
 def _lazy_run(spark, sf) -> pipeline.Run:
-    return pipeline.run(pen.pen_points(spark, sf), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS)
+    return _run(spark, sf, keep_events=False)
 
 
 def _splits(points: DataFrame) -> DataFrame:
@@ -48,9 +42,9 @@ def _splits(points: DataFrame) -> DataFrame:
 
 
 def _episodes(spark, sf):
-    """Episodes with the split of their participant."""
+    """Episodes with the split of their participant, written, since most queries read them several times."""
     r = _lazy_run(spark, sf)
-    return features.episodes(r.mappings, pen.FEATURES).join(_splits(pen.pen_points(spark, sf)), "participant_id")
+    return store.keeper(spark, "episodes")(features.episodes(r.mappings, pen.FEATURES).join(_splits(r.points), "participant_id"), "episodes")
 
 
 def _cases(spark, sf):
@@ -59,6 +53,11 @@ def _cases(spark, sf):
     return cases.join(_splits(points), "participant_id")
 
 
+def _frames(spark, sf):
+    p = store.keeper(spark, "points")(_points(spark, sf), "points")
+    return replay.replay_frames(p, strokes.build_strokes(p, pen.STROKES))
+
+
 def _aligned(spark, sf):
     return truth.align(_episodes(spark, sf), pen.truth_events(_points(spark, sf)))
 
@@ -258,8 +257,8 @@ def queries() -> dict:
         "process_ends": lambda s, d: _events(s, d, "PROCESS_END"),
         "process_events": lambda s, d: _events(s, d),
         "event_type_counts": _with_lazy_run(lambda r: r.events.groupBy("event_type", "quality_status").agg(F.count("*").alias("n"))),
-        "replay_frames": lambda s, d: replay.replay_frames(p := _points(s, d), strokes.build_strokes(p, pen.STROKES)).select("session_id", "frame_index", "point_id", "stroke_id", "page_id"),
-        "replay_page_order": lambda s, d: replay.page_order(replay.replay_frames(p := _points(s, d), strokes.build_strokes(p, pen.STROKES))),
+        "replay_frames": lambda s, d: _frames(s, d).select("session_id", "frame_index", "point_id", "stroke_id", "page_id"),
+        "replay_page_order": lambda s, d: replay.page_order(_frames(s, d)),
         "trace_resolution": _with_run(lambda r: trace.traces(r.events, r.strokes, _single(r.points))),
         "trace_errors": _with_run(lambda r: r.traces.where("error IS NOT NULL").groupBy("session_id", "event_type", "error").agg(F.count("*").alias("n"))),
         "run_status": _with_run(_status),

@@ -1,4 +1,4 @@
-"""The whole run as one lazy plan: points, strokes, mappings, events, replay, traces, status."""
+"""The whole run: points, strokes and mappings as written tables, since each is read several times; the rest lazily."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.config import EventConfig, MappingConfig, StrokeConfig
 from inkwell.operators import events, mapping, parse, replay, strokes, trace
+from inkwell.sources import store
 
 
 @dataclass(frozen=True)
@@ -35,15 +36,17 @@ class Run:
 def run(
     records: DataFrame, regions: DataFrame, stroke_config: StrokeConfig | None = None, mapping_config: MappingConfig | None = None, event_config: EventConfig | None = None,
     process_end_signal: bool = False, session_end_ms: int | None = None, session_id: str | None = None, task_segment_id: str | None = None, adapter: Callable[[DataFrame], DataFrame] | None = None,
-    keep: Callable[[DataFrame, str], DataFrame] | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] | None = None, keep_events: bool = False,
 ) -> Run:
     """adapter: from a device's records to canonical ones. session_id, task_segment_id: what all points must belong to; others raise
-    when they are read. keep: writes a table and reads it again, for a run of which several tables are wanted."""
-    keep = keep or (lambda df, name: df)
+    when they are read. keep: writes a table and reads it again; by default to a scratch folder. keep_events: whether the events are
+    written too, for a run of which several tables are wanted."""
+    keep = keep or store.keeper(records.sparkSession, "run")
     points = keep(guard(parse.parse_points(adapter(records) if adapter else records), session_id, task_segment_id), "points")
     found = keep(strokes.build_strokes(points, stroke_config), "strokes")
     mapped = keep(mapping.map_strokes(found, regions, mapping_config), "mappings")
-    return Run(points, found, mapped, keep(events.detect_events(mapped, event_config, process_end_signal, session_end_ms, task_segment_id), "events"))
+    made = events.detect_events(mapped, event_config, process_end_signal, session_end_ms, task_segment_id, keep)
+    return Run(points, found, mapped, keep(made, "events") if keep_events else made)
 
 
 def guard(points: DataFrame, session_id: str | None, task_segment_id: str | None) -> DataFrame:

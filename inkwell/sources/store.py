@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ def scratch_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def keeper(spark: SparkSession, what: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes a table to a new scratch folder and reads it again, so that what follows doesn't compute it twice and
+    doesn't depend on the executors that made it."""
+    folder = scratch_dir(spark, what)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return keep
+
+
 def _table_of(path: Column) -> tuple[Column, Column]:
     """Table and place within it of a data file's path."""
     place = F.regexp_extract(path, r"/tables/(.*)$", 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkwell.config import EventConfig, MappingConfig, StrokeConfig
 from inkwell.functions import geometry
-from inkwell.operators import dataset, features, metrics, parse, strokes, wire
+from inkwell.operators import dataset, events, features, mapping, metrics, parse, strokes, wire
 from inkwell.plans import pipeline
 from inkwell.sources import pen
 
@@ -36,34 +36,58 @@ def actions(plan, step=2000, still=False):
     return rows
 
 
-def kinds(spark, plan, step=2000, still=False, **more):
-    run = pipeline.run(spark.createDataFrame(actions(plan, step, still), RECORD), regions(spark, ("p-1", "p-2")), StrokeConfig(), MappingConfig(), more.pop("config", EventConfig()), **more)
-    return [r.event_type for r in run.events.orderBy("sequence").collect()]
+DEFAULT = EventConfig()
+#: Sessions of one run: (plan, ms between actions, whether they stay on one line).
+SESSIONS = {
+    "visits": ([("q1", "p-1"), ("q2", "p-1"), ("q1", "p-1")], 2000, False),
+    "pause": ([("q1", "p-1"), ("q1", "p-1")], 5000, True),
+    "no-pause": ([("q1", "p-1"), ("q1", "p-1")], 2000, True),
+    "reentry": ([("q1", "p-1"), ("q2", "p-1"), ("q1", "p-1")], 2000, True),
+    "pages": ([("q1", "p-1"), ("q1", "p-2")], 2000, False),
+    "unmapped": ([("q1", "p-1"), (None, "p-1")], 2000, False),
+    "counts": ([("q1", "p-1"), ("q2", "p-1"), ("q1", "p-1"), ("q2", "p-1"), ("q1", "p-1")], 2000, False),
+    "one": ([("q1", "p-1")], 2000, False),
+    "double": ([("q1", "p-1")], 2000, False),
+}
 
 
-def test_visits_leaves_returns(spark):
-    assert kinds(spark, [("q1", "p-1"), ("q2", "p-1"), ("q1", "p-1")]) == ["WRITING", "QUESTION_VISIT", "WRITING", "QUESTION_LEAVE", "QUESTION_VISIT", "WRITING", "QUESTION_LEAVE", "RETURN"]
+@pytest.fixture(scope="module")
+def shared(spark):
+    """One run of all sessions; in the one named double both points have one id."""
+    rows = [(r[0], name, *r[2:]) for name, plan in SESSIONS.items() for r in actions(*plan)]
+    first = next(r for r in rows if r[1] == "double")
+    rows = [(first[0], *r[1:]) if r[1] == "double" else r for r in rows]
+    return pipeline.run(spark.createDataFrame(rows, RECORD), regions(spark, ("p-1", "p-2")), StrokeConfig(), MappingConfig(), DEFAULT, keep_events=True)
 
 
-def test_revision_after_a_pause(spark):
-    assert kinds(spark, [("q1", "p-1"), ("q1", "p-1")], 5000, True) == ["WRITING", "QUESTION_VISIT", "WRITING", "REVISION_CANDIDATE"]
-    assert kinds(spark, [("q1", "p-1"), ("q1", "p-1")], 2000, True) == ["WRITING", "QUESTION_VISIT", "WRITING"]
-    assert kinds(spark, [("q1", "p-1"), ("q2", "p-1"), ("q1", "p-1")], 2000, True)[-1] == "REVISION_CANDIDATE"
+def kinds(run, session, detected=None):
+    rows = run.events if detected is None else detected
+    return [r.event_type for r in rows.where(F.col("session_id") == session).orderBy("sequence").collect()]
 
 
-def test_same_question_on_another_page_returns(spark):
-    assert kinds(spark, [("q1", "p-1"), ("q1", "p-2")])[-4:] == ["PAGE_CHANGE", "WRITING", "QUESTION_LEAVE", "RETURN"]
+def test_visits_leaves_returns(shared):
+    assert kinds(shared, "visits") == ["WRITING", "QUESTION_VISIT", "WRITING", "QUESTION_LEAVE", "QUESTION_VISIT", "WRITING", "QUESTION_LEAVE", "RETURN"]
 
 
-def test_end_needs_a_signal_or_a_timeout(spark):
-    plan = [("q1", "p-1")]
-    assert "PROCESS_END" not in kinds(spark, plan)
-    assert kinds(spark, plan, process_end_signal=True)[-1] == "PROCESS_END"
-    assert kinds(spark, plan, config=EventConfig(process_end_timeout_ms=100), session_end_ms=200)[-1] == "PROCESS_END"
+def test_revision_after_a_pause(shared):
+    assert kinds(shared, "pause") == ["WRITING", "QUESTION_VISIT", "WRITING", "REVISION_CANDIDATE"]
+    assert kinds(shared, "no-pause") == ["WRITING", "QUESTION_VISIT", "WRITING"]
+    assert kinds(shared, "reentry")[-1] == "REVISION_CANDIDATE"
 
 
-def test_unmapped_leaves_then_unknown(spark):
-    assert kinds(spark, [("q1", "p-1"), (None, "p-1")]) == ["WRITING", "QUESTION_VISIT", "WRITING", "QUESTION_LEAVE", "UNKNOWN"]
+def test_same_question_on_another_page_returns(shared):
+    assert kinds(shared, "pages")[-4:] == ["PAGE_CHANGE", "WRITING", "QUESTION_LEAVE", "RETURN"]
+
+
+def test_end_needs_a_signal_or_a_timeout(shared):
+    one = shared.mappings.where("session_id = 'one'")
+    assert "PROCESS_END" not in kinds(shared, "one")
+    assert kinds(shared, "one", events.detect_events(one, process_end_signal=True))[-1] == "PROCESS_END"
+    assert kinds(shared, "one", events.detect_events(one, EventConfig(process_end_timeout_ms=100), session_end_ms=200))[-1] == "PROCESS_END"
+
+
+def test_unmapped_leaves_then_unknown(shared):
+    assert kinds(shared, "unmapped") == ["WRITING", "QUESTION_VISIT", "WRITING", "QUESTION_LEAVE", "UNKNOWN"]
 
 
 def test_point_flags(spark):
@@ -116,35 +140,31 @@ def test_clipping_agrees_with_fine_sampling(spark):
 
 def test_point_fallback_and_ambiguity(spark):
     same = [r[:9] + (10.0, 50.0, 0.1, 0.5) + r[13:] for r in actions([("q1", "p-1")])]
-    run = pipeline.run(spark.createDataFrame(same, RECORD), regions(spark))
-    assert run.mappings.first().mapping_method == "POINT_FALLBACK"
+    found = strokes.build_strokes(parse.parse_points(spark.createDataFrame(same, RECORD)))
+    assert mapping.map_strokes(found, regions(spark)).first().mapping_method == "POINT_FALLBACK"
     twice = regions(spark).unionByName(spark.createDataFrame([("again", "p-1", "q9", 0, square(0.0), "norm")], REGION))
-    assert pipeline.run(spark.createDataFrame(same, RECORD), twice).mappings.first().status == "AMBIGUOUS"
+    assert mapping.map_strokes(found, twice).first().status == "AMBIGUOUS"
 
 
-def test_visit_and_return_counts(spark):
-    plan = [("q1", "p-1"), ("q2", "p-1"), ("q1", "p-1"), ("q2", "p-1"), ("q1", "p-1")]
-    run = pipeline.run(spark.createDataFrame(actions(plan), RECORD), regions(spark))
-    rows = features.episodes(run.mappings).orderBy("episode_index").collect()
+def test_visit_and_return_counts(shared):
+    found = features.episodes(shared.mappings.where("session_id = 'counts'"))
+    rows = found.orderBy("episode_index").collect()
     assert [(r.visit_index, r.return_count) for r in rows] == [(1, 0), (1, 0), (2, 1), (2, 1), (3, 2)]
     assert all(r.duration_s == pytest.approx(0.05) and r.quality_valid == 1 for r in rows)
-    assert features.sequences(features.episodes(run.mappings)).first().n == 5
+    assert features.sequences(found).first().n == 5
 
 
-def test_trace_and_status(spark):
-    run = pipeline.run(spark.createDataFrame(actions([("q1", "p-1")]), RECORD), regions(spark))
-    assert run.status.first().quality_status == "OK" and run.traces.where("error IS NOT NULL").count() == 0
-    double = actions([("q1", "p-1")])
-    double[1] = (double[0][0],) + double[1][1:]
-    run = pipeline.run(spark.createDataFrame(double, RECORD), regions(spark))
-    assert run.status.first().quality_status == "DEGRADED" and run.traces.where("error = 'DUPLICATE_POINT_ID'").count() > 0
+def test_trace_and_status(shared):
+    status = {r.session_id: r.quality_status for r in shared.status.collect()}
+    assert (status["one"], status["double"]) == ("OK", "DEGRADED")
+    errors = {(r.session_id, r.error) for r in shared.traces.where("error IS NOT NULL").collect()}
+    assert errors == {("double", "DUPLICATE_POINT_ID")}
 
 
-def test_wire_rules(spark):
-    run = pipeline.run(spark.createDataFrame(actions([("q1", "p-1"), (None, "p-1")]), RECORD), regions(spark))
-    wired = wire.wire_events(run.events)
-    assert wire.violations(wired).count() == 0 and wire.unresolved(wired, run.points, run.strokes).count() == 0 and wire.batches(wired, "v1").first().one_version
-    lost = wire.unresolved(wired, run.points.where("raw_order <> 0"), run.strokes.where("stroke_index <> 2")).collect()
+def test_wire_rules(shared):
+    wired = wire.wire_events(shared.events).where("session_id = 'unmapped'")
+    assert wire.violations(wired).count() == 0 and wire.unresolved(wired, shared.points, shared.strokes).count() == 0 and wire.batches(wired, "v1").first().one_version
+    lost = wire.unresolved(wired, shared.points.where("raw_order <> 0"), shared.strokes.where("stroke_index <> 2")).collect()
     assert {tuple(r.missing_points) for r in lost} == {("pt-0-0",), ()} and {tuple(r.missing_strokes) for r in lost} == {("stroke-0002",), ()}
 
 
