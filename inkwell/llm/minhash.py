@@ -1,9 +1,9 @@
 """Near-duplicate classes by ProbMinHash: five-word shingles, exponential arrivals, banding, exact verification.
 
-1. Each text's shingles give a signature of ``REGISTERS`` registers. A shingle sends arrivals of rate 1, however often the text has
-   it, to random registers; a register keeps the shingle that came first, so two texts agree in a register with the probability
-   Jaccard similarity of their shingle sets, which is what links are verified by. A shingle stops once its next arrival is later
-   than all registers.
+1. Each text's shingles, weighted by how often the text has them, give a signature of ``REGISTERS`` registers. A shingle sends
+   exponential arrivals, at the rate of its weight, to random registers; a register keeps the shingle that came first, so two texts
+   agree in a register with the probability Jaccard similarity of their weighted shingles, which is what links are verified by. A
+   shingle stops once its next arrival is later than all registers.
 2. Texts with the same shingles and counts are one text from here on, however many copies there are, and known by a number of its
    own, so rows that share a doc_id but not a text stay apart.
 3. Texts that agree in all registers of a band share a bucket. In each bucket everything is compared with one centre, the text with
@@ -11,7 +11,9 @@
    classes.
 4. Where a bucket's texts are then in several classes, those outside its largest class are compared with all its texts, in blocks;
    every two texts of a bucket have then been compared or are in one class.
-5. A link needs a Jaccard similarity of the shingle sets of ``SIMILAR`` or more.
+5. A link needs a probability Jaccard similarity of ``SIMILAR`` or more: the sum, over shared shingles i, of
+   1 / sum over j of max(x_j / x_i, y_j / y_i). Where no shingle repeats, that is the Jaccard similarity of the sets; a part that one
+   text has many more times than the other makes them less alike.
 
 Cases: texts of fewer than five words have one shingle of all their words; null and empty texts are copies of each other; a null
 doc_id gives a null class, and ``deduplicate`` keeps its row; repeated rows are copies; rows of one doc_id with different texts are
@@ -33,6 +35,8 @@ WORDS, SIMILAR = 5, 0.8
 #: Bands of so many registers: a pair of similarity 0.8 misses all of them with a probability of (1 - 0.8 ** 4) ** 24 = 3e-6.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
+#: What similarities may miss SIMILAR by, since they are sums of fractions; and products of block matrices, of single precision.
+ROUNDING, COARSE = 1e-9, 1e-3
 #: Texts and bytes of shingle sets in a block of a bucket, and columns of the matrices that blocks are compared by.
 BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 64, 1 << 18, 1 << 14
 #: Texts of a bucket that one task compares with its centre.
@@ -71,25 +75,25 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """ProbMinHash registers of several sets at once, all weights 1: the upper halves of the winning shingles' hashes."""
+    """ProbMinHash registers of several weighted sets at once: the upper halves of the winning shingles' hashes."""
     m, n = REGISTERS, len(sets)
     doc = np.repeat(np.arange(n), [len(e) for e, _ in sets])
-    element = np.concatenate([e for e, _ in sets])
+    element, rate = np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets]).astype(np.float64)
     first, winner = np.full(n * m, np.inf), np.zeros(n * m, np.uint64)
     single = np.array([len(e) == 1 for e, _ in sets])  # of one shingle, which wins everywhere
     winner.reshape(n, m)[single] = np.array([e[0] for e, _ in sets], dtype=np.uint64)[single][:, None]
     live = np.flatnonzero(~single[doc])
-    doc, element, now, k = doc[live], element[live], np.zeros(len(live)), 0
+    doc, element, rate, now, k = doc[live], element[live], rate[live], np.zeros(len(live)), 0
     while len(doc):
         k += 1
         draw = mix(element + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-        now = now - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+        now = now - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
         at = doc * m + (mix(draw ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(m)).astype(np.int64)
         np.minimum.at(first, at, now)
         won = first[at] == now
         winner[at[won]] = element[won]
         on = now < first.reshape(n, m).max(axis=1)[doc]
-        doc, element, now = doc[on], element[on], now[on]
+        doc, element, rate, now = doc[on], element[on], rate[on], now[on]
     return (winner >> np.uint64(32)).astype(np.uint32).reshape(n, m)
 
 
@@ -128,9 +132,23 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_hash().alias("row"), "text").mapInArrow(run, "doc_id bigint, row bigint, digest binary, bands array<bigint>")
 
 
+def packed(made: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """The lower halves of the shingle hashes, ascending, their counts where one is over 1, and a byte that tells whether there are any."""
+    halves, at = np.unique(made[0].astype(np.uint32), return_inverse=True)
+    counts = np.bincount(at, made[1]).astype(np.uint32)
+    return halves.tobytes() + (counts.tobytes() + b"\1" if (counts > 1).any() else b"\0")
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts."""
+    weighted = data[-1]
+    n = len(data) // (8 if weighted else 4)
+    return np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint32, n, 4 * n).astype(np.float64) if weighted else np.ones(n)
+
+
 def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """id, shingles: the lower halves of the distinct shingle hashes, ascending; n_bytes: their size. Of the texts in members (id,
-    digest, row), each from the row that stands for it."""
+    """id, shingles: the packed weighted set; n_bytes: its size. Of the texts in members (id, digest, row), each from the row that
+    stands for it."""
     known = id_filter(members, "row")
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -141,46 +159,70 @@ def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             made = [shingles(t) for t in batch.column("text").to_pylist()]
             digest = list(map(digest_of, made))
             new = [k for k, d in enumerate(digest) if d not in done and not done.add(d)]
-            sets = [np.unique(made[k][0].astype(np.uint32)).tobytes() for k in new]
+            sets = [packed(made[k]) for k in new]
             yield pa.RecordBatch.from_arrays([pa.array([digest[k] for k in new], pa.binary()), pa.array(sets, pa.binary()), pa.array(list(map(len, sets)), pa.int64())], names=["digest", "shingles", "n_bytes"])
 
     found = docs.select("text", known.place(row_hash()).alias("at")).mapInArrow(run, "digest binary, shingles binary, n_bytes bigint")
     return found.join(members.select("id", "digest"), "digest").dropDuplicates(["id"]).select("id", "shingles", "n_bytes")
 
 
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two weighted sets (hashes ascending, weights).
+
+    With r_j = y_j / x_j, max(x_j / x_i, y_j / y_i) is the first where r_j <= r_i and the second elsewhere, so sums over j are sums of
+    weights up to and beyond r_i.
+    """
+    (ha, x), (hb, y) = a, b
+    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    if not len(ia):
+        return 0.0
+    ratio = y[ib] / x[ia]
+    if ratio.min() == ratio.max():  # as with sets: all shared shingles stand in one proportion
+        return float(len(ia) and (x[ia] / (x.sum() + (y.sum() - y[ib].sum()) / ratio[0])).sum())
+    order = np.argsort(ratio, kind="stable")
+    ratio, xs, ys = ratio[order], x[ia][order], y[ib][order]
+    upto = np.searchsorted(ratio, ratio, side="right")
+    # Those of the first set alone have ratio 0, those of the second alone an infinite one.
+    low = (x.sum() - xs.sum() + np.append(0.0, np.cumsum(xs))[upto]) / xs
+    high = (y.sum() - np.append(0.0, np.cumsum(ys))[upto]) / ys
+    return float((1.0 / (low + high)).sum())
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (id, centre) whose shingle sets have a Jaccard similarity of SIMILAR or more."""
+    """The pairs (id, centre) whose weighted sets have a probability Jaccard similarity of SIMILAR or more."""
 
     def verify(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("shingles").to_pylist(), batch.column("centre_shingles").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(both >= SIMILAR * (len(a) + len(b) - both))
+            both = zip(batch.column("shingles").to_pylist(), batch.column("centre_shingles").to_pylist(), strict=True)
+            ok = [probability_jaccard(unpacked(x), unpacked(y)) >= SIMILAR - ROUNDING for x, y in both]
             yield batch.select(["id", "centre"]).filter(pa.array(ok, pa.bool_()))
 
     full = pairs.join(sets.select("id", "shingles"), "id").join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("centre_shingles")), "centre")
     return full.select("id", "centre", "shingles", "centre_shingles").mapInArrow(verify, "id bigint, centre bigint")
 
 
-def common(queries: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every query with every member, by products of 0/1 matrices over a bounded number of columns."""
-    known = np.unique(np.concatenate(queries))
+def bounds(queries: list[tuple[np.ndarray, np.ndarray]], members: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """What the similarity of every query with every member is at most.
+
+    With shares p and q of the weights, it is at most the sum of min(p_i, q_i), and so of sqrt(p_i q_i), which is a product of matrices,
+    taken over a bounded number of columns at a time.
+    """
+    known = np.unique(np.concatenate([h for h, _ in queries]))
 
     def places(sets):
-        flat = np.concatenate(sets)
+        flat = np.concatenate([h for h, _ in sets])
         at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
         hit = known[at] == flat
-        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]
+        roots = np.concatenate([np.sqrt(w / w.sum()) for _, w in sets])
+        return np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])[hit], at[hit], roots[hit]
 
     both = np.zeros((len(queries), len(members)), np.float32)
-    (qi, qc), (mi, mc) = places(queries), places(members)
+    (qi, qc, qw), (mi, mc, mw) = places(queries), places(members)
     for start in range(0, len(known), COLUMNS):
         q, m = np.zeros((len(queries), COLUMNS), np.float32), np.zeros((len(members), COLUMNS), np.float32)
-        for matrix, i, c in ((q, qi, qc), (m, mi, mc)):
+        for matrix, i, c, w in ((q, qi, qc, qw), (m, mi, mc, mw)):
             here = (c >= start) & (c < start + COLUMNS)
-            matrix[i[here], c[here] - start] = 1
+            matrix[i[here], c[here] - start] = w[here]
         both += q @ m.T
     return both
 
@@ -209,13 +251,13 @@ def rest_links(left: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
             found = []
             for qs, ms in zip(batch.column("queries"), batch.column("members"), strict=True):
                 qs, ms = qs.as_py(), ms.as_py()
-                a, b = ([np.frombuffer(x["shingles"], np.uint32) for x in xs] for xs in (qs, ms))
-                both = common(a, b)
-                union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None] - both
+                a, b = ([unpacked(x["shingles"]) for x in xs] for xs in (qs, ms))
+                near = bounds(a, b)
                 here: dict[tuple[int, int], int] = {}
-                for i, j in zip(*np.nonzero(both >= SIMILAR * union), strict=True):
-                    if qs[i]["label"] != ms[j]["label"]:
-                        here[qs[i]["id"], ms[j]["label"]] = ms[j]["id"]
+                for i, j in zip(*np.nonzero(near >= SIMILAR - COARSE), strict=True):
+                    pair = (qs[i]["id"], ms[j]["label"])
+                    if qs[i]["label"] != ms[j]["label"] and pair not in here and probability_jaccard(a[i], b[j]) >= SIMILAR - ROUNDING:
+                        here[pair] = ms[j]["id"]
                 found += [(q, m) for (q, _), m in here.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["id", "centre"])
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from inkwell.llm.licenses import APART, BASE, PASSAGES, SHARED, VOTES
-from inkwell.llm.minhash import SIMILAR
 from inkwell.llm.quality import (
     BOILERPLATE, JUDGED_WORDS, MAX_CAPITAL_WORDS, MAX_LOST, MAX_MARKS_PER_WORD, MAX_REPEATED_PCT, MAX_SYMBOLS_PER_WORD, MIN_WORDS, NOTICE_WORDS, UNENDED_WORDS,
 )
@@ -52,13 +51,21 @@ n AS (
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN n USING (r)
 """
 
-OP7 = rf"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
-sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w)),
-t AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS h, count(*) AS n FROM sh GROUP BY doc_id),
-u AS (SELECT h, min(doc_id) AS id, any_value(n) AS n FROM t GROUP BY h),
-us AS (SELECT id, s, n FROM u JOIN sh ON sh.doc_id = u.id),
-e AS (SELECT a.id AS x, b.id AS y FROM us a JOIN us b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= {SIMILAR}::DOUBLE * (a.n + b.n - count(*))),
+# Probability Jaccard of all pairs whose shares of shared shingles could reach it; 0.8 and five words are fixed by the task.
+OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+sh AS (SELECT doc_id, s, count(*)::DOUBLE AS x FROM (SELECT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w)) GROUP BY doc_id, s),
+t AS (SELECT doc_id, md5(string_agg(s || '=' || x, '|' ORDER BY s)) AS h, sum(x) AS total FROM sh GROUP BY doc_id),
+u AS (SELECT h, min(doc_id) AS id, any_value(total) AS total FROM t GROUP BY h),
+us AS (SELECT id, s, x, total FROM u JOIN sh ON sh.doc_id = u.id),
+near AS (SELECT a.id AS p, b.id AS q FROM us a JOIN us b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id HAVING sum(least(a.x / a.total, b.x / b.total)) >= 0.8 - 1e-9),
+j AS (
+  SELECT p, q, s, sum(x) AS x, sum(y) AS y
+  FROM (SELECT p, q, s, x, 0 AS y FROM near JOIN us ON us.id = p UNION ALL SELECT p, q, s, 0, x FROM near JOIN us ON us.id = q) GROUP BY p, q, s),
+jp AS (
+  SELECT p, q, sum(1 / den) AS similarity
+  FROM (SELECT i.p, i.q, i.s, sum(greatest(j.x / i.x, j.y / i.y)) AS den FROM j i JOIN j ON j.p = i.p AND j.q = i.q WHERE i.x > 0 AND i.y > 0 GROUP BY i.p, i.q, i.s) GROUP BY p, q),
+e AS (SELECT p AS x, q AS y FROM jp WHERE similarity >= 0.8 - 1e-9 UNION ALL SELECT q, p FROM jp WHERE similarity >= 0.8 - 1e-9),
 c(id, label) AS (SELECT id, id FROM u UNION SELECT e.y, c.label FROM c JOIN e ON e.x = c.id)
 SELECT doc_id, label AS class_id FROM t JOIN u USING (h) JOIN (SELECT id, min(label) AS label FROM c GROUP BY id) k ON k.id = u.id
 """

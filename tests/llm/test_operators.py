@@ -223,7 +223,7 @@ def test_blocks_link_what_centres_leave_apart(spark, docs):
     # Copies share a digest; each of them gets its set here.
     sets = cut(minhash.shingle_sets(rows, signed), "test-sets")
     found = minhash.rest_links(ids.selectExpr("id", "7L AS key"), ids.selectExpr("id", "id AS label"), sets)
-    own = {r["id"]: set(np.frombuffer(bytes(r["shingles"]), np.uint32).tolist()) for r in sets.collect()}
+    own = {r["id"]: set(minhash.unpacked(bytes(r["shingles"]))[0].tolist()) for r in sets.collect()}
     expected = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
     assert {(min(r), max(r)) for r in map(tuple, found.collect())} == expected
 
@@ -382,17 +382,41 @@ def test_toxicity_passes_any_columns_through(spark):
     assert kept.columns == docs.columns and kept.schema == docs.schema and 0 < kept.count() <= len(rows)
 
 
-def test_minhash_links_texts_that_differ_in_repeats(spark):
-    """Pairs of set similarity 0.8 or more, one text of which repeats a part 200 times, are found as other pairs are."""
+def test_weights_decide_which_texts_are_alike(spark):
+    """Pairs that repeat a part alike, or a few more times, are linked; one that repeats it 200 times isn't. Registers agree as often as texts are alike."""
     from inkwell.llm import minhash
 
     rows = []
     for k in range(40):
         a = prose(200, 900 + k).split()
-        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[:80] + a[80:170] * 200 + a[170:] + [f"q{k}x{j}" for j in range(20)]))]
-    sets = {i: minhash.shingles(t)[0] for i, t in rows}
-    for k in range(40):
-        both = len(np.intersect1d(sets[2 * k], sets[2 * k + 1]))
-        assert both >= 0.8 * (len(sets[2 * k]) + len(sets[2 * k + 1]) - both)
+        more = [1, 2, 2, 200][k % 4]
+        rows += [(2 * k, " ".join(a[:80] + a[80:110] * (1 if k % 2 else 30) + a[110:])), (2 * k + 1, " ".join(a[:80] + a[80:110] * (more if k % 2 else 30) + a[110:] + ["q1"]))]
+    made = {i: minhash.shingles(t) for i, t in rows}
+    as_float = {i: (h, w.astype(float)) for i, (h, w) in made.items()}
+    likeness = [minhash.probability_jaccard(as_float[2 * k], as_float[2 * k + 1]) for k in range(40)]
+    sig = minhash.signatures([made[i] for i, _ in rows])
+    agree = [(sig[2 * k] == sig[2 * k + 1]).mean() for k in range(40)]
+    assert abs(np.mean(np.array(agree) - likeness)) < 0.02 and max(abs(np.array(agree) - likeness)) < 0.25
     found = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert found == {i: i - i % 2 for i, _ in rows}
+    assert found == {i: i - i % 2 if likeness[i // 2] >= 0.8 else i for i, _ in rows} and 20 < sum(x >= 0.8 for x in likeness) < 40
+
+
+def test_probability_jaccard_is_its_definition():
+    from inkwell.llm import minhash
+
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 40, 300):
+        sides = []
+        for _ in range(2):
+            h = np.unique(rng.integers(0, 2 * n, n).astype(np.uint32))
+            sides.append((h, rng.choice([1.0, 1.0, 2.0, 3.0, 50.0], len(h))))
+        (ha, x), (hb, y) = sides
+        xs, ys = dict(zip(ha.tolist(), x, strict=True)), dict(zip(hb.tolist(), y, strict=True))
+        plain = sum(1 / sum(max(xs.get(j, 0) / xs[i], ys.get(j, 0) / ys[i]) for j in {*xs, *ys}) for i in xs if i in ys)
+        assert minhash.probability_jaccard(*sides) == pytest.approx(plain)
+        assert minhash.bounds([sides[0]], [sides[1]])[0, 0] >= plain - 1e-3
+        ones = [(h, np.ones(len(h))) for h, _ in sides]
+        both = len(np.intersect1d(ha, hb))
+        assert minhash.probability_jaccard(*ones) == pytest.approx(both / (len(ha) + len(hb) - both))
+        data = minhash.packed((ha.astype(np.uint64), x.astype(np.int64)))
+        assert all((a == b).all() for a, b in zip(minhash.unpacked(data), sides[0], strict=True))

@@ -149,13 +149,20 @@ def test_whole_licences_are_found_where_words_are_lost(spark):
     assert len(licenses.PASSAGES[8][1].split()) > 66 and sorted(found)[0] == (1, ["mit", "mit"]) and len(found) == 4
 
 
+def plain_similarity(x, y):
+    """Probability Jaccard of two Counters by its definition."""
+    union = {*x, *y}
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in union) for i in x if i in y)
+
+
 def exhaustive_classes(rows):
     """The smallest number in each one's class, over all pairs that share a shingle."""
-    sets = {i: frozenset(zip(*[re.findall(r"[^\W_]+", t.lower())[k:] for k in range(5)], strict=False)) or frozenset([tuple(re.findall(r"[^\W_]+", t.lower()))]) for i, t in rows}
+    grams = lambda ws: zip(*[ws[k:] for k in range(5)], strict=False) if len(ws) > 4 else [tuple(ws)]
+    sets = {i: Counter(grams(re.findall(r"[^\W_]+", t.lower()))) for i, t in rows}
     by_set = defaultdict(list)
     for i, s in sets.items():
-        by_set[s].append(i)
-    texts, places, parent = list(by_set), defaultdict(list), list(range(len(by_set)))
+        by_set[frozenset(s.items())].append(i)
+    texts, places, parent = [Counter(dict(s)) for s in by_set], defaultdict(list), list(range(len(by_set)))
 
     def find(a):
         while parent[a] != a:
@@ -164,16 +171,19 @@ def exhaustive_classes(rows):
         return a
 
     for k, s in enumerate(texts):
-        both = Counter(j for e in s for j in places[e])
-        for j, n in both.items():
-            if n >= 0.8 * (len(s) + len(texts[j]) - n):
+        share = defaultdict(float)
+        for e, n in s.items():
+            for j, m in places[e]:
+                share[j] += min(n / s.total(), m / texts[j].total())
+        for j, most in share.items():
+            if most >= 0.8 - 1e-9 and plain_similarity(s, texts[j]) >= 0.8 - 1e-9:
                 parent[find(k)] = find(j)
-        for e in s:
-            places[e].append(k)
+        for e, n in s.items():
+            places[e].append((k, n))
     least: dict = {}
-    for k, s in enumerate(texts):
-        least[find(k)] = min([least.get(find(k), 1 << 62), *by_set[s]])
-    return {i: least[find(k)] for k, s in enumerate(texts) for i in by_set[s]}
+    for k, members in enumerate(by_set.values()):
+        least[find(k)] = min([least.get(find(k), 1 << 62), *members])
+    return {i: least[find(k)] for k, members in enumerate(by_set.values()) for i in members}
 
 
 def test_op7_finds_all_classes_of_a_whole_table(spark):
