@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators.dataset import SPLITS
+from inkwell.operators.dataset import SPLIT_VERSION, SPLITS
 from inkwell.operators.features import FEATURES
 
+# Fixed values of the contract: features that are shares, and what would tell a model whom it looks at or what the answer is, and so can't
+# be a feature.
 BOUNDED = ("question_occupancy", "previous_ink_iou")
-#: What would tell a model whom it looks at or what the answer is, and so can't be a feature.
 IDENTIFYING = (
     "case_id", "participant_id", "session_id", "task_segment_id", "scenario_id", "scenario_type", "task_family", "device_id", "split", "episode_id", "stroke_id",
     "truth", "prediction", "target", "event_type", "event_id", "hash", "manifest_hash", "seed", "quality_flags", "page_id", "question_id",
@@ -77,6 +78,7 @@ def splits(cases: DataFrame, manifests: DataFrame, dataset_id: str, dataset_vers
             rule(m, "DATASET_ID", ~F.col("dataset_id").eqNullSafe(dataset_id)),
             rule(m, "DATASET_VERSION", ~F.col("dataset_version").eqNullSafe(dataset_version)),
             rule(m, "SPLIT_SEED", ~F.col("split_seed").eqNullSafe(seed)),
+            rule(m, "SPLIT_VERSION", ~F.col("split_version").eqNullSafe(SPLIT_VERSION)),
             rule(m, "COUNT", F.col("count") != F.size("case_ids")),
             rule(compared, "LABELLED_COUNT", F.col("count") != F.coalesce("labelled", F.lit(0))),
             rule(compared, "PARTICIPANTS", F.array_sort(F.array_distinct("participant_ids")) != F.coalesce("participants", empty)),
@@ -153,3 +155,15 @@ def inputs(rows: DataFrame) -> DataFrame:
     spread = rows.groupBy("episode_id").agg(F.count_distinct("split").alias("n")).where(F.col("n") == len(SPLITS))
     odd = F.exists(F.array(*[F.col(f).cast("double") for f in FEATURES]), lambda v: F.coalesce(F.isnan(v) | v.isin(float("inf"), float("-inf")), F.lit(False)))
     return _union([_rows(known.join(rows, "split", "left_anti"), "SPLIT_EMPTY", "split", none), _rows(spread, "SPLIT_OVERLAP", "episode_id", none), _rows(rows.where(odd), "NOT_FINITE", "episode_id", none)])
+
+
+def summary(results: dict[str, DataFrame]) -> DataFrame:
+    """audit, status (PASS or FAIL), violations, rules (rule=count, sorted): a row per audit. results: violation queries with a rule."""
+    rows = []
+    for name, found in results.items():
+        rule = F.col("rule") if "rule" in found.columns else F.lit(name)
+        counts = found.select(rule.alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+        rules = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule", "n"))), lambda x: F.concat_ws("=", x["rule"], x["n"].cast("string"))), ",")
+        total = F.coalesce(F.sum("n"), F.lit(0))
+        rows.append(counts.agg(total.alias("violations"), rules.alias("rules")).select(F.lit(name).alias("audit"), F.when(F.col("violations") > 0, "FAIL").otherwise("PASS").alias("status"), "violations", "rules"))
+    return _union(rows)

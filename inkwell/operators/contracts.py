@@ -5,9 +5,14 @@ Each rule query returns the rows that break a rule, with the first rule they bre
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.sources import store
+
 # Fixed values of the contract.
 NEEDS_QUESTION = ("QUESTION_VISIT", "QUESTION_LEAVE", "RETURN", "REVISION_CANDIDATE")
 NEEDS_REFERENCES = ("WRITING", *NEEDS_QUESTION)
@@ -57,10 +62,27 @@ def region_violations(regions: DataFrame) -> DataFrame:
     )
 
 
-def out_of_scope(rows: DataFrame, json: str, key: str) -> DataFrame:
-    """key and field of the rows whose JSON text has, at any depth, a field that no output may have."""
-    names = F.regexp_extract_all(F.col(json), F.lit(r'(?<!\\)"(' + "|".join(OUT_OF_SCOPE) + r')"\s*:'), F.lit(1))
-    return rows.select(key, F.explode(F.array_distinct(names)).alias("field"))
+def out_of_scope(rows: DataFrame, json: str, key: str, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """key, field and path of the fields that no output may have, at any depth of the rows' JSON text; text that isn't JSON raises.
+
+    A level of all texts is unfolded at a time and written (keep), until no object or list is left, so keys are compared as they are
+    read, however they are written, and the number of steps is the greatest depth.
+    """
+    keep = keep or store.keeper(rows.sparkSession, "guard")
+    level = rows.where(F.col(json).isNotNull()).select(F.col(key), F.parse_json(F.col(json)).alias("_v"), F.lit(json).alias("path"))
+    found = None
+    for depth in itertools.count():
+        nested = F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")
+        inner = rows.sparkSession.sql(
+            f"SELECT t.`{key}`, e.key AS field, e.value AS _v, concat(t.path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END) AS path FROM {{t}} t, LATERAL variant_explode(t._v) e",
+            t=level.where(nested),
+        )
+        inner = keep(inner, f"level-{depth}")
+        here = inner.where(F.col("field").isin(*OUT_OF_SCOPE)).select(key, "field", "path")
+        found = here if found is None else found.unionByName(here)
+        level = inner.drop("field")
+        if inner.where(nested).isEmpty():
+            return found
 
 
 def _column(df: DataFrame, name: str, kind: str) -> Column:

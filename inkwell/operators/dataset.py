@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from inkwell.functions.geometry import let
 
 SPLITS, RATIOS = ("train", "validation", "test"), (0.7, 0.15, 0.15)
+#: Version of the split rule that every split manifest carries.
+SPLIT_VERSION = "inkwell-split-1"
 
 
 def derive_seed(dataset_seed: int, participant: Column, scenario: Column) -> Column:
@@ -61,10 +63,11 @@ def assign_splits(groups: DataFrame, seed: int, ratios=RATIOS, within: tuple[str
 
 
 def split_manifests(cases: DataFrame, dataset_id: str, dataset_version: str, seed: int) -> DataFrame:
-    """A row per split: its cases, participants and groups, sorted, and how many cases. cases: case_id, participant_id, group_id, split."""
+    """A row per split: its rule, its cases, participants and groups, sorted, and how many cases. cases: case_id, participant_id,
+    group_id, split."""
     lists = [F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in ("participant_id", "group_id", "case_id")]
     found = cases.groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("count"), *lists)
-    return found.select("split_name", F.lit(dataset_id).alias("dataset_id"), F.lit(dataset_version).alias("dataset_version"), F.lit(seed).cast("long").alias("split_seed"), "participant_ids", "group_ids", "case_ids", "count")
+    return found.select(F.lit(SPLIT_VERSION).alias("split_version"), F.lit("group_id").alias("group_field"), "split_name", F.lit(dataset_id).alias("dataset_id"), F.lit(dataset_version).alias("dataset_version"), F.lit(seed).cast("long").alias("split_seed"), "participant_ids", "group_ids", "case_ids", "count")
 
 
 def split_counts(cases: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import FeatureConfig
 from inkwell.functions.geometry import overlap
+from inkwell.operators.scan import quantiles
+from inkwell.sources import store
 
 FEATURES = ("duration_s", "path_length_norm", "mean_speed_norm_per_s", "pause_before_s", "pause_inside_s", "bbox_width_norm", "bbox_height_norm", "question_occupancy", "visit_index", "return_count", "previous_ink_iou", "quality_valid")
 
@@ -96,10 +100,13 @@ def normalized(rows: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.withColumn("_one", F.lit(1)).join(F.broadcast(wide.withColumn("_one", F.lit(1))), "_one").select("episode_id", "split", z.alias("values"), mask.alias("mask"))  # one row of twelve
 
 
-def length_audit(sequences: DataFrame, receptive_field: int = 7) -> DataFrame:
+def length_audit(sequences: DataFrame, receptive_field: int = 7, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """One row on the sequences' lengths: least, mean, median, ninth decile (interpolated), greatest, and how many reach the field."""
     n = F.col("n")
-    return sequences.agg(
-        F.count("*").alias("sequences"), F.min(n).cast("long").alias("least"), F.avg(n).alias("mean"), F.percentile(n, 0.5).alias("median"), F.percentile(n, 0.9).alias("p90"), F.max(n).cast("long").alias("greatest"),
+    rows = sequences.select(F.lit(0).alias("_one"), n)
+    found = rows.groupBy("_one").agg(
+        F.count("*").alias("sequences"), F.min(n).cast("long").alias("least"), F.avg(n).alias("mean"), F.max(n).cast("long").alias("greatest"),
         F.count(F.when(n >= receptive_field, 1)).alias("reaching"),
     )
+    inner = quantiles(rows, ("_one",), "n", {"median": 0.5, "p90": 0.9}, keep or store.keeper(sequences.sparkSession, "lengths"))
+    return found.join(inner, "_one").select("sequences", "least", "mean", "median", "p90", "greatest", "reaching")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.operators import scan
+from inkwell.sources import store
+
 THRESHOLD = 0.5
 
 
@@ -19,12 +24,14 @@ def confusion(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return c.select("label", "tp", "fp", "fn", "tn", over(tp, tp + fp).alias("precision"), over(tp, tp + fn).alias("recall"), over(2 * tp, 2 * tp + fp + fn).alias("f1"), mcc.alias("mcc"))
 
 
-def ranking(rows: DataFrame) -> DataFrame:
-    """label, roc_auc and average_precision; null where only one class occurs. Scores are counted first, so windows see distinct scores."""
+def ranking(rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """label, roc_auc and average_precision; null where only one class occurs. Scores are counted first, and the counts are summed from the
+    highest score over range partitions (written by keep), so a label may have any number of scores."""
+    keep = keep or store.keeper(rows.sparkSession, "ranking")
     scores = rows.groupBy("label", "score").agg(F.sum("target").cast("double").alias("pos"), F.sum(1 - F.col("target")).cast("double").alias("neg"))
-    down = Window.partitionBy("label").orderBy(F.desc("score"))
-    whole = Window.partitionBy("label")
-    cum = scores.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)})
+    down = scan.by_range(scores.withColumn("_down", -F.col("score")), ("label",), ("_down",), keep)
+    cum = scan.scan(down, ("label",), ("_down",), total={"tp": F.col("pos"), "fp": F.col("neg")})
+    cum = cum.join(down.groupBy("label").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")), "label")
     # A positive beats the negatives below it and half of those level with it.
     wins = F.sum(F.col("pos") * (F.col("all_neg") - F.col("fp") + F.col("neg") / 2))
     both = (F.max("all_pos") > 0) & (F.max("all_neg") > 0)

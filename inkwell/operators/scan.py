@@ -10,7 +10,7 @@ an arbitrary order among them, as in windows; a key of one piece is carried noth
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,12 @@ def by_counts(rows: DataFrame, keys: Sequence[str], buckets: Sequence[str], size
     return rows.join(counts.select(*keys, *buckets, F.floor(before / size).cast("long").alias(name)), [*keys, *buckets])
 
 
+def by_range(rows: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Callable[[DataFrame, str], DataFrame], name: str = "_piece") -> DataFrame:
+    """rows with the piece: the part of a range partitioning by keys and order, whatever the order's columns hold. Ranges are drawn from a
+    sample, so the rows are written with theirs (keep)."""
+    return keep(rows.repartitionByRange(*keys, *order).withColumn(name, F.spark_partition_id().cast("long")), "ranges")
+
+
 def scan(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], piece: str = "_piece", lag: dict[str, Column] | None = None,
     last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, ends: str | None = None,
@@ -77,3 +83,15 @@ def scan(
     if ends:
         values[ends] = F.col("_alone") & F.col("_there")
     return found.withColumns(values).drop(*made, *carried)
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """keys and, for each name in shares, the exact quantile (linear between the two values next to it). Values are counted, and the counts
+    summed in order over range partitions; nulls are left out, and a key without values has no row."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    upto = scan(by_range(counts, keys, (value,), keep), keys, (value,), total={"_upto": F.col("_n")})
+    every = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    at = {n: (F.col("_all") - 1) * F.lit(float(p)) for n, p in shares.items()}
+    sides = [F.min(F.when(F.col("_upto") > f(t), F.col(value))).cast("double").alias(f"_{n}_{f.__name__}") for n, t in at.items() for f in (F.floor, F.ceil)]
+    found = upto.join(every, list(keys)).groupBy(*keys, "_all").agg(*sides)
+    return found.select(*keys, *[(F.col(f"_{n}_floor") + (F.col(f"_{n}_ceil") - F.col(f"_{n}_floor")) * (t - F.floor(t))).alias(n) for n, t in at.items()])

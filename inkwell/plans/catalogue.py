@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.canonical import json_hash
-from inkwell.operators import audits, dataset, features, metrics, parse, replay, strokes, trace, truth, wire
+from inkwell.operators import audits, contracts, dataset, features, lineage, metrics, parse, replay, strokes, trace, truth, wire
 from inkwell.plans import pipeline
 from inkwell.plans.sql import ORACLES
-from inkwell.sources import pen, store
+from inkwell.sources import jsonl, pen, store
 
 
 def _round(c: str | Column) -> Column:
@@ -229,6 +229,110 @@ def _deltas(spark, sf):
     return metrics.deltas(metrics.confusion(p), metrics.confusion(p, 0.4), ["f1"]).select("label", _round("f1").alias("f1"))
 
 
+#: A dataset's config, as its lineage has it.
+CONFIG = {"dataset_id": "pen", "dataset_version": "1.0.0", "dataset_seed": 20260929, "split_seed": 20260930, "split_ratio": {"train": 0.7, "validation": 0.15, "test": 0.15}}
+
+
+def _lineage(spark, sf):
+    """What a reload finds where, since its lineage was stated, every 17th case has changed, every 71st names another version, one has gone
+    over to test in the manifests and the labels, the config has another seed, and an audit isn't what was stored."""
+    folder = store.scratch_dir(spark, "lineage")
+    number = F.regexp_extract("case_id", r"(\d+)$", 1).cast("long")
+    cases = _cases(spark, sf).withColumns({"dataset_id": F.lit("pen"), "dataset_version": F.lit("1.0.0"), "raw_records_hash": F.sha2("case_id", 256), "quality_status": F.lit("OK")})
+    keep = store.keeper(spark, "lineage")
+    cases = keep(lineage.with_case_hash(cases), "cases")
+    manifests = keep(dataset.split_manifests(cases, "pen", "1.0.0", 20260930), "manifests")
+    tables = {"cases": cases, "split_manifests": manifests}
+    store.write_dataset({k: df.withColumnRenamed("split", "split_label") for k, df in tables.items()}, folder)
+    store.write_lineage(lineage.state(CONFIG, cases, manifests, lineage.standard_audits(CONFIG, cases, manifests)), folder)
+    read = store.read_dataset(spark, folder, list(tables))
+    cases, manifests = read["cases"].withColumnRenamed("split_label", "split"), read["split_manifests"]
+    moved = F.lit(cases.where("split = 'train'").agg(F.min("case_id")).first()[0])
+    changed = cases.withColumns(
+        {
+            "quality_status": F.when(number % 17 == 3, "DEGRADED").otherwise(F.col("quality_status")),
+            "dataset_version": F.when(number % 71 == 5, "2.0.0").otherwise(F.col("dataset_version")),
+            "split": F.when(F.col("case_id") == moved, "test").otherwise(F.col("split")),
+        }
+    )
+    own = F.col("case_ids")
+    over = F.when(F.col("split_name") == "train", F.array_remove(own, moved)).when(F.col("split_name") == "test", F.array_append(own, moved)).otherwise(own)
+    stated = store.read_lineage(spark, folder).withColumn("n", F.col("n") + F.when(F.col("name") == "leakage", 1).otherwise(0))
+    return lineage.changes(stated, CONFIG | {"dataset_seed": 1}, changed, manifests.withColumn("case_ids", over))
+
+
+def _case_lines(spark, sf):
+    """Strokes written as lines of their case and read back."""
+    folder = store.scratch_dir(spark, "lines")
+    s = _strokes(spark, sf).select(F.col("session_id").alias("case_id"), "stroke_id", "page_id", "n_points", "start_time_ms", "point_refs")
+    jsonl.write_cases(s, "stroke", folder, ["stroke_id"])
+    kind = "case_id string, stroke struct<n_points: bigint, page_id: string, point_refs: array<string>, start_time_ms: bigint, stroke_id: string>"
+    rows = spark.read.text(folder, pathGlobFilter="*.jsonl")
+    return rows.select("value", F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r")).select("r.case_id", "r.stroke.stroke_id", F.sha2("value", 256).alias("line_hash"))
+
+
+def _guarded(spark, sf):
+    """Fields that no output may have, planted at depth in every 13th event's metadata, some with an escaped key."""
+    k = F.col("event_id") % 13
+    nested = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "list": [1, {"careless": 2, "deep": {"emotion": null}}]}'))
+    text = F.when(k == 3, nested).when(k == 5, F.lit('{"a": {"attention\\u005fscore": 1}, "note": "the word \\"emotion\\": none"}')).otherwise(F.col("props"))
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", text.alias("metadata"))
+    return contracts.out_of_scope(rows, "metadata", "event_id")
+
+
+def _quarantined(spark, sf):
+    """Lines of which every 19th isn't JSON, every 23rd isn't an object and every 29th is blank."""
+    folder = store.scratch_dir(spark, "raw-lines")
+    i = F.col("event_id")
+    line = F.when(i % 19 == 1, F.concat(F.lit('{"event_id": '), i.cast("string"))).when(i % 23 == 2, F.concat(F.lit("["), i.cast("string"), F.lit("]"))).when(i % 29 == 3, "  ")
+    spark.read.parquet(f"{sf}/events.parquet").select(F.coalesce(line, F.to_json(F.struct("event_id", "event_type"))).alias("value")).write.text(folder)
+    return jsonl.quarantine(spark, folder).select("reason", "text")
+
+
+def _broken_events(r: pipeline.Run) -> DataFrame:
+    """Rules that planted changes of events break."""
+    k, timed = F.col("sequence") % 37, F.col("start_time_ms").isNotNull() & F.col("end_time_ms").isNotNull()
+    e = r.events.withColumns(
+        {
+            "end_time_ms": F.when((k == 1) & timed, F.col("start_time_ms") - 1).when((k == 2) & (F.col("quality_status") == "VALID"), None).otherwise(F.col("end_time_ms")),
+            "question_id": F.when((k == 3) & (F.col("event_type") != "WRITING"), None).otherwise(F.col("question_id")),
+            "point_refs": F.when(k == 4, F.array(F.lit(""))).otherwise(F.col("point_refs")),
+        }
+    )
+    return contracts.event_violations(e)
+
+
+def _broken_strokes(spark, sf):
+    k = F.col("stroke_index") % 11
+    s = _strokes(spark, sf).withColumns({"duration_ms": F.when(k == 1, F.col("duration_ms") + 1).when(k == 2, -1).otherwise(F.col("duration_ms")), "end_time_ms": F.when(k == 3, F.col("start_time_ms") - 5).otherwise(F.col("end_time_ms"))})
+    return contracts.stroke_violations(s)
+
+
+def _audit_summary(spark, sf):
+    """PASS or FAIL of four audits, each with the rules that fail."""
+    e = _episodes(spark, sf)
+    cases = _cases(spark, sf)
+    own = cases.select(F.col("case_id").alias("session_id"), "split")
+    moved = e.withColumn("split", F.when(F.col("episode_index") % 23 == 22, "test").otherwise(F.col("split")))
+    manifests = dataset.split_manifests(cases, "pen", "1.0.0", 20260930)
+    return audits.summary({"feature_ranges": audits.ranges(e), "inherited_splits": audits.inherited_splits(moved, own, own), "splits": audits.splits(cases, manifests, "pen", "1.0.0", 20260930), "inputs": audits.inputs(e)})
+
+
+def _prediction_coverage(spark, sf):
+    """Orders by split, of which every 31st has no prediction and every 47th has two."""
+    o, k = spark.read.parquet(f"{sf}/orders.parquet"), F.col("o_orderkey")
+    rows = o.select(k.alias("id"), F.when(k % 10 == 0, "test").when(k % 10 == 1, "validation").otherwise("train").alias("split"))
+    kept = rows.where("id % 31 <> 7")
+    return metrics.coverage(kept.unionByName(kept.where("id % 47 = 11")), rows)
+
+
+def _differing(spark, sf):
+    """Predictions of a second run that has lost some rows and has other targets in some."""
+    p = _predictions(spark, sf)
+    other = p.where("id % 101 <> 13").withColumn("target", F.when(F.col("id") % 89 == 5, 1 - F.col("target")).otherwise(F.col("target")))
+    return metrics.differing(p, other)
+
+
 OVERALL = ("micro_precision", "micro_recall", "micro_f1", "macro_f1", "macro_roc_auc", "macro_average_precision", "evaluable_labels", "hamming_loss", "subset_accuracy")
 def _feature_columns() -> list[Column]:
     return [_round(f).alias(f) if f not in ("visit_index", "return_count", "quality_valid") else F.col(f) for f in features.FEATURES]
@@ -298,6 +402,15 @@ def queries() -> dict:
         "ranking": lambda s, d: metrics.ranking(_predictions(s, d)).select("label", _round("roc_auc").alias("roc_auc"), _round("average_precision").alias("average_precision")),
         "overall_metrics": lambda s, d: metrics.overall(_predictions(s, d)).select(*[_round(c).alias(c) if c != "evaluable_labels" else F.col(c) for c in OVERALL]),
         "metric_deltas": _deltas,
+        "lineage_changes": _lineage,
+        "case_lines": _case_lines,
+        "guarded_fields": _guarded,
+        "quarantined_lines": _quarantined,
+        "event_violations": _with_run(_broken_events),
+        "stroke_violations": _broken_strokes,
+        "audit_summary": _audit_summary,
+        "prediction_coverage": _prediction_coverage,
+        "differing_predictions": _differing,
     }
 
 

@@ -383,7 +383,7 @@ SELECT 'EPISODE_SPLIT' AS rule, session_id, episode_id AS id FROM mv WHERE own <
 UNION ALL SELECT 'CASE_SPLITS', session_id, session_id FROM mv GROUP BY session_id HAVING count(DISTINCT own) > 1
 UNION ALL SELECT 'PARTICIPANT_SPLITS', NULL, participant_id FROM mv GROUP BY participant_id HAVING count(DISTINCT own) > 1"""
 _CASES = "WITH " + _split("SELECT DISTINCT concat('u-', user_id) AS group_id, 0 AS w FROM events") + ", cs AS (SELECT DISTINCT concat('s-', user_id) AS case_id, concat('u-', user_id) AS participant_id, split FROM events JOIN sp ON sp.group_id = concat('u-', user_id))"
-ORACLES["split_manifests"] = _CASES + " SELECT split AS split_name, 'pen' AS dataset_id, '1.0.0' AS dataset_version, 20260930::BIGINT AS split_seed, string_agg(participant_id, ',' ORDER BY participant_id) AS participant_ids, string_agg(case_id, ',' ORDER BY case_id) AS case_ids, count(*) AS count FROM cs GROUP BY split"
+ORACLES["split_manifests"] = _CASES + " SELECT 'inkwell-split-1' AS split_version, 'group_id' AS group_field, split AS split_name, 'pen' AS dataset_id, '1.0.0' AS dataset_version, 20260930::BIGINT AS split_seed, string_agg(participant_id, ',' ORDER BY participant_id) AS participant_ids, string_agg(case_id, ',' ORDER BY case_id) AS case_ids, count(*) AS count FROM cs GROUP BY split"
 ORACLES["split_counts"] = _CASES + " SELECT split, count(DISTINCT participant_id) AS participants, count(*) AS cases FROM cs GROUP BY split"
 # The first train case (by id) has gone over to test in the labels.
 ORACLES["split_audit"] = _CASES + """,
@@ -413,3 +413,31 @@ SELECT label, {_round('a - b')} AS f1 FROM t"""
 ORACLES["stored_dataset"] = EVENTS + " SELECT 'points' AS \"table\", count(*) AS n FROM p UNION ALL SELECT 'mappings', count(*) FROM m UNION ALL SELECT 'events', count(*) FROM events_ UNION ALL SELECT 'episodes', count(*) FROM m"
 ORACLES["payload_hash"] = POINTS + """
 SELECT session_id, raw_order, sha256('{"device":' || coalesce('"' || device_id || '"', 'null') || ',"order":' || raw_order || ',"point":"' || point_id || '"}') AS payload_hash FROM p"""
+# Planted: see the queries. Constants are written out here, so that a wrong one in the code shows.
+ORACLES["lineage_changes"] = _CASES + """, c AS (SELECT case_id, CAST(substr(case_id, 3) AS BIGINT) AS k FROM cs)
+SELECT 'CASE_HASH' AS rule, case_id AS name FROM c WHERE k % 17 = 3 OR k % 71 = 5 UNION ALL SELECT 'CONFIG_IDENTITY', case_id FROM c WHERE k % 71 = 5
+UNION ALL VALUES ('CASES_ROOT', 'cases'), ('CONFIG_HASH', 'config'), ('SPLIT_HASH', 'train'), ('SPLIT_HASH', 'test'), ('AUDIT_RESULT', 'splits'), ('AUDIT_RESULT', 'leakage'), ('AUDIT_FAILS', 'splits')"""
+ORACLES["case_lines"] = STROKES + """
+SELECT session_id AS case_id, stroke_id, sha256('{"case_id":"' || session_id || '","stroke":{"n_points":' || n_points || ',"page_id":' || coalesce('"' || page_id || '"', 'null') || ',"point_refs":["' || replace(by_input, ',', '","') || '"],"start_time_ms":' ||
+  coalesce(CAST(start_time_ms AS VARCHAR), 'null') || ',"stroke_id":"' || stroke_id || '"}}') AS line_hash FROM s"""
+ORACLES["guarded_fields"] = """
+SELECT event_id, field, path FROM events JOIN (VALUES (3, 'careless', 'metadata.list[1].careless'), (3, 'emotion', 'metadata.list[1].deep.emotion'), (5, 'attention_score', 'metadata.a.attention_score')) t(k, field, path) ON event_id % 13 = k"""
+ORACLES["quarantined_lines"] = """
+SELECT 'NOT_JSON' AS reason, '{"event_id": ' || event_id AS text FROM events WHERE event_id % 19 = 1
+UNION ALL SELECT 'NOT_OBJECT', '[' || event_id || ']' FROM events WHERE event_id % 19 <> 1 AND event_id % 23 = 2"""
+ORACLES["event_violations"] = EVENTS + """
+SELECT session_id, event_id, CASE sequence % 37 WHEN 1 THEN 'TIME_ORDER' WHEN 2 THEN 'VALID_WITHOUT_TIME' WHEN 3 THEN 'QUESTION_MISSING' ELSE 'EMPTY_REFERENCE' END AS rule FROM events_
+WHERE sequence % 37 = 1 AND start_ms IS NOT NULL AND end_ms IS NOT NULL OR sequence % 37 = 2 AND quality_status = 'VALID' OR sequence % 37 = 3 AND event_type IN ('QUESTION_VISIT', 'QUESTION_LEAVE', 'RETURN', 'REVISION_CANDIDATE') OR sequence % 37 = 4"""
+ORACLES["stroke_violations"] = STROKES + """
+SELECT session_id, stroke_id, CASE ix % 11 WHEN 1 THEN 'DURATION' WHEN 2 THEN 'NEGATIVE_DURATION' ELSE 'TIME_ORDER' END AS rule FROM s WHERE ix % 11 IN (1, 3) AND start_time_ms IS NOT NULL OR ix % 11 = 2"""
+ORACLES["audit_summary"] = SPLIT_EPISODES + """,
+mv AS (SELECT *, CASE WHEN episode_index % 23 = 22 THEN 'test' ELSE split END AS own FROM es),
+bad AS (
+  SELECT 'EPISODE_SPLIT' AS rule, count(*) AS n FROM mv WHERE own <> split UNION ALL SELECT 'CASE_SPLITS', count(*) FROM (SELECT session_id FROM mv GROUP BY session_id HAVING count(DISTINCT own) > 1)
+  UNION ALL SELECT 'PARTICIPANT_SPLITS', count(*) FROM (SELECT participant_id FROM mv GROUP BY participant_id HAVING count(DISTINCT own) > 1))
+SELECT 'inherited_splits' AS audit, CASE WHEN sum(n) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CAST(sum(n) AS BIGINT) AS violations, coalesce(string_agg(rule || '=' || n, ',' ORDER BY rule) FILTER (n > 0), '') AS rules FROM bad
+UNION ALL SELECT a, 'PASS', 0, '' FROM (VALUES ('feature_ranges'), ('splits'), ('inputs')) t(a)"""
+ORACLES["prediction_coverage"] = """
+WITH r AS (SELECT o_orderkey AS id, CASE o_orderkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM orders)
+SELECT split, count(*) AS rows, count(*) FILTER (id % 31 <> 7) + count(*) FILTER (id % 31 <> 7 AND id % 47 = 11) AS predicted, count(DISTINCT CASE WHEN id % 31 <> 7 THEN id END) AS distinct_ids, count(*) FILTER (id % 31 = 7) AS unpredicted FROM r GROUP BY split"""
+ORACLES["differing_predictions"] = PREDICTIONS + " SELECT id, label FROM x WHERE id % 101 = 13 OR id % 89 = 5"

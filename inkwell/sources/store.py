@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in a file at most. A file is hashed in one piece.
-FILE_ROWS = 1_000_000
+#: Rows in a file at most, and bytes that are read of a file at a time to hash it.
+FILE_ROWS, CHUNK = 1_000_000, 1 << 20
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
@@ -45,11 +45,38 @@ def _table_of(path: Column) -> tuple[Column, Column]:
     return F.substring_index(place, "/", 1), place
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """table, file, length, sha256 of all data files of a dataset."""
+def file_hashes(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """table, file, length, sha256 of all data files of a dataset, a task reading a chunk of a file at a time. Files are listed by Spark
+    and opened by pyarrow's file systems."""
     table, place = _table_of(F.col("path"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/tables")
-    return files.select(table.alias("table"), place.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    listed = files.select("path", table.alias("table"), place.alias("file"), "length")
+    return hashed(listed.repartition(F.col("path")), chunk)
+
+
+def hashed(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """table, file, length, sha256 of files (path, table, file, length). The function is shipped whole, so workers needn't be able to import
+    this package."""
+
+    def run(batches):
+        import hashlib
+        from urllib.parse import unquote
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for uri in batch.column("path").to_pylist():
+                system, path = (fs.LocalFileSystem(), unquote(uri[5:])) if uri.startswith("file:/") else fs.FileSystem.from_uri(uri)
+                sha = hashlib.sha256()
+                with system.open_input_stream(path, buffer_size=0) as f:
+                    while data := f.read(chunk):
+                        sha.update(data)
+                found.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("table", "file", "length")], pa.array(found, pa.string())], names=["table", "file", "length", "sha256"])
+
+    return files.select("path", "table", "file", "length").mapInArrow(run, "table string, file string, length bigint, sha256 string")
 
 
 def write_dataset(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> DataFrame:
@@ -85,6 +112,15 @@ def verify(spark: SparkSession, path: str, required: list[str] | None = None) ->
     return wrong.unionByName(named.join(stated, "table", "left_anti").select(F.lit("TABLE_ABSENT").alias("rule"), F.col("table").alias("file")))
 
 
+def write_lineage(stated: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Write a dataset's lineage (level, name, hash, n) beside its manifest."""
+    stated.write.mode("overwrite" if overwrite else "errorifexists").json(f"{path}/lineage")
+
+
+def read_lineage(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("level string, name string, hash string, n bigint").option("mode", "FAILFAST").json(f"{path}/lineage")
+
+
 def read_dataset(spark: SparkSession, path: str, tables: list[str]) -> dict[str, DataFrame]:
     """The tables of a dataset whose files are all there and unchanged; else raises with what is wrong."""
     if wrong := verify(spark, path, tables).limit(20).collect():
