@@ -109,6 +109,18 @@ def batches(wired: DataFrame, dataset_version: str, data_version: str | None = N
     )
 
 
+def export(wired: DataFrame, points: DataFrame, strokes: DataFrame, dataset_version: str, strict: bool = True) -> DataFrame:
+    """Batches of a whole result with status and unresolved: how many of a batch's events name points or strokes that aren't there. Such a
+    batch is REFUSED and hands on no events; if strict, it raises when it is read. Others are EXPORTED."""
+    lost = unresolved(wired, points, strokes).select("session_id", "event_id").distinct().withColumn("_lost", F.lit(1).cast("long"))
+    segment = F.coalesce("task_segment_id", F.lit("-"))
+    counts = wired.join(lost, ["session_id", "event_id"], "left").groupBy("session_id", segment.alias("_segment")).agg(F.coalesce(F.sum("_lost"), F.lit(0)).alias("unresolved"))
+    made = batches(wired, dataset_version).withColumn("_segment", segment).join(counts, ["session_id", "_segment"])
+    refused = F.col("unresolved") > 0
+    status = F.when(refused, F.raise_error(F.concat(F.lit("references of a batch can't be resolved: "), "batch_id")).cast("string") if strict else F.lit("REFUSED")).otherwise("EXPORTED")
+    return made.withColumn("status", status).withColumn("events", F.when(~refused, F.col("events"))).drop("_segment")
+
+
 def out_of_context(wired: DataFrame, session_id: str, task_segment_id: str | None) -> DataFrame:
     """Events that don't belong to the result of this session and segment."""
     return wired.where(~(F.col("session_id").eqNullSafe(F.lit(session_id)) & F.col("task_segment_id").eqNullSafe(F.lit(task_segment_id).cast("string"))))

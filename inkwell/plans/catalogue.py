@@ -302,6 +302,25 @@ def _broken_events(r: pipeline.Run) -> DataFrame:
     return contracts.event_violations(e)
 
 
+def _exported(r: pipeline.Run) -> DataFrame:
+    """Batches of a run of which every 97th point of long sessions is lost."""
+    found = wire.export(_wired(r), r.points.where(KNOWN), r.strokes, "v1", strict=False)
+    return found.select("batch_id", "session_id", "status", "unresolved", "n_events", F.size(F.coalesce("events", F.array())).alias("handed_on"))
+
+
+def _broken_regions(spark, sf):
+    """Regions around each part's size, some with too few corners, out of range or no rectangle."""
+    k = F.col("p_partkey")
+    side = (F.col("p_size") / 100.0).cast("double")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero = F.lit(0.0)
+    square = F.array(corner(zero, zero), corner(side, zero), corner(side, side), corner(zero, side))
+    shape = F.when(k % 7 == 1, F.slice(square, 1, 2)).when(k % 7 == 2, F.slice(square, 1, 3)).when(k % 7 == 3, F.transform(square, lambda p: corner(p["x"] + 1.0, p["y"]))).otherwise(square)
+    kind = F.when(k % 2 == 0, "rectangle").otherwise("polygon")
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("r-"), k).alias("region_id"), kind.alias("region_type"), shape.alias("polygon"), F.lit("norm").alias("coordinate_space"))
+    return contracts.region_violations(rows)
+
+
 def _broken_strokes(spark, sf):
     k = F.col("stroke_index") % 11
     s = _strokes(spark, sf).withColumns({"duration_ms": F.when(k == 1, F.col("duration_ms") + 1).when(k == 2, -1).otherwise(F.col("duration_ms")), "end_time_ms": F.when(k == 3, F.col("start_time_ms") - 5).otherwise(F.col("end_time_ms"))})
@@ -408,6 +427,8 @@ def queries() -> dict:
         "quarantined_lines": _quarantined,
         "event_violations": _with_run(_broken_events),
         "stroke_violations": _broken_strokes,
+        "region_violations": _broken_regions,
+        "wire_export": _with_run(_exported),
         "audit_summary": _audit_summary,
         "prediction_coverage": _prediction_coverage,
         "differing_predictions": _differing,

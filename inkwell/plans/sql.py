@@ -441,3 +441,11 @@ ORACLES["prediction_coverage"] = """
 WITH r AS (SELECT o_orderkey AS id, CASE o_orderkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM orders)
 SELECT split, count(*) AS rows, count(*) FILTER (id % 31 <> 7) + count(*) FILTER (id % 31 <> 7 AND id % 47 = 11) AS predicted, count(DISTINCT CASE WHEN id % 31 <> 7 THEN id END) AS distinct_ids, count(*) FILTER (id % 31 = 7) AS unpredicted FROM r GROUP BY split"""
 ORACLES["differing_predictions"] = PREDICTIONS + " SELECT id, label FROM x WHERE id % 101 = 13 OR id % 89 = 5"
+ORACLES["region_violations"] = """
+SELECT 'r-' || p_partkey AS region_id, CASE WHEN p_partkey % 7 = 1 THEN 'TOO_FEW_CORNERS' WHEN p_partkey % 7 = 2 THEN 'RECTANGLE_CORNERS' ELSE 'OUT_OF_RANGE' END AS rule
+FROM part WHERE p_partkey % 7 IN (1, 3) OR p_partkey % 7 = 2 AND p_partkey % 2 = 0"""
+ORACLES["wire_export"] = EVENTS + _WIRE + """,
+kp AS (SELECT DISTINCT session_id, point_id FROM p WHERE raw_order % 97 <> 5),
+lost AS (SELECT DISTINCT session_id, event_id FROM (SELECT session_id, event_id, unnest(string_split(points, ',')) AS point_id FROM wr) ANTI JOIN kp USING (session_id, point_id))
+SELECT wr.session_id || ':' || task_segment_id AS batch_id, wr.session_id, CASE WHEN count(lost.event_id) > 0 THEN 'REFUSED' ELSE 'EXPORTED' END AS status, count(lost.event_id) AS unresolved, count(*) AS n_events, CASE WHEN count(lost.event_id) > 0 THEN 0 ELSE count(*) END AS handed_on
+FROM wr LEFT JOIN lost ON lost.session_id = wr.session_id AND lost.event_id = wr.event_id GROUP BY wr.session_id, task_segment_id"""
