@@ -39,6 +39,8 @@ REGISTERS = BANDS * ROWS
 ROUNDING, COARSE = 1e-9, 1e-3
 #: Texts and bytes of shingle sets in a block of a bucket, and columns of the matrices that blocks are compared by.
 BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 64, 1 << 18, 1 << 14
+#: Rows of a file of labels.
+LABELS_A_FILE = 100_000
 #: Texts of a bucket that one task compares with its centre.
 SALT_TEXTS = 512
 _WORD = re.compile(r"[^\W_]+")
@@ -298,15 +300,17 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, label: the smallest id that is connected with it. edges: id, centre. Each round writes its labels."""
+    """id, label: the smallest id that is connected with it. edges: id, centre. Each round writes its labels, in files of some
+    LABELS_A_FILE rows, since there are many rounds and labels are short."""
     both = cut(edges.select(F.col("id").alias("a"), F.col("centre").alias("b")).unionByName(edges.select(F.col("centre").alias("a"), F.col("id").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    files = -(-max(both.count(), 1) // LABELS_A_FILE)
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")).coalesce(files), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         # A label's own label is as good, so long chains halve in each round.
         via = labels.select(F.col("id").alias("near"), F.col("label").alias("far"))
         step = labels.join(near, labels["id"] == near["a"]).select("id", "label", "near").join(via, "near", "left").select("id", F.col("label").alias("old"), F.least("label", "near", "far").alias("label"))
-        step = cut(step, "labels")
+        step = cut(step.coalesce(files), "labels")
         if step.where("label <> old").isEmpty():
             return step.select("id", "label")
         labels = step.select("id", "label")
