@@ -6,7 +6,7 @@ from inkwell.llm.licenses import APART, BASE, PASSAGES, SHARED, VOTES
 from inkwell.llm.quality import (
     BOILERPLATE, JUDGED_WORDS, MAX_CAPITAL_WORDS, MAX_LOST, MAX_MARKS_PER_WORD, MAX_REPEATED_PCT, MAX_SYMBOLS_PER_WORD, MIN_WORDS, NOTICE_WORDS, UNENDED_WORDS,
 )
-from inkwell.llm.urls import BLOCK, LEAST_LABELLED, LEAST_SHARE, PRIOR, RULES, Z
+from inkwell.llm.urls import RULES
 
 OP2 = """
 WITH p AS (
@@ -107,24 +107,34 @@ c AS (
            WHEN regexp_full_match(s, '[0-9a-fA-F-]{{12,}}') THEN '{{hash}}' WHEN regexp_matches(s, '[0-9]') THEN '{{name}}' ELSE s END) AS shape
   FROM h LEFT JOIN x USING (r)),
 l AS (SELECT host, shape, count(*) AS pages, count(verdict)::DOUBLE AS n, (count(*) FILTER (verdict = 'block'))::DOUBLE AS b FROM c GROUP BY host, shape),
-g(host, shape, pages, n, b, template, lvl) AS (
-  SELECT host, shape, pages, n, b, []::VARCHAR[], 0 FROM (SELECT host, shape, pages::DOUBLE AS pages, n, b FROM l UNION ALL SELECT '*', shape, sum(pages)::DOUBLE, sum(n), sum(b) FROM l GROUP BY shape)
-  UNION ALL
-  SELECT host, shape, pages, n, b, list_append(template, CASE WHEN sum(pages) OVER own >= {LEAST_SHARE}::DOUBLE * sum(pages) OVER every OR sum(n) OVER own >= {LEAST_LABELLED} OR starts_with(shape[lvl + 1], '{{') THEN shape[lvl + 1] ELSE '{{any}}' END), lvl + 1
-  FROM g WHERE len(shape) > lvl WINDOW own AS (PARTITION BY host, template, shape[lvl + 1]), every AS (PARTITION BY host, template)),
-f AS (SELECT * FROM g WHERE lvl = len(shape)),
-nd AS (SELECT host, template[1 : k] AS t, sum(n) AS n, sum(b) AS b FROM (SELECT *, unnest(range(0, len(template) + 1)) AS k FROM f) GROUP BY host, template[1 : k]),
-te AS (
-  SELECT a.host, a.t, a.t[1 : len(a.t) - 1] AS parent, a.n, a.b, a.n = 0 OR abs(a.b / greatest(a.n, 1) - base) <= {Z} * sqrt(base * (1 - base) / greatest(a.n, 1)) AS alike
-  FROM nd a JOIN nd q ON q.host = a.host AND q.t = a.t[1 : len(a.t) - 1], LATERAL (SELECT q.b / greatest(q.n, 1) AS base) WHERE len(a.t) > 0),
-po AS (SELECT host, parent, sum(n) AS n, sum(b) AS b FROM te WHERE alike GROUP BY host, parent),
-ef AS (SELECT te.host, te.t, CASE WHEN alike THEN po.n ELSE te.n END AS n, CASE WHEN alike THEN po.b ELSE te.b END AS b FROM te LEFT JOIN po ON po.host = te.host AND po.parent = te.parent),
-sh(host, template, d, share, of_host) AS (
-  SELECT f.host, f.template, 0, CASE WHEN nd.n > 0 THEN nd.b / nd.n ELSE 0.0 END, nd.n FROM (SELECT DISTINCT host, template FROM f) f JOIN nd ON nd.host = f.host AND len(nd.t) = 0
-  UNION ALL SELECT sh.host, sh.template, d + 1, (ef.b + {PRIOR} * share) / (ef.n + {PRIOR}), of_host FROM sh JOIN ef ON ef.host = sh.host AND ef.t = sh.template[1 : d + 1] WHERE d < len(sh.template)),
-own AS (SELECT f.host, f.shape, share, least(of_host, 100.0::DOUBLE) AS weight FROM f JOIN sh ON sh.host = f.host AND sh.template = f.template AND d = len(sh.template)),
-j AS (SELECT a.host, a.shape, (a.share * a.weight + {PRIOR} * o.share) / (a.weight + {PRIOR}) AS share FROM own a JOIN own o ON o.host = '*' AND o.shape = a.shape WHERE a.host <> '*')
-SELECT page_id, c.host, path, rule, coalesce(verdict, CASE WHEN share >= {BLOCK} THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN verdict IS NULL THEN round(share, 6) END AS share FROM c JOIN j ON j.host = c.host AND j.shape = c.shape
+t AS (SELECT '=' || host AS tree, shape, pages, n, b FROM l UNION ALL SELECT '*', shape, sum(pages), sum(n), sum(b) FROM l GROUP BY shape),
+s AS (SELECT *, shape[k] AS seg, shape[1 : k - 1] AS parent, shape[1 : k] AS node FROM (SELECT *, unnest(range(1, len(shape) + 1)) AS k FROM t)),
+ra AS (
+  SELECT *, NOT (sum(pages) OVER own >= 0.05::DOUBLE * sum(pages) OVER every OR sum(n) OVER own >= 5 OR starts_with(seg, '{{')) AS rare
+  FROM s WINDOW own AS (PARTITION BY tree, node), every AS (PARTITION BY tree, parent)),
+fo AS (SELECT *, min(k) FILTER (rare) OVER (PARTITION BY tree, shape) AS fork FROM ra),
+ta AS (
+  SELECT *, CASE WHEN fork IS NULL OR k < fork OR (k > fork AND (sum(pages) OVER own >= 0.05::DOUBLE * sum(pages) OVER every OR sum(n) OVER own >= 5 OR starts_with(seg, '{{'))) THEN seg ELSE '{{any}}' END AS part
+  FROM fo WINDOW own AS (PARTITION BY tree, coalesce(k > fork, false), shape[1 : fork - 1], k, seg), every AS (PARTITION BY tree, coalesce(k > fork, false), shape[1 : fork - 1], k)),
+te AS (SELECT tree, shape, list(part ORDER BY k) AS template FROM ta GROUP BY tree, shape),
+f AS (SELECT t.*, coalesce(template, []::VARCHAR[]) AS template FROM t LEFT JOIN te ON te.tree = t.tree AND te.shape = t.shape),
+nd AS (
+  SELECT tree, node, node[1 : len(node) - 1] AS parent, sum(n) AS n, sum(b) AS b FROM (SELECT tree, n, b, unnest(list_transform(range(1, len(template) + 1), lambda k: template[1 : k])) AS node FROM f)
+  GROUP BY tree, node HAVING sum(n) > 0),
+nc AS (SELECT *, len(list_filter(range(1, 16), lambda k: b / n >= round(pow(sin(k * pi() / 32), 2), 6))) AS cell FROM nd),
+ce AS (SELECT tree, parent, cell, sum(n) AS n, sum(b) AS b FROM nc GROUP BY tree, parent, cell),
+la AS (SELECT *, lag(n) OVER o AS n1, lag(b) OVER o AS b1 FROM ce WINDOW o AS (PARTITION BY tree, parent ORDER BY cell)),
+po AS (
+  SELECT *, sum(CASE WHEN abs(b / n - b1 / n1) <= 1.96::DOUBLE * sqrt((b + b1) / (n + n1) * (1 - (b + b1) / (n + n1)) * (1 / n + 1 / n1)) THEN 0 ELSE 1 END) OVER (PARTITION BY tree, parent ORDER BY cell) AS pool FROM la),
+pc AS (SELECT tree, parent, cell, sum(n) OVER w AS n, sum(b) OVER w AS b FROM po WINDOW w AS (PARTITION BY tree, parent, pool)),
+ef AS (SELECT nc.tree, nc.node, pc.n, pc.b FROM nc JOIN pc ON pc.tree = nc.tree AND pc.parent = nc.parent AND pc.cell = nc.cell),
+ro AS (SELECT tree, sum(n) AS labelled, CASE WHEN sum(n) > 0 THEN sum(b) / sum(n) ELSE 0.0 END AS root FROM t GROUP BY tree),
+sh(tree, template, d, share, labelled) AS (
+  SELECT f.tree, f.template, 0, root::DOUBLE, labelled FROM (SELECT DISTINCT tree, template FROM f) f JOIN ro ON ro.tree = f.tree
+  UNION ALL SELECT sh.tree, sh.template, d + 1, (coalesce(ef.b, 0) + 5.0::DOUBLE * share) / (coalesce(ef.n, 0) + 5.0::DOUBLE), labelled FROM sh LEFT JOIN ef ON ef.tree = sh.tree AND ef.node = sh.template[1 : d + 1] WHERE d < len(sh.template)),
+own AS (SELECT f.tree, f.shape, share, least(labelled, 100.0::DOUBLE) AS weight FROM f JOIN sh ON sh.tree = f.tree AND sh.template = f.template AND d = len(sh.template)),
+j AS (SELECT substr(a.tree, 2) AS host, a.shape, (a.share * a.weight + 5.0::DOUBLE * o.share) / (a.weight + 5.0::DOUBLE) AS share FROM own a JOIN own o ON o.tree = '*' AND o.shape = a.shape WHERE a.tree <> '*')
+SELECT page_id, c.host, path, rule, coalesce(verdict, CASE WHEN share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN verdict IS NULL THEN round(share, 6) END AS share FROM c JOIN j ON j.host = c.host AND j.shape = c.shape
 """
 
 OP11 = """

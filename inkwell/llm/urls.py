@@ -1,20 +1,28 @@
 """URL filter: rules first, then a tree of path templates whose branches are judged by the purity of their labelled pages.
 
-The rules' own verdicts are the labels. Per host, and once over all hosts, paths become templates, level by level down to the
-deepest: numbers, hashes and names with digits are generalised, and so is a literal segment that is rare among its siblings and has
-few labelled pages. A branch whose block share doesn't differ from its parent's by a two-proportion test is pooled with its like
-siblings; its share is smoothed towards its parent's. A page is blocked from a share of ``BLOCK`` on.
-
-Everything is counted per host and template before it is compared, so a host with a third of all pages is a few rows.
-
-Cases: a null url or one without ``://`` has an empty host and path; a page that no rule fits and whose templates have no
-labelled page anywhere gets the share of all labelled pages, and without any is allowed; repeated rows get a row each; an empty
-table gives an empty table; other columns are ignored.
+The rules' own verdicts are the labels. For each host, and once over all hosts, a tree of paths is made:
+
+1. Numbers, hashes and names with digits are generalised in each segment.
+2. A literal segment that is rare among its siblings and has few labelled pages becomes a wildcard. Where a path has its first
+   wildcard it leaves the literal tree; its later segments are judged by their place, among all paths that left there. So all depths
+   are decided in two aggregations, and the number of jobs doesn't depend on the longest path.
+3. Branches with one parent are merged where their block shares are alike: first those in the same of ``CELLS`` cells of the share's
+   scale, then neighbouring cells that a two-proportion test doesn't tell apart, whether or not they are like their parent.
+4. The share of a branch is smoothed towards its parent's; a page is blocked from a share of ``BLOCK`` on.
+
+Everything is counted per host and template before it is compared, so a host with a third of all pages is a few rows; a path is a row
+for each segment, never a row for each prefix with its text.
+
+Cases: a null url or one without ``://`` has an empty host and path; a branch without labelled pages has its parent's share; a page
+that no rule fits and whose templates have no labelled page anywhere gets the share of all labelled pages, and without any is allowed;
+repeated rows get a row each; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import cut, table
@@ -25,6 +33,10 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 LEAST_SHARE, LEAST_LABELLED = 0.05, 5
 #: Weight of the parent's share, in pages; z of the test; share from which a page is blocked.
 PRIOR, Z, BLOCK = 5.0, 1.96, 0.5
+#: Cells of the scale of shares, and where they meet: even steps of the angle whose sine is the root of the share, which has the same
+#: spread everywhere. One of them is a half.
+CELLS = 16
+BORDERS = [round(math.sin(k * math.pi / (2 * CELLS)) ** 2, 6) for k in range(1, CELLS)]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,42 +77,64 @@ def segments(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), general)
 
 
+def _nodes(steps: DataFrame) -> DataFrame:
+    """steps (tree, leaf, at, segment) with node and parent: 128 bits that stand for the path up to this segment, and up to the one
+    before. A running exclusive or of hashes of place and segment, so long paths take no more than their length."""
+    way = Window.partitionBy("tree", "leaf").orderBy("at")
+    hashes = {"x": F.xxhash64("at", "segment"), "y": F.xxhash64("segment", F.lit("y"), "at")}
+    upto = {k: F.bit_xor(h).over(way) for k, h in hashes.items()}
+    return steps.withColumn("node", F.struct(*[c.alias(k) for k, c in upto.items()])).withColumn("parent", F.struct(*[F.col(f"node.{k}").bitwiseXOR(h).alias(k) for k, h in hashes.items()]))
+
+
+def _rare(counts: DataFrame, within: list[str]) -> DataFrame:
+    """Of counts (within, segment, pages, n) those that are neither a class of segments, nor frequent in their group, nor labelled often."""
+    total = counts.groupBy(*within).agg(F.sum("pages").alias("total"))
+    return counts.join(total, within).where((F.col("pages") < LEAST_SHARE * F.col("total")) & (F.col("n") < LEAST_LABELLED) & ~F.col("segment").startswith("{"))
+
+
 def generalise(leaves: DataFrame) -> DataFrame:
-    """leaves (host, shape, pages, n, b) with template: rare literal segments under the same parent become one wildcard. A level is
-    decided when the ones above it are, so each is written before the next; paths that have ended are put aside."""
-    out = cut(leaves.withColumn("template", F.array().cast("array<string>")), "level")
-    ended = [out.where(F.size("shape") == 0)]
-    for level in range(out.agg(F.max(F.size("shape"))).first()[0] or 0):
-        rows = out.where(F.size("shape") > level).withColumn("own", F.get("shape", F.lit(level)))
-        children = rows.groupBy("host", "template", "own").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"))
-        total = children.groupBy("host", "template").agg(F.sum("pages").alias("total"))
-        kept = children.join(total, ["host", "template"]).where((F.col("pages") >= LEAST_SHARE * F.col("total")) | (F.col("n") >= LEAST_LABELLED) | F.col("own").startswith("{"))
-        found = rows.join(kept.select("host", "template", "own", F.lit(True).alias("kept")), ["host", "template", "own"], "left")
-        out = cut(found.withColumn("template", F.array_append("template", F.when(F.col("kept"), F.col("own")).otherwise("{any}"))).select(leaves.columns + ["template"]), "level")
-        ended.append(out.where(F.size("shape") == level + 1))
-    paths = ended[0]
-    for more in ended[1:]:
-        paths = paths.unionByName(more)
-    return cut(paths, "templates")
+    """leaves (tree, leaf, shape, pages, n, b) as rows of template steps: tree, leaf, n, b, at (from 0), segment, node, parent. Paths
+    without segments have none."""
+    steps = cut(_nodes(leaves.select("tree", "leaf", "pages", "n", "b", F.posexplode("shape").alias("at", "segment"))), "steps")
+    sums = [F.sum(c).alias(c) for c in ("pages", "n")]
+    rare = _rare(steps.groupBy("tree", "parent", "node", "segment").agg(*sums), ["tree", "parent"]).select("tree", "node")
+    forks = steps.join(rare, ["tree", "node"], "left_semi").groupBy("tree", "leaf").agg(F.min(F.struct("at", "parent")).alias("fork"))
+    steps = cut(steps.join(forks, ["tree", "leaf"], "left").select("tree", "leaf", "pages", "n", "b", "at", "segment", "fork"), "forks")
+    tail = F.col("at") > F.col("fork.at")
+    place = ["tree", "fork", "at"]
+    rare = _rare(steps.where(tail).groupBy(*place, "segment").agg(*sums), place).select(*place, "segment", F.lit(True).alias("rare"))
+    # The paths' own part keeps clear of the join; only what is below a wildcard has to be looked up.
+    below = steps.where(tail).join(rare, [*place, "segment"], "left").withColumn("segment", F.when(F.col("rare"), "{any}").otherwise(F.col("segment"))).select(steps.columns)
+    above = steps.where(F.col("fork").isNull() | ~tail).withColumn("segment", F.when(F.col("at") == F.col("fork.at"), "{any}").otherwise(F.col("segment")))
+    return cut(_nodes(above.unionByName(below).select("tree", "leaf", "n", "b", "at", "segment")), "templates")
+
+
+def merged(steps: DataFrame) -> DataFrame:
+    """tree, parent, node, n, b: the labelled and blocked pages of each node together with the siblings that are alike."""
+    sums = [F.sum(c).alias(c) for c in ("n", "b")]
+    share = F.col("b") / F.col("n")
+    cell = sum((share >= border).cast("int") for border in BORDERS)
+    nodes = cut(steps.groupBy("tree", "parent", "node").agg(*sums).where("n > 0").withColumn("cell", cell), "nodes")
+    # A parent has at most CELLS rows from here on.
+    cells, order, family = nodes.groupBy("tree", "parent", "cell").agg(*sums), Window.partitionBy("tree", "parent").orderBy("cell"), ["tree", "parent", "pool"]
+    n, b = F.lag("n").over(order), F.lag("b").over(order)
+    base = (F.col("b") + b) / (F.col("n") + n)
+    apart = F.abs(share - b / n) > Z * F.sqrt(base * (1 - base) * (1 / F.col("n") + 1 / n))
+    cells = cells.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("pool", F.sum("new").over(order))
+    pools = cells.select("tree", "parent", "cell", *[F.sum(c).over(Window.partitionBy(*family)).alias(c) for c in ("n", "b")])
+    return nodes.select("tree", "parent", "node", "cell").join(pools, ["tree", "parent", "cell"]).select("tree", "parent", "node", "n", "b")
 
 
 def purity(leaves: DataFrame) -> DataFrame:
-    """host, template, share (smoothed block share), of_host (labelled pages of the host). leaves: host, template, n, b (labelled, blocked)."""
-    prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda k: F.slice(F.col("template"), F.lit(1), k))
-    nodes = leaves.select("host", F.explode(prefixes).alias("template"), "n", "b").groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    nodes = cut(nodes.withColumn("parent", F.when(F.size("template") > 0, F.slice("template", F.lit(1), F.size("template") - 1))), "nodes")
-    parents = nodes.select("host", F.col("template").alias("parent"), F.col("n").alias("all"), F.col("b").alias("blocked"))
-    base = F.col("blocked") / F.greatest("all", F.lit(1))
-    alike = (F.col("n") == 0) | (F.abs(F.col("b") / F.greatest("n", F.lit(1)) - base) <= Z * F.sqrt(base * (1 - base) / F.greatest("n", F.lit(1))))
-    tested = cut(nodes.join(parents, ["host", "parent"]).select("host", "template", "parent", "n", "b", alike.alias("alike")), "tested")
-    pools = tested.where("alike").groupBy("host", "parent").agg(F.sum("n").alias("pool_n"), F.sum("b").alias("pool_b"))
-    counted = tested.join(pools, ["host", "parent"], "left").select("host", "template", *[F.when(F.col("alike"), F.col(f"pool_{c}")).otherwise(F.col(c)).alias(c) for c in ("n", "b")])
-    counted = counted.unionByName(nodes.where(F.size("template") == 0).select("host", "template", "n", "b"))
-    # Each template with the counts of all nodes on its way from the root.
-    ways = leaves.select("host", "template").distinct().select("host", F.col("template").alias("leaf"), F.explode(prefixes).alias("template"))
-    ways = ways.join(counted, ["host", "template"]).groupBy("host", "leaf").agg(F.sort_array(F.collect_list(F.struct(F.size("template").alias("depth"), "n", "b"))).alias("way"))
-    share = F.aggregate("way", F.lit(0.0), lambda prior, x: F.when(x["depth"] > 0, (x["b"] + PRIOR * prior) / (x["n"] + PRIOR)).when(x["n"] > 0, x["b"] / x["n"]).otherwise(0.0))
-    return ways.select("host", F.col("leaf").alias("template"), share.alias("share"), F.get("way", F.lit(0))["n"].alias("of_host"))
+    """tree, leaf, share (smoothed block share), labelled (labelled pages of the tree). leaves: tree, leaf, shape, pages, n, b."""
+    steps = generalise(leaves)
+    counts = merged(steps).select("tree", "node", "n", "b")
+    ways = steps.select("tree", "leaf", "at", "node").join(counts, ["tree", "node"]).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", "n", "b"))).alias("way"))
+    roots = leaves.groupBy("tree").agg(F.sum("n").alias("labelled"), F.sum("b").alias("blocked"))
+    # A node without labelled pages leaves its parent's share as it is, so it is in no way.
+    root = F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).otherwise(0.0)
+    share = F.coalesce(F.aggregate("way", root, lambda prior, x: (x["b"] + PRIOR * prior) / (x["n"] + PRIOR)), root)
+    return leaves.select("tree", "leaf").join(ways, ["tree", "leaf"], "left").join(roots, "tree").select("tree", "leaf", share.alias("share"), "labelled")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -108,26 +142,23 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select("page_id", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p")).select("page_id", F.coalesce("h", F.lit("")).alias("host"), F.coalesce("p", F.lit("")).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("shape", segments(F.col("path")))
-    counts = rows.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("by_rule").cast("double").alias("n"), F.count(F.when(F.col("by_rule") == "block", 1)).cast("double").alias("b"))
-    leaves = generalise(counts)
-    # The tree over all hosts: the same shapes, generalised over all hosts.
-    shapes = generalise(leaves.groupBy("shape").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "b")]).withColumn("host", F.lit("*")))
-    overall = shapes.join(purity(shapes.select("host", "template", "n", "b")), ["host", "template"]).select("shape", F.col("share").alias("overall"))
-    own = purity(leaves.select("host", "template", "n", "b"))
-    judged = (
-        leaves.join(own, ["host", "template"])
-        .join(overall, "shape")
-        # A host without labelled pages says nothing of its own; with few it is smoothed towards all hosts.
-        .select("host", "shape", ((F.col("share") * F.least("of_host", F.lit(100.0)) + PRIOR * F.col("overall")) / (F.least("of_host", F.lit(100.0)) + PRIOR)).alias("share"))
-    )
-    return rows.join(judged, ["host", "shape"], "left").select(
-        "page_id",
-        "host",
-        "path",
-        "rule",
-        F.coalesce("by_rule", F.when(F.col("share") >= BLOCK, "block").otherwise("allow")).alias("verdict"),
-        F.when(F.col("by_rule").isNull(), F.col("share")).alias("share"),
+    rows = rows.withColumn("leaf", F.sha2(F.array_join("shape", "/"), 256))
+    counts = rows.groupBy("host", "leaf").agg(
+        F.first("shape").alias("shape"), F.count("*").alias("pages"), F.count("by_rule").cast("double").alias("n"), F.count(F.when(F.col("by_rule") == "block", 1)).cast("double").alias("b")
     )
+    counts = cut(counts.withColumn("tree", F.concat(F.lit("="), "host")).drop("host"), "paths")
+    # The tree over all hosts has the same paths.
+    overall = counts.groupBy("leaf").agg(F.first("shape").alias("shape"), *[F.sum(c).alias(c) for c in ("pages", "n", "b")]).withColumn("tree", F.lit("*"))
+    shares = cut(purity(cut(counts.unionByName(overall), "leaves")), "shares")
+    every = shares.where("tree = '*'").select("leaf", F.col("share").alias("overall"))
+    # A host without labelled pages says nothing of its own; with few it is smoothed towards all hosts.
+    weight = F.least("labelled", F.lit(100.0))
+    judged = shares.where("tree <> '*'").join(every, "leaf").select(F.expr("substr(tree, 2)").alias("host"), "leaf", ((F.col("share") * weight + PRIOR * F.col("overall")) / (weight + PRIOR)).alias("share"))
+    # Pages that a rule decides need no share and aren't shuffled.
+    plain = ["page_id", "host", "path", "rule"]
+    found = rows.where("by_rule IS NULL").select(*plain, "leaf").join(judged, ["host", "leaf"])
+    found = found.select(*plain, F.when(F.col("share") >= BLOCK, "block").otherwise("allow").alias("verdict"), "share")
+    return rows.where("by_rule IS NOT NULL").select(*plain, F.col("by_rule").alias("verdict"), F.lit(None).cast("double").alias("share")).unionByName(found)
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 BLANK = "[^\x20\x09-\x0d]+"
@@ -343,56 +346,77 @@ def plain_urls(pages):
         rows.append((i, host, path, rule, verdict, tuple(general(s) for s in path.split("/") if s)))
     leaves = defaultdict(lambda: [0, 0, 0])
     for _, host, _, _, verdict, shape in rows:
-        for h in (host, "*"):
+        for h in (host, "*"):  # no test has a host of that name
             leaf = leaves[h, shape]
             leaf[0] += 1
             leaf[1] += verdict is not None
             leaf[2] += verdict == "block"
-    templates = {k: () for k in leaves}
-    for level in range(max(len(s) for _, s in leaves)):
-        children = defaultdict(lambda: [0, 0])
-        for (h, s), t in templates.items():
-            if len(s) > level:
-                children[h, t, s[level]][0] += leaves[h, s][0]
-                children[h, t, s[level]][1] += leaves[h, s][1]
-        total = Counter()
-        for (h, t, _), (n, _) in children.items():
-            total[h, t] += n
-        for (h, s), t in list(templates.items()):
-            if len(s) > level:
-                n, labelled = children[h, t, s[level]]
-                keep = n >= u.LEAST_SHARE * total[h, t] or labelled >= u.LEAST_LABELLED or s[level].startswith("{")
-                templates[h, s] = (*t, s[level] if keep else "{any}")
-    nodes = defaultdict(lambda: [0, 0])
+    literal, groups = defaultdict(lambda: [0, 0]), defaultdict(int)
+    for (h, s), (n, labelled, _) in leaves.items():
+        for k in range(len(s)):
+            literal[h, s[: k + 1]][0] += n
+            literal[h, s[: k + 1]][1] += labelled
+            groups[h, s[:k]] += n
+
+    def rare(n, labelled, total, segment):
+        return n < 0.05 * total and labelled < 5 and not segment.startswith("{")
+
+    forks = {}
+    for h, s in leaves:
+        forks[h, s] = next((k for k in range(len(s)) if rare(*literal[h, s[: k + 1]], groups[h, s[:k]], s[k])), len(s))
+    below, places = defaultdict(lambda: [0, 0]), defaultdict(int)
+    for (h, s), fork in forks.items():
+        for k in range(fork + 1, len(s)):
+            below[h, s[:fork], k, s[k]][0] += leaves[h, s][0]
+            below[h, s[:fork], k, s[k]][1] += leaves[h, s][1]
+            places[h, s[:fork], k] += leaves[h, s][0]
+    templates = {}
+    for (h, s), fork in forks.items():
+        rest = [("{any}" if rare(*below[h, s[:fork], k, s[k]], places[h, s[:fork], k], s[k]) else s[k]) for k in range(fork + 1, len(s))]
+        templates[h, s] = (*s[:fork], *["{any}"][: len(s) - fork], *rest)
+    nodes, children = defaultdict(lambda: [0, 0]), defaultdict(set)
     for k, t in templates.items():
         for d in range(len(t) + 1):
             nodes[k[0], t[:d]][0] += leaves[k][1]
             nodes[k[0], t[:d]][1] += leaves[k][2]
-
-    def alike(h, t):
-        n, b = nodes[h, t]
-        all_, blocked = nodes[h, t[:-1]]
-        base = blocked / max(all_, 1)
-        return n == 0 or abs(b / max(n, 1) - base) <= u.Z * (base * (1 - base) / max(n, 1)) ** 0.5
-
-    pools = defaultdict(lambda: [0, 0])
-    for h, t in list(nodes):
-        if t and alike(h, t):
-            pools[h, t[:-1]][0] += nodes[h, t][0]
-            pools[h, t[:-1]][1] += nodes[h, t][1]
+            if d:
+                children[k[0], t[: d - 1]].add(t[:d])
+    borders = [round(math.sin(k * math.pi / 32) ** 2, 6) for k in range(1, 16)]
+    pooled = {}
+    for (h, _), ts in children.items():
+        cells = defaultdict(list)
+        for t in ts:
+            n, b = nodes[h, t]
+            if n:
+                cells[sum(b / n >= x for x in borders)].append(t)
+        pools, before = [], None
+        for _, same in sorted(cells.items()):
+            n, b = sum(nodes[h, t][0] for t in same), sum(nodes[h, t][1] for t in same)
+            if before:
+                n1, b1 = before
+                base = (b + b1) / (n + n1)
+                if abs(b / n - b1 / n1) > 1.96 * math.sqrt(base * (1 - base) * (1 / n + 1 / n1)):
+                    pools.append([])
+            else:
+                pools.append([])
+            pools[-1] += same
+            before = n, b
+        for pool in pools:
+            for t in pool:
+                pooled[h, t] = sum(nodes[h, x][0] for x in pool), sum(nodes[h, x][1] for x in pool)
 
     def share(h, t):
         n, b = nodes[h, ()]
         out = b / n if n else 0.0
         for d in range(1, len(t) + 1):
-            n, b = pools[h, t[: d - 1]] if alike(h, t[:d]) else nodes[h, t[:d]]
-            out = (b + u.PRIOR * out) / (n + u.PRIOR)
+            n, b = pooled.get((h, t[:d]), (0, 0))
+            out = (b + 5 * out) / (n + 5)
         return out
 
     for i, host, path, rule, verdict, shape in rows:
         weight = min(nodes[host, ()][0], 100)
-        own = (share(host, templates[host, shape]) * weight + u.PRIOR * share("*", templates["*", shape])) / (weight + u.PRIOR)
-        yield i, host, path, rule, verdict or ("block" if own >= u.BLOCK else "allow"), None if verdict else own
+        own = (share(host, templates[host, shape]) * weight + 5 * share("*", templates["*", shape])) / (weight + 5)
+        yield i, host, path, rule, verdict or ("block" if own >= 0.5 else "allow"), None if verdict else own
 
 
 def test_op10_against_a_plain_tree(spark):
@@ -451,6 +475,39 @@ def test_warc_copies_and_odd_rows(spark, tmp_path):
     assert warc.read_archives(spark, none).count() == 0
 
 
+def test_urls_of_a_thousand_segments(spark):
+    from inkwell.llm import urls
+
+    pages = [(k, "http://deep.com/" + "/".join("abc"[(i + k) % 3] * (1 + i % 2) for i in range(1000)) + f"/{k}") for k in range(3)]
+    pages += [(10, "http://flat.com/de/1"), (11, "http://flat.com/xx/1")]
+    began = time.time()
+    rows = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id bigint, url string")).collect()}
+    assert time.time() - began < 60
+    assert len(rows) == 5 and rows[10]["rule"] == "com/de/" and all(len(rows[k]["path"]) > 2000 and rows[k]["share"] == rows[0]["share"] for k in range(3))
+
+
+def test_like_siblings_are_merged_though_unlike_their_parent(spark):
+    """Two branches with nearly the same share, far from their parent's, have their pages counted together; a third keeps apart."""
+    from inkwell.llm import urls
+
+    def pages(branch, n, b):
+        return [("=h", f"{branch}{k}", [branch], 1, 1.0, float(k < b)) for k in range(n)]
+
+    leaves = pages("left", 40, 38) + pages("right", 50, 47) + pages("other", 400, 4)
+    merged = urls.merged(urls.generalise(spark.createDataFrame(leaves, "tree string, leaf string, shape array<string>, pages bigint, n double, b double")))
+    assert sorted((r["n"], r["b"]) for r in merged.collect()) == [(90.0, 85.0), (90.0, 85.0), (400.0, 4.0)]
+
+
+def test_segments_below_a_wildcard_are_judged_by_their_place(spark):
+    from inkwell.llm import urls
+
+    shapes = [["shop", f"item-{chr(97 + k % 26)}{chr(97 + k // 26)}", "view" if k % 2 else f"only-{chr(97 + k % 26)}{chr(97 + k // 26)}"] for k in range(100)]
+    leaves = [("=h", str(k), s, 1, 0.0, 0.0) for k, s in enumerate(shapes)]
+    steps = urls.generalise(spark.createDataFrame(leaves, "tree string, leaf string, shape array<string>, pages bigint, n double, b double"))
+    found = {tuple(x["segment"] for x in sorted(r["t"])) for r in steps.groupBy("leaf").agg(F.collect_list(F.struct("at", "segment")).alias("t")).collect()}
+    assert found == {("shop", "{any}", "view"), ("shop", "{any}", "{any}")}
+
+
 def test_empty_and_null_urls(spark):
     from inkwell.llm import urls
 
