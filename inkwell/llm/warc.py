@@ -1,13 +1,14 @@
 """WARC archives with revisits resolved: equal payloads are stored once, later copies become revisit records.
 
-``resolve`` shuffles headers by payload digest and joins the revisits to their original response. A payload is only shuffled if
-its digest may occur twice, and then once per digest and map task, so a hot payload is a few rows; all others, and those below
-``MIN_REVISIT`` bytes, go straight to the archives. ``write_archives`` writes records with fresh headers as gzip members, one
+``resolve`` writes the headers once, shuffles them by payload digest and joins the revisits to their original response. A payload is
+only shuffled if its digest may occur twice, and then once per digest and map task, so a hot payload is a few rows; all others, and
+those below ``MIN_REVISIT`` bytes, go straight to the archives. ``write_archives`` writes records with fresh headers as gzip members, one
 member a record, in files of bounded size that begin with a warcinfo record; ``read_archives`` reads them back.
 
-Cases: a null payload is an empty one; a null url has no target header and reads back as null; payloads below ``MIN_REVISIT`` bytes
-are always stored; equal payloads with the same smallest page_id (repeated rows) are all stored, under one record id; a null
-page_id is last in order; an empty table gives no archives; other columns are ignored.
+Cases: a null payload is an empty one; a null url has no target header and reads back as null; a url loses control characters, and
+blanks at its ends when it is read back; payloads below ``MIN_REVISIT`` bytes are always stored; equal payloads with the same smallest
+page_id (repeated rows) are all stored, under one record id; a null page_id is last in order; an empty table gives no archives; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,13 +41,16 @@ def resolve(pages: DataFrame) -> DataFrame:
     the response, the row of the smallest page_id with an equal payload."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    digest = F.sha2("payload", 256).alias("payload_digest")
+    whole = ["page_id", "url", "payload_digest", "payload_bytes"]
+    # near tells most payloads apart at a fraction of the digest's price: payloads go by it, and only those taken are digested again.
     rows = pages.select("page_id", "url", payload.alias("payload"))
-    rows = rows.select("page_id", "url", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
-    headers = rows.where(F.col("payload_bytes") >= MIN_REVISIT)
+    rows = rows.select("page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.xxhash64("payload").alias("near"), "payload")
+    headers = cut(rows.where(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", "url", digest, "payload_bytes", "near"), "headers")
     first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("first")
-    firsts = headers.groupBy("payload_digest").agg(first, F.count("*").alias("n")).where("n > 1")
-    firsts = cut(firsts.select("payload_digest", F.struct("first.page_id", "first.url").alias("first")), "firsts")
-    known = id_filter(firsts, "payload_digest")
+    firsts = headers.groupBy("payload_digest").agg(first, F.count("*").alias("n"), F.first("near").alias("near")).where("n > 1")
+    firsts = cut(firsts.select("payload_digest", "near", F.struct("first.page_id", "first.url").alias("first")), "firsts")
+    known = id_filter(firsts, "near")
     shared = spark.sparkContext.broadcast(known)
 
     def select(wanted: bool, columns: DataFrame) -> DataFrame:
@@ -57,16 +61,16 @@ def resolve(pages: DataFrame) -> DataFrame:
                 maybe = pc.and_(passed, large)
                 yield batch.filter(maybe if wanted else pc.invert(maybe)).drop_columns(["at"])
 
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema)
-        return columns.withColumn("at", known.place(F.col("payload_digest"))).mapInArrow(run, schema)
+        columns = columns.withColumn("at", known.place(F.col("near"))).drop("near")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.drop("at").schema)
+        return columns.mapInArrow(run, schema)
 
     none = F.lit(None).cast("struct<page_id: bigint, url: string>").alias("refers_to")
-    alone = select(False, rows).select("*", none)
+    alone = select(False, rows).select("page_id", "url", digest, "payload_bytes", "payload", none)
     # Copies are headers; of the payloads one per digest is kept before the shuffle.
-    copies = select(True, rows.drop("payload")).join(firsts, "payload_digest", "left")
+    copies = select(True, headers).join(firsts.drop("near"), "payload_digest", "left")
+    payloads = select(True, rows.select("payload_bytes", "near", "payload")).select(digest, "payload").groupBy("payload_digest").agg(F.first("payload").alias("payload"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    payloads = select(True, rows.select("payload_digest", "payload_bytes", "payload")).groupBy("payload_digest").agg(F.first("payload").alias("payload"))
-    whole = ["page_id", "url", "payload_digest", "payload_bytes"]
     stored = copies.where(~again).join(payloads, "payload_digest").select(*whole, "payload", none)
     revisits = copies.where(again).select(*whole, F.lit(None).cast("binary").alias("payload"), F.struct(F.col("first.page_id").alias("page_id"), F.col("first.url").alias("url")).alias("refers_to"))
     return alone.unionByName(stored).unionByName(revisits)
