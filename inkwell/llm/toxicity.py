@@ -237,6 +237,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
     return w
 
 
+def sample_of(train: DataFrame, fit_rows: int) -> DataFrame:
+    """doc_id, toxic, text: a row of each of at most fit_rows doc_ids, by the order of their hashes; of an id's rows, the one with the
+    least text, however many there are."""
+    ids = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    rows = train.join(F.broadcast(ids), "doc_id")  # at most fit_rows numbers
+    return rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "text")).alias("row")).select("doc_id", "row.*")
+
+
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """row (struct of all columns of docs) and score."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -245,9 +253,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     if train.select("toxic").distinct().count() < 2:
         return rows.select("row", F.lit(0.0).alias("score"))
     found, other = ratios(cut(count_words(train), "word-counts"))
-    ids = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).distinct()
-    sample = train.join(F.broadcast(ids), "doc_id")  # at most fit_rows numbers
-    known = features(sample.select(F.xxhash64(text).alias("text_key"), F.when(F.col("toxic") > 0, 1).otherwise(2).alias("kind"), "text"), found, other).collect()
+    known = features(sample_of(train, fit_rows).select(F.xxhash64(text).alias("text_key"), F.when(F.col("toxic") > 0, 1).otherwise(2).alias("kind"), "text"), found, other).collect()
     weights = [float(w) for w in fit_curve(np.array([r["x"] for r in known]), np.array([float(r["kind"] == 1) for r in known]))]
     z = sum((F.lit(w) * F.get("x", F.lit(k)) for k, w in enumerate(weights[:-1])), F.lit(weights[-1]))
     scores = features(docs.select(F.xxhash64(text).alias("text_key"), F.lit(0).alias("kind"), "text"), found, other)

@@ -297,6 +297,14 @@ def test_url_rules_and_templates(spark):
     assert rows[1]["verdict"] == "block" and rows[200]["verdict"] == "block" and rows[8]["verdict"] == "allow" and len(rows) == len(pages)
 
 
+def test_the_curve_sees_one_row_of_each_number(spark):
+    from inkwell.llm import toxicity
+
+    train = spark.createDataFrame([(7, f"t{k:03}", 1) for k in range(500)] + [(k, "x", 0) for k in range(8, 12)], "doc_id bigint, text string, toxic int")
+    assert sorted(tuple(r) for r in toxicity.sample_of(train, 100).collect()) == [(7, 1, "t000"), *[(k, 0, "x") for k in range(8, 12)]]
+    assert toxicity.sample_of(train, 3).count() == 3
+
+
 def test_toxicity_on_held_out_labels(spark):
     from inkwell.llm.registry import queries
 
