@@ -81,23 +81,33 @@ def inside_length(p: Column, q: Column, sides: Column) -> Column:
     return F.when(length <= TINY, 0.0).otherwise(let(marks, total))
 
 
+def shape(polygon: Column) -> Column:
+    """What coverage needs of a polygon: its sides and box."""
+    return let(edges(polygon), lambda e: F.struct(e.alias("sides"), bounds(e).alias("box")))
+
+
 def coverage(points: Column, polygon: Column) -> Column:
     """Struct (share, method): share of a line's length inside; of its points if it has no length. points: structs (x, y), null where unknown."""
+    return let(shape(polygon), lambda s: shape_coverage(points, s))
+
+
+def shape_coverage(points: Column, s: Column) -> Column:
+    """coverage by a polygon's shape."""
+    sides, box = s["sides"], s["box"]
+    n = F.size(points)
+    between = F.filter(
+        F.zip_with(F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+        lambda s: s["a"].isNotNull() & s["b"].isNotNull(),
+    )
 
-    def measure(s: Column) -> Column:
-        sides, box = s["sides"], s["box"]
-        n = F.size(points)
-        pairs = F.filter(
-            F.zip_with(F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-            lambda s: s["a"].isNotNull() & s["b"].isNotNull(),
-        )
+    def measure(pairs: Column) -> Column:
         total = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]))
         inside = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + F.when(apart(s["a"], s["b"], box), 0.0).otherwise(inside_length(s["a"], s["b"], sides)))
         known = F.filter(points, lambda p: p.isNotNull())
         share = F.size(F.filter(known, lambda p: contains(p["x"], p["y"], sides))) / F.greatest(F.size(known), F.lit(1))
         return let(total, lambda t: F.when(t > TINY, F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside / t)).alias("share"), F.lit("ARC_LENGTH").alias("method"))).otherwise(F.struct(share.cast("double").alias("share"), F.lit("POINT_FALLBACK").alias("method"))))
 
-    return let(let(edges(polygon), lambda e: F.struct(e.alias("sides"), bounds(e).alias("box"))), measure)
+    return let(between, measure)
 
 
 def overlap(a: Column, b: Column, flat_equal: float, tiny: float = TINY) -> Column:

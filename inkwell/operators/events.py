@@ -1,21 +1,23 @@
 """Process events from stroke mappings: visits, leaves, returns, revisions, page changes, writing, the end.
 
 What happens at a mapping depends on the mapping before it, on whether its question was seen before and on earlier ink in the same
-place, so scans per participant and task segment say it all; each mapping then yields an array of events that is exploded. Sessions are
-scanned in pieces, and earlier ink is looked up in a grid, so neither a session nor a question has to fit a task.
+place, so scans per participant and task segment say it all; each mapping then yields an array of events that is exploded. Sessions of
+more than SHORT mappings are scanned in pieces, and their earlier ink is looked up in a grid, so neither a session nor a question has to fit
+a task; the others stand together after one shuffle, and each mapping is compared with all earlier ink of its question.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import EventConfig
+from inkwell.functions.geometry import overlap
 from inkwell.operators.ink import touched
 from inkwell.operators.mapping import ink_box, writing_evidence
-from inkwell.operators.scan import PIECE_ROWS, by_counts, scan
+from inkwell.operators.scan import PIECE_ROWS, by_counts, by_length, scan, whole
 
 #: Place of each type among the events of one stroke.
 ORDER = {"PAGE_CHANGE": 0, "WRITING": 1, "QUESTION_LEAVE": 2, "QUESTION_VISIT": 3, "RETURN": 3, "REVISION_CANDIDATE": 4, "UNKNOWN": 5, "PROCESS_END": 6}
@@ -32,17 +34,17 @@ def known_page(c):
 GROUP, BY_TIME = ("session_id", "participant_bucket", "segment_bucket"), ("_untimed", "_start", "stroke_id")
 #: Mappings that begin in the same so many milliseconds are in one piece of a scan, and those without a time by so many first characters.
 BUCKET_MS, PREFIX = 60_000, 12
+#: Mappings of a session at most whose ink is compared with all earlier ink.
+SHORT = 512
 
 
 def _keep(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def states(mappings: DataFrame, config: EventConfig, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """mappings with what came before each: active mapping, known page, visits, pause, overlap with earlier ink. They are read several
-    times, so it is best if they are a written table."""
-    c = config
-    rows = (
+def _prepared(mappings: DataFrame) -> DataFrame:
+    """mappings with their groups, order, and what of them is looked at."""
+    return (
         mappings.withColumn("participant_bucket", F.coalesce("participant_id", F.lit(NO_PARTICIPANT)))
         .withColumn("segment_bucket", F.coalesce("task_segment_id", F.lit(NO_SEGMENT)))
         .withColumn("is_mapped", (F.col("status") == "MAPPED") & F.col("question_id").isNotNull())
@@ -50,22 +52,23 @@ def states(mappings: DataFrame, config: EventConfig, piece_rows: int = PIECE_ROW
         .withColumn("ink", ink_box())
         .withColumn("page_known", known_page(F.col("page_id")))
         .withColumns({"_untimed": F.col("start_time_ms").isNull(), "_start": F.coalesce("start_time_ms", F.lit(0))})
-        .withColumns({"_bucket": F.floor(F.col("_start") / BUCKET_MS), "_prefix": F.when(F.col("_untimed"), F.substring("stroke_id", 1, PREFIX)).otherwise("")})
-    )
-    carried = F.struct("stroke_id", "question_id", "page_id", "start_time_ms", "end_time_ms", "point_refs", "quality_flags", "status", "participant_id", "task_segment_id")
-    traced = F.col("is_mapped") & F.col("ink").isNotNull() & F.col("page_id").isNotNull() & ~((F.col("ink.space") == "raw") & (F.col("ink.domain") == "unknown"))
-    marks = rows.where(traced).select(
-        *GROUP, "question_id", "page_id", F.col("ink.space").alias("space"), F.col("ink.domain").alias("domain"), F.col("ink.box").alias("box"), "writes", F.struct(*BY_TIME).alias("at"), "stroke_id"
+        .drop("norm_points", "raw_points", "times", "stroke_flags", "point_flags", "bbox", "bbox_space")
     )
-    known = by_counts(rows, GROUP, ("_untimed", "_bucket", "_prefix"), piece_rows)
-    known = scan(
-        known, GROUP, BY_TIME, lag={"_active": F.when(F.col("is_mapped"), carried)}, last={"_page": F.when(F.col("page_known"), F.col("page_id"))}, ends="_last"
-    ).drop("_piece")
-    # Each question's first mapping; later ones come back to it.
-    first = rows.where("is_mapped").groupBy(*GROUP, "question_id").agg(F.min(F.struct(*BY_TIME)).alias("_first"))
-    found = known.join(first, [*GROUP, "question_id"], "left")
-    laps = touched(marks, (*GROUP, "question_id", "page_id", "space", "domain"), c.revision_overlap_threshold).select(*GROUP, "stroke_id", F.lit(True).alias("overlaps"))
-    found = found.join(laps, [*GROUP, "stroke_id"], "left")
+
+
+CARRIED = ("stroke_id", "question_id", "page_id", "start_time_ms", "end_time_ms", "point_refs", "quality_flags", "status", "participant_id", "task_segment_id")
+
+
+def _looks_back() -> dict:
+    return {"lag": {"_active": F.when(F.col("is_mapped"), F.struct(*CARRIED))}, "last": {"_page": F.when(F.col("page_known"), F.col("page_id"))}, "ends": "_last"}
+
+
+def _traced() -> Column:
+    """Whether a mapping's ink is compared."""
+    return F.col("is_mapped") & F.col("ink").isNotNull() & F.col("page_id").isNotNull() & ~((F.col("ink.space") == "raw") & (F.col("ink.domain") == "unknown"))
+
+
+def _with_states(found: DataFrame, c: EventConfig) -> DataFrame:
     return found.withColumns(
         {
             "_seen": F.coalesce(F.col("is_mapped") & (F.struct(*BY_TIME) > F.col("_first")), F.lit(False)),
@@ -76,6 +79,34 @@ def states(mappings: DataFrame, config: EventConfig, piece_rows: int = PIECE_ROW
     )
 
 
+def short_states(rows: DataFrame, config: EventConfig) -> DataFrame:
+    """states of sessions that stand together and of which a question's ink is a list that a row may hold."""
+    found = whole(rows, GROUP, BY_TIME, **_looks_back())
+    question = Window.partitionBy(*GROUP, "question_id").orderBy(*BY_TIME)
+    found = found.withColumn("_first", F.first(F.when(F.col("is_mapped"), F.struct(*BY_TIME)), ignorenulls=True).over(question))
+    found = found.withColumns({"_place": F.when(_traced(), F.struct("page_id", "ink.space", "ink.domain")), "_box": F.col("ink.box")})
+    place = Window.partitionBy(*GROUP, "question_id", "_place").orderBy(*BY_TIME).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_ink", F.collect_list(F.when(F.col("_place").isNotNull() & F.col("writes"), F.col("_box"))).over(place))
+    meets = F.exists("_ink", lambda b: overlap(F.col("_box"), b, 1.0) >= config.revision_overlap_threshold)
+    return _with_states(found.withColumn("overlaps", F.when(F.col("_place").isNotNull(), meets)).drop("_place", "_box", "_ink"), config)
+
+
+def long_states(rows: DataFrame, config: EventConfig, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """mappings with what came before each: active mapping, known page, visits, pause, overlap with earlier ink. They are read several
+    times, so it is best if they are a written table."""
+    rows = rows.withColumns({"_bucket": F.floor(F.col("_start") / BUCKET_MS), "_prefix": F.when(F.col("_untimed"), F.substring("stroke_id", 1, PREFIX)).otherwise("")})
+    marks = rows.where(_traced()).select(
+        *GROUP, "question_id", "page_id", F.col("ink.space").alias("space"), F.col("ink.domain").alias("domain"), F.col("ink.box").alias("box"), "writes", F.struct(*BY_TIME).alias("at"), "stroke_id"
+    )
+    known = by_counts(rows, GROUP, ("_untimed", "_bucket", "_prefix"), piece_rows)
+    known = scan(known, GROUP, BY_TIME, **_looks_back()).drop("_piece")
+    # Each question's first mapping; later ones come back to it.
+    first = rows.where("is_mapped").groupBy(*GROUP, "question_id").agg(F.min(F.struct(*BY_TIME)).alias("_first"))
+    found = known.join(first, [*GROUP, "question_id"], "left")
+    laps = touched(marks, (*GROUP, "question_id", "page_id", "space", "domain"), config.revision_overlap_threshold).select(*GROUP, "stroke_id", F.lit(True).alias("overlaps"))
+    return _with_states(found.join(laps, [*GROUP, "stroke_id"], "left"), config)
+
+
 def detect_events(
     mappings: DataFrame, config: EventConfig | None = None, process_end_signal: bool = False, session_end_ms: int | None = None, task_segment_id: str | None = None,
     keep: Callable[[DataFrame, str], DataFrame] = _keep, piece_rows: int = PIECE_ROWS,
@@ -83,8 +114,34 @@ def detect_events(
     """A row per event, numbered per session in order. task_segment_id: of events whose mapping has none. keep: writes a table and reads
     it again, since the mappings' events are both counted and numbered."""
     c = config or EventConfig()
-    rows = states(mappings, c, piece_rows)
-    own, active = F.struct("stroke_id", "question_id", "page_id", "start_time_ms", "end_time_ms", "point_refs", "quality_flags", "status", "participant_id", "task_segment_id"), F.col("_active")
+    made = _events(c, process_end_signal, session_end_ms, task_segment_id)
+    in_session = ("session_id",), ("_untimed", "_start", "participant_bucket", "segment_bucket", "stroke_id")
+    total = {"_upto": F.size("_events").cast("long")}
+
+    def long(rows: DataFrame) -> DataFrame:
+        rows = long_states(rows, c, piece_rows)
+        late = [F.when(F.col("_untimed"), F.col(c)).otherwise("").alias(f"_late_{c}") for c in GROUP[1:]]
+        found = rows.select(*GROUP, "participant_id", *BY_TIME, "_bucket", *late, "_prefix", made.alias("_events"))
+        found = by_counts(keep(found.where(F.size("_events") > 0), "mapping-events"), ("session_id",), ("_untimed", "_bucket", *[f"_late_{c}" for c in GROUP[1:]], "_prefix"), piece_rows)
+        return _numbered(scan(found, *in_session, total=total))
+
+    def short(rows: DataFrame) -> DataFrame:
+        found = short_states(rows, c).select(*GROUP, "participant_id", *BY_TIME, made.alias("_events"))
+        return _numbered(whole(found, *in_session, total=total))
+
+    return by_length(_prepared(mappings), "session_id", min(SHORT, piece_rows), short, long)
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """A row per event, numbered by the mappings' events before its mapping's in the session, and its place among these."""
+    found = found.select("session_id", "participant_id", (F.col("_upto") - F.size("_events")).alias("_before"), F.posexplode("_events").alias("_k", "e"))
+    found = found.withColumn("sequence", F.col("_before") + F.col("_k"))
+    return found.select(F.format_string("%s:event:%04d", "session_id", "sequence").alias("event_id"), "session_id", "participant_id", "sequence", "e.*", F.lit(VERSION).alias("algorithm_version"))
+
+
+def _events(c: EventConfig, process_end_signal: bool, session_end_ms: int | None, task_segment_id: str | None) -> Column:
+    """Array of the events of a mapping with its states, in order."""
+    own, active = F.struct(*CARRIED), F.col("_active")
     text = lambda v: F.lit(None).cast("string") if v is None else (F.lit(v) if isinstance(v, str) else v)
 
     def event(kind, source, question=None, previous=None, following=None, at=None, confidence=None, flags=None, meta=None):
@@ -127,11 +184,4 @@ def detect_events(
     rank = F.create_map(*[x for k, v in ORDER.items() for x in (F.lit(k), F.lit(v))])
     ranked = F.transform(events, lambda e, k: F.struct(rank[e["event_type"]].alias("rank"), k.alias("k"), e.alias("e")))
     ranked = F.array_sort(ranked, lambda a, b: F.when((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["k"] < b["k"])), -1).otherwise(1))
-    late = [F.when(F.col("_untimed"), F.col(c)).otherwise("").alias(f"_late_{c}") for c in GROUP[1:]]
-    found = rows.select(*GROUP, "participant_id", *BY_TIME, "_bucket", *late, "_prefix", F.transform(ranked, lambda r: r["e"]).alias("_events"))
-    # Events are numbered by the mappings before theirs in the session, and their place in their mapping's.
-    found = by_counts(keep(found.where(F.size("_events") > 0), "mapping-events"), ("session_id",), ("_untimed", "_bucket", *[f"_late_{c}" for c in GROUP[1:]], "_prefix"), piece_rows)
-    found = scan(found, ("session_id",), ("_untimed", "_start", "participant_bucket", "segment_bucket", "stroke_id"), total={"_upto": F.size("_events").cast("long")})
-    found = found.select("session_id", "participant_id", (F.col("_upto") - F.size("_events")).alias("_before"), F.posexplode("_events").alias("_k", "e"))
-    found = found.withColumn("sequence", F.col("_before") + F.col("_k"))
-    return found.select(F.format_string("%s:event:%04d", "session_id", "sequence").alias("event_id"), "session_id", "participant_id", "sequence", "e.*", F.lit(VERSION).alias("algorithm_version"))
+    return F.transform(ranked, lambda r: r["e"])

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import FeatureConfig
 from inkwell.functions.geometry import overlap
-from inkwell.operators.scan import quantiles
+from inkwell.operators.scan import PIECE_ROWS, by_length, quantiles
 from inkwell.sources import store
 
 FEATURES = ("duration_s", "path_length_norm", "mean_speed_norm_per_s", "pause_before_s", "pause_inside_s", "bbox_width_norm", "bbox_height_norm", "question_occupancy", "visit_index", "return_count", "previous_ink_iou", "quality_valid")
 
 
-def episodes(mappings: DataFrame, config: FeatureConfig | None = None) -> DataFrame:
-    """mappings with the features. A session is a case; visits count per participant and task segment, pauses per case."""
+def episodes(mappings: DataFrame, config: FeatureConfig | None = None, splits: DataFrame | None = None) -> DataFrame:
+    """mappings with the features. A session is a case; visits count per participant and task segment, pauses per case. splits
+    (participant_id, split): episodes then have the split of their participant, and those of no known participant are left out."""
     c = config or FeatureConfig()
     by_time = (F.col("start_time_ms").isNull(), F.coalesce("start_time_ms", F.lit(0)), F.col("stroke_id"))
     case = Window.partitionBy("session_id").orderBy(*by_time)
@@ -29,16 +30,25 @@ def episodes(mappings: DataFrame, config: FeatureConfig | None = None) -> DataFr
     inside = F.when((n >= 2) & F.forall("times", lambda t: t.isNotNull()), F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x) / 1000.0)
     box = F.when(whole & (n > 0), F.struct(*[f(_side(k)).alias(a) for f, k, a in ((F.array_min, "x", "left"), (F.array_min, "y", "top"), (F.array_max, "x", "right"), (F.array_max, "y", "bottom"))]))
     rows = mappings.withColumns({"path_length_norm": path, "pause_inside_s": inside, "_box": box, "is_mapped": F.col("status") == "MAPPED"})
+    rows = rows.withColumn("_flags", F.array_sort(F.array_distinct(F.concat("quality_flags", "stroke_flags", "point_flags"))))
+    rows = rows.withColumns({"_end": F.last("end_time_ms", ignorenulls=True).over(before), "_index": F.row_number().over(case) - 1})
+    # Participants that a task holds stand together, and so their splits come to them.
+    known = lambda r: r if splits is None else r.join(splits.select("participant_id", "split"), "participant_id")
+    made = lambda r: known(_with_features(r, by_time))
+    return by_length(rows, "participant_id", PIECE_ROWS, made, made, mappings)
+
+
+def _with_features(rows: DataFrame, by_time: tuple[Column, ...]) -> DataFrame:
     history = Window.partitionBy("participant_id", "task_segment_id", "is_mapped").orderBy("session_id", *by_time)
     question = Window.partitionBy("participant_id", "task_segment_id", "is_mapped", "question_id").orderBy("session_id", *by_time)
     ink = Window.partitionBy("participant_id", "task_segment_id", "is_mapped", "question_id", "page_id").orderBy("session_id", *by_time).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.lag("question_id").over(history)).withColumn("_visit", F.row_number().over(question))
     back = (F.col("_visit") > 1) & F.coalesce(F.col("_before") != F.col("question_id"), F.lit(False))
-    rows = rows.withColumn("_return", F.sum(back.cast("long")).over(question)).withColumn("_ink", F.last("_box", ignorenulls=True).over(ink)).withColumn("_end", F.last("end_time_ms", ignorenulls=True).over(before))
+    rows = rows.withColumn("_return", F.sum(back.cast("long")).over(question)).withColumn("_ink", F.last("_box", ignorenulls=True).over(ink))
     mapped, duration = F.col("is_mapped"), (F.col("end_time_ms") - F.col("start_time_ms")) / 1000.0
     return rows.select(
         F.concat_ws("::", "session_id", "stroke_id").alias("episode_id"), "session_id", "participant_id", "task_segment_id", "stroke_id", "question_id", "status",
-        (F.row_number().over(case) - 1).cast("long").alias("episode_index"),
+        F.col("_index").cast("long").alias("episode_index"),
         duration.alias("duration_s"), "path_length_norm",
         F.when(duration > 0, F.col("path_length_norm") / duration).alias("mean_speed_norm_per_s"),
         F.when(F.col("start_time_ms").isNotNull() & F.col("_end").isNotNull(), F.greatest(F.lit(0.0), (F.col("start_time_ms") - F.col("_end")) / 1000.0)).alias("pause_before_s"),
@@ -47,8 +57,8 @@ def episodes(mappings: DataFrame, config: FeatureConfig | None = None) -> DataFr
         F.when(mapped, F.col("confidence")).alias("question_occupancy"),
         F.when(mapped, F.col("_visit").cast("double")).alias("visit_index"), F.when(mapped, F.col("_return").cast("double")).alias("return_count"),
         F.when(mapped & F.col("_ink").isNotNull() & F.col("_box").isNotNull(), overlap(F.col("_box"), F.col("_ink"), 0.0, 0.0)).alias("previous_ink_iou"),
-        (mapped & (F.size(F.concat("quality_flags", "stroke_flags", "point_flags")) == 0)).cast("double").alias("quality_valid"),
-        "page_id", "point_refs", "start_time_ms", "end_time_ms", F.array_sort(F.array_distinct(F.concat("quality_flags", "stroke_flags", "point_flags"))).alias("quality_flags"),
+        (mapped & (F.size("_flags") == 0)).cast("double").alias("quality_valid"),
+        "page_id", "point_refs", "start_time_ms", "end_time_ms", F.col("_flags").alias("quality_flags"),
     )
 
 

@@ -1,7 +1,8 @@
 """Strokes to page regions by the share of their length inside.
 
 Each page has a grid; strokes and regions whose boxes share a cell and meet are candidates, and only those are clipped, so a page may
-have any number of regions.
+have any number of regions. Where no page has more than a few, a page's regions are a list that all its strokes are compared with, and
+strokes stay where they are.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.config import MappingConfig
-from inkwell.functions.geometry import NEAR, coverage, let
+from inkwell.functions.geometry import NEAR, let, shape, shape_coverage
 
 
 #: Cells of a page's grid on each side at most.
 MOST_CELLS = 256
+#: Regions of a page at most, and of all pages, that are compared without a grid and known to all tasks.
+FEW, KNOWN = 64, 50_000
 _BOX = ("left", "top", "right", "bottom")
 
 
@@ -48,20 +51,44 @@ def _celled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ix", F.explode(F.sequence("fx", "lx"))).withColumn("iy", F.explode(F.sequence("fy", "ly"))).drop("x0", "y0", "cells", "sx", "sy", "lx", "ly")
 
 
+def _wider() -> Column:
+    """The box of a region, wider by as much as a point may miss it."""
+    box = _extent(F.col("polygon"))
+    return F.when(box.isNotNull(), F.struct(*[(box[n] + d).alias(n) for n, d in zip(_BOX, (-NEAR, -NEAR, NEAR, NEAR), strict=True)]))
+
+
+def _region() -> Column:
+    return F.struct("region_id", "question_id", "priority", "coordinate_space", F.when(F.size("polygon") > 0, shape(F.col("polygon"))).alias("shape"))
+
+
+def _meet(a: Column, b: Column) -> Column:
+    return (a["left"] <= b["right"]) & (b["left"] <= a["right"]) & (a["top"] <= b["bottom"]) & (b["top"] <= a["bottom"])
+
+
+def _listed(strokes: DataFrame, regions: DataFrame) -> DataFrame:
+    """strokes with regions, by lists of the pages' regions."""
+    lists = regions.select("page_id", F.struct(_space(), _wider().alias("box"), _region().alias("region")).alias("_r")).groupBy("page_id").agg(F.collect_list("_r").alias("_there"))
+    boxes = F.struct(*[_extent(F.col(f"{n}_points")).alias(n) for n in ("norm", "raw")])
+
+    def near(b: Column) -> Column:
+        meet = lambda r: F.when(r["_space"] == "norm", _meet(b["norm"], r["box"])).otherwise(_meet(b["raw"], r["box"]))
+        return F.transform(F.filter("_there", meet), lambda r: r["region"])
+
+    found = F.when(~F.array_contains("quality_flags", "PARTIAL_DATA"), let(boxes, near))
+    return strokes.join(F.broadcast(lists), "page_id", "left").withColumn("regions", found).drop("_there")
+
+
 def near_regions(strokes: DataFrame, regions: DataFrame) -> DataFrame:
     """session_id, stroke_index, regions: those of its page whose box meets the stroke's, by the cells of a grid on each page."""
-    box = _extent(F.col("polygon"))
-    wider = F.struct(*[(box[n] + d).alias(n) for n, d in zip(_BOX, (-NEAR, -NEAR, NEAR, NEAR), strict=True)])
-    placed = regions.withColumn("_space", _space()).withColumn("box", wider)
+    placed = regions.withColumn("_space", _space()).withColumn("box", _wider())
     grid = _grid(placed)
-    region = F.struct("region_id", "question_id", "priority", "polygon", "coordinate_space")
-    there = _celled(placed.select("page_id", "_space", "box", region.alias("region")).join(grid, ["page_id", "_space"]))
+    there = _celled(placed.select("page_id", "_space", "box", _region().alias("region")).join(grid, ["page_id", "_space"]))
     there = there.select("page_id", "_space", "ix", "iy", "region", F.col("box").alias("_box"), F.col("fx").alias("_fx"), F.col("fy").alias("_fy"))
     sides = F.array(*[F.struct(F.lit(n).alias("_space"), _extent(F.col(f"{n}_points")).alias("box")) for n in ("norm", "raw")])
     ours = strokes.where(~F.array_contains("quality_flags", "PARTIAL_DATA")).select("session_id", "stroke_index", "page_id", F.explode(sides).alias("_side"))
     ours = ours.select("session_id", "stroke_index", "page_id", "_side.*").where("box IS NOT NULL")
     ours = _celled(ours.join(grid, ["page_id", "_space"]))
-    meet = (F.col("box.left") <= F.col("_box.right")) & (F.col("_box.left") <= F.col("box.right")) & (F.col("box.top") <= F.col("_box.bottom")) & (F.col("_box.top") <= F.col("box.bottom"))
+    meet = _meet(F.col("box"), F.col("_box"))
     # Of the cells that both have, a pair meets in the first.
     once = (F.col("ix") == F.greatest("fx", "_fx")) & (F.col("iy") == F.greatest("fy", "_fy"))
     pairs = ours.join(there, ["page_id", "_space", "ix", "iy"]).where(meet & once)
@@ -76,10 +103,13 @@ def candidates(strokes: DataFrame, regions: DataFrame, config: MappingConfig) ->
 
     def measured(r):
         points = F.when(r["coordinate_space"] == "norm", F.col("norm_points")).otherwise(F.col("raw_points"))
-        return F.struct(coverage(points, r["polygon"]).alias("c"), r["priority"].alias("priority"), r["region_id"].alias("region_id"), r["question_id"].alias("question_id"))
+        return F.struct(shape_coverage(points, r["shape"]).alias("c"), r["priority"].alias("priority"), r["region_id"].alias("region_id"), r["question_id"].alias("question_id"))
 
     unusable = F.array_contains("quality_flags", "PARTIAL_DATA") | F.col("page_id").isNull()
-    rows = strokes.join(near_regions(strokes, regions), ["session_id", "stroke_index"], "left").join(pages, "page_id", "left")
+    count = regions.groupBy("page_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    few = (count["most"] or 0) <= FEW and (count["all"] or 0) <= KNOWN
+    rows = _listed(strokes, regions) if few else strokes.join(near_regions(strokes, regions), ["session_id", "stroke_index"], "left")
+    rows = rows.join(F.broadcast(pages) if few else pages, "page_id", "left")
     rows = rows.withColumn("_all", F.transform(F.coalesce("regions", F.array()), measured)).drop("regions")
     good = F.filter("_all", lambda m: m["c"]["share"] >= config.min_coverage)
     best = F.sort_array(F.transform(good, lambda m: F.struct(m["c"]["share"].alias("coverage"), m["priority"], m["region_id"], m["question_id"], m["c"]["method"].alias("method"))), asc=False)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.operators.scan import PIECE_ROWS, by_number, scan
+from inkwell.operators.scan import PIECE_ROWS, by_length, by_number, scan, whole
 
 PEN_STATES = ("DOWN", "MOVE", "UP", "UNKNOWN")
 
@@ -30,8 +30,8 @@ def _nested(df: DataFrame, name: str, kind: str) -> Column:
 
 
 def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """records with raw_order, the place in a session's input. Flags are in a fixed order. Sessions are scanned in pieces of piece_rows
-    places, so none has to fit a task.
+    """records with raw_order, the place in a session's input. Flags are in a fixed order. Sessions of more than piece_rows
+    points are scanned in pieces of so many places, so none has to fit a task.
 
     Out of order: behind the last known sequence or time of the same session and page. Duplicate: the id occurs twice in a session.
     An empty page counts as missing, though it stays a page of its own. source_index is the input's, if that is a number from 0 on.
@@ -58,10 +58,14 @@ def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
         F.when((source >= 0) & (source == F.floor(source)), source.cast("long")).otherwise(F.col("raw_order").cast("long")).alias("source_index"),
     )
     page = F.coalesce(F.concat(F.lit("p"), "page_id"), F.lit("none"))
-    rows = rows.withColumns({"_page": page, "_piece": by_number(F.coalesce("raw_order", F.lit(0)), piece_rows), "_at": F.coalesce("raw_order", F.lit(0))})
-    rows = scan(rows, ("session_id", "_page"), ("_at",), last={"_seq": F.col("sequence_payload"), "_time": F.col("timestamp_ms")})
-    rows = rows.withColumn("_copies", F.count("*").over(Window.partitionBy("session_id", "point_id")))
-    whole = F.col("sequence_payload") == F.floor("sequence_payload")
+    rows = rows.withColumns({"_page": page, "_at": F.coalesce("raw_order", F.lit(0))})
+    seen = (("session_id", "_page"), ("_at",)), {"last": {"_seq": F.col("sequence_payload"), "_time": F.col("timestamp_ms")}}
+    copies = F.count("*").over(Window.partitionBy("session_id", "point_id"))
+    rows = by_length(
+        rows, "session_id", piece_rows, lambda r: whole(r, *seen[0], **seen[1]).withColumn("_copies", copies),
+        lambda r: scan(r.withColumn("_piece", by_number(F.col("_at"), piece_rows)), *seen[0], **seen[1]).drop("_piece").withColumn("_copies", copies), d,
+    )
+    integer = F.col("sequence_payload") == F.floor("sequence_payload")
     bad_norm = (F.col("_xn").isNull() != F.col("_yn").isNull()) | ~F.col("_xn").between(0, 1) | ~F.col("_yn").between(0, 1)
     bad_norm = F.coalesce(bad_norm, F.lit(False)) | (F.col("_xn").isNull() != F.col("_yn").isNull())
     late = F.coalesce(F.col("sequence_payload") < F.col("_seq"), F.lit(False)) | F.coalesce(F.col("timestamp_ms") < F.col("_time"), F.lit(False))
@@ -78,7 +82,7 @@ def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     )
     return rows.select(
         "point_id", "session_id", "participant_id", "task_segment_id", "device_id", "page_id",
-        F.coalesce(F.when(whole, F.col("sequence_payload").cast("long")), F.col("raw_order")).alias("sequence"),
+        F.coalesce(F.when(integer, F.col("sequence_payload").cast("long")), F.col("raw_order")).alias("sequence"),
         "sequence_payload", "timestamp_ms", "x_raw", "y_raw",
         F.when(~bad_norm, F.col("_xn")).alias("x_norm"),
         F.when(~bad_norm, F.col("_yn")).alias("y_norm"),

@@ -85,6 +85,35 @@ def scan(
     return found.withColumns(values).drop(*made, *carried)
 
 
+def whole(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], lag: dict[str, Column] | None = None, last: dict[str, Column] | None = None,
+    total: dict[str, Column] | None = None, ends: str | None = None,
+) -> DataFrame:
+    """What scan gives, by windows over the whole key, for keys that a task holds."""
+    own = Window.partitionBy(*keys).orderBy(*order)
+    prior = own.rowsBetween(Window.unboundedPreceding, -1)
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = {n: F.lag(v).over(own) for n, v in (lag or {}).items()}
+    made |= {n: F.last(v, ignorenulls=True).over(prior) for n, v in (last or {}).items()}
+    made |= {n: F.coalesce(F.sum(v).over(upto), F.lit(0)) for n, v in (total or {}).items()}
+    if ends:
+        made[ends] = F.lead(F.lit(True)).over(own).isNull()
+    return rows.withColumns(made)
+
+
+def longer(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The keys of more rows than most. There is one at most for each so many rows, so all tasks know them."""
+    return F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key))
+
+
+def by_length(rows: DataFrame, key: str, most: int, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame], counted: DataFrame | None = None) -> DataFrame:
+    """short of the rows of keys that have so many at most, which stand together by key, and long of the others' rows. If there is no longer
+    key, Spark leaves their side out. counted: what has as many rows of each key and is cheaper to read.
+    """
+    several = longer(rows if counted is None else counted, key, most)
+    return short(rows.join(several, key, "left_anti").repartition(key)).unionByName(long(rows.join(several, key, "left_semi")))
+
+
 def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """keys and, for each name in shares, the exact quantile (linear between the two values next to it). Values are counted, and the counts
     summed in order over range partitions; nulls are left out, and a key without values has no row."""

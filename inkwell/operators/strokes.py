@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import StrokeConfig
-from inkwell.operators.scan import PIECE_ROWS, by_number, scan
+from inkwell.operators.scan import PIECE_ROWS, by_length, by_number, scan, whole
 
 #: Version of the stroke rules that every stroke carries.
 VERSION = "inkwell-stroke-1"
@@ -20,11 +22,20 @@ def with_stroke_index(points: DataFrame, config: StrokeConfig | None = None, pie
 
     A new stroke begins where the context changes, where the time or the normalised distance from the point before is too
     large (unknown ones aren't), or where the pen comes down after it was up. Who wrote the point before doesn't matter, so the
-    scan is over a session, in pieces of piece_rows places.
+    scan is over a session, in pieces of piece_rows places if it has more points than that.
     """
+    return by_length(points, "session_id", piece_rows, *_indexed(config, piece_rows))
+
+
+def _indexed(config: StrokeConfig | None, piece_rows: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """Functions that number the strokes of sessions that a task holds, and of others."""
     c = config or StrokeConfig()
+    in_pieces = lambda r: r.withColumn("_piece", by_number(F.col("raw_order"), piece_rows))
+    return lambda r: _with_index(r, c, whole), lambda r: _with_index(in_pieces(r), c, scan).drop("_piece")
+
+
+def _with_index(rows: DataFrame, c: StrokeConfig, scan: Callable[..., DataFrame]) -> DataFrame:
     before = (*CONTEXT, "timestamp_ms", "x_norm", "y_norm", "x_raw", "y_raw", "pen_state", "raw_order")
-    rows = points.withColumn("_piece", by_number(F.col("raw_order"), piece_rows))
     rows = scan(rows, ("session_id",), ("raw_order",), lag={f"_{k}": F.col(k) for k in before})
     same = F.lit(True)
     for k in CONTEXT:
@@ -37,12 +48,16 @@ def with_stroke_index(points: DataFrame, config: StrokeConfig | None = None, pie
     raw = F.hypot(F.col("x_raw") - F.col("_x_raw"), F.col("y_raw") - F.col("_y_raw"))
     rows = rows.withColumn("_starts", starts).withColumn("norm_step", F.when(~F.col("_starts"), step)).withColumn("raw_step", F.when(~F.col("_starts"), raw))
     rows = rows.drop(*[f"_{k}" for k in before])
-    return scan(rows, ("session_id",), ("raw_order",), total={"stroke_index": F.col("_starts").cast("long")}).drop("_starts", "_piece")
+    return scan(rows, ("session_id",), ("raw_order",), total={"stroke_index": F.col("_starts").cast("long")}).drop("_starts")
 
 
 def build_strokes(points: DataFrame, config: StrokeConfig | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """A row per stroke, with its points' coordinates and times in processed order for the operators that follow."""
-    rows = with_stroke_index(points, config, piece_rows)
+    short, long = _indexed(config, piece_rows)
+    return by_length(points, "session_id", piece_rows, lambda r: _built(short(r)), lambda r: _built(long(r)))
+
+
+def _built(rows: DataFrame) -> DataFrame:
     usable_norm, usable_raw = F.col("x_norm").isNotNull() & F.col("y_norm").isNotNull(), F.col("x_raw").isNotNull() & F.col("y_raw").isNotNull()
     usable = usable_norm | usable_raw
     # Operators that look points up by id get the last of several with the same one.

@@ -2,16 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.scan import longer
+
+#: Points and strokes of a session at most that stand in lists beside its events.
+LISTED = 512
+
 
 def traces(events: DataFrame, strokes: DataFrame, points: DataFrame) -> DataFrame:
     """A row per event with what its evidence lacks; error is null where the trace is whole.
 
     Ids must be unique for anything to be resolved: one repeated id fails all events of its session. Then come unknown strokes, unknown
-    points, and points of the stroke that the event doesn't name.
+    points, and points of the stroke that the event doesn't name. An event of a session of LISTED points and strokes at most is compared with
+    lists of these, others are joined by id.
     """
+    several = longer(points.select("session_id").unionByName(strokes.select("session_id")), "session_id", LISTED)
+    inside = [df.join(several, "session_id", "left_anti") for df in (events, strokes, points)]
+    return _listed_traces(*inside).unionByName(_joined_traces(*[df.join(several, "session_id", "left_semi") for df in (events, strokes, points)]))
+
+
+def _error(double_stroke: Column, double_point: Column, own: Column, missing: Column) -> Column:
+    return (
+        F.when(double_stroke, "DUPLICATE_STROKE_ID").when(double_point, "DUPLICATE_POINT_ID").when(own.isNull(), "MISSING_STROKE").when(missing > 0, "MISSING_POINT")
+        .when(F.size(F.array_except(own, "point_refs")) > 0, "UNCOVERED_STROKE_POINT").alias("error")
+    )
+
+
+def _listed_traces(events: DataFrame, strokes: DataFrame, points: DataFrame) -> DataFrame:
+    there = points.groupBy("session_id").agg(F.collect_list("point_id").alias("_points"))
+    there = there.select("session_id", F.array_distinct("_points").alias("_points"), F.size("_points").alias("_n"))
+    made = strokes.groupBy("session_id").agg(F.collect_list(F.struct("stroke_id", F.col("point_refs").alias("own"))).alias("_strokes"))
+    made = made.withColumn("_double", F.size(F.array_distinct(F.transform("_strokes", lambda s: s["stroke_id"]))) < F.size("_strokes"))
+    rows = events.select("session_id", "event_id", "event_type", "stroke_ref", "point_refs").join(there, "session_id", "left").join(made, "session_id", "left")
+    named = F.array_compact(F.array_distinct("point_refs"))
+    lost = F.coalesce(F.size(F.array_except(named, F.coalesce("_points", F.array().cast("array<string>")))), F.lit(0))
+    rows = rows.withColumns({"_named": F.coalesce(F.size(named), F.lit(0)), "_lost": lost, "own": F.get(F.filter("_strokes", lambda s: s["stroke_id"] == F.col("stroke_ref")), F.lit(0))["own"]})
+    error = _error(F.col("_double"), F.size("_points") < F.col("_n"), F.col("own"), F.col("_lost"))
+    return rows.select("session_id", "event_id", "event_type", "stroke_ref", (F.col("_named") - F.col("_lost")).cast("long").alias("n_points"), error)
+
+
+def _joined_traces(events: DataFrame, strokes: DataFrame, points: DataFrame) -> DataFrame:
     known = points.groupBy("session_id", "point_id").agg(F.count("*").alias("n"))
     double_points = known.where("n > 1").select("session_id").distinct().withColumn("double_point", F.lit(True))
     double_strokes = strokes.groupBy("session_id", "stroke_id").count().where("count > 1").select("session_id").distinct().withColumn("double_stroke", F.lit(True))
@@ -22,14 +54,8 @@ def traces(events: DataFrame, strokes: DataFrame, points: DataFrame) -> DataFram
     own = strokes.select("session_id", F.col("stroke_id").alias("stroke_ref"), F.col("point_refs").alias("own")).dropDuplicates(["session_id", "stroke_ref"])
     rows = events.select("session_id", "event_id", "event_type", "stroke_ref", "point_refs").join(own, ["session_id", "stroke_ref"], "left").join(found, ["session_id", "event_id"], "left")
     rows = rows.join(double_points, "session_id", "left").join(double_strokes, "session_id", "left")
-    error = (
-        F.when(F.col("double_stroke"), "DUPLICATE_STROKE_ID")
-        .when(F.col("double_point"), "DUPLICATE_POINT_ID")
-        .when(F.col("own").isNull(), "MISSING_STROKE")
-        .when(F.col("missing_points") > 0, "MISSING_POINT")
-        .when(F.size(F.array_except("own", "point_refs")) > 0, "UNCOVERED_STROKE_POINT")
-    )
-    return rows.select("session_id", "event_id", "event_type", "stroke_ref", "n_points", error.alias("error"))
+    error = _error(F.col("double_stroke"), F.col("double_point"), F.col("own"), F.col("missing_points"))
+    return rows.select("session_id", "event_id", "event_type", "stroke_ref", "n_points", error)
 
 
 def run_status(points: DataFrame, strokes: DataFrame, mappings: DataFrame, events: DataFrame, traced: DataFrame, sessions: DataFrame | None = None) -> DataFrame:

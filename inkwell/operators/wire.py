@@ -11,6 +11,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.operators.scan import longer
+
+#: Points and strokes of a session at most that stand in lists beside its events.
+LISTED = 512
 # Fixed values of the contract.
 BATCH_VERSION = "r1-event-batch-v0.1"
 EVENT_TYPES = ("WRITING", "QUESTION_VISIT", "QUESTION_LEAVE", "RETURN", "REVISION_CANDIDATE", "PAGE_CHANGE", "PROCESS_END", "UNKNOWN")
@@ -79,8 +83,25 @@ def violations(wired: DataFrame) -> DataFrame:
 
 
 def unresolved(wired: DataFrame, points: DataFrame, strokes: DataFrame) -> DataFrame:
-    """session_id, event_id, and the point and stroke ids that the session doesn't have."""
+    """session_id, event_id, and the point and stroke ids that the session doesn't have. An event of a session of LISTED ids at most is
+    compared with a list of these, others are joined by id."""
+    several = longer(points.select("session_id").unionByName(strokes.select("session_id")), "session_id", LISTED)
+    rest = [df.join(several, "session_id", "left_semi") for df in (wired, points, strokes)]
+    return _listed_lost(*[df.join(several, "session_id", "left_anti") for df in (wired, points, strokes)]).unionByName(_joined_lost(*rest))
+
+
+def _listed_lost(wired: DataFrame, points: DataFrame, strokes: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    rows = wired.select("session_id", "event_id", "point_refs", "stroke_refs")
+    for ids, id in ((points, "point_id"), (strokes, "stroke_id")):
+        rows = rows.join(ids.groupBy("session_id").agg(F.collect_list(id).alias(f"_{id}s")), "session_id", "left")
+    lost = {n: F.array_sort(F.array_except(F.coalesce(F.array_compact(refs), none), F.coalesce(ids, none))) for n, refs, ids in (("missing_points", "point_refs", "_point_ids"), ("missing_strokes", "stroke_refs", "_stroke_ids"))}
+    null = lambda c: F.coalesce(F.size(F.array_compact(c)) < F.size(c), F.lit(False))
+    found = rows.select("session_id", "event_id", *[v.alias(n) for n, v in lost.items()], (null("point_refs") | null("stroke_refs")).alias("_null"))
+    return found.where((F.size("missing_points") > 0) | (F.size("missing_strokes") > 0) | F.col("_null")).drop("_null")
+
 
+def _joined_lost(wired: DataFrame, points: DataFrame, strokes: DataFrame) -> DataFrame:
     def missing(refs: str, ids: DataFrame, id: str, name: str) -> DataFrame:
         named = wired.select("session_id", "event_id", F.explode(refs).alias(id))
         return named.join(ids.select("session_id", id).distinct(), ["session_id", id], "left_anti").groupBy("session_id", "event_id").agg(F.sort_array(F.collect_set(id)).alias(name))
