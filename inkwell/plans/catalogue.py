@@ -43,8 +43,11 @@ def _splits(points: DataFrame) -> DataFrame:
 
 def _episodes(spark, sf):
     """Episodes with the split of their participant, written, since most queries read them several times."""
-    r = _lazy_run(spark, sf)
-    return store.keeper(spark, "episodes")(features.episodes(r.mappings, pen.FEATURES).join(_splits(r.points), "participant_id"), "episodes")
+    return store.keeper(spark, "episodes")(_episodes_of(_lazy_run(spark, sf)), "episodes")
+
+
+def _episodes_of(r: pipeline.Run) -> DataFrame:
+    return features.episodes(r.mappings, pen.FEATURES, _splits(r.points))
 
 
 def _cases(spark, sf):
@@ -197,8 +200,8 @@ def _split_audit(spark, sf):
 def _stored(spark, sf):
     """The run's tables written as a dataset, verified, and read again: rows of each."""
     folder = store.scratch_dir(spark, "dataset")
-    r = _run(spark, sf)
-    tables = {"points": r.points, "mappings": r.mappings.drop("norm_points", "raw_points"), "events": r.events, "episodes": _episodes(spark, sf)}
+    r = _lazy_run(spark, sf)  # each table is read once, when it is written
+    tables = {"points": r.points, "mappings": r.mappings.drop("norm_points", "raw_points"), "events": r.events, "episodes": _episodes_of(r)}
     store.write_dataset(tables, folder)
     found = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in store.read_dataset(spark, folder, list(tables)).items()]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
