@@ -19,6 +19,8 @@ def traces(events: DataFrame, strokes: DataFrame, points: DataFrame) -> DataFram
     lists of these, others are joined by id.
     """
     several = longer(points.select("session_id").unionByName(strokes.select("session_id")), "session_id", LISTED)
+    if several.isEmpty():
+        return _listed_traces(events, strokes, points)
     inside = [df.join(several, "session_id", "left_anti") for df in (events, strokes, points)]
     return _listed_traces(*inside).unionByName(_joined_traces(*[df.join(several, "session_id", "left_semi") for df in (events, strokes, points)]))
 

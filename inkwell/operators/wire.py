@@ -86,6 +86,8 @@ def unresolved(wired: DataFrame, points: DataFrame, strokes: DataFrame) -> DataF
     """session_id, event_id, and the point and stroke ids that the session doesn't have. An event of a session of LISTED ids at most is
     compared with a list of these, others are joined by id."""
     several = longer(points.select("session_id").unionByName(strokes.select("session_id")), "session_id", LISTED)
+    if several.isEmpty():
+        return _listed_lost(wired, points, strokes)
     rest = [df.join(several, "session_id", "left_semi") for df in (wired, points, strokes)]
     return _listed_lost(*[df.join(several, "session_id", "left_anti") for df in (wired, points, strokes)]).unionByName(_joined_lost(*rest))
 
