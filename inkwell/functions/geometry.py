@@ -58,7 +58,7 @@ def bounds(sides: Column) -> Column:
 
 def apart(p: Column, q: Column, box: Column) -> Column:
     """Whether the segment passes the box by on one side."""
-    beside = lambda k, low, high: (F.greatest(p[k], q[k]) < box[low]) | (F.least(p[k], q[k]) > box[high])
+    beside = lambda k, low, high: ((p[k] < box[low]) & (q[k] < box[low])) | ((p[k] > box[high]) & (q[k] > box[high]))
     return beside("x", "left", "right") | beside("y", "top", "bottom")
 
 
@@ -82,32 +82,74 @@ def inside_length(p: Column, q: Column, sides: Column) -> Column:
 
 
 def shape(polygon: Column) -> Column:
-    """What coverage needs of a polygon: its sides and box."""
-    return let(edges(polygon), lambda e: F.struct(e.alias("sides"), bounds(e).alias("box")))
+    """What coverage needs of a polygon: its sides, box, and planes if it is convex."""
+    return let(edges(polygon), lambda e: F.struct(e.alias("sides"), bounds(e).alias("box"), planes(e).alias("planes")))
+
+
+def planes(sides: Column) -> Column:
+    """Array of structs (x, y, c), one for each side: x * px + y * py + c is 0 on its line and positive on the inner side. Null if the
+    polygon isn't convex, has no area or goes round more than once."""
+    corners = F.transform(sides, lambda e: e["a"])
+    area = F.aggregate(sides, F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+
+    def plane(e: Column, turn: Column) -> Column:
+        x, y = turn * (e["a"]["y"] - e["b"]["y"]), turn * (e["b"]["x"] - e["a"]["x"])
+        return F.struct(x.alias("x"), y.alias("y"), (-(x * e["a"]["x"] + y * e["a"]["y"])).alias("c"))
+
+    once = F.size(F.array_distinct(corners)) == F.size(F.filter(sides, lambda e: e["a"] != e["b"]))
+    all_inside = lambda p: F.forall(p, lambda s: F.forall(corners, lambda v: beyond(v, s) >= -TINY))
+    made = let(F.signum(area), lambda turn: F.transform(sides, lambda e: plane(e, turn)))
+    return F.when((F.abs(area) > TINY) & once, let(made, lambda p: F.when(all_inside(p), p)))
+
+
+def beyond(p: Column, plane: Column) -> Column:
+    """How far the point is on the inner side of a plane, in lengths of its side."""
+    return plane["x"] * p["x"] + plane["y"] * p["y"] + plane["c"]
+
+
+def convex_share(p: Column, q: Column, planes: Column) -> Column:
+    """Share of the segment inside a convex polygon, from the last side it comes in by to the first it leaves by. As in contains, what lies
+    along a side is inside: the middle of what is outside is compared."""
+
+    def enters(s: Column) -> Column:
+        a, b = beyond(p, s), beyond(q, s)
+        return F.when(a < 0, F.when(b >= 0, F.when(a < -2 * NEAR, a / (a - b))).when(a + b < -2 * NEAR, 2.0))
+
+    def leaves(s: Column) -> Column:
+        a, b = beyond(p, s), beyond(q, s)
+        return F.when(b < -2 * NEAR, F.when(a >= 0, a / (a - b)))
+
+    span = F.coalesce(F.array_min(F.transform(planes, leaves)), F.lit(1.0)) - F.coalesce(F.array_max(F.transform(planes, enters)), F.lit(0.0))
+    return let(span, lambda d: F.when(d > TINY, d).otherwise(0.0))
 
 
 def coverage(points: Column, polygon: Column) -> Column:
     """Struct (share, method): share of a line's length inside; of its points if it has no length. points: structs (x, y), null where unknown."""
-    return let(shape(polygon), lambda s: shape_coverage(points, s))
+    return let(F.struct(line(points).alias("line"), shape(polygon).alias("shape")), lambda w: shape_coverage(w["line"], w["shape"]))
 
 
-def shape_coverage(points: Column, s: Column) -> Column:
-    """coverage by a polygon's shape."""
-    sides, box = s["sides"], s["box"]
+def line(points: Column) -> Column:
+    """What coverage needs of a line: its points, the pairs of known points that follow each other, with their distances, and its length."""
     n = F.size(points)
-    between = F.filter(
-        F.zip_with(F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        lambda s: s["a"].isNotNull() & s["b"].isNotNull(),
-    )
-
-    def measure(pairs: Column) -> Column:
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]))
-        inside = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + F.when(apart(s["a"], s["b"], box), 0.0).otherwise(inside_length(s["a"], s["b"], sides)))
-        known = F.filter(points, lambda p: p.isNotNull())
-        share = F.size(F.filter(known, lambda p: contains(p["x"], p["y"], sides))) / F.greatest(F.size(known), F.lit(1))
-        return let(total, lambda t: F.when(t > TINY, F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside / t)).alias("share"), F.lit("ARC_LENGTH").alias("method"))).otherwise(F.struct(share.cast("double").alias("share"), F.lit("POINT_FALLBACK").alias("method"))))
-
-    return let(between, measure)
+    pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("a"), b.alias("b"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("length")))
+    pairs = F.array_compact(F.zip_with(F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), pair))
+    return let(pairs, lambda s: F.struct(points.alias("points"), s.alias("pairs"), F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x["length"]).alias("length")))
+
+
+def shape_coverage(line: Column, s: Column) -> Column:
+    """coverage of a line by a polygon's shape."""
+    sides, box, flat = s["sides"], s["box"], s["planes"]
+
+    def part(x: Column) -> Column:
+        cut = F.when(flat.isNull(), inside_length(x["a"], x["b"], sides)).when(x["length"] > TINY, convex_share(x["a"], x["b"], flat) * x["length"])
+        return F.when(apart(x["a"], x["b"], box), 0.0).otherwise(cut.otherwise(0.0))
+
+    within = lambda p: F.coalesce(F.forall(flat, lambda f: beyond(p, f) > NEAR), F.lit(False)) | contains(p["x"], p["y"], sides)
+    known = F.filter(line["points"], lambda p: p.isNotNull())
+    share = F.size(F.filter(known, within)) / F.greatest(F.size(known), F.lit(1))
+    inside = F.aggregate(line["pairs"], F.lit(0.0), lambda acc, x: acc + part(x))
+    measured = F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside / line["length"])).alias("share"), F.lit("ARC_LENGTH").alias("method"))
+    return F.when(line["length"] > TINY, measured).otherwise(F.struct(share.cast("double").alias("share"), F.lit("POINT_FALLBACK").alias("method")))
 
 
 def overlap(a: Column, b: Column, flat_equal: float, tiny: float = TINY) -> Column:

@@ -19,8 +19,6 @@ from inkwell.operators.ink import touched
 from inkwell.operators.mapping import ink_box, writing_evidence
 from inkwell.operators.scan import PIECE_ROWS, by_counts, by_length, scan, whole
 
-#: Place of each type among the events of one stroke.
-ORDER = {"PAGE_CHANGE": 0, "WRITING": 1, "QUESTION_LEAVE": 2, "QUESTION_VISIT": 3, "RETURN": 3, "REVISION_CANDIDATE": 4, "UNKNOWN": 5, "PROCESS_END": 6}
 #: Version of the event rules that every event carries.
 VERSION = "inkwell-event-1"
 NO_PARTICIPANT, NO_SEGMENT = "__unknown_participant__", "__unknown_task_segment__"
@@ -82,11 +80,11 @@ def _with_states(found: DataFrame, c: EventConfig) -> DataFrame:
 def short_states(rows: DataFrame, config: EventConfig) -> DataFrame:
     """states of sessions that stand together and of which a question's ink is a list that a row may hold."""
     found = whole(rows, GROUP, BY_TIME, **_looks_back())
-    question = Window.partitionBy(*GROUP, "question_id").orderBy(*BY_TIME)
-    found = found.withColumn("_first", F.first(F.when(F.col("is_mapped"), F.struct(*BY_TIME)), ignorenulls=True).over(question))
     found = found.withColumns({"_place": F.when(_traced(), F.struct("page_id", "ink.space", "ink.domain")), "_box": F.col("ink.box")})
     place = Window.partitionBy(*GROUP, "question_id", "_place").orderBy(*BY_TIME).rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("_ink", F.collect_list(F.when(F.col("_place").isNotNull() & F.col("writes"), F.col("_box"))).over(place))
+    # Rows are sorted by place already, so by question.
+    found = found.withColumn("_first", F.min(F.when(F.col("is_mapped"), F.struct(*BY_TIME))).over(Window.partitionBy(*GROUP, "question_id")))
     meets = F.exists("_ink", lambda b: overlap(F.col("_box"), b, 1.0) >= config.revision_overlap_threshold)
     return _with_states(found.withColumn("overlaps", F.when(F.col("_place").isNotNull(), meets)).drop("_place", "_box", "_ink"), config)
 
@@ -167,21 +165,18 @@ def _events(c: EventConfig, process_end_signal: bool, session_end_ms: int | None
     if session_end_ms is not None and c.process_end_timeout_ms is not None:
         late = F.coalesce(session_end_ms - F.col("end_time_ms") >= c.process_end_timeout_ms, F.lit(False))
         end, why = end | late, F.when(late, "session_timeout").otherwise(why)
-    events = F.array_compact(
+    # Events of a mapping are in this order; of each type at most one is there.
+    return F.array_compact(
         F.array(
             F.when(changed, event("PAGE_CHANGE", own, confidence=confidence, meta=F.concat_ws(">", "_page", "page_id"))),
             F.when(F.col("writes"), event("WRITING", own, F.when(mapped, q), confidence=confidence)),
             F.when(~mapped & has_active, event("QUESTION_LEAVE", active, active["question_id"], at=active["end_time_ms"], meta="mapping_unavailable")),
-            F.when(~mapped, event("UNKNOWN", own, "UNKNOWN", flags=F.when(F.size("quality_flags") > 0, F.col("quality_flags")).otherwise(F.array(F.lit("UNKNOWN_MAPPING"))), meta=F.col("status"))),
-            F.when(mapped & ~has_active, event(arrival, own, q, confidence=confidence)),
-            F.when(mapped & again & F.col("paused") & F.col("overlaps"), event("REVISION_CANDIDATE", own, q, confidence=confidence, meta="prior_ink_pause_or_revisit_overlap")),
             F.when(mapped & has_active & ~again, event("QUESTION_LEAVE", active, active["question_id"], following=q, at=active["end_time_ms"])),
+            F.when(mapped & ~has_active, event(arrival, own, q, confidence=confidence)),
             F.when(mapped & has_active & ~again, event(arrival, own, q, previous=active["question_id"], confidence=confidence)),
+            F.when(mapped & again & F.col("paused") & F.col("overlaps"), event("REVISION_CANDIDATE", own, q, confidence=confidence, meta="prior_ink_pause_or_revisit_overlap")),
             F.when(mapped & has_active & ~again & F.col("overlaps"), event("REVISION_CANDIDATE", own, q, confidence=confidence, meta="reentry_overlap")),
+            F.when(~mapped, event("UNKNOWN", own, "UNKNOWN", flags=F.when(F.size("quality_flags") > 0, F.col("quality_flags")).otherwise(F.array(F.lit("UNKNOWN_MAPPING"))), meta=F.col("status"))),
             F.when(F.col("_last") & end, event("PROCESS_END", own, F.when(mapped, q), at=F.col("end_time_ms"), meta=why)),
         )
     )
-    rank = F.create_map(*[x for k, v in ORDER.items() for x in (F.lit(k), F.lit(v))])
-    ranked = F.transform(events, lambda e, k: F.struct(rank[e["event_type"]].alias("rank"), k.alias("k"), e.alias("e")))
-    ranked = F.array_sort(ranked, lambda a, b: F.when((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["k"] < b["k"])), -1).otherwise(1))
-    return F.transform(ranked, lambda r: r["e"])

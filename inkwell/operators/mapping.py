@@ -7,11 +7,13 @@ strokes stay where they are.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.config import MappingConfig
-from inkwell.functions.geometry import NEAR, let, shape, shape_coverage
+from inkwell.functions.geometry import NEAR, let, line, shape, shape_coverage
 
 
 #: Cells of a page's grid on each side at most.
@@ -25,11 +27,16 @@ def _space() -> Column:
     return F.when(F.col("coordinate_space") == "norm", "norm").otherwise("raw").alias("_space")
 
 
+def _any_in(regions: str, norm: bool) -> Column:
+    """Whether one of the regions is in normalised coordinates, or in raw ones."""
+    return F.exists(regions, lambda r: F.coalesce(r["coordinate_space"] == "norm", F.lit(False)) == norm)
+
+
 def _extent(points: Column) -> Column:
     """The box of the known points; null if there is none."""
-    known = F.filter(points, lambda p: p.isNotNull())
-    at = lambda f, k: f(F.transform(known, lambda p: p[k]))
-    return F.when(F.size(known) > 0, F.struct(*[at(f, k).alias(n) for f, k, n in zip((F.array_min, F.array_min, F.array_max, F.array_max), "xyxy", _BOX, strict=True)]))
+    at = lambda f, k: f(F.transform(points, lambda p: p[k]))
+    some = F.exists(points, lambda p: p.isNotNull())
+    return F.when(some, F.struct(*[at(f, k).alias(n) for f, k, n in zip((F.array_min, F.array_min, F.array_max, F.array_max), "xyxy", _BOX, strict=True)]))
 
 
 def _grid(regions: DataFrame) -> DataFrame:
@@ -67,12 +74,11 @@ def _meet(a: Column, b: Column) -> Column:
 
 def _listed(strokes: DataFrame, regions: DataFrame) -> DataFrame:
     """strokes with regions, by lists of the pages' regions."""
-    lists = regions.select("page_id", F.struct(_space(), _wider().alias("box"), _region().alias("region")).alias("_r")).groupBy("page_id").agg(F.collect_list("_r").alias("_there"))
-    boxes = F.struct(*[_extent(F.col(f"{n}_points")).alias(n) for n in ("norm", "raw")])
+    lists = regions.select("page_id", _region().alias("_r")).groupBy("page_id").agg(F.collect_list("_r").alias("_there"))
+    boxes = F.struct(*[F.when(_any_in("_there", norm), _extent(F.col(f"{n}_points"))).alias(n) for n, norm in (("norm", True), ("raw", False))])
 
     def near(b: Column) -> Column:
-        meet = lambda r: F.when(r["_space"] == "norm", _meet(b["norm"], r["box"])).otherwise(_meet(b["raw"], r["box"]))
-        return F.transform(F.filter("_there", meet), lambda r: r["region"])
+        return F.filter("_there", lambda r: F.when(r["coordinate_space"] == "norm", _meet(b["norm"], r["shape"]["box"])).otherwise(_meet(b["raw"], r["shape"]["box"])))
 
     found = F.when(~F.array_contains("quality_flags", "PARTIAL_DATA"), let(boxes, near))
     return strokes.join(F.broadcast(lists), "page_id", "left").withColumn("regions", found).drop("_there")
@@ -95,22 +101,30 @@ def near_regions(strokes: DataFrame, regions: DataFrame) -> DataFrame:
     return pairs.groupBy("session_id", "stroke_index").agg(F.collect_list("region").alias("regions"))
 
 
-def candidates(strokes: DataFrame, regions: DataFrame, config: MappingConfig) -> DataFrame:
-    """strokes with best (array of candidates, best first) and seen: whether a region of the page saw a coordinate. strokes are read
-    twice, so it is best if they are a written table."""
+def listed(regions: DataFrame) -> bool:
+    """Whether pages have so few regions that strokes are compared with lists of them; strokes are then read once."""
+    count = regions.groupBy("page_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    return (count["most"] or 0) <= FEW and (count["all"] or 0) <= KNOWN
+
+
+def candidates(strokes: DataFrame, regions: DataFrame, config: MappingConfig, few: bool | None = None) -> DataFrame:
+    """strokes with best (array of candidates, best first) and seen: whether a region of the page saw a coordinate. few: what listed says.
+    If it isn't so, strokes are read twice, and it is best if they are a written table."""
     norm = F.col("coordinate_space") == "norm"
     pages = regions.groupBy("page_id").agg(F.bool_or(norm).alias("_sees_norm"), F.bool_or(~norm).alias("_sees_raw"))
 
-    def measured(r):
-        points = F.when(r["coordinate_space"] == "norm", F.col("norm_points")).otherwise(F.col("raw_points"))
-        return F.struct(shape_coverage(points, r["shape"]).alias("c"), r["priority"].alias("priority"), r["region_id"].alias("region_id"), r["question_id"].alias("question_id"))
+    def measured(lines, r):
+        c = let(F.when(r["coordinate_space"] == "norm", lines["norm"]).otherwise(lines["raw"]), lambda x: shape_coverage(x, r["shape"]))
+        return F.struct(c.alias("c"), r["priority"].alias("priority"), r["region_id"].alias("region_id"), r["question_id"].alias("question_id"))
 
     unusable = F.array_contains("quality_flags", "PARTIAL_DATA") | F.col("page_id").isNull()
-    count = regions.groupBy("page_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
-    few = (count["most"] or 0) <= FEW and (count["all"] or 0) <= KNOWN
+    few = listed(regions) if few is None else few
     rows = _listed(strokes, regions) if few else strokes.join(near_regions(strokes, regions), ["session_id", "stroke_index"], "left")
     rows = rows.join(F.broadcast(pages) if few else pages, "page_id", "left")
-    rows = rows.withColumn("_all", F.transform(F.coalesce("regions", F.array()), measured)).drop("regions")
+    # A stroke's lines are made once for all its regions.
+    in_space = lambda n, norm: F.when(_any_in("regions", norm), line(F.col(f"{n}_points"))).alias(n)
+    every = let(F.struct(in_space("norm", True), in_space("raw", False)), lambda lines: F.transform("regions", lambda r: measured(lines, r)))
+    rows = rows.withColumn("_all", F.when(F.size("regions") > 0, every).otherwise(F.array())).drop("regions")
     good = F.filter("_all", lambda m: m["c"]["share"] >= config.min_coverage)
     best = F.sort_array(F.transform(good, lambda m: F.struct(m["c"]["share"].alias("coverage"), m["priority"], m["region_id"], m["question_id"], m["c"]["method"].alias("method"))), asc=False)
     some = lambda points: F.exists(points, lambda p: p.isNotNull())
@@ -118,10 +132,11 @@ def candidates(strokes: DataFrame, regions: DataFrame, config: MappingConfig) ->
     return rows.withColumn("best", best).withColumn("seen", seen).withColumn("unusable", unusable).drop("_all", "_sees_norm", "_sees_raw")
 
 
-def map_strokes(strokes: DataFrame, regions: DataFrame, config: MappingConfig | None = None) -> DataFrame:
-    """A mapping per stroke: MAPPED, UNKNOWN or AMBIGUOUS; the columns that events and features need are carried along."""
+def map_strokes(strokes: DataFrame, regions: DataFrame, config: MappingConfig | None = None, also: Sequence[str] = (), few: bool | None = None) -> DataFrame:
+    """A mapping per stroke: MAPPED, UNKNOWN or AMBIGUOUS; the columns that events and features need are carried along, and so are those
+    named in also. few: what listed says of the regions, where that is known."""
     c = config or MappingConfig()
-    rows = candidates(strokes, regions, c)
+    rows = candidates(strokes, regions, c, few)
     first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
     ambiguous = F.coalesce((F.abs(first["coverage"] - second["coverage"]) <= c.ambiguity_epsilon) & (first["priority"] == second["priority"]), F.lit(False))
     status = F.when(F.col("unusable") | (F.size("best") == 0), "UNKNOWN").when(ambiguous, "AMBIGUOUS").otherwise("MAPPED")
@@ -141,7 +156,7 @@ def map_strokes(strokes: DataFrame, regions: DataFrame, config: MappingConfig |
         F.when(mapped, first["coverage"]).alias("confidence"),
         F.when(mapped, first["method"]).otherwise("UNKNOWN").alias("mapping_method"),
         "start_time_ms", "end_time_ms", "point_refs", flags.alias("quality_flags"), "norm_points", "raw_points", "times",
-        F.col("quality_flags").alias("stroke_flags"), "point_flags", "bbox", "bbox_space",
+        F.col("quality_flags").alias("stroke_flags"), "point_flags", "bbox", "bbox_space", *also,
     )
 
 

@@ -107,10 +107,13 @@ def longer(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def by_length(rows: DataFrame, key: str, most: int, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame], counted: DataFrame | None = None) -> DataFrame:
-    """short of the rows of keys that have so many at most, which stand together by key, and long of the others' rows. If there is no longer
-    key, Spark leaves their side out. counted: what has as many rows of each key and is cheaper to read.
+    """short of the rows of keys that have so many at most, which stand together by key, and long of the others' rows. Whether there is a
+    longer key is looked up first; mostly there is none, and the rows are then read once. counted: what has as many rows of each key and
+    is cheaper to read.
     """
     several = longer(rows if counted is None else counted, key, most)
+    if several.isEmpty():
+        return short(rows.repartition(key))
     return short(rows.join(several, key, "left_anti").repartition(key)).unionByName(long(rows.join(several, key, "left_semi")))
 
 

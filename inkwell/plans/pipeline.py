@@ -1,4 +1,4 @@
-"""The whole run: points, strokes and mappings as written tables, since each is read several times; the rest lazily."""
+"""The whole run: points, and strokes with their mappings, as written tables, since each is read several times; the rest lazily."""
 
 from __future__ import annotations
 
@@ -43,12 +43,22 @@ def run(
     written too, for a run of which several tables are wanted."""
     keep = keep or store.keeper(records.sparkSession, "run")
     points = keep(guard(parse.parse_points(adapter(records) if adapter else records), session_id, task_segment_id), "points")
-    found = keep(strokes.build_strokes(points, stroke_config), "strokes")
-    mapped = keep(mapping.map_strokes(found, regions, mapping_config), "mappings")
+    found, mapped = _mapped(strokes.build_strokes(points, stroke_config), regions, mapping_config, keep)
     made = events.detect_events(mapped, event_config, process_end_signal, session_end_ms, task_segment_id, keep)
     return Run(points, found, mapped, keep(made, "events") if keep_events else made)
 
 
+def _mapped(found: DataFrame, regions: DataFrame, config: MappingConfig | None, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Strokes and mappings. They are one written table where a stroke's mapping needs no join, since most columns of theirs are the same."""
+    few = mapping.listed(regions)
+    if not few:
+        found = keep(found, "strokes")
+        return found, keep(mapping.map_strokes(found, regions, config, few=few), "mappings")
+    own = ("n_points", "duration_ms", "processed_order", "path_length_norm", "algorithm_version")
+    both = keep(mapping.map_strokes(found, regions, config, own, few), "mappings")
+    return both.select(*[F.col("stroke_flags").alias(c) if c == "quality_flags" else c for c in found.columns]), both.drop(*own)
+
+
 def guard(points: DataFrame, session_id: str | None, task_segment_id: str | None) -> DataFrame:
     """points, which raise when they are read if one is of another session, or of another known segment."""
     checks = ((("session_id", session_id), F.col("session_id") != F.lit(session_id)), (("task_segment_id", task_segment_id), F.col("task_segment_id") != F.lit(task_segment_id)))
