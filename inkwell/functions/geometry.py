@@ -12,6 +12,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def named(*flags: Column) -> Column:
+    """Array of those flags that aren't null. Unlike array_compact, this and all below it is compiled; no flag is empty."""
+    return F.array_remove(F.array(*[F.coalesce(f, F.lit("")) for f in flags]), "")
+
+
+def extent(points: Column, names: tuple[str, str, str, str] = ("left", "top", "right", "bottom")) -> Column:
+    """The box of the known points; its sides are null if there is none."""
+    return F.struct(*[f(points[k]).alias(n) for n, f, k in zip(names, (F.array_min, F.array_min, F.array_max, F.array_max), "xyxy", strict=True)])
+
+
 def edges(polygon: Column) -> Column:
     """Array of structs (a, b): the sides of the polygon."""
     n = F.size(polygon)
@@ -52,7 +62,7 @@ def cuts(p: Column, q: Column, side: Column) -> Column:
 
 def bounds(sides: Column) -> Column:
     """The polygon's box, wider by as much as a point may miss a side."""
-    at = lambda k: F.transform(sides, lambda e: e["a"][k])
+    at = lambda k: sides["a"][k]
     return F.struct(*[(f(at(k)) + d).alias(n) for n, f, k, d in (("left", F.array_min, "x", -NEAR), ("right", F.array_max, "x", NEAR), ("top", F.array_min, "y", -NEAR), ("bottom", F.array_max, "y", NEAR))])
 
 
@@ -82,8 +92,10 @@ def inside_length(p: Column, q: Column, sides: Column) -> Column:
 
 
 def shape(polygon: Column) -> Column:
-    """What coverage needs of a polygon: its sides, box, and planes if it is convex."""
-    return let(edges(polygon), lambda e: F.struct(e.alias("sides"), bounds(e).alias("box"), planes(e).alias("planes")))
+    """What coverage needs of a polygon: its sides, box, planes if it is convex, and itself as a box if it is a rectangle along the axes."""
+    made = let(edges(polygon), lambda e: F.struct(e.alias("sides"), bounds(e).alias("box"), planes(e).alias("planes")))
+    straight = lambda s: (F.size(s) == 4) & F.forall(s, lambda e: (e["a"]["x"] == e["b"]["x"]) | (e["a"]["y"] == e["b"]["y"]))
+    return let(made, lambda m: F.struct(*[m[k].alias(k) for k in ("sides", "box", "planes")], F.when(m["planes"].isNotNull() & straight(m["sides"]), extent(m["sides"]["a"])).alias("rect")))
 
 
 def planes(sides: Column) -> Column:
@@ -111,16 +123,27 @@ def convex_share(p: Column, q: Column, planes: Column) -> Column:
     """Share of the segment inside a convex polygon, from the last side it comes in by to the first it leaves by. As in contains, what lies
     along a side is inside: the middle of what is outside is compared."""
 
-    def enters(s: Column) -> Column:
-        a, b = beyond(p, s), beyond(q, s)
-        return F.when(a < 0, F.when(b >= 0, F.when(a < -2 * NEAR, a / (a - b))).when(a + b < -2 * NEAR, 2.0))
+    ends = lambda s: (beyond(p, s), beyond(q, s))
+    span = F.coalesce(F.array_min(F.transform(planes, lambda s: _leaves(*ends(s)))), F.lit(1.0)) - F.coalesce(F.array_max(F.transform(planes, lambda s: _enters(*ends(s)))), F.lit(0.0))
+    return let(span, lambda d: F.when(d > TINY, d).otherwise(0.0))
+
 
-    def leaves(s: Column) -> Column:
-        a, b = beyond(p, s), beyond(q, s)
-        return F.when(b < -2 * NEAR, F.when(a >= 0, a / (a - b)))
+def _enters(a: Column, b: Column) -> Column:
+    """Where a segment whose ends are so far on a side's inner side comes in."""
+    return F.when(a < 0, F.when(b >= 0, F.when(a < -2 * NEAR, a / (a - b))).when(a + b < -2 * NEAR, 2.0))
 
-    span = F.coalesce(F.array_min(F.transform(planes, leaves)), F.lit(1.0)) - F.coalesce(F.array_max(F.transform(planes, enters)), F.lit(0.0))
-    return let(span, lambda d: F.when(d > TINY, d).otherwise(0.0))
+
+def _leaves(a: Column, b: Column) -> Column:
+    return F.when(b < -2 * NEAR, F.when(a >= 0, a / (a - b)))
+
+
+def rectangle_share(p: Column, q: Column, box: Column) -> Column:
+    """convex_share of a rectangle along the axes, without a list of its sides."""
+    width, height = box["right"] - box["left"], box["bottom"] - box["top"]
+    ends = [tuple(size * turn * (v[k] - box[side]) for v in (p, q)) for k, side, turn, size in (("x", "left", 1, height), ("x", "right", -1, height), ("y", "top", 1, width), ("y", "bottom", -1, width))]
+    span = F.least(F.lit(1.0), *[_leaves(*e) for e in ends]) - F.greatest(F.lit(0.0), *[_enters(*e) for e in ends])
+    held = lambda v: (v["x"] >= box["left"]) & (v["x"] <= box["right"]) & (v["y"] >= box["top"]) & (v["y"] <= box["bottom"])
+    return F.when(held(p) & held(q), 1.0).otherwise(let(span, lambda d: F.when(d > TINY, d).otherwise(0.0)))
 
 
 def coverage(points: Column, polygon: Column) -> Column:
@@ -129,25 +152,31 @@ def coverage(points: Column, polygon: Column) -> Column:
 
 
 def line(points: Column) -> Column:
-    """What coverage needs of a line: its points, the pairs of known points that follow each other, with their distances, and its length."""
+    """What coverage needs of a line: its points and their box, the pairs of known points that follow each other, with their distances, its
+    length, and that of the pairs that have one."""
     n = F.size(points)
     pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("a"), b.alias("b"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("length")))
     pairs = F.array_compact(F.zip_with(F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), pair))
-    return let(pairs, lambda s: F.struct(points.alias("points"), s.alias("pairs"), F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x["length"]).alias("length")))
+    total = lambda s, of: F.aggregate(s, F.lit(0.0), lambda acc, x: acc + of(x["length"]))
+    some = lambda x: F.when(x > TINY, x).otherwise(0.0)
+    return let(pairs, lambda s: F.struct(points.alias("points"), extent(points).alias("box"), s.alias("pairs"), total(s, lambda x: x).alias("length"), total(s, some).alias("measured")))
 
 
 def shape_coverage(line: Column, s: Column) -> Column:
     """coverage of a line by a polygon's shape."""
-    sides, box, flat = s["sides"], s["box"], s["planes"]
+    sides, box, flat, rect, own = s["sides"], s["box"], s["planes"], s["rect"], line["box"]
 
     def part(x: Column) -> Column:
-        cut = F.when(flat.isNull(), inside_length(x["a"], x["b"], sides)).when(x["length"] > TINY, convex_share(x["a"], x["b"], flat) * x["length"])
+        cut = F.when(flat.isNull(), inside_length(x["a"], x["b"], sides))
+        cut = cut.when(x["length"] > TINY, F.when(rect.isNotNull(), rectangle_share(x["a"], x["b"], rect)).otherwise(convex_share(x["a"], x["b"], flat)) * x["length"])
         return F.when(apart(x["a"], x["b"], box), 0.0).otherwise(cut.otherwise(0.0))
 
     within = lambda p: F.coalesce(F.forall(flat, lambda f: beyond(p, f) > NEAR), F.lit(False)) | contains(p["x"], p["y"], sides)
     known = F.filter(line["points"], lambda p: p.isNotNull())
     share = F.size(F.filter(known, within)) / F.greatest(F.size(known), F.lit(1))
-    inside = F.aggregate(line["pairs"], F.lit(0.0), lambda acc, x: acc + part(x))
+    # All of a line whose box a rectangle holds is inside.
+    held = (own["left"] >= rect["left"]) & (own["right"] <= rect["right"]) & (own["top"] >= rect["top"]) & (own["bottom"] <= rect["bottom"])
+    inside = F.when(held, line["measured"]).otherwise(F.aggregate(line["pairs"], F.lit(0.0), lambda acc, x: acc + part(x)))
     measured = F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside / line["length"])).alias("share"), F.lit("ARC_LENGTH").alias("method"))
     return F.when(line["length"] > TINY, measured).otherwise(F.struct(share.cast("double").alias("share"), F.lit("POINT_FALLBACK").alias("method")))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import EventConfig
-from inkwell.functions.geometry import overlap
+from inkwell.functions.geometry import named, overlap
 from inkwell.operators.ink import touched
 from inkwell.operators.mapping import ink_box, writing_evidence
 from inkwell.operators.scan import PIECE_ROWS, by_counts, by_length, scan, whole
@@ -107,10 +107,10 @@ def long_states(rows: DataFrame, config: EventConfig, piece_rows: int = PIECE_RO
 
 def detect_events(
     mappings: DataFrame, config: EventConfig | None = None, process_end_signal: bool = False, session_end_ms: int | None = None, task_segment_id: str | None = None,
-    keep: Callable[[DataFrame, str], DataFrame] = _keep, piece_rows: int = PIECE_ROWS,
+    keep: Callable[[DataFrame, str], DataFrame] = _keep, piece_rows: int = PIECE_ROWS, known: int | None = None, placed: bool = False,
 ) -> DataFrame:
     """A row per event, numbered per session in order. task_segment_id: of events whose mapping has none. keep: writes a table and reads
-    it again, since the mappings' events are both counted and numbered."""
+    it again, since the mappings' events are both counted and numbered. known, placed: as in scan.by_length."""
     c = config or EventConfig()
     made = _events(c, process_end_signal, session_end_ms, task_segment_id)
     in_session = ("session_id",), ("_untimed", "_start", "participant_bucket", "segment_bucket", "stroke_id")
@@ -127,7 +127,7 @@ def detect_events(
         found = short_states(rows, c).select(*GROUP, "participant_id", *BY_TIME, made.alias("_events"))
         return _numbered(whole(found, *in_session, total=total))
 
-    return by_length(_prepared(mappings), "session_id", min(SHORT, piece_rows), short, long)
+    return by_length(_prepared(mappings), "session_id", min(SHORT, piece_rows), short, long, known=known, placed=placed)
 
 
 def _numbered(found: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _events(c: EventConfig, process_end_signal: bool, session_end_ms: int | None
     def event(kind, source, question=None, previous=None, following=None, at=None, confidence=None, flags=None, meta=None):
         kind = F.lit(kind) if isinstance(kind, str) else kind
         start, end = (at, at) if at is not None else (source["start_time_ms"], source["end_time_ms"])
-        extra = F.array_compact(F.array(F.when(start.isNull() | end.isNull(), "TIME_UNAVAILABLE")))
+        extra = named(F.when(start.isNull() | end.isNull(), "TIME_UNAVAILABLE"))
         all_flags = F.array_distinct(F.concat(source["quality_flags"], flags if flags is not None else F.array().cast("array<string>"), extra))
         return F.struct(
             kind.alias("event_type"), text(question).alias("question_id"), text(previous).alias("previous_question_id"), text(following).alias("next_question_id"),

@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import FeatureConfig
-from inkwell.functions.geometry import overlap
+from inkwell.functions.geometry import extent, overlap
 from inkwell.operators.scan import PIECE_ROWS, by_length, quantiles
 from inkwell.sources import store
 
 FEATURES = ("duration_s", "path_length_norm", "mean_speed_norm_per_s", "pause_before_s", "pause_inside_s", "bbox_width_norm", "bbox_height_norm", "question_occupancy", "visit_index", "return_count", "previous_ink_iou", "quality_valid")
 
 
-def episodes(mappings: DataFrame, config: FeatureConfig | None = None, splits: DataFrame | None = None) -> DataFrame:
+def episodes(mappings: DataFrame, config: FeatureConfig | None = None, splits: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """mappings with the features. A session is a case; visits count per participant and task segment, pauses per case. splits
-    (participant_id, split): episodes then have the split of their participant, and those of no known participant are left out."""
+    (participant_id, split): episodes then have the split of their participant, and those of no known participant are left out.
+    counted: what has as many rows of each participant, or more, and is cheaper to read than mappings."""
     c = config or FeatureConfig()
     by_time = (F.col("start_time_ms").isNull(), F.coalesce("start_time_ms", F.lit(0)), F.col("stroke_id"))
     case = Window.partitionBy("session_id").orderBy(*by_time)
@@ -28,14 +29,14 @@ def episodes(mappings: DataFrame, config: FeatureConfig | None = None, splits: D
     path = F.when(whole & (n > 0), F.aggregate(steps, F.lit(0.0), lambda s, x: s + x))
     gaps = F.zip_with(F.slice("times", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("times", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.greatest(F.lit(0), b - a - c.inside_pause_threshold_ms))
     inside = F.when((n >= 2) & F.forall("times", lambda t: t.isNotNull()), F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x) / 1000.0)
-    box = F.when(whole & (n > 0), F.struct(*[f(_side(k)).alias(a) for f, k, a in ((F.array_min, "x", "left"), (F.array_min, "y", "top"), (F.array_max, "x", "right"), (F.array_max, "y", "bottom"))]))
+    box = F.when(whole & (n > 0), extent(F.col("norm_points")))
     rows = mappings.withColumns({"path_length_norm": path, "pause_inside_s": inside, "_box": box, "is_mapped": F.col("status") == "MAPPED"})
-    rows = rows.withColumn("_flags", F.array_sort(F.array_distinct(F.concat("quality_flags", "stroke_flags", "point_flags"))))
+    rows = rows.withColumn("_flags", F.sort_array(F.array_distinct(F.concat("quality_flags", "stroke_flags", "point_flags"))))
     rows = rows.withColumns({"_end": F.last("end_time_ms", ignorenulls=True).over(before), "_index": F.row_number().over(case) - 1})
     # Participants that a task holds stand together, and so their splits come to them.
     known = lambda r: r if splits is None else r.join(splits.select("participant_id", "split"), "participant_id")
     made = lambda r: known(_with_features(r, by_time))
-    return by_length(rows, "participant_id", PIECE_ROWS, made, made, mappings)
+    return by_length(rows, "participant_id", PIECE_ROWS, made, made, mappings if counted is None else counted)
 
 
 def _with_features(rows: DataFrame, by_time: tuple[Column, ...]) -> DataFrame:
@@ -62,10 +63,6 @@ def _with_features(rows: DataFrame, by_time: tuple[Column, ...]) -> DataFrame:
     )
 
 
-def _side(k: str):
-    return F.transform("norm_points", lambda p: p[k])
-
-
 def missingness(rows: DataFrame, by: str | None = None) -> DataFrame:
     """feature, observed, missing, rate, over all rows or per value of a column."""
     long = rows.select(*([by] if by else []), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES])).alias("v"))
@@ -83,11 +80,7 @@ def sequences(rows: DataFrame) -> DataFrame:
     step = F.struct("episode_index", F.col("episode_id").alias("id"), values.alias("values"), masks.alias("mask"), *targets)
     found = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(step)).alias("s"), *[F.first(c).alias(c) for c in known])
     fields = [("id", "episode_ids"), ("values", "values"), ("mask", "feature_mask")] + ([("target", "targets")] if targets else [])
-    return found.select("session_id", *known, *[_field(k).alias(a) for k, a in fields], F.size("s").alias("n"))
-
-
-def _field(k: str):
-    return F.transform("s", lambda x: x[k])
+    return found.select("session_id", *known, *[F.col(f"s.{k}").alias(a) for k, a in fields], F.size("s").alias("n"))
 
 
 def normalizer(rows: DataFrame) -> DataFrame:

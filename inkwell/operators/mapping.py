@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.config import MappingConfig
-from inkwell.functions.geometry import NEAR, let, line, shape, shape_coverage
+from inkwell.functions.geometry import NEAR, TINY, extent, let, line, named, shape, shape_coverage
 
 
 #: Cells of a page's grid on each side at most.
@@ -34,9 +34,7 @@ def _any_in(regions: str, norm: bool) -> Column:
 
 def _extent(points: Column) -> Column:
     """The box of the known points; null if there is none."""
-    at = lambda f, k: f(F.transform(points, lambda p: p[k]))
-    some = F.exists(points, lambda p: p.isNotNull())
-    return F.when(some, F.struct(*[at(f, k).alias(n) for f, k, n in zip((F.array_min, F.array_min, F.array_max, F.array_max), "xyxy", _BOX, strict=True)]))
+    return F.when(F.exists(points, lambda p: p.isNotNull()), extent(points, _BOX))
 
 
 def _grid(regions: DataFrame) -> DataFrame:
@@ -141,7 +139,7 @@ def map_strokes(strokes: DataFrame, regions: DataFrame, config: MappingConfig |
     ambiguous = F.coalesce((F.abs(first["coverage"] - second["coverage"]) <= c.ambiguity_epsilon) & (first["priority"] == second["priority"]), F.lit(False))
     status = F.when(F.col("unusable") | (F.size("best") == 0), "UNKNOWN").when(ambiguous, "AMBIGUOUS").otherwise("MAPPED")
     flags = (
-        F.when(F.col("unusable"), F.array_distinct(F.array_compact(F.concat("quality_flags", F.array(F.when(F.col("page_id").isNull(), "MISSING_PAGE"))))))
+        F.when(F.col("unusable"), F.array_distinct(F.concat("quality_flags", named(F.when(F.col("page_id").isNull(), "MISSING_PAGE")))))
         .when(F.size("best") == 0, F.array(F.when(F.col("seen"), "NO_REGION_MATCH").otherwise("NO_NORMALIZED_COORDINATES")))
         .when(ambiguous, F.array(F.lit("AMBIGUOUS_REGION")))
         .otherwise(F.array_distinct("quality_flags"))
@@ -166,7 +164,9 @@ def writing_evidence():
     def long(points):
         n = F.size(points)
         pairs = F.zip_with(F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
-        return F.forall(points, lambda p: p.isNotNull()) & (F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) > 1e-12)
+        # A line is at least as long as its box.
+        wide = F.coalesce(F.greatest(*[F.array_max(points[k]) - F.array_min(points[k]) for k in "xy"]) > 2 * TINY, F.lit(False))
+        return F.forall(points, lambda p: p.isNotNull()) & (wide | (F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) > TINY))
 
     return (F.size("norm_points") >= 2) & (long(F.col("norm_points")) | long(F.col("raw_points")))
 
@@ -174,9 +174,8 @@ def writing_evidence():
 def ink_box():
     """Box of all points in normalised, else raw coordinates, with its space and domain; null if neither is complete."""
     whole = lambda p: (F.size(p) > 0) & F.forall(p, lambda x: x.isNotNull())
-    box = lambda p: F.struct(F.array_min(F.transform(p, lambda v: v["x"])).alias("left"), F.array_min(F.transform(p, lambda v: v["y"])).alias("top"), F.array_max(F.transform(p, lambda v: v["x"])).alias("right"), F.array_max(F.transform(p, lambda v: v["y"])).alias("bottom"))
     domain = F.coalesce(F.concat(F.lit("device:"), F.col("device_id")), F.lit("unknown"))
-    made = lambda p, space, where: F.struct(box(p).alias("box"), F.lit(space).alias("space"), where.alias("domain"))
+    made = lambda p, space, where: F.struct(extent(p).alias("box"), F.lit(space).alias("space"), where.alias("domain"))
     return F.when(whole(F.col("norm_points")), made(F.col("norm_points"), "norm", F.lit("norm"))).when(whole(F.col("raw_points")), made(F.col("raw_points"), "raw", domain))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.functions.geometry import named
 from inkwell.operators.scan import PIECE_ROWS, by_length, by_number, scan, whole
 
 PEN_STATES = ("DOWN", "MOVE", "UP", "UNKNOWN")
@@ -29,12 +30,12 @@ def _nested(df: DataFrame, name: str, kind: str) -> Column:
     return own
 
 
-def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS, known: int | None = None) -> DataFrame:
     """records with raw_order, the place in a session's input. Flags are in a fixed order. Sessions of more than piece_rows
     points are scanned in pieces of so many places, so none has to fit a task.
 
     Out of order: behind the last known sequence or time of the same session and page. Duplicate: the id occurs twice in a session.
-    An empty page counts as missing, though it stays a page of its own. source_index is the input's, if that is a number from 0 on.
+    known: so many points that no session has more. An empty page counts as missing, though it stays a page of its own. source_index is the input's, if that is a number from 0 on.
     """
     d = records
     x = F.coalesce(finite(_nested(d, "x_raw", "double")), finite(_nested(d, "x", "double")))
@@ -63,22 +64,20 @@ def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     copies = F.count("*").over(Window.partitionBy("session_id", "point_id"))
     rows = by_length(
         rows, "session_id", piece_rows, lambda r: whole(r, *seen[0], **seen[1]).withColumn("_copies", copies),
-        lambda r: scan(r.withColumn("_piece", by_number(F.col("_at"), piece_rows)), *seen[0], **seen[1]).drop("_piece").withColumn("_copies", copies), d,
+        lambda r: scan(r.withColumn("_piece", by_number(F.col("_at"), piece_rows)), *seen[0], **seen[1]).drop("_piece").withColumn("_copies", copies), d, known,
     )
     integer = F.col("sequence_payload") == F.floor("sequence_payload")
     bad_norm = (F.col("_xn").isNull() != F.col("_yn").isNull()) | ~F.col("_xn").between(0, 1) | ~F.col("_yn").between(0, 1)
     bad_norm = F.coalesce(bad_norm, F.lit(False)) | (F.col("_xn").isNull() != F.col("_yn").isNull())
     late = F.coalesce(F.col("sequence_payload") < F.col("_seq"), F.lit(False)) | F.coalesce(F.col("timestamp_ms") < F.col("_time"), F.lit(False))
-    flags = F.array_compact(
-        F.array(
-            F.when(F.col("x_raw").isNull() | F.col("y_raw").isNull(), "INVALID_COORDINATE"),
-            F.when(F.col("timestamp_ms").isNull(), "MISSING_TIMESTAMP"),
-            F.when(F.coalesce(F.length("page_id"), F.lit(0)) == 0, "MISSING_PAGE"),
-            F.when(F.col("_copies") > 1, "DUPLICATE_POINT"),
-            F.when(F.col("sequence_payload").isNull(), "MISSING_SEQUENCE"),
-            F.when(late, "OUT_OF_ORDER"),
-            F.when(bad_norm, "INVALID_NORM_COORDINATE"),
-        )
+    flags = named(
+        F.when(F.col("x_raw").isNull() | F.col("y_raw").isNull(), "INVALID_COORDINATE"),
+        F.when(F.col("timestamp_ms").isNull(), "MISSING_TIMESTAMP"),
+        F.when(F.coalesce(F.length("page_id"), F.lit(0)) == 0, "MISSING_PAGE"),
+        F.when(F.col("_copies") > 1, "DUPLICATE_POINT"),
+        F.when(F.col("sequence_payload").isNull(), "MISSING_SEQUENCE"),
+        F.when(late, "OUT_OF_ORDER"),
+        F.when(bad_norm, "INVALID_NORM_COORDINATE"),
     )
     return rows.select(
         "point_id", "session_id", "participant_id", "task_segment_id", "device_id", "page_id",

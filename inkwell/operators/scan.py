@@ -106,15 +106,27 @@ def longer(rows: DataFrame, key: str, most: int) -> DataFrame:
     return F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key))
 
 
-def by_length(rows: DataFrame, key: str, most: int, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame], counted: DataFrame | None = None) -> DataFrame:
+def longest(rows: DataFrame, key: str) -> int:
+    """Rows of the key that has most."""
+    return rows.groupBy(key).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
+def by_length(
+    rows: DataFrame, key: str, most: int, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame], counted: DataFrame | None = None,
+    known: int | None = None, placed: bool = False,
+) -> DataFrame:
     """short of the rows of keys that have so many at most, which stand together by key, and long of the others' rows. Whether there is a
     longer key is looked up first; mostly there is none, and the rows are then read once. counted: what has as many rows of each key and
-    is cheaper to read.
+    is cheaper to read. known: so many rows that no key has more, if that is known; where it isn't more than most, nothing is looked up.
+    placed: whether the rows come from an operator that has put them together by key; they aren't shuffled again then.
     """
+    together = lambda r: r if placed else r.repartition(key)
+    if known is not None and known <= most:
+        return short(together(rows))
     several = longer(rows if counted is None else counted, key, most)
     if several.isEmpty():
-        return short(rows.repartition(key))
-    return short(rows.join(several, key, "left_anti").repartition(key)).unionByName(long(rows.join(several, key, "left_semi")))
+        return short(together(rows))
+    return short(together(rows.join(several, key, "left_anti"))).unionByName(long(rows.join(several, key, "left_semi")))
 
 
 def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import StrokeConfig
+from inkwell.functions.geometry import named
 from inkwell.operators.scan import PIECE_ROWS, by_length, by_number, scan, whole
 
 #: Version of the stroke rules that every stroke carries.
@@ -24,18 +25,19 @@ def with_stroke_index(points: DataFrame, config: StrokeConfig | None = None, pie
     large (unknown ones aren't), or where the pen comes down after it was up. Who wrote the point before doesn't matter, so the
     scan is over a session, in pieces of piece_rows places if it has more points than that.
     """
-    return by_length(points, "session_id", piece_rows, *_indexed(config, piece_rows))
+    return by_length(points, "session_id", piece_rows, *_indexed(config, piece_rows)).drop("_back")
 
 
 def _indexed(config: StrokeConfig | None, piece_rows: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
-    """Functions that number the strokes of sessions that a task holds, and of others."""
+    """Functions that number the strokes of sessions that a task holds, and of others. _back: whether a point's place by time is before
+    that of the point before it in its stroke."""
     c = config or StrokeConfig()
     in_pieces = lambda r: r.withColumn("_piece", by_number(F.col("raw_order"), piece_rows))
     return lambda r: _with_index(r, c, whole), lambda r: _with_index(in_pieces(r), c, scan).drop("_piece")
 
 
 def _with_index(rows: DataFrame, c: StrokeConfig, scan: Callable[..., DataFrame]) -> DataFrame:
-    before = (*CONTEXT, "timestamp_ms", "x_norm", "y_norm", "x_raw", "y_raw", "pen_state", "raw_order")
+    before = (*CONTEXT, "timestamp_ms", "x_norm", "y_norm", "x_raw", "y_raw", "pen_state", "raw_order", "sequence_payload", "source_index")
     rows = scan(rows, ("session_id",), ("raw_order",), lag={f"_{k}": F.col(k) for k in before})
     same = F.lit(True)
     for k in CONTEXT:
@@ -47,22 +49,25 @@ def _with_index(rows: DataFrame, c: StrokeConfig, scan: Callable[..., DataFrame]
     starts = F.col("_raw_order").isNull() | ~same | ~near_in_time | ~near_in_space | F.coalesce(down, F.lit(False))
     raw = F.hypot(F.col("x_raw") - F.col("_x_raw"), F.col("y_raw") - F.col("_y_raw"))
     rows = rows.withColumn("_starts", starts).withColumn("norm_step", F.when(~F.col("_starts"), step)).withColumn("raw_step", F.when(~F.col("_starts"), raw))
-    rows = rows.drop(*[f"_{k}" for k in before])
+    place = lambda mark: F.struct(f"{mark}timestamp_ms", F.coalesce(f"{mark}sequence_payload", F.lit(float("inf"))), f"{mark}source_index", f"{mark}raw_order")
+    rows = rows.withColumn("_back", ~F.col("_starts") & (place("") < place("_"))).drop(*[f"_{k}" for k in before])
     return scan(rows, ("session_id",), ("raw_order",), total={"stroke_index": F.col("_starts").cast("long")}).drop("_starts")
 
 
-def build_strokes(points: DataFrame, config: StrokeConfig | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """A row per stroke, with its points' coordinates and times in processed order for the operators that follow."""
+def build_strokes(points: DataFrame, config: StrokeConfig | None = None, piece_rows: int = PIECE_ROWS, known: int | None = None, placed: bool = False) -> DataFrame:
+    """A row per stroke, with its points' coordinates and times in processed order for the operators that follow. known, placed: as in
+    scan.by_length."""
     short, long = _indexed(config, piece_rows)
-    return by_length(points, "session_id", piece_rows, lambda r: _built(short(r)), lambda r: _built(long(r)))
+    return by_length(points, "session_id", piece_rows, lambda r: _built(short(r)), lambda r: _built(long(r)), known=known, placed=placed)
 
 
 def _built(rows: DataFrame) -> DataFrame:
     usable_norm, usable_raw = F.col("x_norm").isNotNull() & F.col("y_norm").isNotNull(), F.col("x_raw").isNotNull() & F.col("y_raw").isNotNull()
     usable = usable_norm | usable_raw
+    known = lambda s: F.when(F.col(f"x_{s}").isNotNull() & F.col(f"y_{s}").isNotNull(), F.struct(F.col(f"x_{s}").alias("x"), F.col(f"y_{s}").alias("y"))).alias(s)
     # Operators that look points up by id get the last of several with the same one.
     same_id = Window.partitionBy("session_id", "point_id").orderBy("raw_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_found", F.last(F.struct("x_norm", "y_norm", "x_raw", "y_raw", "timestamp_ms", "quality_flags")).over(same_id))
+    rows = rows.withColumn("_found", F.last(F.struct(known("norm"), known("raw"), "timestamp_ms", "quality_flags")).over(same_id))
     point = F.struct("raw_order", "timestamp_ms", F.coalesce("sequence_payload", F.lit(float("inf"))).alias("seq"), "source_index", "point_id", F.col("_found").alias("found"), "quality_flags")
     box = {f"{f}_{c}": getattr(F, f)(F.when(usable_norm if c.endswith("norm") else usable_raw, F.col(c))) for f in ("min", "max") for c in ("x_norm", "y_norm", "x_raw", "y_raw")}
     found = rows.groupBy("session_id", "stroke_index").agg(
@@ -71,6 +76,7 @@ def _built(rows: DataFrame) -> DataFrame:
         F.min("timestamp_ms").alias("start_time_ms"),
         F.max("timestamp_ms").alias("end_time_ms"),
         F.bool_or(F.col("timestamp_ms").isNull()).alias("_untimed"),
+        F.bool_or("_back").alias("_unsorted"),
         F.bool_or(usable).alias("_any"),
         F.bool_and(~usable | usable_norm).alias("_all_norm"),
         F.bool_and(~usable | usable_raw).alias("_all_raw"),
@@ -81,11 +87,11 @@ def _built(rows: DataFrame) -> DataFrame:
     )
     space = F.when(F.col("_any") & F.col("_all_norm"), "norm").when(F.col("_any") & F.col("_all_raw"), "raw").otherwise("unavailable")
     side = lambda k: F.when(F.col("space") == "norm", F.col(f"_{k}_norm")).when(F.col("space") == "raw", F.col(f"_{k}_raw")).otherwise(0.0)
-    flags = F.array_distinct(F.flatten(F.transform("inputs", lambda p: p["quality_flags"])))
+    flags = F.array_distinct(F.flatten("inputs.quality_flags"))
     by_time = F.transform(F.sort_array(F.transform("inputs", lambda p: F.struct(p["timestamp_ms"].alias("t"), p["seq"].alias("s"), p["source_index"].alias("i"), p["raw_order"].alias("o"), p.alias("p")))), lambda s: s["p"])
     return (
         found.withColumn("space", space)
-        .withColumn("pts", F.when(F.col("_untimed"), F.col("inputs")).otherwise(by_time))
+        .withColumn("pts", F.when(F.col("_untimed") | ~F.col("_unsorted"), F.col("inputs")).otherwise(by_time))
         .withColumn("_flags", flags)
         .select(
             "session_id",
@@ -96,16 +102,16 @@ def _built(rows: DataFrame) -> DataFrame:
             "start_time_ms",
             "end_time_ms",
             (F.col("end_time_ms") - F.col("start_time_ms")).alias("duration_ms"),
-            F.transform("inputs", lambda p: p["point_id"]).alias("point_refs"),
-            F.transform("pts", lambda p: p["point_id"]).alias("processed_order"),
+            F.col("inputs.point_id").alias("point_refs"),
+            F.col("pts.point_id").alias("processed_order"),
             F.col("space").alias("bbox_space"),
             F.struct(side("min_x").alias("x"), side("min_y").alias("y"), (side("max_x") - side("min_x")).alias("width"), (side("max_y") - side("min_y")).alias("height")).alias("bbox"),
             F.when(F.col("n_points") == 1, F.when(F.col("_has_norm"), 0.0)).otherwise(F.col("_norm_length")).alias("path_length_norm"),
-            F.array_compact(F.array(F.when(F.arrays_overlap("_flags", F.array(*map(F.lit, _INCOMPLETE))), "INCOMPLETE"), F.when(F.arrays_overlap("_flags", F.array(*map(F.lit, _PARTIAL))), "PARTIAL_DATA"))).alias("quality_flags"),
+            named(F.when(F.arrays_overlap("_flags", F.array(*map(F.lit, _INCOMPLETE))), "INCOMPLETE"), F.when(F.arrays_overlap("_flags", F.array(*map(F.lit, _PARTIAL))), "PARTIAL_DATA")).alias("quality_flags"),
             F.lit(VERSION).alias("algorithm_version"),
-            F.array_distinct(F.flatten(F.transform("pts", lambda p: p["found"]["quality_flags"]))).alias("point_flags"),
-            F.transform("pts", lambda p: F.when(p["found"]["x_norm"].isNotNull() & p["found"]["y_norm"].isNotNull(), F.struct(p["found"]["x_norm"].alias("x"), p["found"]["y_norm"].alias("y")))).alias("norm_points"),
-            F.transform("pts", lambda p: F.when(p["found"]["x_raw"].isNotNull() & p["found"]["y_raw"].isNotNull(), F.struct(p["found"]["x_raw"].alias("x"), p["found"]["y_raw"].alias("y")))).alias("raw_points"),
-            F.transform("pts", lambda p: p["found"]["timestamp_ms"]).alias("times"),
+            F.array_distinct(F.flatten("pts.found.quality_flags")).alias("point_flags"),
+            F.col("pts.found.norm").alias("norm_points"),
+            F.col("pts.found.raw").alias("raw_points"),
+            F.col("pts.found.timestamp_ms").alias("times"),
         )
     )

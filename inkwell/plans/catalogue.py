@@ -29,12 +29,13 @@ def _strokes(spark, sf):
     return strokes.build_strokes(store.keeper(spark, "points")(_points(spark, sf), "points"), pen.STROKES)
 
 
-def _run(spark, sf, keep_events: bool = True) -> pipeline.Run:
-    return pipeline.run(pen.pen_points(spark, sf), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS, keep_events=keep_events)
+def _run(spark, sf, keep_events: bool = True, one_pass: bool = False) -> pipeline.Run:
+    return pipeline.run(pen.pen_points(spark, sf), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS, keep_events=keep_events, one_pass=one_pass)
 
 
 def _lazy_run(spark, sf) -> pipeline.Run:
-    return _run(spark, sf, keep_events=False)
+    """A run of which one table is read once."""
+    return _run(spark, sf, keep_events=False, one_pass=True)
 
 
 def _splits(points: DataFrame) -> DataFrame:
@@ -43,11 +44,12 @@ def _splits(points: DataFrame) -> DataFrame:
 
 def _episodes(spark, sf):
     """Episodes with the split of their participant, written, since most queries read them several times."""
-    return store.keeper(spark, "episodes")(_episodes_of(_lazy_run(spark, sf)), "episodes")
+    return store.keeper(spark, "episodes")(_episodes_of(_lazy_run(spark, sf), pen.pen_points(spark, sf)), "episodes")
 
 
-def _episodes_of(r: pipeline.Run) -> DataFrame:
-    return features.episodes(r.mappings, pen.FEATURES, _splits(r.points))
+def _episodes_of(r: pipeline.Run, points: DataFrame) -> DataFrame:
+    """points: the run's, or its records, whichever are cheaper to read. A participant has no more mappings than points."""
+    return features.episodes(r.mappings, pen.FEATURES, _splits(points), points)
 
 
 def _cases(spark, sf):
@@ -120,6 +122,11 @@ def _with_run(f):
     return lambda spark, sf: f(_run(spark, sf))
 
 
+def _with_events(f):
+    """For queries that read the run's events several times, and no other table of it."""
+    return lambda spark, sf: f(_run(spark, sf, one_pass=True))
+
+
 def _with_lazy_run(f):
     return lambda spark, sf: f(_lazy_run(spark, sf))
 
@@ -200,8 +207,8 @@ def _split_audit(spark, sf):
 def _stored(spark, sf):
     """The run's tables written as a dataset, verified, and read again: rows of each."""
     folder = store.scratch_dir(spark, "dataset")
-    r = _lazy_run(spark, sf)  # each table is read once, when it is written
-    tables = {"points": r.points, "mappings": r.mappings.drop("norm_points", "raw_points"), "events": r.events, "episodes": _episodes_of(r)}
+    r = _run(spark, sf, keep_events=False)  # each table is read once, when it is written
+    tables = {"points": r.points, "mappings": r.mappings.drop("norm_points", "raw_points"), "events": r.events, "episodes": _episodes_of(r, r.points)}
     store.write_dataset(tables, folder)
     found = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in store.read_dataset(spark, folder, list(tables)).items()]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
@@ -389,11 +396,11 @@ def queries() -> dict:
         "trace_errors": _with_run(lambda r: r.traces.where("error IS NOT NULL").groupBy("session_id", "event_type", "error").agg(F.count("*").alias("n"))),
         "run_status": _with_run(_status),
         "wire_events": _with_lazy_run(lambda r: _wired(r).withColumns({c: _joined(c) for c in ("point_refs", "stroke_refs")})),
-        "wire_violations": _with_run(lambda r: wire.violations(_broken_wire(r))),
+        "wire_violations": _with_events(lambda r: wire.violations(_broken_wire(r))),
         "wire_batches": _with_lazy_run(lambda r: wire.batches(_wired(r), "v1").withColumn("event_ids", F.array_join(F.transform("events", lambda e: e["event_id"]), ",")).drop("events")),
         "wire_unresolved_refs": _with_run(lambda r: wire.unresolved(_wired(r), r.points.where(KNOWN), r.strokes.where(F.col("stroke_index") % 10 != 3)).withColumns({c: _joined(c) for c in ("missing_points", "missing_strokes")})),
-        "review_template": _with_run(_reviewed),
-        "review_summary": _with_run(lambda r: trace.review_summary(_reviewed(r))),
+        "review_template": _with_events(_reviewed),
+        "review_summary": _with_events(lambda r: trace.review_summary(_reviewed(r))),
         "group_split": _split,
         "nation_splits": _nation_splits,
         "seed_derivation": _seeds,
@@ -428,7 +435,7 @@ def queries() -> dict:
         "case_lines": _case_lines,
         "guarded_fields": _guarded,
         "quarantined_lines": _quarantined,
-        "event_violations": _with_run(_broken_events),
+        "event_violations": _with_events(_broken_events),
         "stroke_violations": _broken_strokes,
         "region_violations": _broken_regions,
         "wire_export": _with_run(_exported),

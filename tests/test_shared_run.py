@@ -65,3 +65,40 @@ def test_strokes_and_mappings_are_one_table(spark, tables, monkeypatch):  # noqa
     monkeypatch.setattr(mapping, "FEW", 0)
     two = again()
     assert two.strokes.inputFiles() != two.mappings.inputFiles() and rows_of(two.mappings) == rows_of(mapped)
+
+
+def test_one_table_of_short_sessions_is_made_without_writing(spark, tables, monkeypatch):  # noqa: F811
+    _, _, mapped, made = tables
+    written = []
+
+    def again(**how):
+        written.clear()
+        return pipeline.run(pen.pen_points(spark, SF), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS, keep=lambda df, name: written.append(name) or df, **how)
+
+    one = again(one_pass=True)
+    assert written == [] and rows_of(one.events) == rows_of(made) and rows_of(one.mappings) == rows_of(mapped)
+    # A session's points are shuffled once, and all that follows is made where they lie.
+    assert one.events._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(session_id") == 1
+    again()
+    assert written == ["points", "mappings"]
+    monkeypatch.setattr(events, "SHORT", 5)
+    again(one_pass=True)
+    assert "mappings" in written and "points" not in written
+    monkeypatch.setattr(pipeline.scan, "PIECE_ROWS", 5)
+    again(one_pass=True)
+    assert "points" in written and "mappings" in written
+
+
+def test_rectangles_are_clipped_without_their_sides(spark):
+    rnd = random.Random(5)
+    lines = []
+    for k in range(400):
+        at = (lambda: rnd.randrange(-1, 6) / 4) if k % 2 else (lambda: rnd.uniform(-0.25, 1.25))
+        lines.append((k % 2, CONVEX[k % 2], [(at(), at()) for _ in range(1 + k % 4)]))
+    df = spark.createDataFrame(lines, KIND).withColumns({"line": geometry.line(F.col("p")), "shape": geometry.shape(F.col("v"))})
+    by_sides = F.col("shape").withField("rect", F.lit(None).cast("struct<left: double, top: double, right: double, bottom: double>"))
+    rows = df.select("p", F.col("shape.rect").alias("rect"), geometry.shape_coverage(F.col("line"), F.col("shape")).alias("a"), geometry.shape_coverage(F.col("line"), by_sides).alias("b")).collect()
+    assert all(tuple(r["rect"]) == (0.0, 0.0, 1.0, 0.5) for r in rows)
+    assert [r["p"] for r in rows if r["a"]["method"] != r["b"]["method"] or abs(r["a"]["share"] - r["b"]["share"]) > 1e-12] == []
+    triangle = spark.createDataFrame([(0, CONVEX[2], []), (1, CONVEX[5], [])], KIND)
+    assert triangle.where(geometry.shape(F.col("v"))["rect"].isNotNull()).count() == 0
