@@ -17,9 +17,29 @@ def named(*flags: Column) -> Column:
     return F.array_remove(F.array(*[F.coalesce(f, F.lit("")) for f in flags]), "")
 
 
+def numbered(prefix: str | Column, number: Column) -> Column:
+    """The prefix and the number, which isn't negative, with four digits at least; format_string is several times as slow."""
+    text = number.cast("string")
+    return F.concat(F.lit(prefix) if isinstance(prefix, str) else prefix, F.when(number < 10_000, F.lpad(text, 4, "0")).otherwise(text))
+
+
+def some(points: Column) -> Column:
+    """Whether any point is known; compiled, unlike lambdas."""
+    return F.array_max(points).isNotNull()
+
+
+def complete(points: Column) -> Column:
+    """Whether all points, or all numbers, are known. Lists of one, as most strokes have, need no lambda."""
+    return F.when(F.size(points) == 1, F.get(points, F.lit(0)).isNotNull()).otherwise(F.forall(points, lambda p: p.isNotNull()))
+
+
 def extent(points: Column, names: tuple[str, str, str, str] = ("left", "top", "right", "bottom")) -> Column:
     """The box of the known points; its sides are null if there is none."""
-    return F.struct(*[f(points[k]).alias(n) for n, f, k in zip(names, (F.array_min, F.array_min, F.array_max, F.array_max), "xyxy", strict=True)])
+    return F.struct(*[side.alias(n) for n, side in zip(names, extent_sides(points), strict=True)])
+
+
+def extent_sides(points: Column) -> list[Column]:
+    return [f(points[k]) for f, k in zip((F.array_min, F.array_min, F.array_max, F.array_max), "xyxy", strict=True)]
 
 
 def edges(polygon: Column) -> Column:
@@ -162,6 +182,14 @@ def line(points: Column) -> Column:
     return let(pairs, lambda s: F.struct(points.alias("points"), extent(points).alias("box"), s.alias("pairs"), total(s, lambda x: x).alias("length"), total(s, some).alias("measured")))
 
 
+def point_inside(x: Column, y: Column, s: Column) -> Column:
+    """Whether the point is in a polygon's shape; not true where it is unknown. All that a rectangle's box holds is inside."""
+    rect = s["rect"]
+    held = F.coalesce((x >= rect["left"]) & (x <= rect["right"]) & (y >= rect["top"]) & (y <= rect["bottom"]), F.lit(False))
+    flat = F.coalesce(F.forall(s["planes"], lambda f: f["x"] * x + f["y"] * y + f["c"] > NEAR), F.lit(False))
+    return held | flat | contains(x, y, s["sides"])
+
+
 def shape_coverage(line: Column, s: Column) -> Column:
     """coverage of a line by a polygon's shape."""
     sides, box, flat, rect, own = s["sides"], s["box"], s["planes"], s["rect"], line["box"]
@@ -171,9 +199,8 @@ def shape_coverage(line: Column, s: Column) -> Column:
         cut = cut.when(x["length"] > TINY, F.when(rect.isNotNull(), rectangle_share(x["a"], x["b"], rect)).otherwise(convex_share(x["a"], x["b"], flat)) * x["length"])
         return F.when(apart(x["a"], x["b"], box), 0.0).otherwise(cut.otherwise(0.0))
 
-    within = lambda p: F.coalesce(F.forall(flat, lambda f: beyond(p, f) > NEAR), F.lit(False)) | contains(p["x"], p["y"], sides)
     known = F.filter(line["points"], lambda p: p.isNotNull())
-    share = F.size(F.filter(known, within)) / F.greatest(F.size(known), F.lit(1))
+    share = F.size(F.filter(known, lambda p: point_inside(p["x"], p["y"], s))) / F.greatest(F.size(known), F.lit(1))
     # All of a line whose box a rectangle holds is inside.
     held = (own["left"] >= rect["left"]) & (own["right"] <= rect["right"]) & (own["top"] >= rect["top"]) & (own["bottom"] <= rect["bottom"])
     inside = F.when(held, line["measured"]).otherwise(F.aggregate(line["pairs"], F.lit(0.0), lambda acc, x: acc + part(x)))

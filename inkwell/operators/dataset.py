@@ -50,7 +50,7 @@ def assign_splits(groups: DataFrame, seed: int, ratios=RATIOS, within: tuple[str
     The order is global, so places are counted per hash prefix first and a window sees the rows of one prefix only.
     """
     keys = list(within)
-    rows = groups.select(*keys, "group_id").distinct().withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), "group_id"), 256)).withColumn("_p", F.substring("_h", 1, 3))
+    rows = groups.select(*keys, "group_id").distinct().withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), "group_id"), 256)).withColumn("_p", F.coalesce(F.substring("_h", 1, 3), F.lit("")))  # never null, so no row of groups is hashed to find that out
     counts = rows.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
     # 4096 prefixes at most for each value of within.
     own = Window.partitionBy(*(keys or [F.lit(0)]))

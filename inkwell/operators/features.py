@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import FeatureConfig
-from inkwell.functions.geometry import extent, overlap
+from inkwell.functions.geometry import complete, extent, overlap
 from inkwell.operators.scan import PIECE_ROWS, by_length, quantiles
 from inkwell.sources import store
 
@@ -20,17 +20,18 @@ def episodes(mappings: DataFrame, config: FeatureConfig | None = None, splits: D
     (participant_id, split): episodes then have the split of their participant, and those of no known participant are left out.
     counted: what has as many rows of each participant, or more, and is cheaper to read than mappings."""
     c = config or FeatureConfig()
-    by_time = (F.col("start_time_ms").isNull(), F.coalesce("start_time_ms", F.lit(0)), F.col("stroke_id"))
+    # Columns, not expressions: Spark sorts anew for each expression, though it be the same.
+    by_time = ("_untimed", "_start", "stroke_id")
     case = Window.partitionBy("session_id").orderBy(*by_time)
     before = case.rowsBetween(Window.unboundedPreceding, -1)
     n = F.size("norm_points")
-    whole = F.forall("norm_points", lambda p: p.isNotNull())
+    whole = complete(F.col("norm_points"))
     steps = F.zip_with(F.slice("norm_points", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("norm_points", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
-    path = F.when(whole & (n > 0), F.aggregate(steps, F.lit(0.0), lambda s, x: s + x))
+    path = F.when(whole & (n > 0), F.when(n == 1, 0.0).otherwise(F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)))
     gaps = F.zip_with(F.slice("times", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("times", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.greatest(F.lit(0), b - a - c.inside_pause_threshold_ms))
     inside = F.when((n >= 2) & F.forall("times", lambda t: t.isNotNull()), F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x) / 1000.0)
     box = F.when(whole & (n > 0), extent(F.col("norm_points")))
-    rows = mappings.withColumns({"path_length_norm": path, "pause_inside_s": inside, "_box": box, "is_mapped": F.col("status") == "MAPPED"})
+    rows = mappings.withColumns({"path_length_norm": path, "pause_inside_s": inside, "_box": box, "is_mapped": F.col("status") == "MAPPED", "_untimed": F.col("start_time_ms").isNull(), "_start": F.coalesce("start_time_ms", F.lit(0))})
     rows = rows.withColumn("_flags", F.sort_array(F.array_distinct(F.concat("quality_flags", "stroke_flags", "point_flags"))))
     rows = rows.withColumns({"_end": F.last("end_time_ms", ignorenulls=True).over(before), "_index": F.row_number().over(case) - 1})
     # Participants that a task holds stand together, and so their splits come to them.
@@ -39,7 +40,7 @@ def episodes(mappings: DataFrame, config: FeatureConfig | None = None, splits: D
     return by_length(rows, "participant_id", PIECE_ROWS, made, made, mappings if counted is None else counted)
 
 
-def _with_features(rows: DataFrame, by_time: tuple[Column, ...]) -> DataFrame:
+def _with_features(rows: DataFrame, by_time: tuple[str, ...]) -> DataFrame:
     history = Window.partitionBy("participant_id", "task_segment_id", "is_mapped").orderBy("session_id", *by_time)
     question = Window.partitionBy("participant_id", "task_segment_id", "is_mapped", "question_id").orderBy("session_id", *by_time)
     ink = Window.partitionBy("participant_id", "task_segment_id", "is_mapped", "question_id", "page_id").orderBy("session_id", *by_time).rowsBetween(Window.unboundedPreceding, -1)

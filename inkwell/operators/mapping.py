@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.config import MappingConfig
-from inkwell.functions.geometry import NEAR, TINY, extent, let, line, named, shape, shape_coverage
+from inkwell.functions.geometry import NEAR, TINY, complete, extent, extent_sides, let, line, named, point_inside, shape, shape_coverage, some
 
 
 #: Cells of a page's grid on each side at most.
@@ -27,14 +27,9 @@ def _space() -> Column:
     return F.when(F.col("coordinate_space") == "norm", "norm").otherwise("raw").alias("_space")
 
 
-def _any_in(regions: str, norm: bool) -> Column:
-    """Whether one of the regions is in normalised coordinates, or in raw ones."""
-    return F.exists(regions, lambda r: F.coalesce(r["coordinate_space"] == "norm", F.lit(False)) == norm)
-
-
 def _extent(points: Column) -> Column:
     """The box of the known points; null if there is none."""
-    return F.when(F.exists(points, lambda p: p.isNotNull()), extent(points, _BOX))
+    return F.when(some(points), extent(points, _BOX))
 
 
 def _grid(regions: DataFrame) -> DataFrame:
@@ -63,23 +58,38 @@ def _wider() -> Column:
 
 
 def _region() -> Column:
-    return F.struct("region_id", "question_id", "priority", "coordinate_space", F.when(F.size("polygon") > 0, shape(F.col("polygon"))).alias("shape"))
+    """What strokes need of a region. Its box stands apart, so that it's compared without looking into the shape."""
+    norm = F.coalesce(F.col("coordinate_space") == "norm", F.lit(False)).alias("norm")
+    made = F.when(F.size("polygon") > 0, shape(F.col("polygon")))
+    return let(made, lambda s: F.struct("region_id", "question_id", "priority", norm, s.alias("shape"), *[s["box"][k].alias(k) for k in _BOX]))
 
 
-def _meet(a: Column, b: Column) -> Column:
+def _meet(a: Column | dict[str, Column], b: Column) -> Column:
     return (a["left"] <= b["right"]) & (b["left"] <= a["right"]) & (a["top"] <= b["bottom"]) & (b["top"] <= a["bottom"])
 
 
+def _pages(regions: DataFrame, *also: Column) -> DataFrame:
+    """page_id, whether it has regions that see normalised or raw coordinates, or are measured in these, and what is also wanted."""
+    norm = F.col("coordinate_space") == "norm"
+    known = F.coalesce(norm, F.lit(False))
+    return regions.groupBy("page_id").agg(F.bool_or(norm).alias("_sees_norm"), F.bool_or(~norm).alias("_sees_raw"), F.bool_or(known).alias("_in_norm"), F.bool_or(~known).alias("_in_raw"), *also)
+
+
 def _listed(strokes: DataFrame, regions: DataFrame) -> DataFrame:
-    """strokes with regions, by lists of the pages' regions."""
-    lists = regions.select("page_id", _region().alias("_r")).groupBy("page_id").agg(F.collect_list("_r").alias("_there"))
-    boxes = F.struct(*[F.when(_any_in("_there", norm), _extent(F.col(f"{n}_points"))).alias(n) for n, norm in (("norm", True), ("raw", False))])
+    """strokes with regions, by lists of the pages' regions, and what _pages says of their page."""
+    lists = _pages(regions.withColumn("_r", _region()), F.collect_list("_r").alias("_there"))
+    near = F.filter("_there", lambda r: F.when(r["norm"], _meet(_own_box("norm"), r)).otherwise(_meet(_own_box("raw"), r)))
+    rows = _boxed(strokes.join(F.broadcast(lists), "page_id", "left"))
+    return rows.withColumn("regions", F.when(~F.array_contains("quality_flags", "PARTIAL_DATA"), near)).drop("_there")
 
-    def near(b: Column) -> Column:
-        return F.filter("_there", lambda r: F.when(r["coordinate_space"] == "norm", _meet(b["norm"], r["shape"]["box"])).otherwise(_meet(b["raw"], r["shape"]["box"])))
 
-    found = F.when(~F.array_contains("quality_flags", "PARTIAL_DATA"), let(boxes, near))
-    return strokes.join(F.broadcast(lists), "page_id", "left").withColumn("regions", found).drop("_there")
+def _boxed(rows: DataFrame) -> DataFrame:
+    """Strokes with their boxes in the spaces in which their page has regions, as plain columns."""
+    return rows.withColumns({f"_{n}_{k}": F.when(F.col(f"_in_{n}"), b) for n in ("norm", "raw") for k, b in zip(_BOX, extent_sides(F.col(f"{n}_points")), strict=True)})
+
+
+def _own_box(n: str) -> dict[str, Column]:
+    return {k: F.col(f"_{n}_{k}") for k in _BOX}
 
 
 def near_regions(strokes: DataFrame, regions: DataFrame) -> DataFrame:
@@ -108,26 +118,30 @@ def listed(regions: DataFrame) -> bool:
 def candidates(strokes: DataFrame, regions: DataFrame, config: MappingConfig, few: bool | None = None) -> DataFrame:
     """strokes with best (array of candidates, best first) and seen: whether a region of the page saw a coordinate. few: what listed says.
     If it isn't so, strokes are read twice, and it is best if they are a written table."""
-    norm = F.col("coordinate_space") == "norm"
-    pages = regions.groupBy("page_id").agg(F.bool_or(norm).alias("_sees_norm"), F.bool_or(~norm).alias("_sees_raw"))
 
     def measured(lines, r):
-        c = let(F.when(r["coordinate_space"] == "norm", lines["norm"]).otherwise(lines["raw"]), lambda x: shape_coverage(x, r["shape"]))
-        return F.struct(c.alias("c"), r["priority"].alias("priority"), r["region_id"].alias("region_id"), r["question_id"].alias("question_id"))
+        c = let(F.when(r["norm"], lines["norm"]).otherwise(lines["raw"]), lambda x: shape_coverage(x, r["shape"]))
+        return let(c, lambda x: as_best(x["share"], r, x["method"]))
+
+    def as_best(share, r, method):
+        return F.struct(share.alias("coverage"), r["priority"].alias("priority"), r["region_id"].alias("region_id"), r["question_id"].alias("question_id"), method.alias("method"))
+
+    def measured_point(r):
+        # A point is the corner of its own box.
+        inside = [point_inside(F.col(f"_{n}_left"), F.col(f"_{n}_top"), r["shape"]) for n in ("norm", "raw")]
+        return as_best(F.when(F.when(r["norm"], inside[0]).otherwise(inside[1]), 1.0).otherwise(0.0), r, F.lit("POINT_FALLBACK"))
 
     unusable = F.array_contains("quality_flags", "PARTIAL_DATA") | F.col("page_id").isNull()
     few = listed(regions) if few is None else few
-    rows = _listed(strokes, regions) if few else strokes.join(near_regions(strokes, regions), ["session_id", "stroke_index"], "left")
-    rows = rows.join(F.broadcast(pages) if few else pages, "page_id", "left")
-    # A stroke's lines are made once for all its regions.
-    in_space = lambda n, norm: F.when(_any_in("regions", norm), line(F.col(f"{n}_points"))).alias(n)
-    every = let(F.struct(in_space("norm", True), in_space("raw", False)), lambda lines: F.transform("regions", lambda r: measured(lines, r)))
+    rows = _listed(strokes, regions) if few else _boxed(strokes.join(near_regions(strokes, regions), ["session_id", "stroke_index"], "left").join(_pages(regions), "page_id", "left"))
+    # A stroke's lines are made once for all its regions; strokes of one point have none.
+    in_space = lambda n: F.when(F.col(f"_in_{n}"), line(F.col(f"{n}_points"))).alias(n)
+    every = let(F.struct(in_space("norm"), in_space("raw")), lambda lines: F.transform("regions", lambda r: measured(lines, r)))
+    every = F.when(F.size("norm_points") == 1, F.transform("regions", measured_point)).otherwise(every)
     rows = rows.withColumn("_all", F.when(F.size("regions") > 0, every).otherwise(F.array())).drop("regions")
-    good = F.filter("_all", lambda m: m["c"]["share"] >= config.min_coverage)
-    best = F.sort_array(F.transform(good, lambda m: F.struct(m["c"]["share"].alias("coverage"), m["priority"], m["region_id"], m["question_id"], m["c"]["method"].alias("method"))), asc=False)
-    some = lambda points: F.exists(points, lambda p: p.isNotNull())
-    seen = F.coalesce((F.col("_sees_norm") & some("norm_points")) | (F.col("_sees_raw") & some("raw_points")), F.lit(False))
-    return rows.withColumn("best", best).withColumn("seen", seen).withColumn("unusable", unusable).drop("_all", "_sees_norm", "_sees_raw")
+    best = F.sort_array(F.filter("_all", lambda m: m["coverage"] >= config.min_coverage), asc=False)
+    seen = F.coalesce((F.col("_sees_norm") & some(F.col("norm_points"))) | (F.col("_sees_raw") & some(F.col("raw_points"))), F.lit(False))
+    return rows.withColumn("best", best).withColumn("seen", seen).withColumn("unusable", unusable).drop("_all", "_sees_norm", "_sees_raw", "_in_norm", "_in_raw", *[f"_{n}_{k}" for n in ("norm", "raw") for k in _BOX])
 
 
 def map_strokes(strokes: DataFrame, regions: DataFrame, config: MappingConfig | None = None, also: Sequence[str] = (), few: bool | None = None) -> DataFrame:
@@ -173,7 +187,7 @@ def writing_evidence():
 
 def ink_box():
     """Box of all points in normalised, else raw coordinates, with its space and domain; null if neither is complete."""
-    whole = lambda p: (F.size(p) > 0) & F.forall(p, lambda x: x.isNotNull())
+    whole = lambda p: (F.size(p) > 0) & complete(p)
     domain = F.coalesce(F.concat(F.lit("device:"), F.col("device_id")), F.lit("unknown"))
     made = lambda p, space, where: F.struct(extent(p).alias("box"), F.lit(space).alias("space"), where.alias("domain"))
     return F.when(whole(F.col("norm_points")), made(F.col("norm_points"), "norm", F.lit("norm"))).when(whole(F.col("raw_points")), made(F.col("raw_points"), "raw", domain))

@@ -30,12 +30,12 @@ def _nested(df: DataFrame, name: str, kind: str) -> Column:
     return own
 
 
-def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS, known: int | None = None) -> DataFrame:
+def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS, known: int | None = None, placed: bool = False) -> DataFrame:
     """records with raw_order, the place in a session's input. Flags are in a fixed order. Sessions of more than piece_rows
     points are scanned in pieces of so many places, so none has to fit a task.
 
     Out of order: behind the last known sequence or time of the same session and page. Duplicate: the id occurs twice in a session.
-    known: so many points that no session has more. An empty page counts as missing, though it stays a page of its own. source_index is the input's, if that is a number from 0 on.
+    known, placed: as in scan.by_length. An empty page counts as missing, though it stays a page of its own. source_index is the input's, if that is a number from 0 on.
     """
     d = records
     x = F.coalesce(finite(_nested(d, "x_raw", "double")), finite(_nested(d, "x", "double")))
@@ -46,9 +46,10 @@ def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS, known: int |
     pen = F.coalesce(_or_null(d, "pen_state_raw", "string"), _or_null(d, "pen_state", "string"))
     rows = d.select(
         F.when(F.coalesce(F.length("point_id"), F.lit(0)) == 0, F.raise_error(F.lit("point_id is missing"))).otherwise(F.col("point_id")).alias("point_id"),
-        F.when(F.coalesce(F.length("session_id"), F.lit(0)) == 0, F.raise_error(F.lit("session_id is missing"))).otherwise(F.col("session_id")).alias("session_id"),
+        "session_id",
         *[_or_null(d, c, "string").alias(c) for c in ("participant_id", "task_segment_id", "device_id", "page_id")],
-        F.col("raw_order").cast("long").alias("raw_order"),
+        # All that follows reads raw_order; session_id stays the column by which records may stand together.
+        F.when(F.coalesce(F.length("session_id"), F.lit(0)) == 0, F.raise_error(F.lit("session_id is missing")).cast("long")).otherwise(F.col("raw_order").cast("long")).alias("raw_order"),
         finite(F.col("sequence").cast("double")).alias("sequence_payload"),
         F.when(t == F.floor(t), t.cast("long")).alias("timestamp_ms"),
         x.alias("x_raw"),
@@ -61,10 +62,11 @@ def parse_points(records: DataFrame, piece_rows: int = PIECE_ROWS, known: int |
     page = F.coalesce(F.concat(F.lit("p"), "page_id"), F.lit("none"))
     rows = rows.withColumns({"_page": page, "_at": F.coalesce("raw_order", F.lit(0))})
     seen = (("session_id", "_page"), ("_at",)), {"last": {"_seq": F.col("sequence_payload"), "_time": F.col("timestamp_ms")}}
-    copies = F.count("*").over(Window.partitionBy("session_id", "point_id"))
+    # In the order in which strokes look ids up, so rows are sorted once for both.
+    copies = F.count("*").over(Window.partitionBy("session_id", "point_id").orderBy("raw_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = by_length(
         rows, "session_id", piece_rows, lambda r: whole(r, *seen[0], **seen[1]).withColumn("_copies", copies),
-        lambda r: scan(r.withColumn("_piece", by_number(F.col("_at"), piece_rows)), *seen[0], **seen[1]).drop("_piece").withColumn("_copies", copies), d, known,
+        lambda r: scan(r.withColumn("_piece", by_number(F.col("_at"), piece_rows)), *seen[0], **seen[1]).drop("_piece").withColumn("_copies", copies), d, known, placed,
     )
     integer = F.col("sequence_payload") == F.floor("sequence_payload")
     bad_norm = (F.col("_xn").isNull() != F.col("_yn").isNull()) | ~F.col("_xn").between(0, 1) | ~F.col("_yn").between(0, 1)

@@ -111,6 +111,12 @@ def longest(rows: DataFrame, key: str) -> int:
     return rows.groupBy(key).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
 
 
+def together(rows: DataFrame, key: str) -> DataFrame:
+    """rows shuffled by key. The number of parts is stated, since adaptive execution would else make about as many as there are cores: what
+    follows costs far more than its bytes tell, and where there are a few parts more than cores, most cores wait for the last."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def by_length(
     rows: DataFrame, key: str, most: int, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame], counted: DataFrame | None = None,
     known: int | None = None, placed: bool = False,
@@ -120,13 +126,13 @@ def by_length(
     is cheaper to read. known: so many rows that no key has more, if that is known; where it isn't more than most, nothing is looked up.
     placed: whether the rows come from an operator that has put them together by key; they aren't shuffled again then.
     """
-    together = lambda r: r if placed else r.repartition(key)
+    stand = lambda r: r if placed else together(r, key)
     if known is not None and known <= most:
-        return short(together(rows))
+        return short(stand(rows))
     several = longer(rows if counted is None else counted, key, most)
     if several.isEmpty():
-        return short(together(rows))
-    return short(together(rows.join(several, key, "left_anti"))).unionByName(long(rows.join(several, key, "left_semi")))
+        return short(stand(rows))
+    return short(stand(rows.join(several, key, "left_anti"))).unionByName(long(rows.join(several, key, "left_semi")))
 
 
 def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

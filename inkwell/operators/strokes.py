@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import StrokeConfig
-from inkwell.functions.geometry import named
+from inkwell.functions.geometry import named, numbered
 from inkwell.operators.scan import PIECE_ROWS, by_length, by_number, scan, whole
 
 #: Version of the stroke rules that every stroke carries.
@@ -25,12 +25,12 @@ def with_stroke_index(points: DataFrame, config: StrokeConfig | None = None, pie
     large (unknown ones aren't), or where the pen comes down after it was up. Who wrote the point before doesn't matter, so the
     scan is over a session, in pieces of piece_rows places if it has more points than that.
     """
-    return by_length(points, "session_id", piece_rows, *_indexed(config, piece_rows)).drop("_back")
+    return by_length(points, "session_id", piece_rows, *_indexed(config, piece_rows)).drop("_back", "_starts")
 
 
 def _indexed(config: StrokeConfig | None, piece_rows: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
-    """Functions that number the strokes of sessions that a task holds, and of others. _back: whether a point's place by time is before
-    that of the point before it in its stroke."""
+    """Functions that number the strokes of sessions that a task holds, and of others. _starts: whether a point is its stroke's first. _back:
+    whether its place by time is before that of the point before it in its stroke."""
     c = config or StrokeConfig()
     in_pieces = lambda r: r.withColumn("_piece", by_number(F.col("raw_order"), piece_rows))
     return lambda r: _with_index(r, c, whole), lambda r: _with_index(in_pieces(r), c, scan).drop("_piece")
@@ -51,40 +51,53 @@ def _with_index(rows: DataFrame, c: StrokeConfig, scan: Callable[..., DataFrame]
     rows = rows.withColumn("_starts", starts).withColumn("norm_step", F.when(~F.col("_starts"), step)).withColumn("raw_step", F.when(~F.col("_starts"), raw))
     place = lambda mark: F.struct(f"{mark}timestamp_ms", F.coalesce(f"{mark}sequence_payload", F.lit(float("inf"))), f"{mark}source_index", f"{mark}raw_order")
     rows = rows.withColumn("_back", ~F.col("_starts") & (place("") < place("_"))).drop(*[f"_{k}" for k in before])
-    return scan(rows, ("session_id",), ("raw_order",), total={"stroke_index": F.col("_starts").cast("long")}).drop("_starts")
+    return scan(rows, ("session_id",), ("raw_order",), total={"stroke_index": F.col("_starts").cast("long")})
 
 
 def build_strokes(points: DataFrame, config: StrokeConfig | None = None, piece_rows: int = PIECE_ROWS, known: int | None = None, placed: bool = False) -> DataFrame:
     """A row per stroke, with its points' coordinates and times in processed order for the operators that follow. known, placed: as in
     scan.by_length."""
     short, long = _indexed(config, piece_rows)
-    return by_length(points, "session_id", piece_rows, lambda r: _built(short(r)), lambda r: _built(long(r)), known=known, placed=placed)
+    return by_length(points, "session_id", piece_rows, lambda r: _built(short(_looked_up(r))), lambda r: _built(long(_looked_up(r))), known=known, placed=placed)
+
+
+def _known() -> Column:
+    """What operators that look points up by id get."""
+    side = lambda s: F.when(F.col(f"x_{s}").isNotNull() & F.col(f"y_{s}").isNotNull(), F.struct(F.col(f"x_{s}").alias("x"), F.col(f"y_{s}").alias("y"))).alias(s)
+    return F.struct(side("norm"), side("raw"), "timestamp_ms", "quality_flags")
+
+
+def _looked_up(rows: DataFrame) -> DataFrame:
+    """rows with _other: of points of one id, what the last of them says; null where a point is alone."""
+    same_id = Window.partitionBy("session_id", "point_id").orderBy("raw_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_last": F.last(_known()).over(same_id), "_same": F.count("*").over(same_id)})
+    # raw_order stays as it is. That it names this window keeps Spark from sorting by it first, and then by id and by it again.
+    there = {"_other": F.when(F.col("_same") > 1, F.col("_last")), "raw_order": F.when(F.col("_same") > 0, F.col("raw_order"))}
+    return rows.withColumns(there).drop("_last", "_same")
 
 
 def _built(rows: DataFrame) -> DataFrame:
+    """A row for each stroke, in the place of its first point: a window over a stroke's points needs no second table of groups."""
     usable_norm, usable_raw = F.col("x_norm").isNotNull() & F.col("y_norm").isNotNull(), F.col("x_raw").isNotNull() & F.col("y_raw").isNotNull()
     usable = usable_norm | usable_raw
-    known = lambda s: F.when(F.col(f"x_{s}").isNotNull() & F.col(f"y_{s}").isNotNull(), F.struct(F.col(f"x_{s}").alias("x"), F.col(f"y_{s}").alias("y"))).alias(s)
-    # Operators that look points up by id get the last of several with the same one.
-    same_id = Window.partitionBy("session_id", "point_id").orderBy("raw_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_found", F.last(F.struct(known("norm"), known("raw"), "timestamp_ms", "quality_flags")).over(same_id))
-    point = F.struct("raw_order", "timestamp_ms", F.coalesce("sequence_payload", F.lit(float("inf"))).alias("seq"), "source_index", "point_id", F.col("_found").alias("found"), "quality_flags")
+    point = F.struct("raw_order", "timestamp_ms", F.coalesce("sequence_payload", F.lit(float("inf"))).alias("seq"), "source_index", "point_id", F.coalesce("_other", _known()).alias("found"), "quality_flags")
     box = {f"{f}_{c}": getattr(F, f)(F.when(usable_norm if c.endswith("norm") else usable_raw, F.col(c))) for f in ("min", "max") for c in ("x_norm", "y_norm", "x_raw", "y_raw")}
-    found = rows.groupBy("session_id", "stroke_index").agg(
-        *[F.first(k).alias(k) for k in CONTEXT],
-        F.sort_array(F.collect_list(point)).alias("inputs"),
-        F.min("timestamp_ms").alias("start_time_ms"),
-        F.max("timestamp_ms").alias("end_time_ms"),
-        F.bool_or(F.col("timestamp_ms").isNull()).alias("_untimed"),
-        F.bool_or("_back").alias("_unsorted"),
-        F.bool_or(usable).alias("_any"),
-        F.bool_and(~usable | usable_norm).alias("_all_norm"),
-        F.bool_and(~usable | usable_raw).alias("_all_raw"),
-        F.count("*").alias("n_points"),
-        F.sum("norm_step").alias("_norm_length"),
-        F.bool_or(usable_norm).alias("_has_norm"),
-        *[v.alias(f"_{k}") for k, v in box.items()],
-    )
+    own = Window.partitionBy("session_id", "stroke_index").orderBy("raw_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    made = {
+        "inputs": F.collect_list(point),
+        "start_time_ms": F.min("timestamp_ms"),
+        "end_time_ms": F.max("timestamp_ms"),
+        "_untimed": F.bool_or(F.col("timestamp_ms").isNull()),
+        "_unsorted": F.bool_or("_back"),
+        "_any": F.bool_or(usable),
+        "_all_norm": F.bool_and(~usable | usable_norm),
+        "_all_raw": F.bool_and(~usable | usable_raw),
+        "n_points": F.count("*"),
+        "_norm_length": F.sum("norm_step"),
+        "_has_norm": F.bool_or(usable_norm),
+        **{f"_{k}": v for k, v in box.items()},
+    }
+    found = rows.withColumns({k: v.over(own) for k, v in made.items()}).where("_starts").withColumn("inputs", F.sort_array("inputs"))
     space = F.when(F.col("_any") & F.col("_all_norm"), "norm").when(F.col("_any") & F.col("_all_raw"), "raw").otherwise("unavailable")
     side = lambda k: F.when(F.col("space") == "norm", F.col(f"_{k}_norm")).when(F.col("space") == "raw", F.col(f"_{k}_raw")).otherwise(0.0)
     flags = F.array_distinct(F.flatten("inputs.quality_flags"))
@@ -96,7 +109,7 @@ def _built(rows: DataFrame) -> DataFrame:
         .select(
             "session_id",
             "stroke_index",
-            F.format_string("stroke-%04d", F.col("stroke_index")).alias("stroke_id"),
+            numbered("stroke-", F.col("stroke_index")).alias("stroke_id"),
             *CONTEXT,
             "n_points",
             "start_time_ms",

@@ -21,7 +21,7 @@ def _joined(c: str) -> Column:
 
 
 def _points(spark, sf):
-    return parse.parse_points(pen.pen_points(spark, sf))
+    return parse.parse_points(pen.pen_points(spark, sf), placed=True)
 
 
 def _strokes(spark, sf):
@@ -30,7 +30,7 @@ def _strokes(spark, sf):
 
 
 def _run(spark, sf, keep_events: bool = True, one_pass: bool = False) -> pipeline.Run:
-    return pipeline.run(pen.pen_points(spark, sf), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS, keep_events=keep_events, one_pass=one_pass)
+    return pipeline.run(pen.pen_points(spark, sf), pen.pen_regions(spark), pen.STROKES, pen.MAPPING, pen.EVENTS, session_end_ms=pen.SESSION_END_MS, keep_events=keep_events, one_pass=one_pass, placed=True, counted=pen.pen_ids(spark, sf))
 
 
 def _lazy_run(spark, sf) -> pipeline.Run:
@@ -42,18 +42,24 @@ def _splits(points: DataFrame) -> DataFrame:
     return dataset.assign_splits(points.select(F.col("participant_id").alias("group_id")), 20260930).select(F.col("group_id").alias("participant_id"), "split")
 
 
-def _episodes(spark, sf):
-    """Episodes with the split of their participant, written, since most queries read them several times."""
-    return store.keeper(spark, "episodes")(_episodes_of(_lazy_run(spark, sf), pen.pen_points(spark, sf)), "episodes")
+def _lazy_episodes(spark, sf):
+    """Episodes with the split of their participant, for queries that read them once."""
+    return _episodes_of(_lazy_run(spark, sf), pen.pen_ids(spark, sf))
+
+
+def _episodes(spark, sf, *columns: str):
+    """The same, written, for queries that read them several times. columns: those that are read, if not all."""
+    e = _lazy_episodes(spark, sf)
+    return store.keeper(spark, "episodes")(e.select(*columns) if columns else e, "episodes")
 
 
 def _episodes_of(r: pipeline.Run, points: DataFrame) -> DataFrame:
-    """points: the run's, or its records, whichever are cheaper to read. A participant has no more mappings than points."""
+    """points: what has as many rows of each participant. A participant has no more mappings than points."""
     return features.episodes(r.mappings, pen.FEATURES, _splits(points), points)
 
 
 def _cases(spark, sf):
-    points = pen.pen_points(spark, sf)
+    points = pen.pen_ids(spark, sf)
     cases = points.select(F.col("session_id").alias("case_id"), "participant_id", F.col("participant_id").alias("group_id")).distinct()
     return cases.join(_splits(points), "participant_id")
 
@@ -176,7 +182,7 @@ def _audited(r: pipeline.Run) -> DataFrame:
 
 def _broken_ranges(spark, sf):
     k = F.col("episode_index")
-    e = _episodes(spark, sf)
+    e = _lazy_episodes(spark, sf)
     e = e.withColumn("question_occupancy", F.when(k % 13 == 12, 1.5).otherwise(F.col("question_occupancy")))
     e = e.withColumn("duration_s", F.when(k % 17 == 16, -1.0).otherwise(F.col("duration_s")))
     return audits.ranges(e.withColumn("quality_valid", F.when(k % 19 == 18, 0.5).otherwise(F.col("quality_valid"))))
@@ -208,7 +214,7 @@ def _stored(spark, sf):
     """The run's tables written as a dataset, verified, and read again: rows of each."""
     folder = store.scratch_dir(spark, "dataset")
     r = _run(spark, sf, keep_events=False)  # each table is read once, when it is written
-    tables = {"points": r.points, "mappings": r.mappings.drop("norm_points", "raw_points"), "events": r.events, "episodes": _episodes_of(r, r.points)}
+    tables = {"points": r.points, "mappings": r.mappings.drop("norm_points", "raw_points"), "events": r.events, "episodes": _episodes_of(r, pen.pen_ids(spark, sf))}
     store.write_dataset(tables, folder)
     found = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in store.read_dataset(spark, folder, list(tables)).items()]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
@@ -223,7 +229,7 @@ def _normalized(spark, sf):
 
 
 def _sequences(spark, sf):
-    s = features.sequences(_episodes(spark, sf))
+    s = features.sequences(_lazy_episodes(spark, sf))
     masks = F.transform("feature_mask", lambda m: F.array_join(m, "|"))
     total = F.aggregate(F.flatten("values"), F.lit(0.0), lambda a, x: a + x)
     return s.select("session_id", _joined("episode_ids").alias("episode_ids"), F.array_join(masks, ",").alias("masks"), (F.floor(total * 100 + 0.5) / 100).alias("total"), F.col("n").cast("long").alias("n"))
@@ -412,13 +418,13 @@ def queries() -> dict:
         "case_quality": _with_run(lambda r: dataset.case_quality(r.points, r.strokes, r.mappings, r.events)),
         "stored_dataset": _stored,
         "payload_hash": _hashes,
-        "features_12": lambda s, d: _episodes(s, d).select("episode_id", "session_id", "participant_id", "stroke_id", "question_id", "status", "split", "episode_index", *_feature_columns()),
-        "features_missingness": lambda s, d: features.missingness(_episodes(s, d), "split").withColumn("rate", _round("rate")),
+        "features_12": lambda s, d: _lazy_episodes(s, d).select("episode_id", "session_id", "participant_id", "stroke_id", "question_id", "status", "split", "episode_index", *_feature_columns()),
+        "features_missingness": lambda s, d: features.missingness(_lazy_episodes(s, d), "split").withColumn("rate", _round("rate")),
         "feature_range_audit": _broken_ranges,
         "feature_split_audit": _moved_splits,
         "sequences": _sequences,
         "sequence_ownership": _ownership,
-        "sequence_lengths": lambda s, d: features.sequences(_episodes(s, d)).groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("cases")),
+        "sequence_lengths": lambda s, d: features.sequences(_lazy_episodes(s, d)).groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("cases")),
         "sequence_audit": lambda s, d: features.length_audit(features.sequences(_episodes(s, d))).withColumns({c: _round(c) for c in ("mean", "median", "p90")}),
         "normalizer_stats": lambda s, d: features.normalizer(_episodes(s, d)).select("feature", _round("mean").alias("mean"), _round("std").alias("std"), "constant"),
         "normalized_features": _normalized,

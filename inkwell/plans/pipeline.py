@@ -38,17 +38,19 @@ class Run:
 def run(
     records: DataFrame, regions: DataFrame, stroke_config: StrokeConfig | None = None, mapping_config: MappingConfig | None = None, event_config: EventConfig | None = None,
     process_end_signal: bool = False, session_end_ms: int | None = None, session_id: str | None = None, task_segment_id: str | None = None, adapter: Callable[[DataFrame], DataFrame] | None = None,
-    keep: Callable[[DataFrame, str], DataFrame] | None = None, keep_events: bool = False, one_pass: bool = False,
+    keep: Callable[[DataFrame, str], DataFrame] | None = None, keep_events: bool = False, one_pass: bool = False, placed: bool = False,
+    counted: DataFrame | None = None,
 ) -> Run:
     """adapter: from a device's records to canonical ones. session_id, task_segment_id: what all points must belong to; others raise
     when they are read. keep: writes a table and reads it again; by default to a scratch folder. keep_events: whether the events are
     written too, for a run of which several tables are wanted. one_pass: that one table of the run is read, once; points are then
     written only if a session is longer than a task holds, and mappings only if one has more points than events.SHORT. Any table may be
-    read all the same, it is then made anew."""
+    read all the same, it is then made anew. placed: whether the records come from an operator that has put each session's together; they
+    aren't shuffled again then. counted: what has as many rows of each session as the records and is cheaper to read."""
     keep = keep or store.keeper(records.sparkSession, "run")
     records = adapter(records) if adapter else records
-    most = scan.longest(records, "session_id")
-    points = guard(parse.parse_points(records, known=most), session_id, task_segment_id)
+    most = scan.longest(records if counted is None else counted, "session_id")
+    points = guard(parse.parse_points(records, known=most, placed=placed), session_id, task_segment_id)
     flows = one_pass and most <= scan.PIECE_ROWS
     points = points if flows else keep(points, "points")
     few = mapping.listed(regions)

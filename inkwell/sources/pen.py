@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import EventConfig, FeatureConfig, MappingConfig, StrokeConfig
+from inkwell.operators.scan import together
 from inkwell.operators.wire import EVENT_TYPES
 
 #: Columns that a canonical record must have, and either pair of coordinates.
@@ -33,16 +34,19 @@ def read_points(spark: SparkSession, path: str, schema: str | None = None) -> Da
 
 
 def pen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One session per user of the events table, with defects by row number so that every quality flag occurs."""
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """One session per user of the events table, with defects by row number so that every quality flag occurs. Sessions stand together."""
+    source = spark.sql(
+        """SELECT event_id, user_id, concat('s-', user_id) AS writer, unix_millis(CAST(ts AS TIMESTAMP)) AS t_ms, day(ts) AS dom, event_type, value,
+                 CAST(get_json_object(props, '$.k') AS DOUBLE) AS k
+          FROM {events}""",
+        events=spark.read.parquet(f"{sf_dir}/events.parquet"),
+    )
     return spark.sql(
         """
         WITH e AS (
-          SELECT user_id, unix_millis(CAST(ts AS TIMESTAMP)) AS t_ms, day(ts) AS dom, event_type, value,
-                 CAST(get_json_object(props, '$.k') AS DOUBLE) AS k,
-                 row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn
+          SELECT *, row_number() OVER (PARTITION BY writer ORDER BY event_id) - 1 AS rn
           FROM {source})
-        SELECT concat('s-', user_id) AS session_id, concat('u-', user_id) AS participant_id, concat('seg-', rn div 40) AS task_segment_id,
+        SELECT writer AS session_id, concat('u-', user_id) AS participant_id, concat('seg-', rn div 40) AS task_segment_id,
                CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat('pen-', user_id % 3) END AS device_id,
                CASE WHEN rn % 43 = 42 THEN NULL WHEN rn % 41 = 40 THEN 'page-unknown' ELSE concat('page-', dom div 10) END AS page_id,
                concat('pt-', user_id, '-', CASE WHEN rn % 23 = 22 THEN rn - 1 ELSE rn END) AS point_id,
@@ -53,10 +57,16 @@ def pen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
                CASE WHEN rn % 19 = 18 THEN NULL ELSE value / 500 END AS x_norm, CASE WHEN rn % 19 = 18 THEN NULL ELSE k / 400 END AS y_norm,
                CASE event_type WHEN 'signup' THEN 'DOWN' WHEN 'purchase' THEN 'UP' WHEN 'error' THEN 'UNKNOWN' ELSE 'MOVE' END AS pen_state
         FROM e""",
-        source=source,
+        source=together(source, "writer"),
     )
 
 
+def pen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session_id and participant_id of all points, for what only counts them: no point is shuffled."""
+    user = F.col("user_id").cast("string")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("s-"), user).alias("session_id"), F.concat(F.lit("u-"), user).alias("participant_id"))
+
+
 def region_rows() -> list[tuple[str, str, str, int, list[tuple[float, float]]]]:
     """region_id, page_id, question_id, priority, polygon of the fixture: bands on each page, a triangle on one, a doubled band on another."""
     bands = [("q1", 0.0, 0.06), ("q2", 0.06, 0.12), ("q3", 0.12, 0.3), ("q4", 0.3, 1.0)]
