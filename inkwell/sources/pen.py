@@ -36,7 +36,7 @@ def read_points(spark: SparkSession, path: str, schema: str | None = None) -> Da
 def pen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One session per user of the events table, with defects by row number so that every quality flag occurs. Sessions stand together."""
     source = spark.sql(
-        """SELECT event_id, user_id, concat('s-', user_id) AS writer, unix_millis(CAST(ts AS TIMESTAMP)) AS t_ms, day(ts) AS dom, event_type, value,
+        """SELECT event_id, user_id, concat('s-', user_id) AS session_id, unix_millis(CAST(ts AS TIMESTAMP)) AS t_ms, day(ts) AS dom, event_type, value,
                  CAST(get_json_object(props, '$.k') AS DOUBLE) AS k
           FROM {events}""",
         events=spark.read.parquet(f"{sf_dir}/events.parquet"),
@@ -44,9 +44,9 @@ def pen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         """
         WITH e AS (
-          SELECT *, row_number() OVER (PARTITION BY writer ORDER BY event_id) - 1 AS rn
+          SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id) - 1 AS rn
           FROM {source})
-        SELECT writer AS session_id, concat('u-', user_id) AS participant_id, concat('seg-', rn div 40) AS task_segment_id,
+        SELECT session_id, concat('u-', user_id) AS participant_id, concat('seg-', rn div 40) AS task_segment_id,
                CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat('pen-', user_id % 3) END AS device_id,
                CASE WHEN rn % 43 = 42 THEN NULL WHEN rn % 41 = 40 THEN 'page-unknown' ELSE concat('page-', dom div 10) END AS page_id,
                concat('pt-', user_id, '-', CASE WHEN rn % 23 = 22 THEN rn - 1 ELSE rn END) AS point_id,
@@ -57,7 +57,7 @@ def pen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
                CASE WHEN rn % 19 = 18 THEN NULL ELSE value / 500 END AS x_norm, CASE WHEN rn % 19 = 18 THEN NULL ELSE k / 400 END AS y_norm,
                CASE event_type WHEN 'signup' THEN 'DOWN' WHEN 'purchase' THEN 'UP' WHEN 'error' THEN 'UNKNOWN' ELSE 'MOVE' END AS pen_state
         FROM e""",
-        source=together(source, "writer"),
+        source=together(source, "session_id"),
     )
 
 
