@@ -132,9 +132,11 @@ def detect_events(
 
 def _numbered(found: DataFrame) -> DataFrame:
     """A row per event, numbered by the mappings' events before its mapping's in the session, and its place among these."""
-    found = found.select("session_id", "participant_id", (F.col("_upto") - F.size("_events")).alias("_before"), F.posexplode("_events").alias("_k", "e"))
+    # Fields are named one by one: a star would take the columns of a table of the struct's name, if the caller's table has that name.
+    fields = [F.col("_event")[f].alias(f) for f in found.schema["_events"].dataType.elementType.names]
+    found = found.select("session_id", "participant_id", (F.col("_upto") - F.size("_events")).alias("_before"), F.posexplode("_events").alias("_k", "_event"))
     found = found.withColumn("sequence", F.col("_before") + F.col("_k"))
-    return found.select(F.format_string("%s:event:%04d", "session_id", "sequence").alias("event_id"), "session_id", "participant_id", "sequence", "e.*", F.lit(VERSION).alias("algorithm_version"))
+    return found.select(F.format_string("%s:event:%04d", "session_id", "sequence").alias("event_id"), "session_id", "participant_id", "sequence", *fields, F.lit(VERSION).alias("algorithm_version"))
 
 
 def _events(c: EventConfig, process_end_signal: bool, session_end_ms: int | None, task_segment_id: str | None) -> Column:

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from inkwell.functions import geometry
-from inkwell.operators import parse, strokes
+from inkwell.operators import events, parse, strokes
 from inkwell.plans import catalogue
 from inkwell.sources import pen
 from tests.test_shared_run import CONVEX, KIND, OTHER
-from tests.test_shuffles import rows_of
+from tests.test_shuffles import rows_of, tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +56,12 @@ def test_numbers_and_complete_lists(spark):
     rows = spark.createDataFrame([(0, []), (7, [None]), (9999, [1.0]), (10000, [1.0, None]), (123456, [1.0, 2.0])], "n long, v array<double>")
     got = rows.select(geometry.numbered("stroke-", F.col("n")).alias("id"), geometry.complete(F.col("v")).alias("all")).collect()
     assert [tuple(r) for r in got] == [("stroke-0000", True), ("stroke-0007", False), ("stroke-9999", True), ("stroke-10000", False), ("stroke-123456", True)]
+
+
+def test_events_are_whole_whatever_the_callers_table_is_called(spark, tables):  # noqa: F811
+    _, _, mapped, made = tables
+    # The fixture's records come from a table called e.
+    assert catalogue._lazy_run(spark, SF).events.columns == made.columns
+    for name, piece_rows in (("e", 3), ("e", 1 << 16), ("_event", 1 << 16)):
+        again = events.detect_events(mapped.alias(name), pen.EVENTS, session_end_ms=pen.SESSION_END_MS, piece_rows=piece_rows)
+        assert again.columns == made.columns and rows_of(again) == rows_of(made), (name, piece_rows)
